@@ -9,6 +9,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from html import entities
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -169,16 +170,25 @@ def _context(page: Page, link: int, headings: list[int], cache: dict) -> str:
     return ""
 
 
-def page_links(page: Page):
-    """(href, text, context, rel, class, title) of every anchor with a target."""
+def _absolute(base: str, href: str) -> str:
+    try:
+        return urljoin(base or "", href)
+    except ValueError:
+        return ""
+
+
+def page_links(page: Page, url: str):
+    """(href, abs_url, text, context, rel, class, title) of every anchor with a target."""
     headings = [i for i, tag in enumerate(page.tags) if tag in _HEADINGS]
     cache: dict = {}
     for node, tag in enumerate(page.tags):
         attrs = page.attrs[node]
         if tag == "a" and "href" in attrs:
+            href = _plain(attrs["href"])
             yield (
-                attrs["href"],
-                page.text(node),
+                href,
+                _absolute(url, href),
+                _plain(page.text(node)),
                 _context(page, node, headings, cache),
                 " ".join(attrs.get("rel", "").split()),
                 " ".join(attrs.get("class", "").split()),
@@ -186,7 +196,7 @@ def page_links(page: Page):
             )
 
 
-def page_rows(page: Page):
+def page_rows(page: Page, url: str):
     """Table rows: position facts, cells with classes, group link and row links."""
     listing = next(
         (i for i, t in enumerate(page.tags) if t == "table" and page.has_class(i, "listagem")), None
@@ -200,24 +210,25 @@ def page_rows(page: Page):
         anchor = next(page.below(group, "a"), None) if group is not None else None
         yield {
             "in_listing": in_listing,
-            "row_text": page.text(node),
+            "row_text": _plain(page.text(node)),
             "is_group": group is not None,
             "has_link": anchor is not None,
-            "link_text": page.text(anchor) if anchor is not None else None,
-            "link_title": page.attrs[anchor].get("title", "") if anchor is not None else None,
+            "link_text": _plain(page.text(anchor)) if anchor is not None else None,
+            "link_title": _plain(page.attrs[anchor].get("title", "")) if anchor is not None else None,
             "link_onclick": page.attrs[anchor].get("onclick", "") if anchor is not None else None,
             "cells": [
-                {"text": page.text(c), "cls": page.attrs[c].get("class", "")} for c in cells
+                {"text": _plain(page.text(c)), "cls": page.attrs[c].get("class", "")} for c in cells
             ],
             "links": [
-                {"href": page.attrs[a]["href"], "text": page.text(a)}
+                {"href": href, "abs_url": _absolute(url, href), "text": _plain(page.text(a))}
                 for a in page.below(node, "a")
                 if "href" in page.attrs[a]
+                for href in (_plain(page.attrs[a]["href"]),)
             ],
         }
 
 
-def page_containers(page: Page, cls: str):
+def page_containers(page: Page, url: str, cls: str):
     """(title, href, date) of each ``div.cls`` whose first anchor has a target."""
     for node, tag in enumerate(page.tags):
         if tag == "div" and page.has_class(node, cls):
@@ -259,13 +270,13 @@ def page_signals(page: Page, selectors):
 
 
 LINK_SCHEMA = (
-    "page_id long, url string, pos int, href string, text string, context string, "
+    "page_id long, url string, pos int, href string, abs_url string, text string, context string, "
     "rel string, cls string, title_attr string"
 )
 ROW_SCHEMA = (
     "page_id long, url string, pos int, in_listing boolean, row_text string, is_group boolean, "
     "has_link boolean, link_text string, link_title string, link_onclick string, "
-    "cells array<struct<text:string,cls:string>>, links array<struct<href:string,text:string>>"
+    "cells array<struct<text:string,cls:string>>, links array<struct<href:string,abs_url:string,text:string>>"
 )
 CONTAINER_SCHEMA = "page_id long, url string, pos int, title string, href string, date string"
 SIGNAL_SCHEMA = (
@@ -289,14 +300,14 @@ def _names(schema: str) -> list[str]:
 
 
 def _per_page(pages: DataFrame, facts, schema: str) -> DataFrame:
-    """Run ``facts(page)`` over every page; one output row per yielded tuple."""
+    """Run ``facts(page, url)`` over every page; one output row per yielded tuple."""
     columns = _names(schema)
 
     def run(batches):
         for batch in batches:
             rows = []
             for page_id, url, source in zip(batch["page_id"], batch["url"], batch["html"]):
-                for pos, fact in enumerate(facts(Page(source or ""))):
+                for pos, fact in enumerate(facts(Page(source or ""), url)):
                     rows.append((page_id, url, pos, *fact))
                     if len(rows) >= 4096:
                         yield _frame(rows, columns)
@@ -313,12 +324,12 @@ def extract_links(pages: DataFrame) -> DataFrame:
 
 
 def extract_rows(pages: DataFrame) -> DataFrame:
-    return _per_page(pages, lambda page: (tuple(r.values()) for r in page_rows(page)), ROW_SCHEMA)
+    return _per_page(pages, lambda page, url: (tuple(r.values()) for r in page_rows(page, url)), ROW_SCHEMA)
 
 
 def extract_containers(pages: DataFrame, cls: str) -> DataFrame:
     """Links of fixed containers, with their date text."""
-    return _per_page(pages, lambda page: page_containers(page, cls), CONTAINER_SCHEMA)
+    return _per_page(pages, lambda page, url: page_containers(page, url, cls), CONTAINER_SCHEMA)
 
 
 def extract_signals(pages: DataFrame, selectors) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from noticeflow.functions import text, urls
+from noticeflow.functions.staging import stage
 from noticeflow.lexicon import PORTUGUESE, Lexicon
 from noticeflow.operators.html import extract_links
 
@@ -28,15 +29,17 @@ def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def admit_links(links: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
-    """Keep links that lead to a web page, resolved against their page address."""
+    """Keep links that lead to a web page outside the ignored hosts."""
     href = F.col("href")
     scheme = F.lower(F.regexp_extract(href, r"^\s*([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    plausible = links.filter(
-        (href != "") & ~href.startswith("#") & ~scheme.isin(*lexicon.ignored_schemes)
-    )
-    resolved = plausible.withColumn("abs_url", urls.resolve_url(F.col("url"), href))
     host = F.lower(F.regexp_extract("abs_url", r"^[A-Za-z]+://([^/?#]*)", 1))
-    return resolved.filter(urls.is_http(F.col("abs_url")) & ~host.isin(*lexicon.ignored_hosts))
+    return links.filter(
+        (href != "")
+        & ~href.startswith("#")
+        & ~scheme.isin(*lexicon.ignored_schemes)
+        & urls.is_http(F.col("abs_url"))
+        & ~host.isin(*lexicon.ignored_hosts)
+    )
 
 
 def is_generic_link(folded: Column, lexicon: Lexicon) -> Column:
@@ -45,21 +48,15 @@ def is_generic_link(folded: Column, lexicon: Lexicon) -> Column:
 
 def gate_links(links: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
     """Keep links whose own words, or whose short context, name a notice."""
-    parts = F.struct(
-        F.regexp_extract("abs_url", r"(?s)^[^:/?#]+://[^/?#]*([^?#;]*)", 1).alias("path"),
-        F.regexp_extract("abs_url", r"(?s)\?([^#]*)", 1).alias("query"),
-    )
-    own = F.array(
-        F.col("text"),
-        F.col("href"),
-        urls.unquote(F.concat_ws(" ", F.col("_p.path"), F.col("_p.query"))),
-    )
-    staged = (
-        links.withColumn("_p", parts)
-        .withColumn("search_text", F.array_join(F.filter(own, lambda s: s != ""), " "))
-        .withColumn("text_key", text.fold_text(F.col("text")))
-        .withColumn("_own", text.fold_text(F.col("search_text")))
-        .withColumn("_ctx", text.fold_text(F.col("context")))
+    path = F.regexp_extract("abs_url", r"(?s)^[^:/?#]+://[^/?#]*([^?#;]*)", 1)
+    query = F.regexp_extract("abs_url", r"(?s)^[^?#]*\?([^#]*)", 1)
+    own = F.array(F.col("text"), F.col("href"), urls.unquote(F.concat_ws(" ", path, query)))
+    searched = stage(links, search_text=F.array_join(F.filter(own, lambda s: s != ""), " "))
+    staged = stage(
+        searched,
+        text_key=text.fold_text(F.col("text")),
+        _own=text.fold_text(F.col("search_text")),
+        _ctx=text.fold_text(F.col("context")),
     )
     by_own = text.has_keyword_folded(F.col("_own"), lexicon)
     silent = (F.col("text") == "") | is_generic_link(F.col("text_key"), lexicon)
@@ -68,7 +65,7 @@ def gate_links(links: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
         & (F.length("context") <= LONGEST_CONTEXT_FOR_GENERIC_LINK)
         & text.has_keyword_folded(F.col("_ctx"), lexicon)
     )
-    return staged.filter(by_own | by_context).drop("_p", "_own", "_ctx")
+    return staged.filter(by_own | by_context).drop("_own", "_ctx")
 
 
 def choose_title(links: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
@@ -83,23 +80,25 @@ def choose_title(links: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
         .when(F.col("context") != "", text.truncate(F.col("context"), 240))
         .otherwise(text.truncate(text.squash(from_path), 240))
     )
-    return links.withColumn("title", title).filter(F.col("title").isNotNull())
+    return stage(links, title=title).filter(F.col("title").isNotNull())
 
 
-def is_listing_title(title: Column, titles) -> Column:
-    bare = F.regexp_replace(text.fold_text(title), r"(?U)^[\W_]+|[\W_]+$", "")
-    return bare.isin(*titles)
+def bare_title(title: Column) -> Column:
+    """Folded title without leading and trailing punctuation."""
+    return F.regexp_replace(text.fold_text(title), r"(?U)^[\W_]+|[\W_]+$", "")
 
 
 def drop_listing_titles(links: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
     """Drop titles that only name a listing page, unless the target is a document."""
-    listing = is_listing_title(F.col("title"), lexicon.listing_titles)
-    return links.filter(~listing | urls.is_document_url(F.col("abs_url"), lexicon.document_suffixes))
+    staged = stage(links, _bare=bare_title(F.col("title")))
+    listing = F.col("_bare").isin(*lexicon.listing_titles)
+    document = urls.is_document_url(F.col("abs_url"), lexicon.document_suffixes)
+    return staged.filter(~listing | document).drop("_bare")
 
 
 def dedup_page(links: DataFrame) -> DataFrame:
     """First link per page and folded target."""
-    keyed = links.withColumn("_key", text.fold_text(F.col("abs_url")))
+    keyed = stage(links, _key=text.fold_text(F.col("abs_url")))
     return first_per_key(keyed, ["page_id", "_key"], ["pos"]).drop("_key")
 
 
@@ -111,9 +110,7 @@ def notice_links(links: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
 def extract_generic(pages: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
     """Items of a page: page_id, pos, title, url, notice_type, description."""
     kept = notice_links(extract_links(pages), lexicon)
-    folded = kept.withColumn(
-        "_f", text.fold_text(F.concat_ws(" ", F.col("search_text"), F.col("context")))
-    )
+    folded = stage(kept, _f=text.fold_text(F.concat_ws(" ", F.col("search_text"), F.col("context"))))
     described = (F.col("context") != "") & (F.col("context") != F.col("title"))
     return folded.select(
         "page_id",
@@ -134,13 +131,10 @@ def next_pages(links: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
         text.fold_text(F.col("text")),
         text.fold_text(F.col("title_attr")),
     )
-    marked = (
-        links.withColumn("_marks", marks)
-        .filter(text.contains_any(F.col("_marks"), lexicon.next_markers))
-        .withColumn("next_url", urls.resolve_url(F.col("url"), F.col("href")))
-        .filter(urls.is_http(F.col("next_url")))
+    marked = stage(links, _marks=marks).filter(
+        text.contains_any(F.col("_marks"), lexicon.next_markers) & urls.is_http(F.col("abs_url"))
     )
-    return marked.groupBy("page_id", "url", "next_url").agg(F.min("pos").alias("pos"))
+    return marked.groupBy("page_id", "url", F.col("abs_url").alias("next_url")).agg(F.min("pos").alias("pos"))
 
 
 def page_frontier(next_links: DataFrame, max_extra: int = 2) -> DataFrame:

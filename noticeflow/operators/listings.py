@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from noticeflow.functions import text, urls
+from noticeflow.functions.staging import stage
 from noticeflow.lexicon import PORTUGUESE, Lexicon
 from noticeflow.operators.html import extract_rows
-from noticeflow.operators.links import first_per_key, is_generic_link, is_listing_title
+from noticeflow.operators.links import bare_title, first_per_key, is_generic_link
 
 # Page-class markers on folded page text.
 LOGIN_MARK = "acesso ao sistema"
@@ -24,8 +25,7 @@ def listing_groups(rows: DataFrame) -> DataFrame:
     The running group number partitions a page's rows, so the detail row is the first
     non-empty one before the next group row.
     """
-    cells = F.transform("cells", lambda c: F.struct(text.clean_text(c["text"]).alias("text"), c["cls"].alias("cls")))
-    listing = rows.filter("in_listing").withColumn("cells", cells)
+    listing = rows.filter("in_listing")
     by_page = Window.partitionBy("page_id").orderBy("pos")
     numbered = listing.withColumn("grp", F.sum(F.col("is_group").cast("int")).over(by_page))
     filled = F.exists("cells", lambda c: c["text"] != "")
@@ -46,11 +46,10 @@ def listing_details(groups: DataFrame) -> DataFrame:
     dated = F.get(F.filter("detail", lambda c: c["text"].rlike(_DATE)), F.lit(0))
     second = F.get("_m", F.lit(1))
     closed = F.array_contains(F.split("_d.cls", r"\s+"), "fechado")
-    raw_title = text.clean_text(F.coalesce(F.nullif(text.squash(F.col("link_text")), F.lit("")), F.col("link_title")))
+    raw_title = F.when(F.col("link_text") != "", F.col("link_text")).otherwise(F.col("link_title"))
+    title = F.trim(F.regexp_replace(raw_title, r"\s*\*+$", ""))
     out = (
-        groups.withColumn("_m", meaningful)
-        .withColumn("_d", dated)
-        .withColumn("title", F.trim(F.regexp_replace(raw_title, r"\s*\*+$", "")))
+        stage(groups, _m=meaningful, _d=dated, title=title)
         .filter("title <> ''")
         .withColumn("course", F.get("_m", F.lit(0)))
         .withColumn("vacancies", F.when(second.rlike("^[0-9]+$"), second))
@@ -76,9 +75,11 @@ def listing_items(details: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFram
         *[F.coalesce(F.col(c), F.lit("")) for c in ("title", "course", "period", "vacancies")],
     )
     fallback = F.substring(F.replace(text.fold_text(facts), F.lit(" "), F.lit("-")), 1, 160)
-    staged = details.withColumn(
-        "dedupe_url", urls.dedupe_url(F.col("url"), F.coalesce(process, fallback))
-    ).withColumn("_f", text.fold_text(F.concat_ws(" ", "title", "description")))
+    staged = stage(
+        details,
+        dedupe_url=urls.dedupe_url(F.col("url"), F.coalesce(process, fallback)),
+        _f=text.fold_text(F.concat_ws(" ", "title", "description")),
+    )
     unique = first_per_key(staged, ["page_id", "dedupe_url"], ["pos"])
     return unique.select(
         "page_id",
@@ -93,42 +94,39 @@ def listing_items(details: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFram
 
 def table_items(rows: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
     """Fallback: one item per table row that names a notice and has a usable link."""
-    links = F.transform(
-        F.col("links"),
-        lambda a: F.struct(
-            text.clean_text(a["href"]).alias("href"), text.clean_text(a["text"]).alias("text")
-        ),
-    )
-    usable = F.filter("_links", lambda a: (a["href"] != "") & (a["href"] != "#"))
-    silent = F.filter(
-        "_usable",
-        lambda a: text.let(text.fold_text(a["text"]), lambda k: (k == "") | is_generic_link(k, lexicon)),
+    named = stage(rows, _f=text.fold_text(F.col("row_text"))).filter(
+        text.has_keyword_folded(F.col("_f"), lexicon)
     )
-    best = F.coalesce(F.get(silent, F.lit(0)), F.get("_usable", F.lit(0)))
-    staged = (
-        rows.withColumn("row_text", text.clean_text(F.col("row_text")))
-        .withColumn("_f", text.fold_text(F.col("row_text")))
-        .filter(text.has_keyword_folded(F.col("_f"), lexicon))
-        .withColumn("_links", links)
-        .withColumn("_usable", usable)
-        .withColumn("_best", best)
-        .filter(F.col("_best").isNotNull())
+    keyed = F.transform(
+        F.filter("links", lambda a: (a["href"] != "") & (a["href"] != "#")),
+        lambda a: a.withField("key", text.fold_text(a["text"])),
     )
-    href = F.col("_best.href")
+    silent = F.filter("_links", lambda a: (a["key"] == "") | is_generic_link(a["key"], lexicon))
+    best = F.coalesce(F.get(silent, F.lit(0)), F.get("_links", F.lit(0)))
+    linked = stage(stage(named, _links=keyed), _best=best).filter("_best is not null")
+
+    href, abs_url, key = F.col("_best.href"), F.col("_best.abs_url"), F.col("_best.key")
     scheme = F.lower(F.regexp_extract(href, r"^\s*([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    resolved = staged.filter(~href.startswith("#") & ~scheme.isin(*lexicon.ignored_schemes)).withColumn(
-        "abs_url", urls.resolve_url(F.col("url"), href)
+    host = F.lower(F.regexp_extract(abs_url, r"^[A-Za-z]+://([^/?#]*)", 1))
+    speaking = (F.col("_best.text") != "") & ~is_generic_link(key, lexicon)
+    title = F.when(speaking, F.col("_best.text")).otherwise(F.col("row_text"))
+    titled = stage(
+        linked.filter(
+            ~href.startswith("#")
+            & ~scheme.isin(*lexicon.ignored_schemes)
+            & urls.is_http(abs_url)
+            & ~host.isin(*lexicon.ignored_hosts)
+        ),
+        full_title=title,
+        abs_url=abs_url,
+        _bare=bare_title(title),
     )
-    host = F.lower(F.regexp_extract("abs_url", r"^[A-Za-z]+://([^/?#]*)", 1))
-    link_key = text.fold_text(F.col("_best.text"))
-    speaking = (F.col("_best.text") != "") & ~is_generic_link(link_key, lexicon)
-    titled = resolved.filter(
-        urls.is_http(F.col("abs_url")) & ~host.isin(*lexicon.ignored_hosts)
-    ).withColumn("full_title", F.when(speaking, F.col("_best.text")).otherwise(F.col("row_text")))
-    listing = is_listing_title(F.col("full_title"), lexicon.listing_titles)
     kept = titled.filter(
         (F.col("full_title") != "")
-        & (~listing | urls.is_document_url(F.col("abs_url"), lexicon.document_suffixes))
+        & (
+            ~F.col("_bare").isin(*lexicon.listing_titles)
+            | urls.is_document_url(F.col("abs_url"), lexicon.document_suffixes)
+        )
     )
     unique = first_per_key(kept, ["page_id", "abs_url"], ["pos"])
     return unique.select(
@@ -146,7 +144,7 @@ def table_items(rows: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
 
 def classify_pages(signals: DataFrame, listed: DataFrame) -> DataFrame:
     """page_id, page_class: login, listing, empty or fallback, in that order."""
-    folded = signals.withColumn("_f", text.fold_text(F.col("body_text")))
+    folded = stage(signals, _f=text.fold_text(F.col("body_text")))
     login = F.col("_f").contains(LOGIN_MARK) & text.contains_any(F.col("_f"), LOGIN_FORMS)
     with_items = listed.select("page_id").distinct().withColumn("_items", F.lit(True))
     joined = folded.join(with_items, "page_id", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from noticeflow.functions import text, urls
+from noticeflow.functions.staging import stage
 from noticeflow.lexicon import PORTUGUESE, Lexicon
 from noticeflow.operators.links import first_per_key
 
@@ -39,20 +40,19 @@ def read_posts(responses: DataFrame) -> DataFrame:
 
 def extract_posts(posts: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
     """Relevant posts, once per absolute link in search order."""
-    staged = (
-        posts.filter((F.coalesce("link", F.lit("")) != "") & F.col("title").isNotNull())
-        .withColumn("title", text.clean_text(F.col("title")))
-        .filter("title <> ''")
-        .withColumn("excerpt", text.clean_text(F.col("excerpt")))
-        .withColumn("_f", text.fold_text(F.concat_ws(" ", "title", "link", "excerpt")))
-    )
+    linked = posts.filter((F.coalesce("link", F.lit("")) != "") & F.col("title").isNotNull())
+    cleaned = stage(
+        linked, title=text.clean_text(F.col("title")), excerpt=text.clean_text(F.col("excerpt"))
+    ).filter("title <> ''")
+    staged = stage(cleaned, _f=text.fold_text(F.concat_ws(" ", "title", "link", "excerpt")))
     folded = F.col("_f")
     relevant = text.contains_any(folded, lexicon.strong_keywords) | (
         text.contains_any(folded, lexicon.broad_keywords)
         & text.contains_any(folded, lexicon.confirmations)
     )
-    kept = staged.filter(relevant).withColumn(
-        "abs_url", urls.resolve_url(urls.site_base(F.col("url")), F.col("link"))
+    kept = stage(
+        staged.filter(relevant),
+        abs_url=urls.resolve_url(urls.site_base(F.col("url")), F.col("link")),
     )
     unique = first_per_key(kept, ["source_id", "abs_url"], ["term_order", "pos"])
     return unique.select(
