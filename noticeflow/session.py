@@ -24,6 +24,7 @@ def get_spark(app: str = "noticeflow", master: str | None = None, shuffle_partit
         # Pages are wide: small Arrow batches keep Python workers within memory.
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
