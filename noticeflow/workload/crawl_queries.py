@@ -1 +1,533 @@
-"""Placeholder."""
+"""S, P and I rows: scans and sinks, page extraction, ingest, streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from noticeflow.functions import text
+from noticeflow.operators import html, ingest, links, listings, posts, routing
+from noticeflow.session import materialize, scratch_path
+from noticeflow.sources import readers, sinks
+from noticeflow.streaming import jobs
+from noticeflow.workload.domain import DuckDialect, domain_sql
+from noticeflow.workload.registry import query
+from noticeflow.workload.scalar_queries import (
+    FOLDED, WS, sql_fold, sql_keyword, sql_squash, sql_truncate, sql_type,
+)
+
+LEX = type(FOLDED)(**{
+    **FOLDED.__dict__,
+    "generic_link_texts": ("the", "la", "de", "der", "and", "acesse aqui", "pdf"),
+    "ignored_hosts": ("spam-farm.example.org",),
+})
+
+# ---------------------------------------------------------------- page chain in SQL
+
+_GENERIC = "(" + ", ".join(f"'{w}'" for w in LEX.generic_link_texts) + ")"
+_UNESC = "replace({x}, '&amp;', '&')"
+CHAIN = {
+    "raw_links": """
+        SELECT page_id, url, generate_subscripts(h, 1) - 1 AS pos, unnest(h) AS href, unnest(t) AS text, '' AS context
+        FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS h,
+              regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS t FROM pages)""",
+    "lnk": f"""
+        SELECT page_id, url, CAST(pos AS INT) AS pos, {_UNESC.format(x='href')} AS href,
+          regexp_extract(url, '^[a-z]+://[^/?#]*', 0) || {_UNESC.format(x='href')} AS abs_url,
+          {sql_squash(_UNESC.format(x='text'))} AS text, context FROM raw_links
+        UNION ALL
+        SELECT -1 - doc_id, 'https://' || source || '.example.edu.br/lista/', 0, 'docs/' || CAST(doc_id AS VARCHAR) || '.pdf',
+          'https://' || source || '.example.edu.br/lista/docs/' || CAST(doc_id AS VARCHAR) || '.pdf', 'Acesse aqui',
+          coalesce({sql_truncate(sql_squash("split_part(text, chr(10), 1)"), 240)}, '') FROM documents
+        UNION ALL
+        SELECT -1 - doc_id, 'https://' || source || '.example.edu.br/lista/', 1, '/n/' || CAST(doc_id AS VARCHAR),
+          'https://' || source || '.example.edu.br/n/' || CAST(doc_id AS VARCHAR), 'pdf',
+          {sql_truncate(sql_squash("text || ' pdf'"), 600)} FROM documents""",
+    "adm": """SELECT * FROM lnk WHERE href <> '' AND NOT starts_with(href, '#')
+        AND regexp_extract(abs_url, '^[a-z]+://([^/?#]*)', 1) <> 'spam-farm.example.org'""",
+    "srt": f"""SELECT *, {sql_fold('text')} AS text_key, concat_ws(' ', nullif(text, ''), href,
+          regexp_extract(abs_url, '^[a-z]+://[^/?#]*([^?#]*)', 1) || ' ') AS search_text FROM adm""",
+    "gat": f"""SELECT * FROM srt WHERE {sql_keyword(sql_fold('search_text'))} OR
+          ((text = '' OR text_key IN {_GENERIC} OR regexp_matches(text_key, '^[0-9]+$'))
+            AND length(context) <= 420 AND {sql_keyword(sql_fold('context'))})""",
+    "ttl": f"""SELECT * FROM (SELECT *, CASE
+          WHEN text <> '' AND NOT (text_key IN {_GENERIC} OR regexp_matches(text_key, '^[0-9]+$'))
+            THEN {sql_truncate('text', 240)}
+          WHEN context <> '' THEN {sql_truncate('context', 240)}
+          ELSE {sql_truncate(sql_squash("regexp_replace(regexp_replace(regexp_extract(abs_url, '([^/]*)$', 1), '[-_]+', ' ', 'g'), '[.][A-Za-z0-9]{2,5}$', '')"), 240)}
+          END AS title FROM gat) WHERE title IS NOT NULL""",
+    "lst": f"""SELECT * FROM ttl WHERE regexp_replace({sql_fold('title')}, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')
+          NOT IN ('of', 'en', 'os', 'des') OR regexp_matches(lower(abs_url), '[.](pdf|doc)$')""",
+    "ddp": f"""SELECT * FROM lst QUALIFY row_number() OVER (PARTITION BY page_id, {sql_fold('abs_url')} ORDER BY pos) = 1""",
+}
+
+
+def chain(sql):
+    return {"oracle": sql, **CHAIN}
+
+
+def all_links(t):
+    return html.extract_links(t.apg)
+
+
+_LINK_COLUMNS = ["page_id", "pos", "href", "abs_url", "text"]
+
+
+@query("p01_extract_links", **chain("SELECT page_id, pos, href, abs_url, text FROM lnk"))
+def _(t):
+    return all_links(t).select(*_LINK_COLUMNS)
+
+
+@query("p02_admit_links", **chain("SELECT page_id, pos, abs_url FROM adm"))
+def _(t):
+    return links.admit_links(all_links(t), LEX).select("page_id", "pos", "abs_url")
+
+
+@query("p03_link_context", **chain("SELECT page_id, pos, context FROM lnk"))
+def _(t):
+    return all_links(t).select("page_id", "pos", "context")
+
+
+@query("p04_gate_links", **chain("SELECT page_id, pos, text_key FROM gat"))
+def _(t):
+    return links.gate_links(links.admit_links(all_links(t), LEX), LEX).select("page_id", "pos", "text_key")
+
+
+@query("p05_choose_title", **chain("SELECT page_id, pos, title FROM ttl"))
+def _(t):
+    gated = links.gate_links(links.admit_links(all_links(t), LEX), LEX)
+    return links.choose_title(gated, LEX).select("page_id", "pos", "title")
+
+
+@query("p06_drop_listing_titles", **chain("SELECT page_id, pos, title FROM lst"))
+def _(t):
+    gated = links.gate_links(links.admit_links(all_links(t), LEX), LEX)
+    return links.drop_listing_titles(links.choose_title(gated, LEX), LEX).select("page_id", "pos", "title")
+
+
+@query("p07_dedup_page", **chain("SELECT page_id, pos, abs_url FROM ddp"))
+def _(t):
+    return links.notice_links(all_links(t), LEX).select("page_id", "pos", "abs_url")
+
+
+@query("p08_extract_generic", **chain(
+    f"""SELECT page_id, pos, title, abs_url AS url, {sql_type(sql_fold("search_text || ' ' || context"))} AS notice_type,
+    CASE WHEN context <> '' AND context <> title THEN {sql_truncate('context', 600)} END AS description FROM ddp"""))
+def _(t):
+    return links.extract_generic(t.apg, LEX)
+
+
+# ---------------------------------------------------------------- process-selection pages
+
+_LISTED = "o_orderpriority NOT IN ('5-LOW', '2-HIGH')"
+
+
+@query("p09_listing_groups", f"""
+SELECT o_orderkey AS page_id, 0 AS pos, 'Edital ' || o_orderpriority || ' *' AS link_text,
+  o_orderpriority || '|' || CAST(o_custkey AS VARCHAR) || '|' || period AS detail FROM opg WHERE {_LISTED}
+UNION ALL SELECT o_orderkey, 3, 'Bolsa ' || o_orderstatus, NULL FROM opg WHERE {_LISTED}""")
+def _(t):
+    groups = listings.listing_groups(html.extract_rows(t.opg))
+    detail = F.when(F.col("detail").isNotNull(), F.array_join(F.transform("detail", lambda c: c["text"]), "|"))
+    return groups.select("page_id", "pos", "link_text", detail.alias("detail"))
+
+
+_DESCRIPTION = ("'Curso: ' || o_orderpriority || '; Vagas: ' || CAST(o_custkey AS VARCHAR) || '; Periodo de inscricoes: ' "
+                "|| period || '; Situacao: ' || CASE WHEN o_orderstatus = 'F' THEN 'Fechado' ELSE 'Aberto' END")
+
+
+@query("p10_listing_details", f"""
+SELECT o_orderkey AS page_id, 'Edital ' || o_orderpriority AS title, CAST(o_custkey AS VARCHAR) AS vacancies,
+  {_DESCRIPTION} AS description FROM opg WHERE {_LISTED}
+UNION ALL SELECT o_orderkey, 'Bolsa ' || o_orderstatus, NULL, 'Bolsa ' || o_orderstatus FROM opg WHERE {_LISTED}""")
+def _(t):
+    details = listings.listing_details(listings.listing_groups(html.extract_rows(t.opg)))
+    return details.select("page_id", "title", "vacancies", "description")
+
+
+_LIST_URL = "'https://sigaa.example.br/p/lista.jsf?c=' || CAST(o_custkey AS VARCHAR)"
+_ITEMS = f"""
+SELECT o_orderkey AS page_id, 0 AS pos, 'Edital ' || o_orderpriority AS title, {_LIST_URL} || '&id=9' AS url,
+  {_LIST_URL} || '&id=' || CAST(o_orderkey AS VARCHAR) AS dedupe_url, 'edital' AS notice_type, {_DESCRIPTION} AS description
+FROM opg WHERE {_LISTED}
+UNION ALL SELECT o_orderkey, 3, 'Bolsa ' || o_orderstatus, {_LIST_URL} || '&id=9',
+  {_LIST_URL} || '&id=bolsa-' || lower(o_orderstatus) || '%7C%7C%7C', 'bolsa', 'Bolsa ' || o_orderstatus FROM opg WHERE {_LISTED}"""
+
+
+@query("p11_listing_items", _ITEMS)
+def _(t):
+    return listings.extract_listing(html.extract_rows(t.opg))
+
+
+_CLASS = f"""CASE WHEN o_orderstatus = 'P' THEN 'login' WHEN {_LISTED} THEN 'listing'
+  WHEN o_orderpriority = '5-LOW' THEN 'empty' ELSE 'fallback' END"""
+
+
+@query("p12_classify_pages", f"SELECT o_orderkey AS page_id, {_CLASS} AS page_class FROM opg")
+def _(t):
+    return listings.classify_pages(html.extract_signals(t.opg, ()), listings.extract_listing(html.extract_rows(t.opg)))
+
+
+_TABLE = """
+SELECT o_orderkey AS page_id, 0 AS pos, 'Edital ' || o_orderpriority || ' *' AS title,
+  'https://sigaa.example.br/g/' || CAST(o_orderkey AS VARCHAR) AS url,
+  'https://sigaa.example.br/g/' || CAST(o_orderkey AS VARCHAR) AS dedupe_url, 'edital' AS notice_type,
+  CAST(NULL AS VARCHAR) AS description FROM opg"""
+
+
+@query("p13_table_items", f"{_TABLE} UNION ALL SELECT * FROM ({_ITEMS}) WHERE false")
+def _(t):
+    return listings.table_items(html.extract_rows(t.opg))
+
+
+# ---------------------------------------------------------------- posts and channels
+
+
+def responses(t):
+    """API answers derived from documents: one post per answer, some failed."""
+    post = F.struct(
+        F.concat(F.lit("/p/"), F.substring(F.sha2("text", 256), 1, 8)).alias("link"),
+        F.struct(F.concat(F.lit("<b>"), text.html_escape(F.split_part("text", F.lit("\n"), F.lit(1))), F.lit("</b>")).alias("rendered")).alias("title"),
+        F.struct(F.concat(F.lit("<p>"), text.html_escape(F.col("text")), F.lit("</p>")).alias("rendered")).alias("excerpt"),
+        F.col("lang").alias("date"),
+    )
+    payload = F.when(F.col("source") == "src3", F.lit('{"code": "none"}')).otherwise(F.to_json(F.array(post)))
+    return t.documents.select(
+        F.col("n_chars").alias("source_id"),
+        F.concat(F.lit("https://"), "source", F.lit(".org/x/y")).alias("url"),
+        F.col("doc_id").cast("int").alias("term_order"),
+        F.when(F.col("source") == "src5", 500).otherwise(200).alias("status_code"),
+        payload.alias("payload"),
+    )
+
+
+_POSTS = "SELECT * FROM documents WHERE source NOT IN ('src3', 'src5')"
+
+
+@query("s07_read_posts", f"""
+SELECT n_chars AS source_id, CAST(doc_id AS INT) AS term_order, 0 AS pos, '/p/' || substr(sha256(text), 1, 8) AS link,
+  sha256('<p>' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '</p>') AS excerpt,
+  lang AS date FROM ({_POSTS})""")
+def _(t):
+    read = posts.read_posts(responses(t))
+    return read.select("source_id", "term_order", "pos", "link", F.sha2("excerpt", 256).alias("excerpt"), "date")
+
+
+_FT = sql_fold(f"{sql_squash('split_part(text, chr(10), 1)')} || ' /p/' || substr(sha256(text), 1, 8) || ' ' || {sql_squash('text')}")
+_POST_ITEMS = f"""
+SELECT n_chars AS source_id, CAST(doc_id AS INT) AS term_order, {sql_squash('split_part(text, chr(10), 1)')} AS title,
+  'https://' || source || '.org/p/' || substr(sha256(text), 1, 8) AS url, {sql_type('f')} AS notice_type,
+  {sql_truncate(sql_squash('text'), 600)} AS description
+FROM (SELECT *, {_FT} AS f FROM ({_POSTS})) WHERE {sql_squash('split_part(text, chr(10), 1)')} <> ''
+  AND (contains(f, 'sch') OR contains(f, 'cion') OR ((contains(f, 'the') OR contains(f, 'que'))
+    AND (contains(f, 'and the') OR contains(f, 'de la') OR contains(f, 'le '))))
+QUALIFY row_number() OVER (PARTITION BY n_chars, url ORDER BY doc_id) = 1"""
+
+
+@query("p14_extract_posts", _POST_ITEMS)
+def _(t):
+    return posts.extract_posts(posts.read_posts(responses(t)), LEX).drop("pos")
+
+
+@query("p15_merge_channels", f"""
+SELECT 'item' AS kind, source_id, url, title FROM api
+UNION ALL SELECT 'item', n_chars, u, source FROM
+  (SELECT DISTINCT ON (n_chars, u) n_chars, u, source FROM
+    (SELECT n_chars, source, doc_id, 'https://' || source || '.org/p/' || substr(sha256(text), 1, 8) AS u FROM documents)
+   ORDER BY n_chars, u, doc_id) p
+  WHERE NOT EXISTS (SELECT 1 FROM api WHERE api.source_id = p.n_chars AND api.url = p.u)
+UNION ALL SELECT DISTINCT 'failed', n_chars, NULL, NULL FROM documents d
+  WHERE lang = 'fr' AND NOT EXISTS (SELECT 1 FROM api WHERE api.source_id = d.n_chars)""", api=_POST_ITEMS)
+def _(t):
+    api = posts.extract_posts(posts.read_posts(responses(t)), LEX)
+    page = t.documents.select(
+        F.col("n_chars").alias("source_id"),
+        F.col("source").alias("title"),
+        F.concat(F.lit("https://"), "source", F.lit(".org/p/"), F.substring(F.sha2("text", 256), 1, 8)).alias("url"),
+        F.lit("edital").alias("notice_type"),
+        F.lit(None).cast("string").alias("description"),
+        F.col("doc_id").cast("int").alias("pos"),
+    )
+    failures = t.documents.filter("lang = 'fr'").select(F.col("n_chars").alias("source_id")).distinct()
+    items, failed = posts.merge_channels(api, page, failures)
+    return items.select(F.lit("item").alias("kind"), "source_id", "url", "title").unionByName(
+        failed.select(F.lit("failed").alias("kind"), "source_id"), allowMissingColumns=True
+    )
+
+
+@query("p16_next_pages", **chain(f"""
+SELECT page_id, abs_url AS next_url, min(pos) AS pos FROM lnk
+WHERE contains({sql_fold('text')}, 'an') OR contains({sql_fold('text')}, 'et') GROUP BY page_id, abs_url"""))
+def _(t):
+    return links.next_pages(all_links(t), LEX).select("page_id", "next_url", "pos")
+
+
+@query("p17_page_frontier", """
+SELECT seed_id, min(item) AS item, min(rank) AS rank FROM (
+  SELECT doc_id AS seed_id, CAST(floor(doc_id / 2) AS BIGINT) AS item, 0 AS rank FROM documents
+  UNION ALL SELECT d.doc_id, CAST(floor(e.doc_id / 2) AS BIGINT), 1 FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 1)
+GROUP BY seed_id, item""")
+def _(t):
+    lex = type(LEX)(**{**LEX.__dict__, "next_markers": ("next",)})
+    pages = t.cpg
+    frontier = links.page_frontier(links.next_pages(html.extract_links(pages), lex))
+    items = links.union_frontier(frontier, pages, pages, lambda p: links.extract_generic(p, lex))
+    return items.select("seed_id", F.substring_index("url", "/", -1).cast("long").alias("item"), "rank")
+
+
+@query("p18_route_sources", """
+SELECT id, CASE WHEN upper(source_type) = 'SIGAA' THEN 'sigaa' WHEN upper(source_type) = 'WORDPRESS' THEN 'wordpress'
+  WHEN contains(url, '.gov.br') OR source_type = 'TABLE_HTML' THEN 'pagination'
+  WHEN contains(url, 'wordpress') THEN 'wordpress' ELSE 'generic' END AS extractor FROM src""")
+def _(t):
+    return routing.route_sources(t.src).select("id", "extractor")
+
+
+@query("p19_extract_containers",
+       "SELECT p_partkey AS page_id, 0 AS pos, p_name AS title, '/b/' || CAST(p_partkey AS VARCHAR) AS href, p_brand AS date FROM part")
+def _(t):
+    return html.extract_containers(t.bpg, "notice-item").drop("url")
+
+
+# ---------------------------------------------------------------- ingest
+
+
+@query("i01_crawl_targets", "SELECT src.id FROM src JOIN inst ON src.institution_id = inst.id WHERE src.is_active AND inst.is_active")
+def _(t):
+    return ingest.crawl_targets(t.src, t.inst).select("id")
+
+
+def normalized(t):
+    return ingest.normalize_items(t.itm, t.src)
+
+
+@query("i02_normalize_items", f"""
+SELECT source_id, pos, regexp_replace(title, '^{WS}|{WS}$', '', 'g') AS title, url AS normalized_url, 'edital' AS notice_type, fingerprint FROM nrm""")
+def _(t):
+    return normalized(t).select("source_id", "pos", "title", "normalized_url", "notice_type", "fingerprint")
+
+
+_FRESH = """
+SELECT * FROM (SELECT * FROM nrm WHERE fingerprint NOT IN (SELECT fingerprint FROM hst)
+  QUALIFY row_number() OVER (PARTITION BY institution_id, url ORDER BY source_id, pos) = 1) f
+WHERE NOT EXISTS (SELECT 1 FROM hst WHERE hst.institution_id = f.institution_id AND hst.normalized_url = f.url)"""
+
+
+def fresh(t):
+    return ingest.new_notices(normalized(t), t.hst)
+
+
+@query("i03_new_notices", f"SELECT source_id, pos, institution_id, url AS normalized_url, fingerprint FROM ({_FRESH})")
+def _(t):
+    return fresh(t).select("source_id", "pos", "institution_id", "normalized_url", "fingerprint")
+
+
+@query("i04_batch_dedup", """
+SELECT institution_id, url AS normalized_url, min(pos) AS pos FROM nrm GROUP BY institution_id, url""")
+def _(t):
+    # One crawl over every source in page order, against an empty history.
+    batch = normalized(t).withColumn("source_id", F.lit(0))
+    kept = ingest.new_notices(batch, t.hst.filter("1 = 0"))
+    return kept.select("institution_id", "normalized_url", "pos")
+
+
+def _now():
+    return F.lit("2024-01-20 00:00:00").cast("timestamp")
+
+
+@query("i05_append_notices", f"SELECT fingerprint, url, '2024-01-20' AS detected, true AS is_active FROM ({_FRESH})")
+def _(t):
+    table = scratch_path(t.spark, "notices")
+    rows = ingest.append_notices(fresh(t), _now()).withColumn("day", F.to_date("detected_at"))
+    sinks.append(rows, table, ["day"])
+    stored = t.spark.read.schema(rows.schema).parquet(table)
+    return stored.select("fingerprint", "url", F.date_format("day", "yyyy-MM-dd").alias("detected"), "is_active")
+
+
+def page_status(t):
+    failed = F.col("last_error_message").isNotNull()
+    return t.src.select(F.col("id").alias("source_id"), F.when(failed, F.col("last_error_message")).alias("error_message"))
+
+
+def runs_of(t):
+    return ingest.run_log(ingest.crawl_targets(t.src, t.inst), page_status(t), t.itm, fresh(t), _now())
+
+
+_RUNS = f"""
+SELECT tg.id AS source_id, CASE WHEN tg.last_error_message IS NOT NULL THEN 'failed' ELSE 'completed' END AS status,
+  CASE WHEN tg.last_error_message IS NOT NULL THEN 0 ELSE coalesce(f.n, 0) END AS items_found,
+  CASE WHEN tg.last_error_message IS NOT NULL THEN 0 ELSE coalesce(w.n, 0) END AS new_items,
+  tg.last_error_message AS error_message
+FROM (SELECT src.id, src.last_error_message FROM src JOIN inst ON src.institution_id = inst.id WHERE src.is_active AND inst.is_active) tg
+LEFT JOIN (SELECT source_id, count(*) AS n FROM itm GROUP BY source_id) f ON f.source_id = tg.id
+LEFT JOIN (SELECT source_id, count(*) AS n FROM ({_FRESH}) GROUP BY source_id) w ON w.source_id = tg.id"""
+
+
+@query("i06_run_log", _RUNS)
+def _(t):
+    return runs_of(t).drop("started_at", "finished_at")
+
+
+_FMT = "'%Y-%m-%d %H:%M:%S'"
+
+
+@query("i07_update_source_state", f"""
+SELECT id, strftime(CASE WHEN r.source_id IS NOT NULL THEN {"TIMESTAMP '2024-01-20 00:00:00'"} ELSE last_checked_at END, {_FMT}) AS last_checked_at,
+  strftime(CASE WHEN r.status = 'completed' THEN {"TIMESTAMP '2024-01-20 00:00:00'"} ELSE last_success_at END, {_FMT}) AS last_success_at,
+  CASE WHEN r.status = 'completed' THEN NULL WHEN r.source_id IS NOT NULL THEN r.error_message ELSE last_error_message END AS last_error_message
+FROM src LEFT JOIN rlog r ON r.source_id = src.id""", rlog=_RUNS)
+def _(t):
+    state = ingest.update_source_state(t.src, runs_of(t))
+    fmt = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return state.select("id", fmt("last_checked_at"), fmt("last_success_at"), "last_error_message")
+
+
+@query("i08_run_summary", """
+SELECT count(*) AS sources_checked, CAST(sum(items_found) AS BIGINT) AS items_found, CAST(sum(new_items) AS BIGINT) AS new_items,
+  count(*) FILTER (WHERE status = 'failed') AS failed_sources FROM rlog""", rlog=_RUNS)
+def _(t):
+    return ingest.run_summary(runs_of(t))
+
+
+@query("i09_stream_ingest", """
+SELECT institution_id, normalized_url, count(*) AS copies FROM (
+  SELECT DISTINCT inst.id AS institution_id, 'https://box.example/b/' || CAST(p_partkey AS VARCHAR) AS normalized_url
+  FROM part JOIN src ON src.id = p_partkey JOIN inst ON inst.id = src.institution_id)
+GROUP BY institution_id, normalized_url""")
+def _(t):
+    pages, table = scratch_path(t.spark, "pages"), scratch_path(t.spark, "notices")
+    t.bpg.write.parquet(pages)
+    extract = lambda p: html.extract_containers(p, "notice-item").withColumnRenamed("href", "rel").selectExpr(
+        "page_id", "pos", "title", "concat('https://box.example', rel) AS url", "'edital' AS notice_type",
+        "CAST(NULL AS STRING) AS description")
+    for _ in range(2):  # the second run finds nothing new
+        jobs.start_ingest(t.spark, pages, t.src, extract, table, scratch_path(t.spark, "state"), _now()).awaitTermination()
+    stored = t.spark.read.parquet(table)
+    return stored.groupBy("institution_id", "normalized_url").agg(F.count("*").alias("copies"))
+
+
+# ---------------------------------------------------------------- scans and sinks
+
+_CENSUS = """
+SELECT CASE WHEN s_nationkey = 5 THEN '2023' ELSE '2024' END AS NU_ANO_CENSO, r_name AS NO_REGIAO_IES, n_name AS SG_UF_IES,
+  CASE WHEN s_suppkey % 13 = 5 THEN NULL ELSE '“São  José” – ' || n_name END AS NO_MUNICIPIO_IES,
+  CASE WHEN s_suppkey % 7 = 3 THEN 'x' || CAST(s_nationkey AS STRING) ELSE CAST(s_nationkey AS STRING) END AS CO_MUNICIPIO_IES,
+  CAST(1 + s_suppkey % 6 AS STRING) AS TP_ORGANIZACAO_ACADEMICA, CAST(1 + s_suppkey % 3 AS STRING) AS TP_CATEGORIA_ADMINISTRATIVA,
+  CASE WHEN s_acctbal < 0 THEN '2' ELSE '1' END AS TP_REDE, CAST(s_suppkey AS STRING) AS CO_IES, s_name AS NO_IES,
+  CASE WHEN s_suppkey % 11 = 4 THEN NULL ELSE 'I' || CAST(s_suppkey % 40 AS STRING) END AS SG_IES
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+
+
+def census(t):
+    """Census rows as a semicolon-separated cp1252 file set, written and scanned back."""
+    path = scratch_path(t.spark, "census")
+    rows = t.sql(_CENSUS).select(
+        *[F.translate(F.col(c), readers._CP1252, readers._C1).alias(c) for c in readers.CENSUS_COLUMNS]
+    )
+    rows.write.option("sep", ";").option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return readers.read_census(t.spark, path)
+
+
+@query("s01_read_census", _CENSUS)
+def _(t):
+    return census(t)
+
+
+def write_json(t, df, name):
+    path = scratch_path(t.spark, name)
+    df.write.json(path)
+    return path
+
+
+def manifest_docs(t):
+    """One manifest object per institution, so that no group grows with the data."""
+    source = F.struct(
+        F.col("catalog_source_id"), F.col("source_name").alias("name"), F.col("source_url").alias("url"), "priority"
+    )
+    one = t.inst.join(
+        t.src.select("institution_id", "catalog_source_id", F.col("name").alias("source_name"),
+                     F.col("url").alias("source_url"), "priority")
+        .groupBy("institution_id").agg(F.collect_list(source).alias("sources"))
+        .withColumnRenamed("institution_id", "id"),
+        "id", "left",
+    )
+    entry = F.struct("official_code", "official_site_url", F.col("source_discovery_status").alias("coverage_status"),
+                     F.coalesce("sources", F.array().cast("array<struct<catalog_source_id:string,name:string,url:string,priority:int>>")).alias("sources"))
+    return one.select(F.lit(1).alias("schema_version"), "region", F.lit("2026-07-13").alias("verified_at"),
+                      F.array(entry).alias("institutions"))
+
+
+@query("s02_read_manifests", """
+SELECT region, CAST(inst.id AS VARCHAR) AS official_code, src.catalog_source_id, src.priority
+FROM inst JOIN src ON src.institution_id = inst.id""")
+def _(t):
+    entries = readers.read_manifests(t.spark, write_json(t, manifest_docs(t), "manifests"), multi_line=False)
+    return readers.manifest_sources(entries).select(
+        "region", "official_code",
+        F.try_variant_get("source", "$.catalog_source_id", "string").alias("catalog_source_id"),
+        F.try_variant_get("source", "$.priority", "int").alias("priority"),
+    )
+
+
+@query("s03_read_overlay", "SELECT 'LAW-' || official_code AS official_code, eligibility_status FROM inst WHERE official_code_origin = 'post_census_law'")
+def _(t):
+    late = t.inst.filter("official_code_origin = 'post_census_law'")
+    doc = late.select(F.lit(1).alias("schema_version"), F.array(
+        F.struct(F.concat(F.lit("LAW-"), "official_code").alias("official_code"), "eligibility_status")).alias("institutions"))
+    overlay = readers.read_overlay(t.spark, write_json(t, doc, "overlay"), multi_line=False)
+    return overlay.select(
+        F.try_variant_get("entry", "$.official_code", "string").alias("official_code"),
+        F.try_variant_get("entry", "$.eligibility_status", "string").alias("eligibility_status"),
+    )
+
+
+def legacy_docs(t):
+    source = F.struct("name", "url", "source_type", F.array(F.concat(F.lit("old-"), F.col("id").cast("string"))).alias("replaces"))
+    per = t.src.groupBy("institution_id").agg(F.sort_array(F.collect_list(source)).alias("sources"))
+    return t.inst.filter("balance >= 3000").join(per.withColumnRenamed("institution_id", "id"), "id", "left").select(
+        "name", "initials", "state", "official_site_url", "sources"
+    )
+
+
+@query("s04_read_legacy_seed", """
+SELECT inst.name, initials, state, src.name AS source_name, 'old-' || CAST(src.id AS VARCHAR) AS replaced
+FROM inst JOIN src ON src.institution_id = inst.id WHERE balance >= 3000""")
+def _(t):
+    seed = readers.read_legacy_seed(t.spark, write_json(t, legacy_docs(t), "legacy"), multi_line=False)
+    flat = seed.select("name", "initials", "state", F.explode("sources").alias("s"))
+    return flat.select("name", "initials", "state", F.col("s.name").alias("source_name"), F.element_at("s.replaces", 1).alias("replaced"))
+
+
+@query("s05_read_pages", "SELECT page_id, url, sha256(html) AS html FROM pages")
+def _(t):
+    pages = readers.read_pages(t.spark, f"{t.sf_dir}/pages.parquet")
+    return pages.select("page_id", "url", F.sha2("html", 256).alias("html"))
+
+
+@query("s06_decode_pages", "SELECT doc_id AS page_id, sha256(text) AS html FROM documents")
+def _(t):
+    utf8 = F.col("lang").isin("en", "fr")
+    bodies = t.documents.select(
+        F.col("doc_id").alias("page_id"),
+        F.when(utf8, F.encode("text", "UTF-8")).otherwise(F.encode("text", "ISO-8859-1")).alias("body"),
+        F.when(F.col("lang") == "en", "utf-8").when(F.col("lang") == "de", "ISO-8859-1").alias("charset"),
+    )
+    return readers.decode_pages(bodies).select("page_id", F.sha2("html", 256).alias("html"))
+
+
+@query("s08_publish", "SELECT id, name, is_active FROM inst")
+def _(t):
+    table = scratch_path(t.spark, "institutions")
+    sinks.publish(t.inst.select("id", "name", F.lit(False).alias("is_active")), table)
+    sinks.publish(t.inst.select("id", "name", "is_active"), table)
+    return sinks.read_current(t.spark, table)
+
+
+@query("s10_verify_files")
+def _(t):
+    path = scratch_path(t.spark, "census")
+    t.sql(_CENSUS).write.option("sep", ";").csv(path)
+    files = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+    expected = materialize(files.select(
+        F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5")
+    ), "digests")
+    return readers.verify_files(t.spark, f"{path}/*.csv", expected)

@@ -49,6 +49,10 @@ TEST_KEYWORDS = (
 )
 
 
+def esc(x: str) -> str:
+    return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
 def domain_sql(d) -> dict[str, str]:
     n_inst = "(SELECT count(*) FROM supplier)"
     keyword = " ".join(
@@ -133,6 +137,63 @@ def domain_sql(d) -> dict[str, str]:
                    WHEN c_mktsegment = 'MACHINERY' THEN 'bolsa' ELSE 'edital' END AS notice_type,
               c_acctbal > 0 AS is_active
             FROM customer""",
+        # Pages built around documents: a titled article and a block with a bare link.
+        "dpg": f"""
+            SELECT -1 - doc_id AS page_id, 'https://' || source || '.example.edu.br/lista/' AS url,
+              '<html><body><article><h2>' || {esc("split_part(text, chr(10), 1)")} || '</h2><p><a href="docs/'
+                || CAST(doc_id AS STRING) || '.pdf">Acesse aqui</a></p></article><div>' || {esc("text")}
+                || ' <a href="/n/' || CAST(doc_id AS STRING) || '">pdf</a></div></body></html>' AS html
+            FROM documents""",
+        "apg": "SELECT page_id, url, html FROM pages UNION ALL SELECT page_id, url, html FROM dpg",
+        # Process-selection pages, one per order: two groups, the second without details.
+        "opg": """
+            SELECT o_orderkey AS page_id,
+              'https://sigaa.example.br/p/lista.jsf?c=' || CAST(o_custkey AS STRING) || '&id=9' AS url,
+              '<html><body>' || CASE WHEN o_orderstatus = 'P' THEN 'Acesso ao  Sistema formUsuario'
+                WHEN o_orderpriority = '5-LOW' THEN 'Nenhum processo seletivo encontra-se aberto' ELSE '' END
+              || '<table' || CASE WHEN o_orderpriority IN ('5-LOW', '2-HIGH') THEN '' ELSE ' class="x listagem"' END
+              || '><tr><td class="agrupador"><a href="/g/' || CAST(o_orderkey AS STRING)
+              || '" onclick="f([''id'':''' || CAST(o_orderkey AS STRING) || '''])">Edital ' || o_orderpriority
+              || ' *</a></td></tr><tr><td> </td></tr><tr><td>' || o_orderpriority || '</td><td>'
+              || CAST(o_custkey AS STRING) || '</td><td class="periodo' || CASE WHEN o_orderstatus = 'F'
+                THEN ' fechado' ELSE '' END || '">' || substr(CAST(o_orderdate AS STRING), 9, 2) || '/'
+              || substr(CAST(o_orderdate AS STRING), 6, 2) || '/' || substr(CAST(o_orderdate AS STRING), 1, 4)
+              || '</td></tr><tr><td class="agrupador"><a href="#">Bolsa ' || o_orderstatus
+              || '</a></td></tr></table></body></html>' AS html,
+              o_orderkey, o_custkey, o_orderstatus, o_orderpriority,
+              substr(CAST(o_orderdate AS STRING), 9, 2) || '/' || substr(CAST(o_orderdate AS STRING), 6, 2) || '/'
+                || substr(CAST(o_orderdate AS STRING), 1, 4) AS period
+            FROM orders""",
+        # A chain of listing pages: each links to the next and to an item two pages share.
+        "cpg": """
+            SELECT doc_id AS page_id, 'https://chain.example/p/' || CAST(doc_id AS STRING) AS url,
+              '<ul><li><a href="/i/' || CAST(CAST(floor(doc_id / 2) AS BIGINT) AS STRING) || '">que item '
+                || CAST(doc_id AS STRING) || '</a></li></ul><a class="next" href="' || CAST(doc_id + 1 AS STRING)
+                || '">2</a><a rel="next" href="/p/' || CAST(doc_id AS STRING) || '">3</a>' AS html
+            FROM documents""",
+        # Fixed-container pages built around parts.
+        "bpg": """
+            SELECT p_partkey AS page_id, 'https://box.example/' AS url,
+              '<div class="a notice-item"><p><a href="/b/' || CAST(p_partkey AS STRING) || '">' || p_name
+                || '</a></p><span class="date">' || p_brand || '</span></div><div class="notice-item">x</div>' AS html
+            FROM part""",
+        # Crawled items: relative links below the source address.
+        "itm": f"""
+            SELECT doc_id % (SELECT count(*) FROM part) AS source_id, CAST(doc_id AS INT) AS pos,
+              split_part(text, chr(10), 1) AS title, '/d/' || substr({d.sha("text")}, 1, 12) || '?utm_x=1#f' AS url,
+              CAST(NULL AS STRING) AS dedupe_url, lang AS notice_type, text AS description,
+              CAST(NULL AS STRING) AS publication_date
+            FROM documents""",
+        # The same items in normal form, and the history they meet.
+        "nrm": f"""
+            SELECT i.source_id, pos, s.institution_id, trim(title) AS title, lower(trim(title)) AS normalized_title,
+              'https://' || split_part(s.url, '/', 3) || split_part(i.url, '?', 1) AS url, notice_type,
+              {d.sha("CAST(s.institution_id AS STRING) || '|' || lower(trim(title)) || '|https://' || split_part(s.url, '/', 3) || split_part(i.url, '?', 1)")} AS fingerprint
+            FROM itm i JOIN src s ON i.source_id = s.id WHERE trim(title) <> ''""",
+        "hst": """
+            SELECT institution_id, url AS normalized_url, CASE WHEN notice_type = 'de' THEN 'other' ELSE fingerprint END AS fingerprint
+            FROM nrm WHERE notice_type IN ('fr', 'de')
+            UNION ALL SELECT institution_id, 'https://moved.example/', fingerprint FROM nrm WHERE notice_type = 'es'""",
         "ntf": """
             SELECT event_id AS id, user_id, event_id % (SELECT count(*) FROM documents) AS notice_id,
               CASE event_type WHEN 'purchase' THEN 'sent' WHEN 'error' THEN 'failed' ELSE 'pending' END AS status,

@@ -97,10 +97,10 @@ def _(t):
 
 
 _HTML_TEXT = (
-    "replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, "
+    "replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, "
     "'(?s)<!--.*?-->', ' ', 'g'), '(?s)<script.*?</script>', ' ', 'g'), "
     "'(?s)<style.*?</style>', ' ', 'g'), '(?s)<[/!]?[A-Za-z][^>]*>', ' ', 'g'), "
-    "'&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+    "'&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
 )
 
 
