@@ -179,8 +179,8 @@ def domain_sql(d) -> dict[str, str]:
             FROM part""",
         # Crawled items: relative links below the source address.
         "itm": f"""
-            SELECT doc_id % (SELECT count(*) FROM part) AS source_id, CAST(doc_id AS INT) AS pos,
-              split_part(text, chr(10), 1) AS title, '/d/' || substr({d.sha("text")}, 1, 12) || '?utm_x=1#f' AS url,
+            SELECT doc_id % {n_inst} AS source_id, CAST(doc_id AS INT) AS pos,
+              split_part(text, chr(10), 1) AS title, '/d/' || lang || '-' || CAST(n_chars % 4 AS STRING) || '?utm_x=1#f' AS url,
               CAST(NULL AS STRING) AS dedupe_url, lang AS notice_type, text AS description,
               CAST(NULL AS STRING) AS publication_date
             FROM documents""",
