@@ -3,9 +3,9 @@
 from pyspark import cloudpickle
 
 from noticeflow.functions import text, urls
-from noticeflow.operators import html
+from noticeflow.operators import audit, html
 
 # Helpers that run inside Python tasks travel with the task, so executors need no
 # installed copy of this package.
-for _module in (text, urls, html):
+for _module in (text, urls, html, audit):
     cloudpickle.register_pickle_by_value(_module)
