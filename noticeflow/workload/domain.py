@@ -194,6 +194,48 @@ def domain_sql(d) -> dict[str, str]:
             SELECT institution_id, url AS normalized_url, CASE WHEN notice_type = 'de' THEN 'other' ELSE fingerprint END AS fingerprint
             FROM nrm WHERE notice_type IN ('fr', 'de')
             UNION ALL SELECT institution_id, 'https://moved.example/', fingerprint FROM nrm WHERE notice_type = 'es'""",
+        # The registry before a catalog merge: part of the institutions, some without a code.
+        "reg": """
+            SELECT id + 100000 AS id, CASE WHEN balance < 4000 THEN name || ' old' ELSE name END AS name, initials, state,
+              CASE WHEN balance < 6000 THEN NULL ELSE official_code END AS official_code, region,
+              administrative_category_code, administrative_category, academic_organization_code, academic_organization,
+              CASE WHEN balance > 9500 THEN NULL ELSE eligibility_status END AS eligibility_status,
+              CASE WHEN balance > 7000 THEN source_discovery_status ELSE 'partial' END AS source_discovery_status,
+              source_discovery_notes,
+              CASE WHEN balance > 8000 THEN NULL ELSE 'https://kept.example' END AS official_site_url,
+              balance < 9000 AS is_active
+            FROM inst WHERE balance >= 2000""",
+        # The catalog to merge, and its sources with replacement rules.
+        "cat": """
+            SELECT official_code, official_name, CAST(NULL AS STRING) AS official_initials, initials, state, region,
+              administrative_category_code, administrative_category, academic_organization_code, academic_organization,
+              eligibility_status, source_discovery_status AS coverage_status, source_discovery_notes AS coverage_notes,
+              official_site_url, CASE WHEN balance < 1000 THEN 'created_pending_implementation' ELSE 'manual_review' END AS current_situation,
+              official_code_origin, id AS catalog_order, balance
+            FROM inst""",
+        "csr": """
+            SELECT p_partkey, CAST(s.institution_id AS STRING) AS official_code, s.catalog_source_id, s.name, s.source_type,
+              s.recommended_spider, s.coverage_status AS status, s.priority, s.url, p_type,
+              CASE WHEN p_type = 'LARGE' AND s.priority = 1 THEN '2026-01-01' ELSE NULL END AS capture_at,
+              '2026-07-' || lpad(CAST(1 + p_size % 28 AS STRING), 2, '0') || 'T00:00:00Z' AS verified_at,
+              CASE p_type WHEN 'MEDIUM' THEN 'old-' || CAST(p_partkey AS STRING)
+                WHEN 'PROMO' THEN 'https://old.example/' || CAST(p_partkey AS STRING) || '/'
+                WHEN 'SMALL' THEN 'Légacy  NAME ' || CAST(p_partkey AS STRING) ELSE NULL END AS replaced
+            FROM src s JOIN part ON p_partkey = s.id""",
+        "rsr": """
+            SELECT p_partkey + 500000 AS id, s.institution_id + 100000 AS institution_id,
+              CASE p_type WHEN 'STANDARD' THEN s.catalog_source_id WHEN 'MEDIUM' THEN 'old-' || CAST(p_partkey AS STRING)
+                WHEN 'LARGE' THEN 'other-' || CAST(p_partkey AS STRING) ELSE NULL END AS catalog_source_id,
+              CASE WHEN p_type = 'SMALL' THEN 'legacy name ' || CAST(p_partkey AS STRING) ELSE s.name END AS name,
+              CASE WHEN p_type IN ('ECONOMY', 'LARGE', 'STANDARD') THEN s.url
+                ELSE 'https://old.example/' || CAST(p_partkey AS STRING) END AS url,
+              CASE WHEN p_type IN ('ECONOMY', 'LARGE') THEN s.url WHEN p_type = 'STANDARD' THEN s.url ELSE NULL END AS normalized_url,
+              s.source_type, s.recommended_spider,
+              CASE WHEN p_size < 25 THEN s.coverage_status ELSE NULL END AS coverage_status, s.priority, s.is_active,
+              s.check_frequency_minutes, s.last_checked_at, s.last_success_at, s.last_error_message,
+              s.capture_validated_at, p_type
+            FROM src s JOIN part ON p_partkey = s.id JOIN inst i ON i.id = s.institution_id
+            WHERE p_retailprice < 1500 AND balance >= 2000""",
         "ntf": """
             SELECT event_id AS id, user_id, event_id % (SELECT count(*) FROM documents) AS notice_id,
               CASE event_type WHEN 'purchase' THEN 'sent' WHEN 'error' THEN 'failed' ELSE 'pending' END AS status,
