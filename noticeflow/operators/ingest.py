@@ -35,11 +35,12 @@ def normalize_items(items: DataFrame, sources: DataFrame) -> DataFrame:
     ]
     joined = items.select(*present).join(owner, "source_id")
     key_url = F.coalesce(F.nullif("dedupe_url", F.lit("")), F.col("url"))
+    # Both addresses go through one expression, so the plan carries it once.
+    both = F.transform(F.array(F.col("url"), key_url), lambda u: urls.canonical_url(u, F.col("_base")))
     staged = stage(
-        joined,
-        normalized_title=text.normalize_title(F.col("title")),
-        display_url=urls.canonical_url(F.col("url"), F.col("_base")),
-        normalized_url=urls.canonical_url(key_url, F.col("_base")),
+        stage(joined, normalized_title=text.normalize_title(F.col("title")), _urls=both),
+        display_url=F.get("_urls", F.lit(0)),
+        normalized_url=F.get("_urls", F.lit(1)),
     )
     kept = staged.filter("normalized_title <> '' and display_url <> '' and normalized_url <> ''")
     return kept.select(

@@ -1 +1,402 @@
-"""Placeholder."""
+"""A rows and report sinks: source audit, sample plan, regional audit."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from noticeflow.functions.values import priority_rank
+from noticeflow.lexicon import NOTICE_TYPES
+from noticeflow.operators import audit, field_audit
+from noticeflow.session import scratch_path
+from noticeflow.sources import sinks
+from noticeflow.workload.registry import query
+from noticeflow.workload.scalar_queries import _HTML_TEXT, RAW_PRIORITY, sql_fold, sql_squash, sql_truncate
+
+TERMS = ("thre", "que ", "der ")
+
+
+@query("a01_audit_gate", """
+SELECT id, CASE WHEN d IN ('manual_review', 'source_not_found') THEN d WHEN d IN ('verified', 'partial', 'temporarily_unavailable') THEN NULL ELSE 'manual_review' END AS gate_status,
+  CASE WHEN d IN ('manual_review', 'source_not_found') THEN 'declared_' || d WHEN d IN ('verified', 'partial', 'temporarily_unavailable') THEN NULL ELSE 'unknown_source_status' END AS gate_code
+FROM (SELECT id, CASE WHEN priority = 3 AND is_active THEN 'odd' ELSE coalesce(coverage_status, 'manual_review') END AS d FROM src)""")
+def _(t):
+    odd = F.when((F.col("priority") == 3) & F.col("is_active"), "odd").otherwise(F.col("coverage_status"))
+    return audit.audit_gate(t.src.select("id", odd.alias("status"))).select("id", "gate_status", "gate_code")
+
+
+@query("a02_admit_urls", """
+SELECT page_id, v, code AS url_code, CASE WHEN code = 'document_url' THEN 'unsupported' WHEN code IS NOT NULL THEN 'manual_review' END AS url_status
+FROM pages, (VALUES ('plain', NULL), ('ftp', 'invalid_url'), ('user', 'credentials_in_url'), ('port', 'non_standard_port'), ('bad', 'invalid_port'),
+  ('doc', 'document_url'), ('long', 'invalid_url'), ('empty', 'invalid_url')) x(v, code)""")
+def _(t):
+    url = F.col("url")
+    host = F.regexp_extract(url, "^[a-z]+://[^/?#]*", 0)
+    variants = {
+        "plain": url,
+        "ftp": F.regexp_replace(url, "^[a-z]+", "ftp"),
+        "user": F.regexp_replace(url, "://", "://me:pw@"),
+        "port": F.concat(host, F.lit(":8443/x")),
+        "bad": F.concat(host, F.lit(":99999/x")),
+        "doc": F.concat(host, F.lit("/a%2Epdf/?x=1")),
+        "long": F.concat(host, F.lit("/"), F.expr("repeat('y', 2100)")),
+        "empty": F.lit(" "),
+    }
+    rows = F.inline(F.array(*[F.struct(F.lit(n).alias("v"), c.alias("u")) for n, c in variants.items()]))
+    return audit.admit_urls(t.pages.select("page_id", rows), "u").select("page_id", "v", "url_code", "url_status")
+
+
+_LOG = """SELECT o_orderkey AS url_id, CAST(a AS INT) AS attempt,
+  CASE (o_custkey + a) % 4 WHEN 0 THEN 200 WHEN 1 THEN 503 ELSE NULL END AS status_code,
+  CASE (o_custkey + a) % 4 WHEN 2 THEN 'timeout' WHEN 3 THEN 'connection' ELSE NULL END AS error FROM {rows}"""
+
+
+@query("a03_collapse_attempts", """
+SELECT url_id, attempt AS attempts, status_code, CASE error WHEN 'connection' THEN 'connection_failure' ELSE error END AS error_code,
+  CASE WHEN error IS NOT NULL THEN 'temporarily_unavailable' END AS status FROM lg WHERE attempt <= 3
+QUALIFY row_number() OVER (PARTITION BY url_id ORDER BY CASE WHEN status_code = 200 THEN 0 ELSE 1 END, CASE WHEN status_code = 200 THEN attempt ELSE -attempt END) = 1""",
+       lg=_LOG.format(rows="(SELECT o_orderkey, o_custkey, unnest([1, 2, 3, 4]) AS a FROM orders)"))
+def _(t):
+    tries = t.orders.select("o_orderkey", "o_custkey", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3, 4)])).alias("a"))
+    return audit.collapse_attempts(t.sql(_LOG.format(rows="tries"), tries=tries))
+
+
+_HOPS = """SELECT 'https://hop.example/' || CAST(o_orderkey AS STRING) AS url, o_orderkey AS k,
+  CASE WHEN o_orderkey % 7 = 0 THEN 200 WHEN o_orderkey % 2 = 0 THEN 301 ELSE 302 END AS status_code,
+  CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN NULL ELSE '/' || CAST(CAST(floor(o_orderkey / 2) AS BIGINT) AS STRING) END AS location FROM orders"""
+
+
+@query("a04_resolve_redirects", """
+SELECT id, CASE WHEN k % 7 = 0 THEN 200 WHEN k % 2 = 0 THEN 301 ELSE 302 END AS status_code,
+  CASE WHEN k % 7 = 0 THEN 'https://hop.example/' || CAST(k AS VARCHAR) END AS final_url, chain,
+  CASE WHEN k % 7 = 0 THEN NULL WHEN k % 11 = 0 THEN 'redirect_without_location' ELSE 'too_many_redirects' END AS error_code
+FROM (WITH RECURSIVE w(id, k, step, chain) AS (SELECT o_orderkey, o_orderkey, 0, '' FROM orders
+    UNION ALL SELECT id, k // 2, step + 1, chain || 'https://hop.example/' || CAST(k // 2 AS VARCHAR) || ' ' FROM w WHERE k % 7 <> 0 AND k % 11 <> 0 AND step < 5)
+  SELECT *, max(step) OVER (PARTITION BY id) AS last FROM w) WHERE step = last""")
+def _(t):
+    hops = t.sql(_HOPS)
+    found = audit.resolve_redirects(hops.select(F.col("k").alias("id"), "url"), hops)
+    chain = F.array_join(F.transform("redirect_chain", lambda u: F.concat(u, F.lit(" "))), "")
+    return found.select("id", "status_code", "final_url", chain.alias("chain"), "error_code")
+
+
+_ORIGIN = "regexp_extract(url, '^[a-z]+://[^/]*', 0)"
+
+
+@query("a05_robots_gate", f"""
+SELECT id, CASE length(origin) % 5 WHEN 0 THEN NULL WHEN 1 THEN 'robots_disallowed' WHEN 2 THEN 'robots_unavailable'
+  ELSE CASE WHEN starts_with(path, '/red-ring') THEN NULL WHEN starts_with(path, '/red') OR starts_with(path, '/small') THEN 'robots_disallowed' END END AS robots_code
+FROM (SELECT id, {_ORIGIN} AS origin, regexp_extract(url, '^[a-z]+://[^/]*(.*)$', 1) AS path FROM src)""")
+def _(t):
+    requests = t.src.select("id", "url")
+    origins = requests.select(F.regexp_extract("url", "^[a-z]+://[^/]*", 0).alias("origin")).distinct()
+    kind = F.length("origin") % 5
+    robots = origins.select("origin", F.when(kind == 0, 404).when(kind == 1, 403).when(kind == 2, 500).otherwise(200).alias("status_code"))
+    lines = F.array(*[
+        F.struct(F.lit(i).alias("rule_order"), F.lit(allow).alias("allow"), F.lit(prefix).alias("prefix"))
+        for i, (allow, prefix) in enumerate([(True, "/red-ring"), (False, "/red"), (False, "/small")])
+    ])
+    return audit.robots_gate(requests, robots, origins.select("origin", F.inline(lines))).select("id", "robots_code")
+
+
+@query("a06_address_gate", """
+SELECT host, count(a) AS n, CASE WHEN count(a) = 0 THEN 'dns_failure' WHEN bool_or(a = '10.0.0.1') THEN 'non_public_destination' WHEN bool_or(a = 'zz') THEN 'invalid_dns_address' END AS dns_code,
+  CASE WHEN count(a) = 0 THEN 'temporarily_unavailable' WHEN bool_or(a IN ('10.0.0.1', 'zz')) THEN 'manual_review' END AS dns_status
+FROM (SELECT DISTINCT c_name AS host, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL WHEN c_nationkey = 1 THEN '10.0.0.1' WHEN c_nationkey = 2 THEN 'zz' ELSE '8.8.8.8' END AS a FROM customer
+  UNION SELECT c_name, '1.1.1.1' FROM customer WHERE c_acctbal > 5000) GROUP BY host""")
+def _(t):
+    first = F.when(F.col("c_mktsegment") == "BUILDING", None).when(F.col("c_nationkey") == 1, "10.0.0.1%eth0").when(F.col("c_nationkey") == 2, "zz").otherwise("8.8.8.8")
+    rows = t.customer.select(F.col("c_name").alias("host"), first.alias("address")).unionAll(
+        t.customer.filter("c_acctbal > 5000").select(F.col("c_name"), F.lit("1.1.1.1")))
+    return audit.address_gate(rows)
+
+
+_SPIDER = "CASE WHEN length(url) % 4 = 0 THEN 'generic' WHEN length(url) % 4 = 1 THEN 'wordpress' WHEN length(url) % 4 = 2 THEN 'sigaa' ELSE NULL END"
+_TEXT = f"lower({sql_squash(_HTML_TEXT)})"
+
+
+def signals(t):
+    return audit.page_signals(t.pages.withColumn("recommended_spider", F.expr(_SPIDER)), terms=TERMS)
+
+
+@query("a07_page_signals", f"""
+SELECT page_id, {sql_squash("replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', chr(34)), '&amp;', '&')")} AS page_title, true AS html_valid,
+  coalesce({_SPIDER} <> 'sigaa', true) AS expected_elements_found,
+  contains({_TEXT}, 'thre') OR contains({_TEXT}, 'que ') OR contains({_TEXT}, 'der ') AS notice_terms_found,
+  CAST(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS link_count, sha256({_TEXT}) AS body FROM pages""")
+def _(t):
+    return signals(t).select("page_id", "page_title", "html_valid", "expected_elements_found", "notice_terms_found", "link_count",
+                             F.sha2("lower_text", 256).alias("body"))
+
+
+_TITLE = "CASE WHEN source = 'src3' THEN 'Just a Moment...' ELSE split_part(text, chr(10), 1) END"
+
+
+@query("a08_block_signal", """
+SELECT doc_id, CASE WHEN lang = 'de' AND source = 'src1' THEN 'authentication_required' WHEN source = 'src4' THEN 'captcha_detected'
+  WHEN source = 'src7' OR source = 'src3' AND lang <> 'fr' THEN 'cloudflare_challenge' END AS block FROM documents""")
+def _(t):
+    text = F.when(F.col("source") == "src4", F.concat(F.lower("text"), F.lit(" hcaptcha"))).otherwise(F.lower("text"))
+    headers = (
+        F.when(F.col("source") == "src7", F.create_map(F.lit("cf-mitigated"), F.lit("Challenge")))
+        .when(F.col("lang") != "fr", F.create_map(F.lit("cf-ray"), F.lit("1")))
+        .otherwise(F.create_map(F.lit("server"), F.lit("x")))
+    )
+    rows = t.documents.select(
+        "doc_id", F.expr(_TITLE).alias("page_title"), text.alias("lower_text"), headers.alias("headers"),
+        ((F.col("lang") == "de") & (F.col("source") == "src1")).alias("has_password"))
+    return rows.select("doc_id", audit.block_signal().alias("block"))
+
+
+@query("a09_domain_checks", """
+SELECT page_id, page_id % 2 = 0 AND page_id % 3 = 0 AS cross_domain, CASE WHEN page_id % 5 = 0 THEN NULL ELSE page_id % 3 <> 0 END AS domain_matches_institution FROM pages""")
+def _(t):
+    own = F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0)
+    final = F.when(F.col("page_id") % 3 == 0, F.lit("https://a.other.edu.br/x")).otherwise(F.concat(F.regexp_replace(own, "://", "://z."), F.lit("/q")))
+    official = F.when(F.col("page_id") % 5 == 0, F.lit("")).otherwise(F.concat(own, F.lit("/")))
+    checks = audit.domain_checks(F.col("url"), final, official, F.col("page_id") % 2 == 0)
+    return t.pages.select("page_id", *[c.alias(n) for n, c in checks.items()])
+
+
+# Facts of a fetched source, varied along part columns.
+_FACTS = """
+SELECT p_partkey AS source_id, p_name AS institution_name, p_brand AS region, 'UF' AS state, p_type AS recommended_spider,
+  CASE WHEN p_size = 50 THEN 'inactive' ELSE NULL END AS gate_status, CASE WHEN p_size = 50 THEN 'declared_inactive' ELSE NULL END AS gate_code,
+  CASE WHEN p_size = 49 THEN 'manual_review' ELSE NULL END AS failure_status, CASE WHEN p_size = 49 THEN 'robots_disallowed' ELSE NULL END AS failure_code,
+  CASE p_size WHEN 1 THEN 401 WHEN 2 THEN 410 WHEN 3 THEN 404 WHEN 4 THEN 503 WHEN 5 THEN 302 WHEN 6 THEN NULL ELSE 200 END AS http_status,
+  CASE WHEN p_size = 48 THEN 2000000 ELSE 5000 END AS body_bytes, CASE WHEN p_size = 7 THEN 'Application/PDF; x=1' WHEN p_size = 8 THEN NULL ELSE 'text/html; charset=utf-8' END AS content_type,
+  CASE WHEN p_size = 9 THEN 'captcha_detected' ELSE NULL END AS block, p_size = 10 AS cross_domain, p_size <> 11 AS html_valid,
+  CASE WHEN p_size IN (11, 12) THEN NULL ELSE p_name || '|x' END AS page_title, p_size <> 13 AS expected_elements_found, p_size NOT IN (11, 14) AS notice_terms_found, CAST(3 AS INT) AS attempts
+FROM part"""
+_OK = "HTML, título, termos de editais e elementos esperados confirmados; compatibilidade do spider é provável, sem executar coleta"
+_VERDICT = f"""
+SELECT source_id, institution_name, region, http_status, page_title, recommended_spider,
+  CASE WHEN p = 50 THEN 'inactive' WHEN p = 49 THEN 'manual_review' WHEN p IN (48, 7) THEN 'unsupported' WHEN p = 2 THEN 'inactive'
+    WHEN p = 4 THEN 'temporarily_unavailable' WHEN p IN (1, 3, 5, 6, 9, 10) THEN 'manual_review' WHEN p BETWEEN 11 AND 14 THEN 'partial' ELSE 'verified' END AS status,
+  CASE p WHEN 50 THEN 'declared_inactive' WHEN 49 THEN 'robots_disallowed' WHEN 48 THEN 'body_too_large' WHEN 1 THEN 'authentication_or_access_blocked' WHEN 2 THEN 'http_410'
+    WHEN 3 THEN 'http_404' WHEN 4 THEN 'http_503' WHEN 5 THEN 'unexpected_http_302' WHEN 6 THEN 'unexpected_http_none' WHEN 7 THEN 'non_html_content'
+    WHEN 9 THEN 'captcha_detected' WHEN 10 THEN 'cross_domain_redirect' WHEN 11 THEN 'structure_partial' WHEN 12 THEN 'structure_partial' WHEN 13 THEN 'structure_partial' WHEN 14 THEN 'structure_partial' END AS error_code,
+  CASE p WHEN 50 THEN 'declared_inactive' WHEN 49 THEN 'robots_disallowed' WHEN 48 THEN 'corpo excede 1000000 bytes' WHEN 1 THEN 'acesso recusado sem tentativa de contorno (HTTP 401)'
+    WHEN 2 THEN 'a fonte respondeu HTTP 410 (Gone)' WHEN 3 THEN 'a fonte respondeu HTTP 404' WHEN 4 THEN 'a fonte respondeu HTTP 503 após 3 tentativa(s)'
+    WHEN 5 THEN 'resposta HTTP inesperada: 302' WHEN 6 THEN 'resposta HTTP inesperada: none' WHEN 7 THEN 'conteúdo não HTML recusado: application/pdf'
+    WHEN 9 THEN 'bloqueio detectado (captcha_detected); nenhum contorno foi tentado' WHEN 10 THEN 'redirect terminou em família de domínio diferente'
+    WHEN 11 THEN 'HTML acessível, mas faltam: estrutura html/body, título, termos de edital/seleção' WHEN 12 THEN 'HTML acessível, mas faltam: título'
+    WHEN 13 THEN 'HTML acessível, mas faltam: elementos esperados para spider ' || lower(recommended_spider) WHEN 14 THEN 'HTML acessível, mas faltam: termos de edital/seleção' ELSE '{_OK}' END AS evidence
+FROM (SELECT fct.*, p_size AS p FROM fct JOIN part ON p_partkey = source_id)"""
+VERDICTS = {"fct": _FACTS, "vrd": _VERDICT}
+
+
+def verdicts(t):
+    return audit.audit_verdicts(t.sql(_FACTS))
+
+
+@query("a10_audit_verdicts", "SELECT source_id, status, error_code, evidence FROM vrd", **VERDICTS)
+def _(t):
+    return verdicts(t).select("source_id", "status", "error_code", "evidence")
+
+
+_CANDIDATES = """
+SELECT csr.official_code, region, catalog_source_id, status, coalesce(nullif(recommended_spider, 'sigaa'), 'generic') AS spider,
+  CASE status WHEN 'verified' THEN 0 WHEN 'partial' THEN 1 ELSE 2 END AS status_rank, CASE WHEN p_type IN ('STANDARD', 'MEDIUM') THEN CAST(p_size AS INT) ELSE 99 END AS priority_rank
+FROM (SELECT csr.*, p_size FROM csr JOIN part USING (p_partkey)) csr JOIN cat ON cat.official_code = csr.official_code
+WHERE starts_with(eligibility_status, 'included') AND status IN ('verified', 'partial', 'temporarily_unavailable')"""
+
+
+def candidates(t, regions=None):
+    size = t.part.select("p_partkey", priority_rank(F.expr(RAW_PRIORITY)).alias("priority_rank"))
+    flat = t.csr.join(size, "p_partkey").join(t.cat.select("official_code", "region", "eligibility_status"), "official_code")
+    spider = F.when(F.col("recommended_spider") != "sigaa", F.col("recommended_spider"))
+    return audit.sample_candidates(flat.withColumn("recommended_spider", spider), regions)
+
+
+@query("a11_sample_candidates", _CANDIDATES)
+def _(t):
+    return candidates(t).select("official_code", "region", "catalog_source_id", "status", "spider", "status_rank", "priority_rank")
+
+
+@query("a11_best_candidates", """
+SELECT region, spider, catalog_source_id FROM cnd
+QUALIFY row_number() OVER (PARTITION BY region, spider ORDER BY status_rank, priority_rank, CAST(official_code AS BIGINT), official_code, catalog_source_id) = 1""", cnd=_CANDIDATES)
+def _(t):
+    return audit.best_candidates(candidates(t)).select("region", "spider", "catalog_source_id")
+
+
+@query("a12_sample_sources")
+def _(t):
+    return audit.sample_sources(candidates(t), 10).select("region", "spider", "catalog_source_id")
+
+
+@query("a13_sample_gaps", """
+SELECT 'region' AS kind, r_name AS value, r_name IN (SELECT region FROM cnd WHERE region = 'ASIA') AS represented FROM region
+UNION ALL SELECT DISTINCT 'extractor', spider, spider IN (SELECT spider FROM cnd WHERE region = 'ASIA') FROM cnd""", cnd=_CANDIDATES)
+def _(t):
+    asia = candidates(t, ["ASIA"])
+    return audit.sample_gaps(asia, candidates(t), t.region.select(F.col("r_name").alias("region")))
+
+
+@query("a14_audit_summary", """
+SELECT 'count' AS kind, status AS key, CAST(count(*) AS VARCHAR) AS value FROM vrd GROUP BY status
+UNION ALL SELECT 'pending', CAST(source_id AS VARCHAR), coalesce(error_code, evidence) FROM vrd WHERE status <> 'verified'""", **VERDICTS)
+def _(t):
+    results = verdicts(t)
+    counts = audit.audit_summary(results).select(F.lit("count").alias("kind"), F.col("status").alias("key"), F.col("n").cast("string").alias("value"))
+    pending = audit.pending_results(results).select(F.lit("pending").alias("kind"), F.col("source_id").cast("string").alias("key"), F.col("reason").alias("value"))
+    return counts.unionAll(pending)
+
+
+_HTTP = "CASE length(url) % 3 WHEN 0 THEN 404 ELSE 200 END"
+_PROBE = f"""
+SELECT page_id, {_HTTP} AS status_code, {_HTTP} < 400 AS opens, CAST(length(html) AS BIGINT) AS html_length,
+  CAST(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS link_count,
+  CAST(contains(f, 'thre') AS BIGINT) + CAST(contains(f, 'cion') AS BIGINT) + CAST(contains(f, 'nothere') AS BIGINT) + CAST(contains(f, 'sch') AS BIGINT) AS keyword_count,
+  {_HTTP} < 400 AS html_useful FROM (SELECT *, {sql_fold('html')} AS f FROM pages)"""
+
+
+def probes(t):
+    pages = t.pages.withColumns({"status_code": F.expr(_HTTP), "content_type": F.lit(None).cast("string")})
+    return field_audit.probe_pages(pages, ("thre", "cion", "nothere", "sch"))
+
+
+@query("a15_probe_pages", _PROBE)
+def _(t):
+    return probes(t)
+
+
+_ITEM = "SELECT doc_id, doc_id % (SELECT count(*) FROM supplier) AS source_id, CAST(doc_id AS INT) AS pos, CASE WHEN lang = 'de' THEN ' The ' ELSE split_part(text, chr(10), 1) END AS title, CASE WHEN source = 'src2' THEN '/rel' WHEN source = 'src6' THEN 'https://x.org/a.PDF' ELSE 'https://' || source || '.org/' || CAST(doc_id AS STRING) END AS url, lang AS notice_type, text AS description FROM documents"
+_VALID = f"""SELECT * FROM itx WHERE trim(title) <> '' AND url <> '/rel' AND (trim(title) <> 'The' OR url = 'https://x.org/a.PDF')
+  AND (contains({sql_fold("title || ' ' || url || ' ' || description")}, 'sch') OR contains({sql_fold("title || ' ' || url || ' ' || description")}, 'thre'))"""
+WORDS = {"keywords": ("sch", "thre"), "listing_titles": ("the", "of")}
+
+
+@query("a16_valid_items", "SELECT doc_id FROM vit", itx=_ITEM, vit=_VALID)
+def _(t):
+    return field_audit.valid_items(t.sql(_ITEM), **WORDS).select("doc_id")
+
+
+# Probe, crawl and link facts in every combination that reaches a rung.
+_RUNGS = """
+SELECT p_partkey AS source_id, p_type = 'STANDARD' AS failed,
+  CASE p_size % 6 WHEN 0 THEN 403 WHEN 1 THEN 404 WHEN 2 THEN NULL ELSE 200 END AS status_code, p_size % 6 >= 3 AS opens,
+  p_size % 6 >= 4 AS html_useful, CASE WHEN p_brand = 'Brand#1' THEN 0 ELSE 900 END AS html_length,
+  CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 0 ELSE 2 END AS keyword_count, CASE WHEN p_type = 'SMALL' THEN 0 ELSE 5 END AS items_found,
+  CASE WHEN p_type = 'PROMO' THEN 0 WHEN p_type IN ('LARGE', 'SMALL') THEN 3 WHEN p_type = 'MEDIUM' AND p_size > 25 THEN 0 ELSE 5 END AS valid_items,
+  CASE WHEN p_brand = 'Brand#3' THEN 2 ELSE 3 END AS links_opened, 3 AS links_checked,
+  CASE WHEN p_brand = 'Brand#4' THEN 'Forbidden' ELSE NULL END AS probe_error, CASE WHEN p_brand = 'Brand#5' THEN 'needs JavaScript' WHEN p_brand = 'Brand#6' THEN 'Name or service not known' ELSE NULL END AS error_message
+FROM part"""
+
+
+@query("a17_source_verdicts", """
+SELECT source_id, CASE
+  WHEN failed THEN CASE WHEN status_code = 403 OR probe_error IS NOT NULL THEN 'bloqueio_acesso' WHEN status_code = 404 OR contains(error_message, 'service') THEN 'url_invalida'
+    WHEN contains(error_message, 'JavaScript') THEN 'exige_javascript' WHEN NOT opens THEN 'url_invalida' ELSE 'funcional_parcial' END
+  WHEN NOT opens THEN CASE WHEN valid_items > 0 THEN 'funcional_parcial' WHEN status_code = 403 THEN 'bloqueio_acesso' ELSE 'url_invalida' END
+  WHEN NOT html_useful THEN CASE WHEN html_length > 0 THEN 'exige_javascript' ELSE 'url_invalida' END
+  WHEN items_found = 0 THEN CASE WHEN keyword_count > 0 THEN 'exige_spider_especifico' ELSE 'sem_editais_encontrados' END
+  WHEN valid_items = 0 OR links_opened < 3 OR valid_items < items_found THEN 'funcional_parcial' ELSE 'funcional' END AS verdict FROM rng""", rng=_RUNGS)
+def _(t):
+    return field_audit.with_verdict(t.sql(_RUNGS)).select("source_id", "verdict")
+
+
+def audited(t):
+    items = t.sql(_ITEM)
+    probe = probes(t).join(t.src.select("id"), F.col("page_id") == F.col("id")).drop("id").withColumnRenamed("page_id", "source_id")
+    runs = items.groupBy("source_id").agg(F.count("*").alias("items_found")).select(
+        "source_id", (F.col("source_id") % 9 == 4).alias("failed"), "items_found", F.lit(1).cast("long").alias("new_items"), F.lit(None).cast("string").alias("error_message"))
+    checks = items.select("url", (F.col("pos") % 4 != 1).alias("opens"))
+    return field_audit.audit_sources(t.src, probe, runs, items, checks, 3, **WORDS)
+
+
+_AUDITED = f"""
+SELECT src.id AS source_id, coalesce(r.n, 0) AS items_found, CASE WHEN r.n IS NULL THEN 0 ELSE 1 END AS new_items, coalesce(v.n, 0) AS valid_items,
+  coalesce(h.n, 0) AS links_checked, coalesce(h.o, 0) AS links_opened, h.samples, coalesce(r.n IS NOT NULL AND src.id % 9 = 4, false) AS failed,
+  p.status_code, coalesce(p.opens, false) AS opens, coalesce(p.html_useful, false) AS html_useful, coalesce(p.keyword_count, 0) AS keyword_count
+FROM src LEFT JOIN (SELECT source_id, count(*) AS n FROM itx GROUP BY source_id) r ON r.source_id = src.id
+LEFT JOIN (SELECT source_id, count(*) AS n FROM vit GROUP BY source_id) v ON v.source_id = src.id
+LEFT JOIN (SELECT source_id, count(*) AS n, count(*) FILTER (WHERE opens) AS o, md5(string_agg(coalesce({sql_truncate(sql_squash('title'), 220)}, ''), '|' ORDER BY pos)) AS samples
+  FROM (SELECT vit.*, (SELECT bool_or(c.pos % 4 <> 1) FROM itx c WHERE c.url = vit.url) AS opens, row_number() OVER (PARTITION BY source_id ORDER BY pos) AS rk FROM vit) WHERE rk <= 3 GROUP BY source_id) h ON h.source_id = src.id
+LEFT JOIN prb p ON p.page_id = src.id"""
+AUDITED = {"itx": _ITEM, "vit": _VALID, "prb": _PROBE, "aud": _AUDITED}
+_LADDER = """CASE WHEN failed THEN CASE WHEN status_code = 404 OR NOT opens THEN 'url_invalida' ELSE 'funcional_parcial' END
+  WHEN NOT opens THEN CASE WHEN valid_items > 0 THEN 'funcional_parcial' ELSE 'url_invalida' END
+  WHEN items_found = 0 THEN CASE WHEN keyword_count > 0 THEN 'exige_spider_especifico' ELSE 'sem_editais_encontrados' END
+  WHEN valid_items = 0 OR links_opened < links_checked OR valid_items < items_found THEN 'funcional_parcial' ELSE 'funcional' END"""
+
+
+@query("a18_audit_sources", f"SELECT source_id, items_found, new_items, valid_items, links_checked, links_opened, samples, {_LADDER} AS verdict FROM aud", **AUDITED)
+def _(t):
+    titles = F.md5(F.array_join(F.transform("samples", lambda s: s["title"]), "|"))
+    return audited(t).select("source_id", "items_found", "new_items", "valid_items", "links_checked", "links_opened", titles.alias("samples"), "verdict")
+
+
+@query("a19_compare_runs", f"""
+SELECT ntc.id, initials AS institution, coalesce({sql_truncate(sql_squash('title'), 180)}, '') AS title, ntc.url FROM ntc JOIN inst ON inst.id = institution_id
+WHERE ntc.is_active AND NOT (ntc.is_active AND detected_at < TIMESTAMP '2024-01-01 05:00:00')""")
+def _(t):
+    after = t.ntc.filter("is_active")
+    before = after.filter("detected_at < TIMESTAMP '2024-01-01 05:00:00'")
+    return field_audit.compare_runs(before, after, t.ntc, t.inst).select("id", "institution", "title", "url")
+
+
+# Notices whose copies share an address inside an institution, one institution per region.
+_COPIES = """SELECT ntc.id, CAST(length(ntc.source) AS BIGINT) AS institution_id, title, ntc.url, normalized_url, lang || CAST(length(normalized_title) AS STRING) AS normalized_title, detected_at FROM ntc"""
+
+
+@query("a20_find_duplicates", """
+SELECT * FROM (SELECT n.id, n.url,
+  array_to_string((SELECT list(id ORDER BY id) FROM (SELECT o.id FROM cpy o WHERE o.id <> n.id AND o.institution_id = n.institution_id AND o.normalized_url = n.normalized_url ORDER BY o.id LIMIT 5)), ',') AS same_url,
+  array_to_string((SELECT list(id ORDER BY id) FROM (SELECT o.id FROM cpy o WHERE o.id <> n.id AND o.institution_id = n.institution_id AND o.normalized_title = n.normalized_title ORDER BY o.id LIMIT 5)), ',') AS same_title
+FROM cpy n WHERE n.detected_at >= TIMESTAMP '2024-01-01 01:00:00') WHERE coalesce(same_url, '') <> '' OR coalesce(same_title, '') <> ''"""
+       .replace("SELECT * FROM (SELECT n.id", "SELECT id, url, coalesce(same_url, '') AS same_url, coalesce(same_title, '') AS same_title FROM (SELECT n.id"), cpy=_COPIES)
+def _(t):
+    notices = t.sql(_COPIES)
+    found = field_audit.find_duplicates(notices.filter("detected_at >= TIMESTAMP '2024-01-01 01:00:00'"), notices)
+    return found.select("id", "url", F.array_join("same_url_ids", ",").alias("same_url"), F.array_join("same_title_ids", ",").alias("same_title"))
+
+
+_SCOPE = "SELECT ntc.*, initials AS institution FROM ntc JOIN inst ON inst.id = institution_id WHERE ntc.is_active AND inst.region IN ('ASIA', 'AFRICA')"
+
+
+def scope(t):
+    inside = t.inst.filter("region IN ('ASIA', 'AFRICA')")
+    return field_audit.in_scope(t.ntc, inside, inside.select("initials").distinct())
+
+
+@query("a21_scope_counts", """
+SELECT 'type' AS kind, notice_type AS key, count(*) AS n FROM scp GROUP BY notice_type UNION ALL SELECT 'active', '', count(*) FROM scp
+UNION ALL SELECT 'institution', institution, count(*) FROM scp GROUP BY institution""", scp=_SCOPE)
+def _(t):
+    return field_audit.scope_counts(scope(t))
+
+
+_T140 = f"coalesce({sql_truncate(sql_squash('title'), 140)}, '')"
+
+
+@query("a22_type_samples", f"""
+SELECT ty AS notice_type, (SELECT count(*) FROM scp WHERE notice_type = ty) AS n,
+  coalesce((SELECT string_agg({_T140}, '|' ORDER BY detected_at DESC, id) FROM (SELECT * FROM scp WHERE notice_type = ty ORDER BY detected_at DESC, id LIMIT 3)), '') AS examples
+FROM (SELECT unnest([{", ".join(f"'{n}'" for n in NOTICE_TYPES)}]) AS ty)""", scp=_SCOPE)
+def _(t):
+    return field_audit.type_samples(scope(t)).select("notice_type", "n", F.array_join("examples", "|").alias("examples"))
+
+
+@query("a23_notice_samples", f"SELECT id, institution, notice_type, coalesce({sql_truncate(sql_squash('title'), 180)}, '') AS title FROM scp ORDER BY detected_at DESC, id LIMIT 12", scp=_SCOPE)
+def _(t):
+    return field_audit.notice_samples(scope(t)).select("id", "institution", "notice_type", "title")
+
+
+@query("a24_audit_rollup", f"""
+SELECT count(*) AS sources_checked, CAST(sum(items_found) AS BIGINT) AS items_found, CAST(sum(new_items) AS BIGINT) AS new_items, count(*) FILTER (WHERE failed) AS failed_sources,
+  count(*) FILTER (WHERE v = 'funcional') AS functional, count(*) FILTER (WHERE v = 'funcional_parcial') AS partial, count(*) FILTER (WHERE v NOT IN ('funcional', 'funcional_parcial')) AS not_functional
+FROM (SELECT *, {_LADDER} AS v FROM aud)""", **AUDITED)
+def _(t):
+    return field_audit.audit_rollup(audited(t))
+
+
+@query("s09_audit_report", """
+SELECT '- `' || status || '`: ' || CAST(count(*) AS VARCHAR) AS line FROM vrd GROUP BY status
+UNION ALL SELECT '| ' || region || ' | UF | ' || institution_name || ' | ' || CAST(source_id AS VARCHAR) || ' | ' || recommended_spider || ' | ' || status || ' | '
+  || coalesce(CAST(http_status AS VARCHAR), '') || ' | ' || coalesce(replace(page_title, '|', '\\|'), '') || ' | ' || evidence || ' |' FROM vrd
+UNION ALL SELECT '- `' || CAST(source_id AS VARCHAR) || '` (' || institution_name || '): `' || status || '` — ' || error_code || '.' FROM vrd WHERE status <> 'verified'""", **VERDICTS)
+def _(t):
+    path = scratch_path(t.spark, "report")
+    sinks.write_audit_report(verdicts(t).withColumn("source_id", F.col("source_id").cast("string")), path)
+    return t.spark.read.text(f"{path}/markdown").select(F.col("value").alias("line"))
