@@ -8,7 +8,7 @@ from noticeflow.functions.text import squash
 from noticeflow.functions.urls import catalog_url
 from noticeflow.functions.values import code_order
 from noticeflow.lexicon import COVERAGE_STATUSES, EXTRACTORS, REGIONS
-from noticeflow.operators.checks import check_unique, union_all, violations
+from noticeflow.operators.checks import check_unique, side_by_side, union_all, violations
 
 # Published totals of the versioned catalog.
 EXPECTED_TOTALS = {"raw_total": 317, "eligible_census_total": 315, "post_census_total": 3, "coverage_target_total": 318}
@@ -268,9 +268,7 @@ def catalog_metadata(census: DataFrame, overlay: DataFrame, selected: DataFrame)
     whole = totals(census, "raw_total", "eligible_census_total")
     late = totals(overlay, "post_census_total", "_late")
     chosen = totals(selected, "selected_inventory_total", "selected_coverage_target_total")
-    # Three one-row aggregates side by side.
-    joined = whole.join(late, F.lit(True)).join(chosen, F.lit(True))
-    return joined.select(
+    return side_by_side(whole, late, chosen).select(
         "raw_total", "eligible_census_total", "post_census_total",
         (F.col("eligible_census_total") + F.col("_late")).alias("coverage_target_total"),
         (F.col("raw_total") + F.col("post_census_total")).alias("inventory_total"),

@@ -53,6 +53,15 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def side_by_side(*frames: DataFrame) -> DataFrame:
+    """One row holding the columns of several one-row frames.
+
+    Rows are stacked with nulls and folded by an aggregate, so no join is involved.
+    """
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 class RuleViolation(ValueError):
     """Raised by publishing jobs when a violation frame is not empty."""
 

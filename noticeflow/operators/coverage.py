@@ -1,7 +1,8 @@
 """Coverage analytics: link the catalog to the registry, flag, aggregate.
 
-A catalog row carries its sources as ``sources`` (array of structs with status,
-recommended_spider, capture_validated_at, last_verified_at).
+The catalog is two tables: institutions (one row per official_code, catalog_order) and
+their sources (official_code, status, recommended_spider, capture_validated_at,
+last_verified_at).  Sources are never gathered into one row per institution.
 """
 
 from __future__ import annotations
@@ -17,17 +18,9 @@ from noticeflow.operators.queries import page
 UNLABELLED = "Não informado"  # fixed value
 
 
-def source_statuses(include_own: bool) -> Column:
-    """Distinct normal statuses of the sources, optionally with the row's own."""
-    none = F.array().cast("array<string>")
-    statuses = F.coalesce(F.transform("sources", lambda s: squash_fold(s["status"])), none)
-    if include_own:
-        statuses = F.concat(statuses, F.array(squash_fold(F.col("coverage_status"))))
-    return F.array_distinct(F.filter(statuses, lambda s: s != ""))
-
-
 def filter_catalog(
     catalog: DataFrame,
+    catalog_sources: DataFrame,
     *,
     region=None,
     state=None,
@@ -53,10 +46,15 @@ def filter_catalog(
     ):
         if value is not None:
             df = df.filter(F.col(column).try_cast("int") == value)
+    having = lambda v: catalog_sources.filter(
+        squash_fold(F.col("status")) == norm(v)
+    ).select("official_code").distinct()
     if verification_status:
-        df = df.filter(F.array_contains(source_statuses(False), norm(verification_status)))
+        df = df.join(having(verification_status), "official_code", "left_semi")
     if source_status:
-        df = df.filter(F.array_contains(source_statuses(True), norm(source_status)))
+        own = squash_fold(F.col("coverage_status")) == norm(source_status)
+        marked = having(source_status).withColumn("_has", F.lit(True))
+        df = df.join(marked, "official_code", "left").filter(own | F.col("_has").isNotNull()).drop("_has")
     return df
 
 
@@ -114,30 +112,38 @@ def is_recent(now: Column) -> Column:
     return F.coalesce(F.col("is_active") & (age <= allowed * 60_000_000), F.lit(False))
 
 
-def coverage_records(catalog: DataFrame, links: DataFrame, institutions: DataFrame, sources: DataFrame, now: Column) -> DataFrame:
-    """Catalog rows with their coverage flags."""
+def coverage_records(
+    catalog: DataFrame, catalog_sources: DataFrame, links: DataFrame, institutions: DataFrame, sources: DataFrame, now: Column
+) -> DataFrame:
+    """Catalog rows with their coverage flags, source count and distinct source statuses."""
+    false = F.lit(False)
+    status = F.nullif(squash_fold(F.col("status")), F.lit(""))
+    mapped = catalog_sources.groupBy("official_code").agg(
+        F.count("*").alias("mapped_sources"),
+        F.bool_or(status == "verified").alias("_verified"),
+        F.bool_or(F.coalesce("capture_validated_at", F.lit("")) != "").alias("_captured_catalog"),
+        F.sort_array(F.collect_set(status)).alias("source_statuses"),  # as many as there are statuses
+    )
     per_owner = sources.groupBy(F.col("institution_id").alias("registry_id")).agg(
-        F.bool_or(F.coalesce("is_active", F.lit(False))).alias("_source_active"),
+        F.bool_or(F.coalesce("is_active", false)).alias("_source_active"),
         F.bool_or(is_recent(now)).alias("_recent"),
         F.bool_or(F.col("capture_validated_at").isNotNull()).alias("_captured"),
     )
     owners = institutions.select(F.col("id").alias("registry_id"), F.col("is_active").alias("_inst_active"))
     linked = links.join(owners, "registry_id").join(per_owner, "registry_id", "left")
-    joined = catalog.join(linked, "official_code", "left")
-    false = F.lit(False)
-    verified = F.exists("sources", lambda s: squash_fold(s["status"]) == "verified")
-    captured = F.exists("sources", lambda s: F.coalesce(s["capture_validated_at"], F.lit("")) != "")
+    joined = catalog.join(linked, "official_code", "left").join(mapped, "official_code", "left")
     return joined.withColumns({
         "eligible": squash_fold(F.col("eligibility_status")).startswith("included"),
         "registered": F.col("registry_id").isNotNull(),
-        "mapped_sources": F.coalesce(F.size("sources"), F.lit(0)).cast("long"),
-        "mapped": F.coalesce(F.size("sources") > 0, false),
-        "verified": F.coalesce(verified, false),
-        "capture_validated": F.coalesce(captured, false) | F.coalesce("_captured", false),
+        "mapped": F.col("mapped_sources").isNotNull(),
+        "mapped_sources": F.coalesce("mapped_sources", F.lit(0)),
+        "source_statuses": F.coalesce("source_statuses", F.array().cast("array<string>")),
+        "verified": F.coalesce("_verified", false),
+        "capture_validated": F.coalesce("_captured_catalog", false) | F.coalesce("_captured", false),
         "active_monitoring": F.coalesce("_recent", false),
         "source_active": F.coalesce("_source_active", false),
         "institution_active": F.when(F.col("registry_id").isNotNull(), F.coalesce("_inst_active", false)),
-    }).drop("_source_active", "_recent", "_captured", "_inst_active")
+    }).drop("_source_active", "_recent", "_captured", "_inst_active", "_verified", "_captured_catalog")
 
 
 STAGES = ("registered", "mapped", "verified", "capture_validated", "active_monitoring")
@@ -221,21 +227,21 @@ def breakdown_order() -> list:
     return ["dimension", casefold(F.col("key"))]
 
 
-def _flat_sources(records: DataFrame) -> DataFrame:
-    return records.filter("eligible").select("official_code", F.inline("sources"))
+def _eligible_sources(records: DataFrame, catalog_sources: DataFrame) -> DataFrame:
+    return catalog_sources.join(records.filter("eligible").select("official_code"), "official_code", "left_semi")
 
 
-def spider_breakdown(records: DataFrame) -> DataFrame:
-    flat = _flat_sources(records).withColumn("spider", _status("recommended_spider"))
+def spider_breakdown(records: DataFrame, catalog_sources: DataFrame) -> DataFrame:
+    flat = _eligible_sources(records, catalog_sources).withColumn("spider", _status("recommended_spider"))
     # Two-level aggregate: a spider that owns most sources still spreads by institution.
     per = flat.groupBy("spider", "official_code").agg(F.count("*").alias("n"))
     return per.groupBy("spider").agg(F.sum("n").alias("sources"), F.count("*").alias("institutions"))
 
 
-def status_counts(records: DataFrame) -> DataFrame:
+def status_counts(records: DataFrame, catalog_sources: DataFrame) -> DataFrame:
     """grain (institution or source), status, n."""
     inst = records.filter("eligible").select(F.lit("institution").alias("grain"), _status().alias("status"))
-    src = _flat_sources(records).select(F.lit("source").alias("grain"), _status("status").alias("status"))
+    src = _eligible_sources(records, catalog_sources).select(F.lit("source").alias("grain"), _status("status").alias("status"))
     return inst.unionByName(src).groupBy("grain", "status").agg(F.count("*").alias("n"))
 
 
@@ -257,15 +263,14 @@ def pending_list(records: DataFrame) -> DataFrame:
     ).orderBy("region", "state", "official_name", "official_code")
 
 
-def last_audit(records: DataFrame, metadata: dict | None = None) -> DataFrame:
+def last_audit(catalog_sources: DataFrame, metadata: dict | None = None) -> DataFrame:
     """Latest ISO date of any source check or audit entry of the metadata."""
     given = [
         str(v) for k, v in (metadata or {}).items()
         if any(word in " ".join(k.split()).casefold() for word in ("audit", "verified"))
     ]
     iso = lambda c: F.when(squash(c).rlike("^.{4}-.{2}-.{2}"), F.substring(squash(c), 1, 10))
-    checked = records.select(F.explode(F.transform("sources", lambda s: iso(s["last_verified_at"]))).alias("d"))
-    seen = checked.agg(F.max("d").alias("d"))
+    seen = catalog_sources.agg(F.max(iso(F.col("last_verified_at"))).alias("d"))
     for value in given:
         seen = seen.select(F.greatest("d", iso(F.lit(value))).alias("d"))
     return seen.select(F.col("d").alias("last_audit"))
@@ -282,13 +287,12 @@ def coverage_institutions(
     limit: int | None = 100,
 ) -> tuple[DataFrame, DataFrame]:
     """(one-row total, ordered page) of records under tri-state filters."""
-    staged = stage(records, source_statuses=F.sort_array(source_statuses(False)))
     review = (
         (squash_fold(F.col("coverage_status")) == "manual_review")
         | squash_fold(F.col("eligibility_status")).contains("manual_review")
         | F.array_contains("source_statuses", "manual_review")
     )
-    df = staged
+    df = records
     for test, value in (
         (F.col("mapped"), has_source),
         (F.col("source_active"), source_active),

@@ -14,6 +14,8 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from noticeflow.session import spread
+
 _VOID = frozenset(
     "area base basefont bgsound br col command embed frame hr image img input isindex "
     "keygen link menuitem meta nextid param source spacer track wbr".split()
@@ -201,6 +203,7 @@ def page_rows(page: Page, url: str):
     listing = next(
         (i for i, t in enumerate(page.tags) if t == "table" and page.has_class(i, "listagem")), None
     )
+    number = 0
     for node, tag in enumerate(page.tags):
         if tag != "tr":
             continue
@@ -208,8 +211,10 @@ def page_rows(page: Page, url: str):
         cells = list(page.below(node, "td"))
         group = next((c for c in cells if page.has_class(c, "agrupador")), None)
         anchor = next(page.below(group, "a"), None) if group is not None else None
+        number += in_listing and group is not None
         yield {
             "in_listing": in_listing,
+            "grp": number,
             "row_text": _plain(page.text(node)),
             "is_group": group is not None,
             "has_link": anchor is not None,
@@ -274,7 +279,7 @@ LINK_SCHEMA = (
     "rel string, cls string, title_attr string"
 )
 ROW_SCHEMA = (
-    "page_id long, url string, pos int, in_listing boolean, row_text string, is_group boolean, "
+    "page_id long, url string, pos int, in_listing boolean, grp int, row_text string, is_group boolean, "
     "has_link boolean, link_text string, link_title string, link_onclick string, "
     "cells array<struct<text:string,cls:string>>, links array<struct<href:string,abs_url:string,text:string>>"
 )
@@ -315,7 +320,7 @@ def _per_page(pages: DataFrame, facts, schema: str) -> DataFrame:
             if rows:
                 yield _frame(rows, columns)
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, schema)
+    return spread(pages.select("page_id", "url", "html")).mapInPandas(run, schema)
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
@@ -344,4 +349,4 @@ def extract_signals(pages: DataFrame, selectors) -> DataFrame:
                 rows.append((page_id, url, *page_signals(Page(source or ""), selectors).values()))
             yield _frame(rows, columns)
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, SIGNAL_SCHEMA)
+    return spread(pages.select("page_id", "url", "html")).mapInPandas(run, SIGNAL_SCHEMA)

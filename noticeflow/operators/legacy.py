@@ -85,52 +85,46 @@ def derive_legacy_sources(sources: DataFrame) -> DataFrame:
 
 
 def apply_corrections(sources: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Researched sources replace an institution's legacy sources.
-
-    The first correction of an institution lists everything it supersedes: ids, URLs and
-    their own replaces, each once, in source order.
-    """
+    """Researched sources replace every legacy source of their institution."""
     corrected = corrections.select("official_code").distinct()
     kept = sources.join(corrected, "official_code", "left_anti")
-    superseded = sources.join(corrected, "official_code", "left_semi")
-    targets = superseded.select(
-        "official_code", "catalog_source_id",
-        F.posexplode(F.concat(F.array("catalog_source_id", "url"), "replaces")).alias("_at", "_value"),
+    return kept.unionByName(corrections, allowMissingColumns=True)
+
+
+def replacement_rules(sources: DataFrame, corrections: DataFrame) -> DataFrame:
+    """What the first correction of an institution supersedes, one row per value.
+
+    official_code, catalog_source_id (of the correction), value, from_source, position: ids,
+    URLs and own replaces of the legacy sources, each value once at its first place.  Rows,
+    not one list, so an institution with very many sources stays spread out.
+    """
+    lead = corrections.groupBy("official_code").agg(F.min("catalog_source_id").alias("_lead"))
+    superseded = sources.join(lead, "official_code")
+    values = superseded.select(
+        "official_code", "_lead", F.col("catalog_source_id").alias("from_source"),
+        F.posexplode(F.concat(F.array("catalog_source_id", "url"), "replaces")).alias("position", "value"),
     )
-    # First position of each value, then one ordered list per institution.
-    first = targets.groupBy("official_code", "_value").agg(F.min(F.struct("catalog_source_id", "_at")).alias("_first"))
-    lists = first.groupBy("official_code").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("_first", "_value"))), lambda s: s["_value"]).alias("_targets")
+    first = values.groupBy("official_code", "_lead", "value").agg(
+        F.min(F.struct("from_source", "position")).alias("_at")
     )
-    lead = corrections.groupBy("official_code").agg(F.min("catalog_source_id").alias("_lead"))
-    joined = corrections.join(lead, "official_code").join(lists, "official_code", "left")
-    merged = F.array_distinct(F.concat("replaces", F.coalesce("_targets", F.array().cast("array<string>"))))
-    fixed = joined.withColumn(
-        "replaces", F.when(F.col("catalog_source_id") == F.col("_lead"), merged).otherwise(F.col("replaces"))
-    ).drop("_lead", "_targets")
-    return kept.unionByName(fixed, allowMissingColumns=True)
+    return first.select("official_code", F.col("_lead").alias("catalog_source_id"), "value", "_at.*")
 
 
 def assemble_manifest(census: DataFrame, matched: DataFrame, sources: DataFrame) -> DataFrame:
-    """One manifest entry per census institution, its sources ordered by id.
+    """One manifest entry per census institution; sources stay a table beside it.
 
-    ``matched``: official_code, official_site_url of institutions with a legacy row.  An
-    institution's source list is a document field and stays as short as its web site.
+    ``matched``: official_code, official_site_url of institutions with a legacy row.
     """
-    fields = [c for c in sources.columns if c != "official_code"]
-    ordered = ["catalog_source_id", *[c for c in fields if c != "catalog_source_id"]]
-    lists = sources.groupBy("official_code").agg(
-        F.sort_array(F.collect_list(F.struct(*ordered))).alias("sources")
-    )
+    counts = sources.groupBy("official_code").agg(F.count("*").alias("source_count"))
     legacy = matched.select("official_code", "official_site_url", F.lit(True).alias("_legacy"))
-    joined = census.select("official_code").join(legacy, "official_code", "left").join(lists, "official_code", "left")
-    has = F.col("sources").isNotNull()
+    joined = census.select("official_code").join(legacy, "official_code", "left").join(counts, "official_code", "left")
+    has = F.col("source_count").isNotNull()
     return joined.select(
         "official_code",
         catalog_url(F.col("official_site_url"), idna=None)["url"].alias("official_site_url"),
         F.when(has, "partial").otherwise("source_not_found").alias("coverage_status"),
         F.when(has, _MIGRATED).when(F.col("_legacy"), _UNUSABLE).otherwise(_NOT_FOUND).alias("coverage_notes"),
-        "sources",
+        F.coalesce("source_count", F.lit(0)).cast("long").alias("source_count"),
     )
 
 
@@ -139,5 +133,5 @@ def manifest_counts(manifest: DataFrame) -> DataFrame:
         F.count("*").alias("institutions"),
         F.count_if(F.col("coverage_status") == "partial").alias("partial"),
         F.count_if(F.col("coverage_status") == "source_not_found").alias("source_not_found"),
-        F.coalesce(F.sum(F.size("sources")), F.lit(0)).cast("long").alias("sources"),
+        F.coalesce(F.sum("source_count"), F.lit(0)).cast("long").alias("sources"),
     )

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from noticeflow.functions import text, urls
 from noticeflow.functions.staging import stage
 from noticeflow.lexicon import PORTUGUESE, Lexicon
 from noticeflow.operators.html import extract_rows
 from noticeflow.operators.links import bare_title, first_per_key, is_generic_link
+from noticeflow.session import materialize
 
 # Page-class markers on folded page text.
 LOGIN_MARK = "acesso ao sistema"
@@ -22,17 +23,15 @@ _PROCESS_ID = r"""['"]id['"]\s*:\s*['"]([^'"]+)['"]"""
 def listing_groups(rows: DataFrame) -> DataFrame:
     """Group rows of listing tables with the first non-empty data row below each.
 
-    The running group number partitions a page's rows, so the detail row is the first
-    non-empty one before the next group row.
+    Rows carry the running group number of their page; one aggregate with map-side
+    combine finds the group row and the first non-empty row of its group.
     """
     listing = rows.filter("in_listing")
-    by_page = Window.partitionBy("page_id").orderBy("pos")
-    numbered = listing.withColumn("grp", F.sum(F.col("is_group").cast("int")).over(by_page))
     filled = F.exists("cells", lambda c: c["text"] != "")
     detail = F.min_by("cells", F.when(~F.col("is_group") & filled, F.col("pos")))
     first = F.when(F.col("is_group"), F.struct("pos", "has_link", "link_text", "link_title", "link_onclick"))
     grouped = (
-        numbered.filter("grp > 0")
+        listing.filter("grp > 0")
         .groupBy("page_id", "url", "grp")
         .agg(F.min(first).alias("g"), detail.alias("detail"))
     )
@@ -163,8 +162,11 @@ def extract_listing(rows: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame
 
 
 def extract_process_pages(pages: DataFrame, signals: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
-    """Items of process-selection pages: listing items, or the table fallback."""
-    rows = extract_rows(pages)
+    """Items of process-selection pages: listing items, or the table fallback.
+
+    Three branches read the row facts, so they are parsed once and written.
+    """
+    rows = materialize(extract_rows(pages), "rows")
     listed = extract_listing(rows, lexicon)
     classes = classify_pages(signals, listed)
     by_class = lambda items, name: items.join(

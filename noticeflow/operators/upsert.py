@@ -9,7 +9,7 @@ from noticeflow.functions.text import identity_token, squash
 from noticeflow.functions.urls import catalog_url
 from noticeflow.functions.values import is_blank
 from noticeflow.operators.catalog import is_included
-from noticeflow.operators.checks import check_unique, require_empty, union_all
+from noticeflow.operators.checks import check_unique, require_empty, side_by_side, union_all
 from noticeflow.sources import sinks
 
 # Registry column -> catalog column of the fields the catalog owns.
@@ -189,10 +189,13 @@ def _url_key(sources: DataFrame) -> Column:
     return catalog_url(F.coalesce(F.nullif("normalized_url", F.lit("")), F.col("url")), idna=None)["url"]
 
 
-def resolve_sources(catalog_sources: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+def resolve_sources(
+    catalog_sources: DataFrame, sources: DataFrame, rules: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(catalog_source_id, id, replaced) matches, and conflicts (catalog_source_id, rule).
 
     ``catalog_sources``: institution_id (resolved), catalog_source_id, url, replaces.
+    ``rules`` adds replaces values as rows: catalog_source_id, value.
     Order: same catalog id, then an explicit replaces rule (by id, URL or name token),
     then the same URL.  Rows matched by id are out of reach for the later steps.
     """
@@ -216,9 +219,11 @@ def resolve_sources(catalog_sources: DataFrame, sources: DataFrame) -> tuple[Dat
     free = existing.join(direct.select("id"), "id", "left_anti")
     value = F.col("_value")
     as_url = catalog_url(value, idna=None)["url"]
-    rule_keys = stage(
-        rest.select("catalog_source_id", "institution_id", F.explode("replaces").alias("_value")), _as_url=as_url
-    ).select(
+    values = rest.select("catalog_source_id", "institution_id", F.explode("replaces").alias("_value"))
+    if rules is not None:
+        more = rules.select("catalog_source_id", F.col("value").alias("_value"))
+        values = values.unionByName(rest.select("catalog_source_id", "institution_id").join(more, "catalog_source_id"))
+    rule_keys = stage(values, _as_url=as_url).select(
         "catalog_source_id",
         "institution_id",
         F.inline(F.array_compact(F.array(
@@ -313,8 +318,7 @@ def upsert_stats(institutions: DataFrame, sources: DataFrame, ignored: DataFrame
         *[count(f"sources_{a}", F.col("action") == a) for a in actions],
         count("sources_replaced", F.col("replaced") & F.col("action").isNotNull()),
     )
-    # Three one-row aggregates side by side.
-    row = inst.join(src, F.lit(True)).join(ignored.withColumnRenamed("ignored", "_ineligible"), F.lit(True))
+    row = side_by_side(inst, src, ignored.withColumnRenamed("ignored", "_ineligible"))
     all_ignored = F.col("institutions_ignored") + F.col("_ineligible")
     return row.select(
         (F.col("institutions_created") + F.col("sources_created")).alias("created"),

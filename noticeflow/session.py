@@ -31,6 +31,20 @@ def get_spark(app: str = "noticeflow", master: str | None = None, shuffle_partit
     return spark
 
 
+SPREAD_BYTES = 16 * 1024 * 1024
+
+
+def spread(df):
+    """Even out a small input before CPU-heavy tasks.
+
+    The optimizer's size estimate decides: what is too small to fill the cluster by its own
+    splits is shuffled once; large inputs keep their scan partitions and never move.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SPREAD_BYTES * cores else df
+
+
 _local_root: str | None = None
 
 

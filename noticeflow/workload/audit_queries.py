@@ -337,7 +337,7 @@ def _(t):
 
 
 # Notices whose copies share an address inside an institution, one institution per region.
-_COPIES = """SELECT ntc.id, CAST(length(ntc.source) AS BIGINT) AS institution_id, title, ntc.url, normalized_url, lang || CAST(length(normalized_title) AS STRING) AS normalized_title, detected_at FROM ntc"""
+_COPIES = """SELECT id, CAST(length(source) AS BIGINT) AS institution_id, title, url, normalized_url, lang || CAST(length(normalized_title) AS STRING) AS normalized_title, detected_at FROM ntc"""
 
 
 @query("a20_find_duplicates", """

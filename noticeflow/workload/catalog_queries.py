@@ -328,33 +328,46 @@ def corrections(t):
 
 def corrected_sources(t):
     mine = legacy_sources(t).select("official_code", "catalog_source_id", "name", "url", "replaces")
-    return legacy.apply_corrections(mine, corrections(t))
+    return mine, legacy.apply_corrections(mine, corrections(t))
 
 
 _CORRECTED_ROWS = """
-SELECT official_code, catalog_source_id, url, md5(replaces) AS replaces FROM lsr WHERE official_code NOT IN (SELECT official_code FROM cor)
-UNION ALL SELECT official_code, 'inep-' || official_code || '-new-b', 'https://new.example/b', md5('given') FROM cor
-UNION ALL SELECT cor.official_code, 'inep-' || cor.official_code || '-new-a', 'https://new.example/a',
-  md5('given' || coalesce('|' || string_agg(catalog_source_id || '|' || url || '|' || replaces, '|' ORDER BY catalog_source_id), ''))
-FROM cor LEFT JOIN lsr ON lsr.official_code = cor.official_code GROUP BY cor.official_code"""
+SELECT official_code, catalog_source_id, url FROM lsr WHERE official_code NOT IN (SELECT official_code FROM cor)
+UNION ALL SELECT official_code, 'inep-' || official_code || '-new-a', 'https://new.example/a' FROM cor
+UNION ALL SELECT official_code, 'inep-' || official_code || '-new-b', 'https://new.example/b' FROM cor"""
 
 
 @query("c18_apply_corrections", _CORRECTED_ROWS, lsr=_LEGACY_SOURCES, cor=_CORRECTED)
 def _(t):
-    return corrected_sources(t).select("official_code", "catalog_source_id", "url", F.md5(F.array_join("replaces", "|")).alias("replaces"))
+    return corrected_sources(t)[1].select("official_code", "catalog_source_id", "url")
+
+
+@query("c18_replacement_rules", """
+SELECT official_code, 'inep-' || official_code || '-new-a' AS catalog_source_id, catalog_source_id AS from_source, CAST(x.p AS INTEGER) AS position,
+  CASE x.p WHEN 0 THEN catalog_source_id WHEN 1 THEN url WHEN 2 THEN string_split(replaces, '|')[1] ELSE string_split(replaces, '|')[2] END AS value
+FROM lsr, (VALUES (0), (1), (2), (3)) x(p) WHERE official_code IN (SELECT official_code FROM cor)""", lsr=_LEGACY_SOURCES, cor=_CORRECTED)
+def _(t):
+    return legacy.replacement_rules(corrected_sources(t)[0], corrections(t))
 
 
 @query("c19_assemble_manifest", """
 SELECT inst.official_code, CASE WHEN balance >= 1000 THEN inst.official_site_url END AS official_site_url,
-  CASE WHEN s.ids IS NULL THEN 'source_not_found' ELSE 'partial' END AS coverage_status, s.ids AS source_ids
-FROM inst LEFT JOIN (SELECT official_code, string_agg(catalog_source_id, ',' ORDER BY catalog_source_id) AS ids FROM crt
-  WHERE official_code <> '7' GROUP BY official_code) s ON s.official_code = inst.official_code""",
+  CASE WHEN s.n IS NULL THEN 'source_not_found' ELSE 'partial' END AS coverage_status, coalesce(s.n, 0) AS source_count
+FROM inst LEFT JOIN (SELECT official_code, count(*) AS n FROM crt WHERE official_code <> '7' GROUP BY official_code) s ON s.official_code = inst.official_code""",
        lsr=_LEGACY_SOURCES, cor=_CORRECTED, crt=_CORRECTED_ROWS)
 def _(t):
     matched = legacy_rows(t).select(F.col("true_code").alias("official_code"), F.concat("official_site_url", F.lit("/")).alias("official_site_url"))
-    manifest = legacy.assemble_manifest(t.inst, matched, corrected_sources(t).filter("official_code <> '7'"))
-    ids = F.array_join(F.transform("sources", lambda s: s["catalog_source_id"]), ",")
-    return manifest.select("official_code", "official_site_url", "coverage_status", ids.alias("source_ids"))
+    manifest = legacy.assemble_manifest(t.inst, matched, corrected_sources(t)[1].filter("official_code <> '7'"))
+    return manifest.drop("coverage_notes")
+
+
+@query("c19_manifest_counts", """
+SELECT (SELECT count(*) FROM inst) AS institutions, count(DISTINCT official_code) AS partial,
+  (SELECT count(*) FROM inst) - count(DISTINCT official_code) AS source_not_found, count(*) AS sources FROM crt WHERE official_code <> '7'""",
+       lsr=_LEGACY_SOURCES, cor=_CORRECTED, crt=_CORRECTED_ROWS)
+def _(t):
+    matched = legacy_rows(t).select(F.col("true_code").alias("official_code"), "official_site_url")
+    return legacy.manifest_counts(legacy.assemble_manifest(t.inst, matched, corrected_sources(t)[1].filter("official_code <> '7'")))
 
 
 # ---------------------------------------------------------------- merge into the registry

@@ -9,13 +9,12 @@ from noticeflow.workload.domain import NOW
 from noticeflow.workload.registry import query
 
 
-def catalog(t):
-    """Catalog rows with their sources; a site's source list is a short document field."""
-    source = F.struct("status", "recommended_spider", F.col("capture_at").alias("capture_validated_at"),
-                      F.col("verified_at").alias("last_verified_at"))
-    lists = t.csr.filter("priority < 3 OR p_type <> 'PROMO'").groupBy("official_code").agg(F.collect_list(source).alias("sources"))
+def sources(t):
+    """Catalog sources; one state has none and some parts lack theirs."""
     thin = t.cat.filter("state <> 'NATION_12'").select("official_code")
-    return t.cat.join(lists.join(thin, "official_code", "left_semi"), "official_code", "left")
+    kept = t.csr.filter("priority < 3 OR p_type <> 'PROMO'").join(thin, "official_code", "left_semi")
+    return kept.select("official_code", "status", "recommended_spider", F.col("capture_at").alias("capture_validated_at"),
+                       F.col("verified_at").alias("last_verified_at"))
 
 
 _SRC = """SELECT csr.* FROM csr JOIN cat ON cat.official_code = csr.official_code
@@ -50,9 +49,8 @@ REC = {"csx": _SRC, "clm": _CLAIM, "rec": _REC}
 
 
 def records(t):
-    rows = catalog(t)
-    links = coverage.link_registry(rows, t.reg)
-    return coverage.coverage_records(rows, links, t.reg, t.rsr, F.lit("2024-01-20 00:00:00").cast("timestamp"))
+    links = coverage.link_registry(t.cat, t.reg)
+    return coverage.coverage_records(t.cat, sources(t), links, t.reg, t.rsr, F.lit("2024-01-20 00:00:00").cast("timestamp"))
 
 
 @query("v01_filter_catalog", """
@@ -61,12 +59,12 @@ UNION ALL SELECT 'codes', official_code FROM cat WHERE administrative_category_c
 UNION ALL SELECT 'verification', official_code FROM cat WHERE official_code IN (SELECT official_code FROM csx WHERE status = 'temporarily_unavailable')
 UNION ALL SELECT 'any', official_code FROM cat WHERE coverage_status = 'source_not_found' OR official_code IN (SELECT official_code FROM csx WHERE status = 'source_not_found')""", csx=_SRC)
 def _(t):
-    rows = catalog(t)
+    rows = t.cat, sources(t)
     lists = {
-        "place": coverage.filter_catalog(rows, region=" asia ", state="Nation_8"),
-        "codes": coverage.filter_catalog(rows, administrative_category_code=2, academic_organization_code=3, eligibility_status="INCLUDED"),
-        "verification": coverage.filter_catalog(rows, verification_status="Temporarily_Unavailable"),
-        "any": coverage.filter_catalog(rows, source_status="source_not_found"),
+        "place": coverage.filter_catalog(*rows, region=" asia ", state="Nation_8"),
+        "codes": coverage.filter_catalog(*rows, administrative_category_code=2, academic_organization_code=3, eligibility_status="INCLUDED"),
+        "verification": coverage.filter_catalog(*rows, verification_status="Temporarily_Unavailable"),
+        "any": coverage.filter_catalog(*rows, source_status="source_not_found"),
     }
     parts = [df.select(F.lit(n).alias("f"), "official_code") for n, df in lists.items()]
     return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
@@ -74,7 +72,7 @@ def _(t):
 
 @query("v02_link_registry", "SELECT * FROM clm", clm=_CLAIM)
 def _(t):
-    return coverage.link_registry(catalog(t), t.reg)
+    return coverage.link_registry(t.cat, t.reg)
 
 
 @query("v03_claim_once", "SELECT * FROM clm", clm=_CLAIM)
@@ -139,14 +137,14 @@ def _(t):
 SELECT recommended_spider AS spider, count(*) AS sources, count(DISTINCT rec.official_code) AS institutions
 FROM csx JOIN rec ON rec.official_code = csx.official_code WHERE eligible GROUP BY recommended_spider""", **REC)
 def _(t):
-    return coverage.spider_breakdown(records(t))
+    return coverage.spider_breakdown(records(t), sources(t))
 
 
 @query("v10_status_counts", """
 SELECT 'institution' AS grain, coverage_status AS status, count(*) AS n FROM rec WHERE eligible GROUP BY coverage_status
 UNION ALL SELECT 'source', coalesce(status, 'unknown'), count(*) FROM csx JOIN rec ON rec.official_code = csx.official_code WHERE eligible GROUP BY status""", **REC)
 def _(t):
-    return coverage.status_counts(records(t))
+    return coverage.status_counts(records(t), sources(t))
 
 
 @query("v11_pending_list", """
@@ -159,7 +157,7 @@ def _(t):
 
 @query("v12_last_audit", "SELECT greatest(max(substr(verified_at, 1, 10)), '2026-07-14') AS last_audit FROM csx", csx=_SRC)
 def _(t):
-    return coverage.last_audit(catalog(t), {"audited_at": "2026-07-14T08:00:00Z", "note": "2027-01-01", "verified": "soon"})
+    return coverage.last_audit(sources(t), {"audited_at": "2026-07-14T08:00:00Z", "note": "2027-01-01", "verified": "soon"})
 
 
 _SHEET = """rec WHERE mapped AND source_active AND institution_active IS NOT DISTINCT FROM true
@@ -167,15 +165,14 @@ _SHEET = """rec WHERE mapped AND source_active AND institution_active IS NOT DIS
 
 
 @query("v13_coverage_institutions", f"""
-SELECT official_code, coalesce(array_to_string(list_filter(string_split(statuses, ','), lambda x: x <> 'manual_review'), ','), '') AS source_statuses, mapped_sources AS source_count, (SELECT count(*) FROM {_SHEET}) AS total
-FROM {_SHEET} ORDER BY region, state, lower(official_name), official_code LIMIT 10 OFFSET 2""", **REC)
+SELECT official_code, coalesce(array_to_string(list_filter(string_split(statuses, ','), lambda x: x <> 'manual_review'), ','), '') AS source_statuses, mapped_sources AS source_count
+FROM (SELECT * FROM {_SHEET} ORDER BY region, state, lower(official_name), official_code LIMIT 10 OFFSET 2)
+UNION ALL SELECT 'total', '', count(*) FROM {_SHEET}""", **REC)
 def _(t):
     # Institutions with a reviewed source count as reviewed; leave such sources out first.
-    plain = F.transform("sources", lambda s: s.withField("status", F.when(s["status"] != "manual_review", s["status"])))
-    return _sheet(records(t).withColumn("sources", plain))
-
-
-def _sheet(rows):
+    others = F.filter("source_statuses", lambda s: s != "manual_review")
     total, sheet = coverage.coverage_institutions(
-        rows, has_source=True, source_active=True, institution_active=True, manual_review=False, skip=2, limit=10)
-    return sheet.select("official_code", F.array_join("source_statuses", ",").alias("source_statuses"), "source_count").join(total, F.lit(True))
+        records(t).withColumn("source_statuses", others),
+        has_source=True, source_active=True, institution_active=True, manual_review=False, skip=2, limit=10)
+    rows = sheet.select("official_code", F.array_join("source_statuses", ",").alias("source_statuses"), "source_count")
+    return rows.unionByName(total.select(F.lit("total").alias("official_code"), F.lit("").alias("source_statuses"), F.col("total").alias("source_count")))

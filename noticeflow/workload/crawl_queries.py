@@ -439,21 +439,13 @@ def write_json(t, df, name):
 
 
 def manifest_docs(t):
-    """One manifest object per institution, so that no group grows with the data."""
-    source = F.struct(
-        F.col("catalog_source_id"), F.col("source_name").alias("name"), F.col("source_url").alias("url"), "priority"
-    )
-    one = t.inst.join(
-        t.src.select("institution_id", "catalog_source_id", F.col("name").alias("source_name"),
-                     F.col("url").alias("source_url"), "priority")
-        .groupBy("institution_id").agg(F.collect_list(source).alias("sources"))
-        .withColumnRenamed("institution_id", "id"),
-        "id", "left",
-    )
-    entry = F.struct("official_code", "official_site_url", F.col("source_discovery_status").alias("coverage_status"),
-                     F.coalesce("sources", F.array().cast("array<struct<catalog_source_id:string,name:string,url:string,priority:int>>")).alias("sources"))
-    return one.select(F.lit(1).alias("schema_version"), "region", F.lit("2026-07-13").alias("verified_at"),
-                      F.array(entry).alias("institutions"))
+    """One manifest object per source, so that no document grows with the data."""
+    site = t.inst.select(F.col("id").alias("institution_id"), "region", "official_code", "official_site_url",
+                         F.col("source_discovery_status").alias("coverage_status"))
+    source = F.struct("catalog_source_id", "name", "url", "priority")
+    entry = F.struct("official_code", "official_site_url", "coverage_status", F.array(source).alias("sources"))
+    return t.src.drop("coverage_status").join(site, "institution_id").select(
+        F.lit(1).alias("schema_version"), "region", F.lit("2026-07-13").alias("verified_at"), F.array(entry).alias("institutions"))
 
 
 @query("s02_read_manifests", """
@@ -482,10 +474,9 @@ def _(t):
 
 def legacy_docs(t):
     source = F.struct("name", "url", "source_type", F.array(F.concat(F.lit("old-"), F.col("id").cast("string"))).alias("replaces"))
-    per = t.src.groupBy("institution_id").agg(F.sort_array(F.collect_list(source)).alias("sources"))
-    return t.inst.filter("balance >= 3000").join(per.withColumnRenamed("institution_id", "id"), "id", "left").select(
-        "name", "initials", "state", "official_site_url", "sources"
-    )
+    each = t.src.select("institution_id", F.array(source).alias("sources"))
+    site = t.inst.filter("balance >= 3000").select(F.col("id").alias("institution_id"), "name", "initials", "state", "official_site_url")
+    return each.join(site, "institution_id").drop("institution_id")
 
 
 @query("s04_read_legacy_seed", """
