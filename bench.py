@@ -41,7 +41,7 @@ HEADLINE = (
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = get_spark("bench", f"local[{cpus}]", cpus)
+    spark = get_spark("bench", f"local[{cpus}]", cpus, "12g")
     queries, _ = all_queries()
     spark.read.parquet(f"{sf_dir}/part.parquet").count()  # start the engine
     times = {}

@@ -104,19 +104,23 @@ def unescape_entities(col: Column) -> Column:
     names = _entity_names()
     table = F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair])
 
-    def piece(part: Column) -> Column:
-        ref = F.regexp_extract(part, r"^&(#?[0-9A-Za-z]+);", 1)
-        rest = F.substr(part, F.length(ref) + 3)
+    def character(ref: Column) -> Column:
         number = F.when(
             ref.rlike(r"^#[xX][0-9A-Fa-f]{1,6}$"),
             F.conv(F.substr(ref, F.lit(3)), 16, 10).cast("long"),
         ).when(ref.rlike(r"^#[0-9]{1,7}$"), F.substr(ref, F.lit(2)).cast("long"))
         valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
-        char = F.decode(
-            F.unhex(F.lpad(F.hex(F.when(valid, number)), 8, "0")), "UTF-32"
-        )
-        text = F.when(ref.startswith("#"), char).otherwise(F.try_element_at(table, ref))
-        return F.when((ref != "") & text.isNotNull(), F.concat(text, rest)).otherwise(part)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number)), 8, "0")), "UTF-32")
+        # The four commonest names skip the table.
+        quick = F.when(ref == "amp", "&").when(ref == "quot", '"').when(ref == "lt", "<").when(ref == "gt", ">")
+        return quick.when(ref.startswith("#"), char).otherwise(F.try_element_at(table, ref))
+
+    def piece(part: Column) -> Column:
+        def swap(ref: Column) -> Column:
+            rest = F.substr(part, F.length(ref) + 3)
+            return F.when(ref == "", part).otherwise(F.coalesce(F.concat(character(ref), rest), part))
+
+        return let(F.regexp_extract(part, r"^&(#?[0-9A-Za-z]+);", 1), swap)
 
     def decode(text: Column) -> Column:
         joined = F.array_join(F.transform(F.split(text, "(?=&)"), piece), "")

@@ -15,7 +15,6 @@ from noticeflow.lexicon import (
     RETRYABLE_HTTP, SKIPPED_STATUSES,
 )
 from noticeflow.operators.catalog import is_included
-from noticeflow.operators.checks import union_all
 from noticeflow.operators.html import extract_signals
 from noticeflow.operators.links import first_per_key
 
@@ -77,31 +76,44 @@ def collapse_attempts(log: DataFrame, max_retries: int = 2) -> DataFrame:
 def resolve_redirects(requests: DataFrame, hops: DataFrame, max_redirects: int = MAX_REDIRECTS) -> DataFrame:
     """Follow a hop log (url, status_code, location) from each request (id, url).
 
-    id, status_code, final_url, redirect_chain, error_code.  A bounded number of equi
-    joins; rows leave as soon as they end, so later rounds only carry long chains.
+    id, status_code, final_url, redirect_chain, error_code.  A bounded number of equi joins
+    in one plan; a finished row joins on a private key, so ended chains spread evenly
+    instead of meeting on a shared null.
     """
-    log = hops.groupBy("url").agg(F.min_by(F.struct("status_code", "location"), F.struct("status_code", "location")).alias("h"))
-    frontier = requests.select("id", "url", F.array().cast("array<string>").alias("chain"))
-    done = []
+    one = hops.groupBy(F.col("url").alias("_key")).agg(F.min(F.struct("status_code", "location")).alias("h"))
+    target = F.trim(F.coalesce("h.location", F.lit("")))
+    # The next address belongs to the hop, so it is resolved once per hop, not per visit.
+    log = stage(one, next=F.when(target != "", urls.resolve_url(F.col("_key"), target))).select(
+        "_key", F.struct(F.col("h.status_code").alias("status_code"), "next").alias("h")
+    )
+    state = requests.select(
+        "id", F.col("url"), F.array().cast("array<string>").alias("chain"),
+        F.lit(None).cast("int").alias("status_code"), F.lit(None).cast("string").alias("error"), F.lit(True).alias("open"),
+    )
     for round_no in range(max_redirects + 1):
-        met = frontier.join(log, "url", "left")
-        redirect = F.coalesce(F.col("h.status_code").isin(*REDIRECT_HTTP), F.lit(False))
-        target = F.trim(F.coalesce("h.location", F.lit("")))
+        private = F.concat(F.lit("\x00"), F.col("id").cast("string"))
+        met = state.withColumn("_key", F.when(F.col("open"), F.col("url")).otherwise(private)).join(log, "_key", "left")
+        code, target = F.col("h.status_code"), F.col("h.next")
+        redirect = F.coalesce(code.isin(*REDIRECT_HTTP), F.lit(False))
         error = (
             F.when(F.col("h").isNull(), "not_fetched")
-            .when(redirect & (target == ""), "redirect_without_location")
+            .when(redirect & target.isNull(), "redirect_without_location")
             .when(redirect & F.lit(round_no == max_redirects), "too_many_redirects")
         )
-        ends = error.isNotNull() | ~redirect
-        done.append(met.filter(ends).select(
-            "id", F.col("h.status_code").alias("status_code"),
-            F.when(error.isNull(), F.col("url")).alias("final_url"),
-            F.col("chain").alias("redirect_chain"), error.alias("error_code"),
-        ))
-        frontier = stage(met.filter(~ends), next=urls.resolve_url(F.col("url"), target)).select(
-            "id", F.col("next").alias("url"), F.array_append("chain", F.col("next")).alias("chain")
+        judged = stage(met, _error=F.when(F.col("open"), error).otherwise(F.col("error")),
+                       _go=F.col("open") & redirect & target.isNotNull() & F.lit(round_no < max_redirects))
+        state = judged.select(
+            "id",
+            F.when(F.col("_go"), target).otherwise(F.col("url")).alias("url"),
+            F.when(F.col("_go"), F.array_append("chain", target)).otherwise(F.col("chain")).alias("chain"),
+            F.when(F.col("open"), code).otherwise(F.col("status_code")).cast("int").alias("status_code"),
+            F.col("_error").alias("error"),
+            F.col("_go").alias("open"),
         )
-    return union_all(done)
+    return state.select(
+        "id", "status_code", F.when(F.col("error").isNull(), F.col("url")).alias("final_url"),
+        F.col("chain").alias("redirect_chain"), F.col("error").alias("error_code"),
+    )
 
 
 def robots_gate(requests: DataFrame, robots: DataFrame, rules: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from noticeflow.functions.text import casefold, squash, squash_fold
 from noticeflow.functions.values import percent
 from noticeflow.operators.links import first_per_key
 from noticeflow.operators.queries import page
+from noticeflow.session import materialize
 
 UNLABELLED = "Não informado"  # fixed value
 
@@ -82,9 +83,11 @@ def link_registry(catalog: DataFrame, institutions: DataFrame, universe: DataFra
     among registry rows without a code: identity, initials+state, name+state.  The first
     claimant in catalog order (``catalog_order``) gets the row; a later one gets nothing.
     """
+    # Narrow key tables that every tier reads: computed once, written.
+    cut = ["_c", "_i", "_s", "_n"]
     rows = _keys(catalog, "official_name")
-    every = _keys(universe if universe is not None else catalog, "official_name")
-    registry = _keys(institutions, "name")
+    every = materialize(_keys(universe if universe is not None else catalog, "official_name").select(*cut), "catalog-keys")
+    registry = materialize(_keys(institutions, "name").select("id", *cut), "registry-keys")
     # Several rows with one code: the last one read wins; the largest id stands for it.
     by_code = registry.filter("_c <> ''").groupBy("_c").agg(F.max("id").alias("_code"))
     codeless = registry.filter("_c = ''")

@@ -10,6 +10,7 @@ from noticeflow.functions.urls import catalog_url
 from noticeflow.functions.values import is_blank
 from noticeflow.operators.catalog import is_included
 from noticeflow.operators.checks import check_unique, require_empty, side_by_side, union_all
+from noticeflow.session import materialize
 from noticeflow.sources import sinks
 
 # Registry column -> catalog column of the fields the catalog owns.
@@ -99,7 +100,9 @@ def resolve_institutions(eligible: DataFrame, registry: DataFrame) -> tuple[Data
     Tier 1 by code, tier 2 by initials+state+name, tier 3 by initials+state; the last two
     look only at registry rows without a code and each tier only at what is left.
     """
-    keyed = catalog_keys(eligible)
+    # Narrow key tables that every tier reads: computed once, written.
+    keyed = materialize(catalog_keys(eligible).select("official_code", "_i", "_s", "_n"), "catalog-keys")
+    registry = materialize(registry.select("id", "official_code", "initials", "state", "name"), "registry-keys")
     code = F.trim(F.coalesce("official_code", F.lit("")))
     coded = registry.withColumn("official_code", code).filter("official_code <> ''").select("official_code", "id")
     one_per_code = coded.groupBy("official_code").agg(F.min("id").alias("id"))
@@ -199,13 +202,15 @@ def resolve_sources(
     Order: same catalog id, then an explicit replaces rule (by id, URL or name token),
     then the same URL.  Rows matched by id are out of reach for the later steps.
     """
-    wanted = catalog_sources.select("institution_id", "catalog_source_id", "url", "replaces")
+    # Narrow key tables that every step reads: computed once, written.
+    wanted = materialize(catalog_sources.select("institution_id", "catalog_source_id", "url", "replaces"), "wanted")
     existing = stage(
         sources.select("id", "institution_id", "catalog_source_id", "name", "url", "normalized_url"),
         _cid=F.trim(F.coalesce("catalog_source_id", F.lit(""))),
         _url=_url_key(sources),
         _token=identity_token(F.col("name")),
     ).select("id", F.col("institution_id").alias("_owner"), "_cid", "_url", "_token")
+    existing = materialize(existing, "existing")
 
     by_id = existing.filter("_cid <> ''").groupBy("_cid").agg(
         F.count("*").alias("_n"), F.min("id").alias("id"), F.min("_owner").alias("_owner")

@@ -9,11 +9,15 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def get_spark(app: str = "noticeflow", master: str | None = None, shuffle_partitions: int | None = None):
+def get_spark(
+    app: str = "noticeflow", master: str | None = None, shuffle_partitions: int | None = None, memory: str | None = None
+):
     """Session with the settings the jobs rely on; cluster sizing stays with the caller."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    if memory:
+        builder = builder.config("spark.driver.memory", memory)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = (

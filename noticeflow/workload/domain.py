@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from noticeflow.session import spread
+
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -259,7 +261,9 @@ class Tables:
         self._sql = domain_sql(SparkDialect)
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        # Long texts in one small file would keep a single core busy.
+        return spread(df) if name == "documents" else df
 
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:
         """Run a query text over base, domain and given frames."""
