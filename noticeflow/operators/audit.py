@@ -176,9 +176,8 @@ def page_signals(pages: DataFrame, selectors: dict = EXPECTED_SELECTORS, terms=A
     ])
     known = sorted({s for items in selectors.values() for s in items})
     spider = F.lower(F.coalesce("recommended_spider", F.lit("generic")))
-    seen = extract_signals(pages, known).drop("url")
-    joined = pages.select("page_id", "url", spider.alias("_spider")).join(seen, "page_id")
-    lowered = stage(joined, lower_text=F.lower(text.squash(F.col("body_text"))))
+    seen = extract_signals(pages.withColumn("_spider", spider), known, carry="_spider")
+    lowered = stage(seen, lower_text=F.lower(text.squash(F.col("body_text"))))
     expected = F.coalesce(F.try_element_at(wanted, F.col("_spider")), F.try_element_at(wanted, F.lit("generic")))
     return lowered.select(
         "page_id",

@@ -18,21 +18,24 @@ def probe_pages(pages: DataFrame, keywords=AUDIT_KEYWORDS, scan_chars: int | Non
     """
     counts = extract_signals(pages, ()).select("page_id", "link_count")
     scanned = F.substring("html", 1, scan_chars) if scan_chars else F.col("html")
-    staged = stage(pages, _f=text.fold_text(scanned)).join(counts, "page_id")
+    staged = stage(pages, _f=text.fold_text(scanned))
     hits = sum((F.col("_f").contains(k).cast("int") for k in keywords), F.lit(0))
     is_html = F.lower(F.coalesce("content_type", F.lit(""))).contains("html") | F.lower(
         F.substring("html", 1, 1000)
     ).contains("<html")
     opens = F.coalesce(F.col("status_code") < 400, F.lit(False))
-    return staged.select(
+    # Numbers first: the join below moves no page text.
+    numbers = staged.select(
         "page_id",
         "status_code",
         opens.alias("opens"),
         F.length("html").cast("long").alias("html_length"),
-        "link_count",
         hits.cast("long").alias("keyword_count"),
-        (opens & is_html & (F.col("link_count") > 0)).alias("html_useful"),
+        is_html.alias("_is_html"),
     )
+    joined = numbers.join(counts, "page_id")
+    useful = F.col("opens") & F.col("_is_html") & (F.col("link_count") > 0)
+    return joined.withColumn("html_useful", F.coalesce(useful, F.lit(False))).drop("_is_html")
 
 
 def valid_items(items: DataFrame, keywords=AUDIT_KEYWORDS, listing_titles=AUDIT_LISTING_TITLES) -> DataFrame:
@@ -154,7 +157,8 @@ def find_duplicates(new: DataFrame, notices: DataFrame, most: int = 5) -> DataFr
         lists = heads.groupBy(*keys).agg(F.sort_array(F.collect_list("id")).alias("_ids"))
         met = new.select("id", *keys).join(lists, keys, "left")
         ids = F.slice(F.filter("_ids", lambda i: i != F.col("id")), 1, most)
-        return met.select("id", F.coalesce(ids, F.array().cast("array<long>")).alias(name))
+        none = F.filter(F.array("id"), lambda i: F.lit(False))
+        return met.select("id", F.coalesce(ids, none).alias(name))
 
     joined = others("normalized_url", "same_url_ids").join(others("normalized_title", "same_title_ids"), "id")
     found = joined.filter((F.size("same_url_ids") > 0) | (F.size("same_title_ids") > 0))

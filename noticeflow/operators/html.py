@@ -337,16 +337,23 @@ def extract_containers(pages: DataFrame, cls: str) -> DataFrame:
     return _per_page(pages, lambda page, url: page_containers(page, url, cls), CONTAINER_SCHEMA)
 
 
-def extract_signals(pages: DataFrame, selectors) -> DataFrame:
-    """One row of structural facts per page."""
+def extract_signals(pages: DataFrame, selectors, carry: str | None = None) -> DataFrame:
+    """One row of structural facts per page; ``carry`` names a text column to pass along.
+
+    Passing it through the parser saves a join that would shuffle the page text.
+    """
     selectors = tuple(selectors)
-    columns = _names(SIGNAL_SCHEMA)
+    schema = SIGNAL_SCHEMA + (f", {carry} string" if carry else "")
+    columns = _names(schema)
 
     def run(batches):
         for batch in batches:
             rows = []
-            for page_id, url, source in zip(batch["page_id"], batch["url"], batch["html"]):
-                rows.append((page_id, url, *page_signals(Page(source or ""), selectors).values()))
+            extra = batch[carry] if carry else [None] * len(batch)
+            for page_id, url, source, more in zip(batch["page_id"], batch["url"], batch["html"], extra):
+                facts = (page_id, url, *page_signals(Page(source or ""), selectors).values())
+                rows.append((*facts, more) if carry else facts)
             yield _frame(rows, columns)
 
-    return spread(pages.select("page_id", "url", "html")).mapInPandas(run, SIGNAL_SCHEMA)
+    read = ["page_id", "url", "html", *([carry] if carry else [])]
+    return spread(pages.select(*read)).mapInPandas(run, schema)

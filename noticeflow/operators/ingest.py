@@ -77,9 +77,9 @@ def new_notices(normalized: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def append_notices(new: DataFrame, now: Column) -> DataFrame:
-    """Rows as appended: active, detected now; the id derives from the fingerprint."""
+    """Rows as appended: active, detected now; the unique fingerprint is the id."""
     return new.select(
-        F.xxhash64("fingerprint").alias("id"),
+        F.col("fingerprint").alias("id"),
         "institution_id", "source_id", "title", "normalized_title", "url", "normalized_url",
         "notice_type", "publication_date", now.alias("detected_at"), "description",
         "fingerprint", F.lit(True).alias("is_active"),

@@ -147,14 +147,14 @@ def page_frontier(next_links: DataFrame, max_extra: int = 2) -> DataFrame:
 def union_frontier(frontier: DataFrame, seeds: DataFrame, fetched: DataFrame, items) -> DataFrame:
     """Items of the seed page, then of its next pages; first occurrence of a URL wins.
 
-    ``items(pages)`` extracts items; next pages that were not fetched are skipped.
+    ``fetched`` holds every page of the crawl, seeds included; ``items(pages)`` extracts
+    items; next pages that were not fetched are skipped.  Each page is parsed where it lies,
+    and only its items, not its source, meet the visit list.
     """
-    first = seeds.select(F.col("page_id").alias("seed_id"), "page_id", "url", "html", F.lit(0).alias("rank"))
+    first = seeds.select(F.col("page_id").alias("seed_id"), "page_id", F.lit(0).alias("rank"))
     extra = frontier.select(
         F.col("page_id").alias("seed_id"), F.col("next_url").alias("url"), "rank"
-    ).join(fetched.select("page_id", "url", "html"), "url")
-    visits = first.unionByName(extra)
-    # A page reached from several seeds is parsed once.
-    parsed = items(visits.select("page_id", "url", "html").dropDuplicates(["page_id"]))
-    reached = visits.select("seed_id", "rank", "page_id").join(parsed, "page_id")
+    ).join(fetched.select("page_id", "url"), "url")
+    visits = first.unionByName(extra.select("seed_id", "page_id", "rank"))
+    reached = visits.join(items(fetched), "page_id")
     return first_per_key(reached, ["seed_id", "url"], ["rank", "pos"])

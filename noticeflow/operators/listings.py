@@ -145,13 +145,15 @@ def classify_pages(signals: DataFrame, listed: DataFrame) -> DataFrame:
     """page_id, page_class: login, listing, empty or fallback, in that order."""
     folded = stage(signals, _f=text.fold_text(F.col("body_text")))
     login = F.col("_f").contains(LOGIN_MARK) & text.contains_any(F.col("_f"), LOGIN_FORMS)
+    # Flags first: the join below moves no page text.
+    flags = folded.select("page_id", login.alias("_login"), F.col("_f").contains(EMPTY_MARK).alias("_empty"))
     with_items = listed.select("page_id").distinct().withColumn("_items", F.lit(True))
-    joined = folded.join(with_items, "page_id", "left")
+    joined = flags.join(with_items, "page_id", "left")
     return joined.select(
         "page_id",
-        F.when(login, "login")
+        F.when(F.col("_login"), "login")
         .when(F.col("_items"), "listing")
-        .when(F.col("_f").contains(EMPTY_MARK), "empty")
+        .when(F.col("_empty"), "empty")
         .otherwise("fallback")
         .alias("page_class"),
     )
