@@ -101,8 +101,8 @@ def _entity_names() -> dict[str, str]:
 
 def unescape_entities(col: Column) -> Column:
     """Replace named (HTML 4) and numeric character references."""
-    names = _entity_names()
-    table = F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair])
+    pairs = ", ".join(f"'{name}', '{char}'" for name, char in sorted(_entity_names().items()))
+    table = F.expr(f"map({pairs})")
 
     def character(ref: Column) -> Column:
         number = F.when(
