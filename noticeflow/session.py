@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -52,24 +55,49 @@ def spread(df):
 _local_root: str | None = None
 
 
+def _shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only a local master may go without (tests)."""
+    global _local_root
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root:
+        return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.match(r"local($|\[)", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+    if _local_root is None or not os.path.isdir(_local_root):
+        _local_root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
+    return _local_root
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the cluster's shared folder (``spark.checkpoint.dir``).
+    """A fresh path in the cluster's shared folder."""
+    return f"{_shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
-    Only where that setting is absent, as in tests, a local folder is made.
-    """
-    global _local_root
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if not root:
-        if _local_root is None or not os.path.isdir(_local_root):
-            _local_root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        root = _local_root
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialize(df, name: str):
-    """Cut lineage through a written table in the shared folder."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut lineage through a written table in the shared folder.
+
+    Shuffle files of the writing job are dropped when it ends: the table replaces them.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def discard(*tables) -> None:
+    """Delete written intermediates that no later plan reads."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
