@@ -5,9 +5,9 @@ Metric-space join, no minhash and no lost pairs. With ``x ^ y`` for the symmetri
 
 1. Equal sets become one class; only its smallest document goes on.
 2. First pivots are one-shingle sets. A document lies in the region of a pivot if it holds the
-   shingle; it is replicated to the ``n - ceil(t n) + 1`` first of them in a common order, the
-   window in which any partner must also lie (a partner misses ``n - ceil(t n)`` at most).
-   Documents all of whose regions hold nobody else are done; they never move again.
+   shingle; it is replicated to its first ones in a common order, a window wider by ``MARGIN n``
+   than what a partner may miss (``n - ceil(t n)``). Fewer than ``MARGIN n`` regions that hold
+   somebody else: the document has no partner, it is done and never moves again.
 3. The rest is ordered by document frequency, rarest first. A document less than ``t`` of whose
    shingles occur elsewhere has no partner. What remains (a tenth of the rows) forms regions.
 4. The most central document of a region becomes its pivot p; all others are measured against it.
@@ -47,6 +47,7 @@ from noticeflow.session import discard, materialize
 SIZE = 5
 THRESHOLD = Fraction(4, 5)
 LEAF = 32
+MARGIN = Fraction(1, 10)
 ONLY_P = np.int64(-1)
 
 
@@ -81,13 +82,15 @@ def _sketch(size: int, t: Fraction):
         for rows, text in slices(batches):
             offsets, values = shingle_sets(text, size)
             n = np.diff(offsets)
-            keep = [values[a : a + window(int(k), t)] for a, k in zip(offsets, n, strict=False)]
+            more = [-(-int(k) * MARGIN.numerator // MARGIN.denominator) for k in n]
+            keep = [values[a : min(b, a + window(int(b - a), t) + k)] for a, b, k in zip(offsets, offsets[1:], more, strict=False)]
+            need = np.array([len(k) for k in keep], np.int64) - [window(int(k), t) - 1 for k in n]
             ends = np.concatenate(([0], np.cumsum([len(k) for k in keep])))
             once, twice = mix(values), mix(values ^ np.uint64(0x5851F42D4C957F2D))
             total = lambda x: pa.array(_sums(x, offsets).view(np.int64))
             yield pa.record_batch(
-                [rows.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), total(once), total(twice), _lists(ends, np.concatenate(keep))],
-                ["doc_id", "n", "d1", "d2", "first"],
+                [rows.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), total(once), total(twice), pa.array(need, pa.int64()), _lists(ends, np.concatenate(keep))],
+                ["doc_id", "n", "d1", "d2", "need", "first"],
             )
 
     return sketch
@@ -187,7 +190,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, threshold: Fraction = THR
     t = threshold
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("doc_id IS NOT NULL")
     sketches = materialize(
-        docs.mapInArrow(_sketch(size, t), "doc_id long, n long, d1 long, d2 long, first array<long>"), "sketches"
+        docs.mapInArrow(_sketch(size, t), "doc_id long, n long, d1 long, d2 long, need long, first array<long>"), "sketches"
     )
     classes = materialize(sketches.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id")), "classes")
     # one class per set; the class of a document without words is the document
@@ -197,10 +200,14 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, threshold: Fraction = THR
         "members",
     )
     heads = classes.select(F.col("class_id").alias("doc_id")).distinct().hint("merge")
-    first = materialize(sketches.select("doc_id", F.explode("first").alias("sig")).join(heads, "doc_id", "left_semi").distinct(), "first")
+    first = materialize(sketches.select("doc_id", "need", "first").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "first")
     discard(sketches)
-    shared = first.groupBy("sig").count().where("count > 1").select("sig")
-    some = materialize(first.join(shared.hint("merge"), "sig", "left_semi").select("doc_id").distinct(), "some")
+    windows_of = first.select("doc_id", "need", F.explode("first").alias("sig"))
+    shared = windows_of.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
+    some = materialize(
+        windows_of.join(shared.hint("merge"), "sig", "left_semi").groupBy("doc_id").agg(F.count("*").alias("k"), F.max("need").alias("need")).where("k >= need").select("doc_id"),
+        "some",
+    )
     discard(first)
     sets = materialize(
         docs.join(some.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_whole(size), "doc_id long, n long, sigs array<long>"), "sets"
