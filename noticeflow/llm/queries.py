@@ -1,15 +1,95 @@
-"""One query per operator, over its whole table."""
+"""One query per operator, over its whole table, with production parameters."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from noticeflow.llm import decontamination, licenses, pieces, private_data, quality, secrets, toxicity, url_filters
 from noticeflow.llm import near_duplicates as near
 
+PIECES = os.environ.get("PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+PSEUDONYM_KEY = os.environ.get("PSEUDONYM_KEY", "test key, set PSEUDONYM_KEY")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(url_filters.RULES, "rule string, action string")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filters.url_filter(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), where=~toxicity.held_out(F.col("doc_id")))
+    scored = toxicity.toxicity(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "offending")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.token_counts(table(spark, sf_dir, "documents"), pieces.load(PIECES))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), pieces.load(PIECES))
+
+
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return private_data.pseudonymise(docs, PSEUDONYM_KEY)
+
+
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.quality_rules(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
 
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filters, op2_ngram_jaccard_join, op3_toxicity, op4_token_counts, op5_sentencepiece,
+        op6_secret_scans, op7_pii, op8_license_scans, op9_quality_rules, op10_decontamination,
+    )
+}
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join,)}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_url_filters": r"""
+WITH p AS (
+  SELECT page_id,
+         CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest
+  FROM pages),
+q AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM (SELECT page_id, coalesce(rest, '') AS rest FROM p)),
+r(rule, host, path, action) AS (VALUES
+  ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+  ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+m AS (
+  SELECT q.page_id, q.host, q.path, r.rule, r.action,
+         row_number() OVER (PARTITION BY q.page_id, q.host, q.path ORDER BY length(r.rule) DESC) AS k
+  FROM q LEFT JOIN r ON (q.host = r.host OR ends_with(q.host, '.' || r.host)) AND starts_with(q.path, r.path))
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM m WHERE k = 1""",
+}
