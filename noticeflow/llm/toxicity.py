@@ -59,7 +59,7 @@ class Sentences:
         words = split(pc.replace_substring(text, "\n", f" {LINE_END} "))
         self.starts, self.ids, n = words.starts, words.ids, len(words.ids)
         self.vocabulary = words.vocabulary
-        stop = np.fromiter((w[-1] in ".!?" or w == LINE_END for w in words.vocabulary), np.int64, len(words.vocabulary))
+        stop = np.fromiter((w.endswith((".", "!", "?")) or w == LINE_END for w in words.vocabulary), np.int64, len(words.vocabulary))
         real = np.fromiter((w != LINE_END for w in words.vocabulary), np.int64, len(words.vocabulary))
         self.sentence = self.before = np.zeros(0, np.int64)
         self.heard = np.zeros(0, bool)
