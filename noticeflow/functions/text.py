@@ -6,10 +6,9 @@ import html.entities
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
-from noticeflow.lexicon import PORTUGUESE, Lexicon, type_aliases
+from noticeflow.lexicon import PORTUGUESE, Lexicon, TYPE_ALIASES
 
 # Unicode white space plus the four ASCII separators.
 WHITESPACE = r"[\p{IsWhite_Space}\x1c-\x1f]+"
@@ -26,9 +25,79 @@ def squash(col: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(col, F.lit("")), WHITESPACE, " "))
 
 
+def _ranges(codes) -> str:
+    """Regular expression class of code points beyond ASCII."""
+    parts, codes = [], sorted(codes)
+    start = last = codes[0]
+    for code in [*codes[1:], None]:
+        if code is not None and code == last + 1:
+            last = code
+            continue
+        parts.append(chr(start) if start == last else f"{chr(start)}-{chr(last)}")
+        start = last = code
+    return "[" + "".join(parts) + "]"
+
+
+# Hangul syllables are composed by rule: first code, vowels and finals per syllable, code bases.
+_HANGUL, _VOWELS, _FINALS = 0xAC00, 21, 28
+_LEADS_AT, _VOWELS_AT, _FINALS_AT = 0x1100, 0x1161, 0x11A7
+_LAST_HANGUL = 0xD7A3
+
+
+def _jamo(piece: Column) -> Column:
+    """A Hangul syllable taken apart."""
+    number = F.ascii(piece) - _HANGUL
+    spell = lambda code: F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    final = number % _FINALS
+    return F.concat(
+        spell(F.floor(number / (_VOWELS * _FINALS)) + _LEADS_AT),
+        spell(F.floor(number % (_VOWELS * _FINALS) / _FINALS) + _VOWELS_AT),
+        F.when(final > 0, spell(final + _FINALS_AT)).otherwise(""),
+    )
+
+
+def _map_characters(col: Column, table: dict[str, str], hangul: bool = False) -> Column:
+    """Replace characters by one or several others.
+
+    Single letters go through one ``translate``. A character with a longer text is cut out and put
+    together from one ``translate`` per place, so every lookup is a hash lookup.
+    """
+    single = {c: r for c, r in table.items() if len(r) == 1}
+    several = {c: r for c, r in table.items() if len(r) > 1}
+    codes = [*map(ord, several), *(range(_HANGUL, _LAST_HANGUL + 1) if hangul else ())]
+    wide = _ranges(codes)
+
+    def place(piece: Column, k: int) -> Column:
+        longer = [c for c in several if len(several[c]) > k]
+        return F.nullif(F.translate(piece, "".join(longer), "".join(several[c][k] for c in longer)), piece)
+
+    def expand(piece: Column) -> Column:
+        made = F.coalesce(F.nullif(F.concat_ws("", *(place(piece, k) for k in range(max(map(len, several.values()))))), F.lit("")), piece)
+        if hangul:
+            made = F.when(F.ascii(piece).between(_HANGUL, _LAST_HANGUL), _jamo(piece)).otherwise(made)
+        return F.when(F.length(piece) == 1, made).otherwise(piece)
+
+    def cut(text: Column) -> Column:
+        pieces = F.split(text, f"(?={wide})|(?<={wide})")
+        return F.when(text.rlike(wide), F.array_join(F.transform(pieces, expand), "")).otherwise(text)
+
+    return let(F.translate(col, "".join(single), "".join(single.values())), cut)
+
+
+def _all_characters():
+    return (chr(code) for code in range(0x80, 0x110000) if not 0xD800 <= code <= 0xDFFF)
+
+
+@lru_cache(maxsize=1)
+def _folds() -> dict[str, str]:
+    """Every character whose full case fold differs from it."""
+    capitals = map(chr, range(ord("A"), ord("Z") + 1))
+    return {c: c.casefold() for c in (*capitals, *_all_characters()) if c.casefold() != c}
+
+
 def casefold(col: Column) -> Column:
-    """Lower case plus the two common letters whose case fold differs from it."""
-    return F.replace(F.replace(F.lower(col), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    """Full Unicode case folding; ASCII rows are only lower-cased."""
+    return let(col, lambda c: F.when(c.rlike(NON_ASCII), _map_characters(c, _folds())).otherwise(F.lower(c)))
 
 
 def squash_fold(col: Column) -> Column:
@@ -40,42 +109,32 @@ def normalize_title(col: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _decompositions() -> tuple[str, str, dict[str, str]]:
-    """(letters, base letters, multi-letter expansions) under NFKD without marks.
+def _decompositions() -> tuple[dict[str, str], str]:
+    """(base letters of every character under NFKD, class of the marks to drop).
 
-    Derived from the Unicode database for the whole basic plane; Hangul syllables
-    keep their composed form, and characters that vanish are left to ``\\p{M}``.
+    From the Unicode database, all planes, Hangul by rule; a mark is a character with a combining class, or one
+    made of such characters only.
     """
-    letters, bases, expansions = [], [], {}
-    for code in range(0x80, 0x10000):
-        if 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code <= 0xDFFF:
+    bases, marks = {}, []
+    for char in _all_characters():
+        if _HANGUL <= ord(char) <= _LAST_HANGUL:
             continue
-        char = chr(code)
-        base = "".join(
-            c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c)
-        )
-        if base == char or not base:
+        if unicodedata.combining(char):
+            marks.append(ord(char))
             continue
-        if len(base) == 1:
-            letters.append(char)
-            bases.append(base)
-        else:
-            expansions[char] = base
-    return "".join(letters), "".join(bases), expansions
-
-
-# Multi-letter expansions worth a native rule: ligatures, digraphs, fractions, signs.
-_EXPANDED = "ﬀﬁﬂﬃﬄ…ĳĲŉǆǅǄǉǈǇǌǋǊǳǲǱ½¼¾™№"
+        base = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+        if not base:
+            marks.append(ord(char))
+        elif base != char:
+            bases[char] = base
+    return bases, _ranges(marks)
 
 
 def strip_marks(col: Column) -> Column:
     """Compatibility-decompose and drop combining marks; ASCII rows skip the work."""
-    letters, bases, expansions = _decompositions()
-    folded = F.translate(col, letters, bases)
-    for char in _EXPANDED:
-        folded = F.replace(folded, F.lit(char), F.lit(expansions[char]))
-    folded = F.regexp_replace(folded, r"\p{M}", "")
-    return F.when(col.rlike(NON_ASCII), folded).otherwise(col)
+    bases, marks = _decompositions()
+    plain = lambda c: F.regexp_replace(_map_characters(c, bases, hangul=True), marks, "")
+    return let(col, lambda c: F.when(c.rlike(NON_ASCII), plain(c)).otherwise(c))
 
 
 def fold_text(col: Column) -> Column:
@@ -83,37 +142,50 @@ def fold_text(col: Column) -> Column:
     return squash(F.lower(strip_marks(F.coalesce(col, F.lit("")))))
 
 
-@F.pandas_udf(T.StringType())
-def fold_text_unicode(texts: pd.Series) -> pd.Series:
-    """Full NFKD folding for scripts outside the native table (Hangul, CJK squares)."""
-
-    def fold(text):
-        base = unicodedata.normalize("NFKD", text or "")
-        return " ".join("".join(c for c in base if not unicodedata.combining(c)).lower().split())
+@lru_cache(maxsize=1)
+def _entity_names() -> dict[str, dict[str, str]]:
+    """HTML 5 names that end in a semicolon, by their first letter."""
+    names: dict[str, dict[str, str]] = {}
+    for name, value in html.entities.html5.items():
+        if name.endswith(";"):
+            names.setdefault(name[0], {})[name[:-1]] = value
+    return names
 
-    return texts.map(fold)
 
-
-@lru_cache(maxsize=1)
-def _entity_names() -> dict[str, str]:
-    return {name: chr(code) for name, code in html.entities.name2codepoint.items()}
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def unescape_entities(col: Column) -> Column:
-    """Replace named (HTML 4) and numeric character references."""
-    pairs = ", ".join(f"'{name}', '{char}'" for name, char in sorted(_entity_names().items()))
-    table = F.expr(f"map({pairs})")
+    """Replace named (HTML 5) and numeric character references.
+
+    Numbers 128 to 159 are Windows-1252 characters, numbers that are no character U+FFFD.
+    """
+    inner = ", ".join(
+        f"{_sql_text(first)}, map({', '.join(f'{_sql_text(n)}, {_sql_text(v)}' for n, v in sorted(own.items()))})"
+        for first, own in sorted(_entity_names().items())
+    )
+    table = F.expr(f"map({inner})")
+    controls = [bytes((c,)).decode("windows-1252", "replace") for c in range(128, 160)]
 
     def character(ref: Column) -> Column:
+        # leading zeros are no digits; more than seven digits are beyond Unicode
+        digits = F.regexp_extract(ref, "^#[xX]?0*([0-9A-Fa-f]*)$", 1)
+        fits = F.length(digits) <= 7
         number = F.when(
-            ref.rlike(r"^#[xX][0-9A-Fa-f]{1,6}$"),
-            F.conv(F.substr(ref, F.lit(3)), 16, 10).cast("long"),
-        ).when(ref.rlike(r"^#[0-9]{1,7}$"), F.substr(ref, F.lit(2)).cast("long"))
-        valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number)), 8, "0")), "UTF-32")
+            ref.rlike("^#[xX][0-9A-Fa-f]+$"), F.when(fits, F.conv(F.concat(F.lit("0"), digits), 16, 10).cast("long")).otherwise(0)
+        ).when(ref.rlike("^#[0-9]+$"), F.when(fits, F.concat(F.lit("0"), digits).cast("long")).otherwise(0))
+
+        def spell(n: Column) -> Column:
+            valid = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+            char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, n)), 8, "0")), "UTF-32")
+            old = F.try_element_at(F.array(*map(F.lit, controls)), (n - 127).cast("int"))
+            return F.when(n.between(128, 159), old).when(valid, char).when(n.isNotNull(), F.lit("\ufffd"))
+
         # The four commonest names skip the table.
         quick = F.when(ref == "amp", "&").when(ref == "quot", '"').when(ref == "lt", "<").when(ref == "gt", ">")
-        return quick.when(ref.startswith("#"), char).otherwise(F.try_element_at(table, ref))
+        named = F.try_element_at(F.try_element_at(table, F.substring(ref, 1, 1)), ref)
+        return quick.when(ref.startswith("#"), let(number, spell)).otherwise(named)
 
     def piece(part: Column) -> Column:
         def swap(ref: Column) -> Column:
@@ -142,7 +214,12 @@ def fix_mojibake(col: Column) -> Column:
     return F.when(col.contains("Ã") | col.contains("Â"), let(once(col), once)).otherwise(col)
 
 
-_MARKUP = r"(?s)<!--.*?-->|<(script|style)\b.*?</\1\s*>|</?[A-Za-z][^>]*>|<[!?][^>]*>"
+# A tag ends outside quotes; with an unclosed quote, at the first >.
+_MARKUP = (
+    r"(?s)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
+    r"""|</?[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+    r"|</?[A-Za-z][^>]*>|<[!?][^>]*>"
+)
 
 
 def strip_markup(col: Column) -> Column:
@@ -205,7 +282,7 @@ def infer_notice_type(col: Column, lexicon: Lexicon = PORTUGUESE) -> Column:
 def normalize_notice_type(col: Column) -> Column:
     """Known type for any accepted spelling, the default type for the rest."""
     key = F.translate(fold_text(col), "- ", "__")
-    aliases = F.create_map(*[F.lit(x) for pair in type_aliases().items() for x in pair])
+    aliases = F.create_map(*[F.lit(x) for pair in TYPE_ALIASES.items() for x in pair])
     return F.coalesce(F.try_element_at(aliases, key), F.lit(PORTUGUESE.default_type))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import ipaddress
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from noticeflow.functions import text, urls
 from noticeflow.functions.staging import stage
@@ -196,13 +196,10 @@ def page_signals(pages: DataFrame, selectors: dict = EXPECTED_SELECTORS, terms=A
 CAPTCHA_WORDS = ("captcha", "recaptcha", "hcaptcha")
 
 
-def block_signal(scan_chars: int | None = None) -> Column:
-    """Blocking reason of a signal row with ``headers`` (map), null when there is none.
-
-    The whole visible text is scanned unless ``scan_chars`` sets a bound.
-    """
+def block_signal() -> Column:
+    """Blocking reason of a signal row with ``headers`` (map), null when there is none."""
     title = F.lower(F.coalesce("page_title", F.lit("")))
-    body = F.substring("lower_text", 1, scan_chars) if scan_chars else F.col("lower_text")
+    body = F.col("lower_text")
     header = lambda n: F.try_element_at("headers", F.lit(n))
     return (
         F.when(F.col("has_password"), "authentication_required")
@@ -310,33 +307,46 @@ def best_candidates(candidates: DataFrame) -> DataFrame:
     return first_per_key(candidates, ["region", "spider"], RANK)
 
 
-def sample_sources(candidates: DataFrame, max_samples: int = 10, max_cells: int = 10_000) -> DataFrame:
+def sample_sources(candidates: DataFrame, max_samples: int = 10, regions=None) -> DataFrame:
     """At most ten pages: one per region, new extractors first, then one per missing extractor.
 
-    Spark reduces the candidates to one row per (region, extractor); only that grid, whose
-    size is checked, is walked on the driver.
+    ``regions`` is the order in which regions choose; by default they are sorted. Source ids are
+    unique. A choice then looks at the ``max_samples + 1`` best extractors of a region, and at the
+    best candidate of the first ``2 * max_samples`` extractors: Spark cuts the candidates to these
+    rows, whatever their number, and only they come to the driver.
     """
     if not 1 <= max_samples <= 10:
         raise ValueError("max_samples must be between 1 and 10")
-    grid = best_candidates(candidates)
-    rows = grid.limit(max_cells + 1).collect()
-    if len(rows) > max_cells:
-        raise ValueError(f"more than {max_cells} region and extractor pairs")
+    spark, some = candidates.sparkSession, 2 * max_samples
+    if regions is None:
+        regions = [r[0] for r in candidates.select("region").dropna().distinct().orderBy("region").limit(some).collect()]
+    regions = list(dict.fromkeys(regions))
+    order = spark.createDataFrame(list(enumerate(regions)), "region_rank int, region string")
+    asked = candidates.join(order, "region")
+    per_region = first_per_key(asked, ["region", "spider"], RANK)
+    w = Window.partitionBy("region").orderBy(*RANK)
+    per_region = per_region.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_samples + 1).drop("_rn")
+    per_region = per_region.orderBy("region_rank", *RANK).limit(some * (max_samples + 1)).withColumn("step", F.lit("region"))
+    per_spider = first_per_key(asked, ["spider"], RANK).orderBy("spider").limit(some).withColumn("step", F.lit("spider"))
+    rows = per_region.unionByName(per_spider).collect()
     rows.sort(key=lambda r: tuple(r[c] for c in RANK))
-    missing = {r["spider"] for r in rows}
-    chosen = []
-
-    def take(options, prefer):
-        best = min(options, key=lambda r: r["spider"] not in prefer, default=None)
-        if best and len(chosen) < max_samples and best["catalog_source_id"] not in {c["catalog_source_id"] for c in chosen}:
-            chosen.append(best)
-            missing.discard(best["spider"])
-
-    for region in sorted({r["region"] for r in rows}):
-        take([r for r in rows if r["region"] == region], set(missing))
-    for spider in sorted(missing):
-        take([r for r in rows if r["spider"] == spider], {spider})
-    return candidates.sparkSession.createDataFrame([tuple(r) for r in chosen], grid.schema)
+    by_region = {name: [r for r in rows if r["step"] == "region" and r["region"] == name] for name in regions}
+    by_spider = {r["spider"]: r for r in rows if r["step"] == "spider"}
+    chosen: dict[str, object] = {}
+    seen: set[str] = set()
+
+    def choose(row) -> None:
+        if len(chosen) < max_samples and row["catalog_source_id"] not in chosen:
+            chosen[row["catalog_source_id"]] = row
+            seen.add(row["spider"])
+
+    for options in by_region.values():
+        if options:
+            choose(next((r for r in options if r["spider"] not in seen), options[0]))
+    for spider in sorted(by_spider):
+        if spider not in seen:
+            choose(by_spider[spider])
+    return spark.createDataFrame([tuple(r[c] for c in candidates.columns) for r in chosen.values()], candidates.schema)
 
 
 def sample_gaps(sample: DataFrame, candidates: DataFrame, regions: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from noticeflow.functions.text import squash
-from noticeflow.lexicon import ACADEMIC_ORGANIZATIONS, ADMINISTRATIVE_CATEGORIES, region_by_state
+from noticeflow.lexicon import ACADEMIC_ORGANIZATIONS, ADMINISTRATIVE_CATEGORIES, REGION_BY_STATE
 from noticeflow.operators.checks import violations
 
 _DIGITS = r"^\p{Nd}+$"
@@ -19,7 +19,7 @@ def filter_census(census: DataFrame, year: str = "2024", network: str = "1") ->
 
 
 def state_regions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(region_by_state().items()), "state string, region string")
+    return spark.createDataFrame(list(REGION_BY_STATE.items()), "state string, region string")
 
 
 def _label(code: Column, labels: dict[int, str]) -> Column:

@@ -10,19 +10,15 @@ from noticeflow.lexicon import AUDIT_KEYWORDS, AUDIT_LISTING_TITLES, LINK_DOCUME
 from noticeflow.operators.html import extract_signals
 
 
-def probe_pages(pages: DataFrame, keywords=AUDIT_KEYWORDS, scan_chars: int | None = None) -> DataFrame:
+def probe_pages(pages: DataFrame, keywords=AUDIT_KEYWORDS) -> DataFrame:
     """Probe metrics per page (page_id, url, html, status_code, content_type).
 
     opens, html_length, link_count, distinct keywords in the folded source, html_useful.
-    The whole source is scanned unless ``scan_chars`` sets a bound.
     """
     counts = extract_signals(pages, ()).select("page_id", "link_count")
-    scanned = F.substring("html", 1, scan_chars) if scan_chars else F.col("html")
-    staged = stage(pages, _f=text.fold_text(scanned))
+    staged = stage(pages, _f=text.fold_text(F.col("html")))
     hits = sum((F.col("_f").contains(k).cast("int") for k in keywords), F.lit(0))
-    is_html = F.lower(F.coalesce("content_type", F.lit(""))).contains("html") | F.lower(
-        F.substring("html", 1, 1000)
-    ).contains("<html")
+    is_html = F.lower(F.coalesce("content_type", F.lit(""))).contains("html") | F.col("html").rlike("(?i)<html")
     opens = F.coalesce(F.col("status_code") < 400, F.lit(False))
     # Numbers first: the join below moves no page text.
     numbers = staged.select(

@@ -12,8 +12,9 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
+from noticeflow.functions import text
 from noticeflow.session import spread
 
 _VOID = frozenset(
@@ -131,45 +132,28 @@ class Page(HTMLParser):
         return name in self.attrs[node].get("class", "").split()
 
 
-def _repair(text: str) -> str:
-    for _ in range(2):
-        if "Ã" not in text and "Â" not in text:
-            return text
-        try:
-            text = text.encode("latin-1").decode("utf-8")
-        except UnicodeError:
-            return text
-    return text
-
-
-def _plain(text: str) -> str:
-    if "<" in text and ">" in text:
-        text = Page(text).all_text()
-    return " ".join(_repair(text).split())
+def _words(text: str) -> str:
+    return " ".join(text.split())
 
 
-def _cut(text: str, limit: int) -> str:
-    return text if len(text) <= limit else text[: limit - 3].rstrip() + "..."
-
-
-def _context(page: Page, link: int, headings: list[int], cache: dict) -> str:
-    """Heading of the nearest enclosing block, else that block's differing text."""
-    own = _plain(page.text(link))
+def _context(page: Page, link: int, headings: list[int], cache: dict) -> tuple[str, bool]:
+    """(heading of the nearest enclosing block, True), else (that block's differing text, False)."""
+    own = _words(page.text(link))
     node = page.parents[link]
     while node >= 0 and page.tags[node] not in ("body", "html"):
         if page.tags[node] in _CONTAINERS:
             if node not in cache:
                 at = bisect_left(headings, node + 1)
                 inside = at < len(headings) and headings[at] < page.ends[node]
-                head = _plain(page.text(headings[at])) if inside else ""
-                cache[node] = (head, _plain(page.text(node)))
+                head = _words(page.text(headings[at])) if inside else ""
+                cache[node] = (head, _words(page.text(node)))
             head, block = cache[node]
             if head:
-                return _cut(head, 240)
+                return head, True
             if block and block != own:
-                return _cut(block, 600)
+                return block, False
         node = page.parents[node]
-    return ""
+    return "", False
 
 
 def _absolute(base: str, href: str) -> str:
@@ -180,18 +164,18 @@ def _absolute(base: str, href: str) -> str:
 
 
 def page_links(page: Page, url: str):
-    """(href, abs_url, text, context, rel, class, title) of every anchor with a target."""
+    """(href, abs_url, text, context, from a heading, rel, class, title) of every anchor with a target."""
     headings = [i for i, tag in enumerate(page.tags) if tag in _HEADINGS]
     cache: dict = {}
     for node, tag in enumerate(page.tags):
         attrs = page.attrs[node]
         if tag == "a" and "href" in attrs:
-            href = _plain(attrs["href"])
+            href = _words(attrs["href"])
             yield (
                 href,
                 _absolute(url, href),
-                _plain(page.text(node)),
-                _context(page, node, headings, cache),
+                page.text(node),
+                *_context(page, node, headings, cache),
                 " ".join(attrs.get("rel", "").split()),
                 " ".join(attrs.get("class", "").split()),
                 attrs.get("title", ""),
@@ -215,20 +199,20 @@ def page_rows(page: Page, url: str):
         yield {
             "in_listing": in_listing,
             "grp": number,
-            "row_text": _plain(page.text(node)),
+            "row_text": page.text(node),
             "is_group": group is not None,
             "has_link": anchor is not None,
-            "link_text": _plain(page.text(anchor)) if anchor is not None else None,
-            "link_title": _plain(page.attrs[anchor].get("title", "")) if anchor is not None else None,
+            "link_text": page.text(anchor) if anchor is not None else None,
+            "link_title": page.attrs[anchor].get("title", "") if anchor is not None else None,
             "link_onclick": page.attrs[anchor].get("onclick", "") if anchor is not None else None,
             "cells": [
-                {"text": _plain(page.text(c)), "cls": page.attrs[c].get("class", "")} for c in cells
+                {"text": page.text(c), "cls": page.attrs[c].get("class", "")} for c in cells
             ],
             "links": [
-                {"href": href, "abs_url": _absolute(url, href), "text": _plain(page.text(a))}
+                {"href": href, "abs_url": _absolute(url, href), "text": page.text(a)}
                 for a in page.below(node, "a")
                 if "href" in page.attrs[a]
-                for href in (_plain(page.attrs[a]["href"]),)
+                for href in (_words(page.attrs[a]["href"]),)
             ],
         }
 
@@ -276,7 +260,7 @@ def page_signals(page: Page, selectors):
 
 LINK_SCHEMA = (
     "page_id long, url string, pos int, href string, abs_url string, text string, context string, "
-    "rel string, cls string, title_attr string"
+    "from_heading boolean, rel string, cls string, title_attr string"
 )
 ROW_SCHEMA = (
     "page_id long, url string, pos int, in_listing boolean, grp int, row_text string, is_group boolean, "
@@ -325,11 +309,20 @@ def _per_page(pages: DataFrame, facts, schema: str) -> DataFrame:
 
 def extract_links(pages: DataFrame) -> DataFrame:
     """Every anchor of every page, in document order, with its context."""
-    return _per_page(pages, page_links, LINK_SCHEMA)
+    raw = _per_page(pages, page_links, LINK_SCHEMA)
+    context = text.clean_text(F.col("context"))
+    cut = F.when(F.col("from_heading"), text.truncate(context, 240)).otherwise(text.truncate(context, 600))
+    return raw.withColumns({"text": text.clean_text(F.col("text")), "context": F.coalesce(cut, F.lit(""))}).drop("from_heading")
 
 
 def extract_rows(pages: DataFrame) -> DataFrame:
-    return _per_page(pages, lambda page, url: (tuple(r.values()) for r in page_rows(page, url)), ROW_SCHEMA)
+    """Every table row of every page, texts cleaned; absent texts stay null."""
+    raw = _per_page(pages, lambda page, url: (tuple(r.values()) for r in page_rows(page, url)), ROW_SCHEMA)
+    cleaned = lambda c: F.when(c.isNotNull(), text.clean_text(c))
+    each = lambda c: F.transform(c, lambda e: e.withField("text", text.clean_text(e["text"])))
+    return raw.withColumns(
+        {c: cleaned(F.col(c)) for c in ("row_text", "link_text", "link_title")} | {c: each(F.col(c)) for c in ("cells", "links")}
+    )
 
 
 def extract_containers(pages: DataFrame, cls: str) -> DataFrame:

@@ -73,7 +73,9 @@ def listing_items(details: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFram
         "|",
         *[F.coalesce(F.col(c), F.lit("")) for c in ("title", "course", "period", "vacancies")],
     )
-    fallback = F.substring(F.replace(text.fold_text(facts), F.lit(" "), F.lit("-")), 1, 160)
+    key = F.replace(text.fold_text(facts), F.lit(" "), F.lit("-"))
+    # a longer key keeps its beginning; the digest of the whole tells processes apart
+    fallback = text.let(key, lambda k: F.when(F.length(k) <= 160, k).otherwise(F.concat(F.substring(k, 1, 160), F.lit("-"), F.substring(F.sha2(k, 256), 1, 16))))
     staged = stage(
         details,
         dedupe_url=urls.dedupe_url(F.col("url"), F.coalesce(process, fallback)),

@@ -30,6 +30,8 @@ def get_spark(
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # Pages are wide: small Arrow batches keep Python workers within memory.
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+        # Character tables are literals of the plan: keep its printed form short.
+        .config("spark.sql.maxPlanStringLength", "262144")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from noticeflow.functions import text
@@ -103,32 +104,56 @@ def stream_pages(spark: SparkSession, path, max_files: int = 1000) -> DataFrame:
     )
 
 
+@F.pandas_udf(T.StringType())
+def _decode_declared(bodies: pd.Series, charsets: pd.Series) -> pd.Series:
+    """Bodies in the declared charset; an unknown one is read as UTF-8. Null bodies stay null."""
+
+    def decode(body, charset):
+        if body is None:
+            return None
+        try:
+            return bytes(body).decode(charset, "replace")
+        except LookupError:
+            return bytes(body).decode("utf-8", "replace")
+
+    return pd.Series([decode(b, c) for b, c in zip(bodies, charsets)], dtype=object)
+
+
+# Spellings of the charsets that Spark decodes itself.
+VAGUE = ("", "iso-8859-1", "latin-1", "latin1", "iso8859-1")
+WINDOWS = ("windows-1252", "cp1252")
+ASCII = ("us-ascii", "ascii")
+UTF8 = ("utf-8", "utf8")
+
+
 def decode_pages(pages: DataFrame) -> DataFrame:
     """Text of binary bodies: page_id, url, charset, body in, html added.
 
-    A missing or Latin-1 declaration is distrusted: valid UTF-8 wins, Latin-1 is the rest.
-    Undecodable bytes are replaced.
+    A missing or Latin-1 declaration is distrusted: valid UTF-8 wins, Latin-1 is the rest. Every
+    other declaration is honoured; what Spark has no decoder for goes through one Arrow batch
+    function, which gets only those bodies. Undecodable bytes are replaced.
     """
-    declared = F.lower(F.trim(F.coalesce("charset", F.lit(""))))
-    vague = declared.isin("", "iso-8859-1", "latin-1")
+    declared = F.regexp_replace(F.lower(F.coalesce("charset", F.lit(""))), "^[\\s\"']+|[\\s\"']+$", "")
+    vague = declared.isin(*VAGUE)
     as_utf8 = F.col("body").cast("string")
     latin = latin1_as_cp1252(F.decode("body", "ISO-8859-1"))
+    other = ~declared.isin(*VAGUE, *WINDOWS, *ASCII, *UTF8) & ~declared.startswith("utf-16")
     html = (
         F.when(vague & F.is_valid_utf8(as_utf8), as_utf8)
-        .when(vague | declared.isin("windows-1252", "cp1252"), latin)
-        .when(declared.isin("us-ascii", "ascii"), F.decode("body", "US-ASCII"))
+        .when(vague | declared.isin(*WINDOWS), latin)
+        .when(declared.isin(*ASCII), F.decode("body", "US-ASCII"))
         .when(declared.startswith("utf-16"), F.decode("body", "UTF-16"))
+        .when(other, _decode_declared(F.when(other, F.col("body")), declared))
         .otherwise(F.make_valid_utf8(as_utf8))
     )
     return pages.withColumn("html", html)
 
 
-def verify_files(spark: SparkSession, path, expected: DataFrame) -> DataFrame:
-    """Digest check of raw files; ``expected``: name, sha256, md5.  ok=false is a mismatch."""
-    files = spark.read.format("binaryFile").load(path)
+def verify_contents(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """Digests of (name, content) against ``expected`` (name, sha256, md5); ok=false is a mismatch."""
     digests = files.select(
-        F.substring_index("path", "/", -1).alias("name"),
-        F.col("length").alias("size"),
+        "name",
+        F.octet_length("content").cast("long").alias("size"),
         F.sha2("content", 256).alias("sha256"),
         F.md5("content").alias("md5"),
     )
@@ -140,3 +165,9 @@ def verify_files(spark: SparkSession, path, expected: DataFrame) -> DataFrame:
         "md5",
         (F.col("sha256").eqNullSafe(F.col("_s")) & F.col("md5").eqNullSafe(F.col("_m"))).alias("ok"),
     )
+
+
+def verify_files(spark: SparkSession, path, expected: DataFrame) -> DataFrame:
+    """Digest check of raw files, by file name."""
+    files = spark.read.format("binaryFile").load(path)
+    return verify_contents(files.select(F.substring_index("path", "/", -1).alias("name"), "content"), expected)

@@ -513,12 +513,13 @@ def _(t):
     return sinks.read_current(t.spark, table)
 
 
-@query("s10_verify_files")
-def _(t):
-    path = scratch_path(t.spark, "census")
-    t.sql(_CENSUS).write.option("sep", ";").csv(path)
-    files = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-    expected = materialize(files.select(
-        F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5")
-    ), "digests")
-    return readers.verify_files(t.spark, f"{path}/*.csv", expected)
+@query("s10_verify_files", """
+SELECT CAST(doc_id AS VARCHAR) AS name, octet_length(encode(text)) AS size, sha256(text) AS sha256, md5(text) AS md5,
+       doc_id % 3 = 0 AS ok
+FROM documents""")
+def _(t):
+    # digests as given: right ones for every third text, one stale digest for the next, none for the last
+    files = t.documents.select(F.col("doc_id").cast("string").alias("name"), F.encode("text", "UTF-8").alias("content"), (F.col("doc_id") % 3).alias("k"))
+    stale = F.when(F.col("k") == 1, F.encode(F.lit("old"), "UTF-8")).otherwise(F.col("content"))
+    expected = files.where("k < 2").select("name", F.sha2("content", 256).alias("sha256"), F.md5(stale).alias("md5"))
+    return readers.verify_contents(files.select("name", "content"), expected)

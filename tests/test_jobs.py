@@ -163,36 +163,30 @@ def test_publish_keeps_the_old_snapshot_on_conflict(spark):
     assert sinks.read_current(spark, f"{root}/none") is None
 
 
-def greedy(rows, limit):
-    """The sample rule over all candidates, one at a time."""
-    key = lambda r, open_: (r[1] not in open_, *r[2:])
-    every, chosen, ids, seen = {r[1] for r in rows}, [], set(), set()
-
-    def take(options, open_):
-        if options:
-            best = min(options, key=lambda r: key(r, open_))
-            if best[-1] not in ids and len(chosen) < limit:
-                chosen.append(best[-1]), ids.add(best[-1]), seen.add(best[1])
-
-    for region in sorted({r[0] for r in rows}):
-        take([r for r in rows if r[0] == region], every - seen)
-    for spider in sorted(every):
-        if spider not in seen:
-            take([r for r in rows if r[1] == spider and r[-1] not in ids], {spider})
-    return sorted(ids)
-
-
-@pytest.mark.parametrize("seed", range(4))
-def test_sample_matches_plain_greedy(spark, seed):
-    rng = random.Random(seed)
-    rows = [(f"r{rng.randint(1, 4)}", f"s{rng.randint(1, 6)}", rng.randint(0, 2), rng.randint(1, 3), rng.randint(1, 50), f"c{i}") for i in range(60)]
-    df = spark.createDataFrame(
-        [(str(n), reg, c, st, spi, p, "verified", "u") for reg, spi, st, p, n, c in rows],
-        "official_code string, region string, catalog_source_id string, status_rank int, spider string, priority_rank int, status string, url string",
-    ).withColumn("code_number", F.col("official_code").cast("decimal(38,0)"))
-    got = sorted(r["catalog_source_id"] for r in audit.sample_sources(df, 8).collect())
-    plain = [(reg, spi, st, p, n, str(n), c) for reg, spi, st, p, n, c in rows]
-    assert got == greedy(plain, 8)
+SAMPLE_SCHEMA = "official_code string, region string, catalog_source_id string, status_rank int, spider string, priority_rank int, status string, url string"
+
+
+def sampled(spark, rows, *args, **more):
+    full = [(str(n), reg, c, st, spi, p, "verified", "u") for reg, spi, st, p, n, c in rows]
+    df = spark.createDataFrame(full, SAMPLE_SCHEMA).withColumn("code_number", F.col("official_code").cast("decimal(38,0)"))
+    return [r["catalog_source_id"] for r in audit.sample_sources(df, *args, **more).collect()]
+
+
+def test_sample_prefers_new_extractors_then_fills_the_missing(spark):
+    rows = [
+        ("N", "x", 0, 1, 5, "n-best"), ("N", "y", 1, 1, 1, "n-other"),
+        ("S", "x", 0, 1, 1, "s-best"), ("S", "z", 1, 9, 9, "s-new"),
+        ("L", "x", 2, 1, 1, "l-only"), ("L", "x", 2, 2, 1, "l-worse"),
+    ]
+    assert sampled(spark, rows) == ["l-only", "n-other", "s-new"]
+    assert sampled(spark, rows, regions=["S", "N", "L"]) == ["s-best", "n-other", "l-only", "s-new"]
+    assert sampled(spark, rows, 2, regions=["S", "N", "L", "S"]) == ["s-best", "n-other"]
+    assert sampled(spark, rows, regions=["N"]) == ["n-best", "n-other"]
+
+
+def test_sample_of_many_extractors_is_cut_before_the_driver(spark):
+    rows = [("N", f"e{i:03d}", 0, 1, i, f"c{i}") for i in range(300)]
+    assert sampled(spark, rows, 4) == ["c0", "c1", "c2", "c3"]
 
 
 def test_duplicates_in_a_hot_group(spark):
