@@ -91,15 +91,19 @@ def link_registry(catalog: DataFrame, institutions: DataFrame, universe: DataFra
     # Several rows with one code: the last one read wins; the largest id stands for it.
     by_code = registry.filter("_c <> ''").groupBy("_c").agg(F.max("id").alias("_code"))
     codeless = registry.filter("_c = ''")
-    linked = rows.select("official_code", "catalog_order", "_c", "_i", "_s", "_n").join(
-        by_code, "_c", "left"
-    ).withColumn("_code", F.when(F.col("_c") != "", F.col("_code")))
+    # A row without a key gets a private one, so that blanks do not meet in one task.
+    alone = lambda valid: F.when(F.expr(valid), "").otherwise(F.col("catalog_order").cast("string"))
+    spread_join = lambda left, right, keys, valid: left.withColumn("_k", alone(valid)).join(
+        right.withColumn("_k", F.lit("")), [*keys, "_k"], "left"
+    ).drop("_k")
+    narrow = rows.select("official_code", "catalog_order", "_c", "_i", "_s", "_n")
+    linked = spread_join(narrow, by_code, ["_c"], "_c <> ''")
     for name, keys, valid in _FALLBACKS:
         singles = every.filter(valid).groupBy(*keys).agg(F.count("*").alias("_a")).filter("_a = 1")
         found = codeless.filter(valid).groupBy(*keys).agg(
             F.count("*").alias("_b"), F.min("id").alias(name)
         ).filter("_b = 1")
-        linked = linked.join(found.join(singles, keys).select(*keys, name), keys, "left")
+        linked = spread_join(linked, found.join(singles, keys).select(*keys, name), keys, valid)
     claims = linked.select(
         "official_code", "catalog_order",
         F.coalesce("_code", "_identity", "_initials", "_names").alias("registry_id"),

@@ -60,6 +60,12 @@ def normalize_items(items: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
+def drop_failed(items: DataFrame, page_status: DataFrame) -> DataFrame:
+    """Items of sources without an error: what a failed source gave is rolled back."""
+    failed = page_status.filter("error_message is not null").select("source_id").distinct()
+    return items.join(failed, "source_id", "left_anti")
+
+
 def new_notices(normalized: DataFrame, history: DataFrame) -> DataFrame:
     """Items neither known by fingerprint nor by (institution, URL); first item wins.
 

@@ -109,7 +109,12 @@ def notice_links(links: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
 
 def extract_generic(pages: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
     """Items of a page: page_id, pos, title, url, notice_type, description."""
-    kept = notice_links(extract_links(pages), lexicon)
+    return link_items(extract_links(pages), lexicon)
+
+
+def link_items(facts: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
+    """Items of pages whose links are extracted already."""
+    kept = notice_links(facts, lexicon)
     folded = stage(kept, _f=text.fold_text(F.concat_ws(" ", F.col("search_text"), F.col("context"))))
     described = (F.col("context") != "") & (F.col("context") != F.col("title"))
     return folded.select(

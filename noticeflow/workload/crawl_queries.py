@@ -349,9 +349,14 @@ def page_status(t):
 
 
 def runs_of(t):
-    return ingest.run_log(ingest.crawl_targets(t.src, t.inst), page_status(t), t.itm, fresh(t), _now())
+    healthy = ingest.normalize_items(ingest.drop_failed(t.itm, page_status(t)), t.src)
+    added = ingest.new_notices(healthy, t.hst)
+    return ingest.run_log(ingest.crawl_targets(t.src, t.inst), page_status(t), t.itm, added, _now())
 
 
+# A failed source is rolled back: it cannot take a notice from a healthy one.
+_HEALTHY = _FRESH.replace("FROM nrm", "FROM (SELECT * FROM nrm WHERE source_id NOT IN (SELECT id FROM src WHERE last_error_message IS NOT NULL))")
+
 _RUNS = f"""
 SELECT tg.id AS source_id, CASE WHEN tg.last_error_message IS NOT NULL THEN 'failed' ELSE 'completed' END AS status,
   CASE WHEN tg.last_error_message IS NOT NULL THEN 0 ELSE coalesce(f.n, 0) END AS items_found,
@@ -359,7 +364,7 @@ SELECT tg.id AS source_id, CASE WHEN tg.last_error_message IS NOT NULL THEN 'fai
   tg.last_error_message AS error_message
 FROM (SELECT src.id, src.last_error_message FROM src JOIN inst ON src.institution_id = inst.id WHERE src.is_active AND inst.is_active) tg
 LEFT JOIN (SELECT source_id, count(*) AS n FROM itm GROUP BY source_id) f ON f.source_id = tg.id
-LEFT JOIN (SELECT source_id, count(*) AS n FROM ({_FRESH}) GROUP BY source_id) w ON w.source_id = tg.id"""
+LEFT JOIN (SELECT source_id, count(*) AS n FROM ({_HEALTHY}) GROUP BY source_id) w ON w.source_id = tg.id"""
 
 
 @query("i06_run_log", _RUNS)

@@ -102,6 +102,34 @@ def test_crawl_job_runs_twice(spark):
     assert second.notices.count() == 0
 
 
+def test_crawl_job_reads_every_kind_of_source(spark):
+    kinds = {1: "x", 2: "WORDPRESS", 3: "PAGINATED_HTML", 4: "x", 5: "WORDPRESS"}
+    sources = spark.createDataFrame(
+        [(i, 7, f"s{i}", f"https://h{i}.example/", k, True) for i, k in kinds.items()],
+        "id long, institution_id long, name string, url string, source_type string, is_active boolean",
+    ).withColumns({c: F.lit(None).cast(t) for c, t in
+                   (("last_checked_at", "timestamp"), ("last_success_at", "timestamp"), ("last_error_message", "string"))})
+    institutions = spark.createDataFrame([(7, True)], "id long, is_active boolean")
+    shared = "<a href='https://all.example/n'>Edital comum</a>"
+    pages = spark.createDataFrame(
+        [(1, "https://h1.example/", "<a href='/a'>Edital A</a>" + shared), (2, "https://h2.example/", "<a href='/p1'>Edital de fora</a>"),
+         (3, "https://h3.example/", "<a href='/c'>Edital C</a><a rel='next' href='/2'>2</a>"), (4, "https://h4.example/", shared)],
+        "page_id long, url string, html string")
+    more = spark.createDataFrame([(-1, "https://h3.example/2", "<a href='/d'>Edital D</a>")], "page_id long, url string, html string")
+    payload = '[{"link":"/p1","title":{"rendered":"Edital P"},"excerpt":{"rendered":"x"}}]'
+    responses = spark.createDataFrame(
+        [(2, "https://h2.example/", 0, 200, payload), (5, "https://h5.example/", 0, 200, payload)],
+        "source_id long, url string, term_order int, status_code int, payload string")
+    status = spark.createDataFrame([(1, "broken"), (2, None), (3, None), (4, None), (5, "timeout")], "source_id long, error_message string")
+    history = spark.createDataFrame([], "institution_id long, normalized_url string, fingerprint string")
+    done = run_crawl(pages, status, sources, institutions, history, now(), responses=responses, more_pages=more)
+    assert {(r["source_id"], r["title"], r["url"]) for r in done.notices.collect()} == {
+        (2, "Edital P", "https://h2.example/p1"), (3, "Edital C", "https://h3.example/c"), (3, "Edital D", "https://h3.example/d"),
+        (4, "Edital comum", "https://all.example/n"), (5, "Edital P", "https://h5.example/p1")}
+    log = {r["source_id"]: (r["status"], r["items_found"], r["new_items"]) for r in done.runs.collect()}
+    assert log == {1: ("failed", 0, 0), 2: ("completed", 1, 1), 3: ("completed", 2, 2), 4: ("completed", 1, 1), 5: ("completed", 1, 1)}
+
+
 def test_stream_equals_batch(spark):
     root = scratch_path(spark, "stream-test")
     sources = spark.createDataFrame([(i, i % 2, f"https://h{i}.org/") for i in range(6)], "id long, institution_id long, url string")
