@@ -423,3 +423,12 @@ def test_platt_orders_scores():
     y = np.array([0, 0, 1, 1] * 20)
     a, b = learning.platt(y * 2.0 - 1 + np.linspace(-0.1, 0.1, 80), y)
     assert a > 0 and learning.sigmoid(a + b) > 0.8 > 0.2 > learning.sigmoid(b - a)
+
+
+def test_queries_equal_their_sql(spark):
+    from tests.oracle_compare import differences, duck
+
+    sf_dir = "/root/testdata/sf0.001"
+    con = duck(sf_dir)
+    for name, sql in queries.ORACLES.items():
+        assert differences(queries.QUERIES[name](spark, sf_dir), con, sql) is None
