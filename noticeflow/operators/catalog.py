@@ -274,7 +274,3 @@ def catalog_metadata(census: DataFrame, overlay: DataFrame, selected: DataFrame)
         (F.col("raw_total") + F.col("post_census_total")).alias("inventory_total"),
         "selected_inventory_total", "selected_coverage_target_total",
     )
-
-
-def manifest_dates(entries: DataFrame) -> DataFrame:
-    return entries.groupBy("region").agg(F.max("verified_at").alias("verified_at"))

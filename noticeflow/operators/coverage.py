@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from noticeflow.functions.staging import stage
-from noticeflow.functions.text import casefold, squash, squash_fold
+from noticeflow.functions.text import squash, squash_fold
 from noticeflow.functions.values import percent
 from noticeflow.operators.links import first_per_key
 from noticeflow.operators.queries import page
@@ -230,10 +230,6 @@ def coverage_breakdown(records: DataFrame, dims: dict = DIMENSIONS) -> DataFrame
     )
 
 
-def breakdown_order() -> list:
-    return ["dimension", casefold(F.col("key"))]
-
-
 def _eligible_sources(records: DataFrame, catalog_sources: DataFrame) -> DataFrame:
     return catalog_sources.join(records.filter("eligible").select("official_code"), "official_code", "left_semi")
 

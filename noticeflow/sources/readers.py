@@ -49,15 +49,6 @@ def _field(name: str, kind: str = "string") -> Column:
     return F.try_variant_get("doc", f"$.{name}", kind)
 
 
-def document_violations(docs: DataFrame) -> DataFrame:
-    """Root and version rules of catalog documents."""
-    kind = F.schema_of_variant("doc")
-    rule = F.when(~kind.startswith("OBJECT"), "root_not_object").when(
-        ~F.coalesce(_field("schema_version", "long") == 1, F.lit(False)), "schema_version"
-    )
-    return docs.select(_field("region").alias("region"), rule.alias("rule")).filter("rule is not null")
-
-
 def read_manifests(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
     """Manifest entries: region, verified_at, entry_pos, entry (variant)."""
     docs = read_documents(spark, path, multi_line)

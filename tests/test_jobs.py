@@ -78,6 +78,18 @@ def test_new_notices_match_brute_force(spark):
     assert {r["pos"] for r in got.collect()} == want
 
 
+def test_keywords_with_a_common_beginning(spark):
+    words = [f"chamada docente campus {n}" for n in range(400)]
+    notices = spark.createDataFrame(
+        [(i, 1, "edital", f"Chamada Docente CAMPUS {i} aberta", "x" if i % 2 else None) for i in range(0, 400, 7)],
+        "id long, institution_id long, notice_type string, title string, description string")
+    keywords = spark.createDataFrame([(w,) for w in words], "keyword string")
+    want = {(i, w) for i in range(0, 400, 7) for w in words if w in f"chamada docente campus {i} aberta"}
+    for limit in (0, 1000):
+        got = alerts.keyword_hits(notices, keywords, limit)
+        assert {(r["id"], r["keyword"]) for r in got.collect()} == want
+
+
 def test_crawl_job_runs_twice(spark):
     page = "<article><h2>Edital 1 de bolsas</h2><a href='e1.pdf'>Acesse aqui</a></article><a href='/edital-2?utm_a=1'>Edital 2</a>"
     sources = spark.createDataFrame(
