@@ -6,6 +6,9 @@ index with the postings of the trigrams that any query names; postings are joine
 and only the candidates meet the expression. A rule from which no trigram follows scans every
 document. The index of a slice lives in the task that reads it, so nothing is shuffled.
 
+A private key runs from its BEGIN line to the END line of the same label, or to the end of the text
+if none follows.
+
 Defined cases: null or empty text has no spans; repeated rows are scanned each; an empty table
 gives an empty result; other columns are kept by ``redact`` and ignored by ``find_secrets``.
 """
@@ -31,7 +34,7 @@ RULES = (
     ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, True),
     ("access", r"AKIA[A-Z0-9]+", 0, 16, True),
     ("hex", r"[0-9a-f]{32,}", 0, 32, True),
-    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0, False),
+    ("private_key", r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----[\s\S]*?(?:-----END \1-----|\Z)", 0, 0, False),
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0, False),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0, False),
     ("google", r"AIza[A-Za-z0-9_-]{35}", 0, 0, False),

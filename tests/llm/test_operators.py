@@ -302,6 +302,19 @@ def test_redaction_keeps_everything_else(spark):
     assert rows[0].n_chars == len(rows[0].text) and rows[0].extra == 1
 
 
+@pytest.mark.parametrize("label", ["RSA PRIVATE KEY", "PRIVATE KEY", "PGP PRIVATE KEY BLOCK"])
+def test_private_key_bodies_are_redacted(spark, label):
+    lines = ["MIIEowIBAAKCAQEAwJx", "", "q9Zk+/Tt0=="]
+    key = "\n".join([f"-----BEGIN {label}-----", *lines, f"-----END {label}-----"])
+    other = "-----BEGIN CERTIFICATE-----\nMIIB\n-----END CERTIFICATE-----"
+    texts = [f"before\n{key}\nafter {key} end", f"cut {key[:-20]}", f"secret: {key} tail", other]
+    rows = secrets.redact(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == ["before\n[private_key]\nafter [private_key] end", "cut [private_key]", "[assign] tail", other]
+    assert not any(line in r.text for r in rows[:3] for line in lines if line)
+    spans = [r.spans for r in secrets.find_secrets(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert spans[1] == f"private_key:4:{len(texts[1])}"
+
+
 # -- licences ----------------------------------------------------------------------------------
 
 
