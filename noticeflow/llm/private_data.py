@@ -6,6 +6,11 @@ network over its digits: alternating halves, a keyed SHA-256 as round function.
 gets the same pseudonym in every document, different values of a kind get different ones, and
 separators stay. E-mail addresses, which have no number format, get a keyed digest as local part.
 
+A card often stands beside other numbers (an expiry date, a security code, a leading number), so
+its digits are read in three steps, each on what the steps before left over: the usual groupings
+and whole runs of 13-19 digits, the other kinds, then any 13-19 digits between group boundaries.
+Only readings with a valid Luhn sum are cut out; a usual grouping is preferred to a longer run.
+
 Kinds: card (13-19 digits, Luhn; the check digit is made anew), phone (10 digits, country code
 kept), ip, ssn, date (year-month-day, day/month/year or month/day/year; permuted within its
 century block 1870-1969 or 1970-2069), email.
@@ -26,12 +31,23 @@ ROUNDS = 8
 PATTERNS = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
     ("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"),
-    ("date", r"(?<![0-9A-Za-z-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![0-9A-Za-z-])"),
+    ("date", r"(?<![0-9A-Za-z-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?=T[0-9]{2}|(?![0-9A-Za-z-]))"),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     ("card", r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"),
     ("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"),
 )
-ANY = "|".join(p for _, p in PATTERNS)
+OTHERS = "|".join(p for kind, p in PATTERNS if kind != "card")
+
+#: Ends of a card; a number in the local part of an e-mail address belongs to the address.
+_LEFT, _RIGHT = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z]|[A-Za-z0-9._%+-]*@)"
+#: At least 13 digits that stand together.
+DENSE = r"[0-9](?:[ -]?[0-9]){12}"
+#: 4-4-4-4, 4-6-5, 4-6-4 and undivided.
+GROUPED = rf"{_LEFT}(?=((?:[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{4,5}}|[0-9]{{13,19}}){_RIGHT}))"
+#: A run that no other digits touch.
+WHOLE = rf"{_LEFT}(?<![0-9][ -])([0-9](?:[ -]?[0-9]){{12,18}})(?![ -]?[0-9]|[A-Za-z]|[A-Za-z0-9._%+-]*@)"
+#: Every reading of one length that begins and ends with a group.
+READING = (rf"{_LEFT}(?=([0-9](?:[ -]?[0-9]){{", rf"}}{_RIGHT}))")
 
 
 def _text(value: str) -> str:
@@ -131,11 +147,47 @@ def pseudonym(m: str, key: str) -> str:
     return f"CASE {cases} ELSE {m} END"
 
 
+def _cut(value: str, pattern: str) -> str:
+    """Pieces of a text: gaps (p false) and what the pattern finds (p true)."""
+    gap, hit = "named_struct('p', false, 's', g)", "named_struct('p', true, 's', m)"
+    return f"flatten(zip_with(split({value}, {pattern}, -1), regexp_extract_all({value}, {pattern}, 0), (g, m) -> if(m IS NULL, array({gap}), array({gap}, {hit}))))"
+
+
+def _cut_cards(value: str, cards: str) -> str:
+    """Pieces of a text at the card numbers of a list."""
+    whole = f"array(named_struct('p', false, 's', {value}))"
+    pattern = f"concat({_text(_LEFT + '(?:')}, array_join(cards, '|'), {_text(')' + _RIGHT)})"
+    return _with("cards", cards, f"if(size(cards) = 0, {whole}, {_with('pattern', pattern, _cut(value, 'pattern'))})")
+
+
+def _valid(readings: str) -> str:
+    return f"filter(array_distinct({readings}), c -> {_with('d', _digits_of('c'), _luhn('d', 0) + ' % 10 = 0')})"
+
+
+def _digits_of(value: str) -> str:
+    return f"regexp_replace({value}, '[^0-9]', '')"
+
+
+def _plain_cards(value: str) -> str:
+    """Valid cards in a usual grouping, and valid whole runs that hold none of them."""
+    grouped, whole = (_valid(f"regexp_extract_all({value}, {_text(p)}, 1)") for p in (GROUPED, WHOLE))
+    return _with("grouped", grouped, f"concat(grouped, filter({whole}, w -> NOT exists(grouped, c -> w <> c AND contains(w, c)) AND NOT array_contains(grouped, w)))")
+
+
+def _other_cards(value: str) -> str:
+    """Valid cards between any two group boundaries, longest first."""
+    head, tail = map(_text, READING)
+    return _valid(f"flatten(transform(sequence(18, 12), k -> regexp_extract_all({value}, concat({head}, k, {tail}), 1)))")
+
+
 def pseudonymised(text: str, key: str) -> Column:
     """The text with every valid number, date and address replaced."""
-    found = f"regexp_extract_all({text}, {_text(ANY)}, 0)"
-    between = f"split({text}, {_text(ANY)}, -1)"
-    joined = f"array_join(flatten(zip_with({between}, {found}, (g, m) -> if(m IS NULL, array(g), array(g, {pseudonym('m', key)})))), '')"
+    dense = lambda value: f"{value} rlike {_text(DENSE)}"
+    whole = lambda value: f"array(named_struct('p', false, 's', {value}))"
+    plain = f"if({dense(text)}, {_cut_cards(text, _plain_cards(text))}, {whole(text)})"
+    others = f"flatten(transform({plain}, e -> if(e.p, array(e), {_cut('e.s', _text(OTHERS))})))"
+    rest = f"flatten(transform({others}, e -> if(NOT e.p AND {dense('e.s')}, {_cut_cards('e.s', _other_cards('e.s'))}, array(e))))"
+    joined = f"array_join(transform({rest}, e -> {_with('m', 'e.s', f'if(e.p, {pseudonym("m", key)}, m)')}), '')"
     return F.expr(f"CASE WHEN {text} rlike '[0-9@]' THEN {joined} ELSE {text} END")
 
 

@@ -417,6 +417,28 @@ def test_permutations_are_one_to_one(spark):
     assert len(set(made(spark, phones))) == len(phones)
 
 
+def test_cards_beside_other_numbers(spark):
+    card, amex = "4111 1111 1111 1111", "3782 822463 10005"
+    around = [f"card {card} 12/27", f"card {card} 123 end", f"order 12 {card}", f"id 123456 {card}", f"{card} 4111-1111-1111-1111", f"amex {amex} 1234", f"x 12 {amex}", "n 4111111111111111 12/27",
+              f"{card} 555-123-4567", f"555-123-4567 {card}", f"555 123 {card}", f"{card} 2024-02-29", f"2024-02-29 {card}", f"{card} 3x", "12 41 11 11 11 11 11 11 11"]
+    got = made(spark, [card, amex, *around, *(f"{card} {i:03d}" for i in range(40)), *(f"{i} {card}" for i in range(40))])
+    for shown, t in zip(got[2:], around, strict=False):
+        assert card not in shown and amex not in shown and "4111111111111111" not in shown and "4111-1111-1111-1111" not in shown and "41 11 11 11 11 11 11 11" not in shown
+        assert got[0] in shown if card in t else got[1] in shown if amex in t else True
+        assert "555-123-4567" not in shown and "2024-02-29" not in shown
+    assert got[2].endswith(" 12/27") and got[3].endswith(" 123 end") and got[4].startswith("order 12 ")
+    assert got[17:57] == [f"{got[0]} {i:03d}" for i in range(40)] and got[57:] == [f"{i} {got[0]}" for i in range(40)]
+    bad = ["4111 1111 1111 1112 12/27", "4111 1111 1111 1112 123", "a4111111111111111", "4111111111111111b"]
+    assert made(spark, bad) == bad
+    mail = made(spark, ["4111111111111111@mail.example.com"])[0]
+    assert re.fullmatch(r"u[0-9a-f]{12}@mail\.example\.com", mail)
+
+
+def test_dates_with_a_time(spark):
+    day, *times = made(spark, ["2024-02-29", "at 2024-02-29T10:00:00Z.", "2024-02-29T10:00", "2024-02-29Tue", "2024-02-29x"])
+    assert day != "2024-02-29" and times == [f"at {day}T10:00:00Z.", f"{day}T10:00", "2024-02-29Tue", "2024-02-29x"]
+
+
 # -- words -------------------------------------------------------------------------------------
 
 
