@@ -144,15 +144,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, literal:
     )
     # slots of one alignment: a value of the item that meets two values is inconsistent
     slots = pairs.select("doc_id", "item_id", "shift", "position", F.explode(F.arrays_zip("theirs", "ours")).alias("s")).select("doc_id", "item_id", "shift", "position", "s.*")
-    bad = (
-        slots.groupBy("doc_id", "item_id", "shift", "theirs").agg(F.min("ours").alias("low"), F.max("ours").alias("high"))
-        .groupBy("doc_id", "item_id", "shift").agg(F.avg((F.col("low") != F.col("high")).cast("double")).alias("clash"))
+    runs = (
+        slots.groupBy("doc_id", "item_id", "shift", "theirs").agg(F.min("ours").alias("low"), F.max("ours").alias("high"), F.collect_set("position").alias("at"))
+        .groupBy("doc_id", "item_id", "shift").agg(F.avg((F.col("low") != F.col("high")).cast("double")).alias("clash"), F.flatten(F.collect_list("at")).alias("at"))
+        .select("doc_id", "item_id", (F.col("clash") <= 0.2).alias("consistent"), F.array_distinct("at").alias("at"))
     )
-    runs = pairs.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("position").alias("n")).join(bad, ["doc_id", "item_id", "shift"], "left")
-    # an insertion or deletion changes the alignment: consistent alignments of a pair add up
+    # an insertion or deletion changes the alignment: a position of the item counts once, whichever consistent alignments cover it
     return (
-        runs.groupBy("doc_id", "item_id").agg(F.sum(F.when(F.coalesce("clash", F.lit(0.0)) <= 0.2, F.col("n")).otherwise(0)).alias("n"), F.max(F.coalesce("clash", F.lit(0.0)) <= 0.2).alias("consistent"))
-        .join(sizes.withColumnRenamed("id", "item_id"), "item_id").select("doc_id", "item_id", F.least(F.lit(1.0), F.col("n") / F.col("of")).alias("share"), "consistent")
+        runs.select("doc_id", "item_id", "consistent", F.explode("at").alias("position"))
+        .groupBy("doc_id", "item_id").agg(F.countDistinct(F.when(F.col("consistent"), F.col("position"))).alias("n"), F.max("consistent").alias("consistent"))
+        .join(sizes.withColumnRenamed("id", "item_id"), "item_id").select("doc_id", "item_id", (F.col("n") / F.col("of")).alias("share"), "consistent")
     )
 
 

@@ -381,6 +381,18 @@ def test_windows_equal_plain_ones():
     assert [t for t, _ in told] == ["<name>", "<num>", "<name>", "saw", "<num>", "<unit>", "of", "road-side", "", "trees", "and", "<qty>", "plums", "<name>", "<num>"]
 
 
+def shares(spark, texts, items):
+    rows = decontamination.matches(docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    return {(r.doc_id, r.item_id): r.share for r in rows}
+
+
+def test_repeated_passages_count_once(spark):
+    item = " ".join(f"w{c}" for c in "abcdefghijklmno")
+    line = " ".join(item.split()[:8])
+    got = shares(spark, [f"{line} / ".replace("/", f"x{i} y{i}") * 4 for i in range(2)] + [item, f"{line} new " + " ".join(item.split()[7:])], [item])
+    assert got == {(0, 0): 1 / 8, (1, 0): 1 / 8, (2, 0): 1.0, (3, 0): 2 / 8}
+
+
 # -- private data ------------------------------------------------------------------------------
 
 
