@@ -3,7 +3,10 @@
 A text becomes a sequence of template tokens: numbers, quantities, units and names (capitalised
 words) turn into typed placeholders, other words are lower-cased and lose their ASCII punctuation.
 Windows of ``WINDOW`` template tokens with at least ``LITERAL`` words are hashed and joined with
-the windows of the benchmark; a re-parameterised question keeps its templates. Then the slots are
+the windows of the benchmark; a re-parameterised question keeps its templates. Letter case decides
+what a name is, so each of these windows has a second key of lower-cased words (numbers, quantities
+and units typed, no names), which a copy in other case keeps; a position of the item counts once,
+whichever key meets it. Then the slots are
 checked: one value of the item must always meet the same value in the document, at one alignment
 of the two. A document is contaminated by an item if consistent windows cover ``COVERED`` of the
 item's windows.
@@ -22,6 +25,7 @@ from __future__ import annotations
 import re
 import string
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,9 @@ LITERAL = 4
 COVERED = 0.5
 BITS = 22
 
+#: Kinds of keys: template tokens; tokens of the lower-cased words, without names.
+TEMPLATE, BLIND = 0, 1
+
 #: Unit words and number words. Fixed values.
 UNITS = frozenset("mm cm m km inch inches foot feet ft yard yards mile miles g kg mg gram grams kilogram kilograms lb lbs pound pounds ounce ounces l ml liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent mph kmh degree degrees".split())
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million dozen".split())
@@ -64,60 +71,91 @@ def canonical(word: str) -> tuple[str, str]:
 
 
 class Templates:
-    """Template tokens of a slice and the hashes of their windows."""
+    """Tokens of a slice by kind of key, and the hashes of their windows."""
 
-    def __init__(self, text: pa.Array, size: int, literal: int, short: bool = False) -> None:
+    def __init__(self, text: pa.Array) -> None:
         words = split(text)
         told = [canonical(w) for w in words.vocabulary]
-        code = np.fromiter((xxhash.xxh3_64_intdigest(t) for t, _ in told), np.uint64, len(told))
+        blind = [t if (low := w.lower()) == w else canonical(low) for w, t in zip(words.vocabulary, told, strict=True)]
         real = np.fromiter((bool(t) for t, _ in told), bool, len(told))
-        slot = np.fromiter((bool(v) for _, v in told), np.int64, len(told))
         keep = real[words.ids] if len(words.ids) else np.zeros(0, bool)
         self.starts = np.concatenate(([0], np.cumsum(keep)))[words.starts]
-        self.ids, self.values = words.ids[keep], [v for _, v in told]
-        lengths = np.diff(self.starts)
-        sizes = np.minimum(lengths, size) if short else np.full(len(lengths), size)
-        counts = np.maximum(lengths - sizes + 1, 0) * (sizes > 0)
-        self.sizes = sizes
-        self.doc = np.repeat(np.arange(len(lengths)), counts)
-        self.position = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = self.position + self.starts[self.doc]
+        self.lengths = np.diff(self.starts)
+        self.ids = words.ids[keep]
+        self.kinds = {TEMPLATE: told, BLIND: blind}
+
+    def windows(self, kind: int, sizes: np.ndarray, literal: int) -> Windows:
+        """Windows of ``sizes[d]`` tokens of every text d, and whether they hold enough words."""
+        told = self.kinds[kind]
+        code = np.fromiter((xxhash.xxh3_64_intdigest(t) for t, _ in told), np.uint64, len(told))
+        slot = np.fromiter((bool(v) for _, v in told), np.int64, len(told))
+        counts = np.maximum(self.lengths - sizes + 1, 0) * (sizes > 0)
+        doc = np.repeat(np.arange(len(self.lengths)), counts)
+        position = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        at, own = position + self.starts[doc], sizes[doc]
         codes, slots = code[self.ids], np.concatenate(([0], np.cumsum(slot[self.ids])))
-        own = sizes[self.doc]
-        total = np.zeros(len(at), np.uint64)
-        for k in range(size):
-            inside = own > k
+        total = np.full(len(at), kind, np.uint64)
+        for k in range(int(own.max()) if len(own) else 0):
+            inside = slice(None) if (own > k).all() else own > k
             step = codes[at[inside] + k]
             total[inside] = mix((total[inside] ^ step) * np.uint64(0x9E3779B97F4A7C15))
         literals = own - (slots[at + own] - slots[at]) if len(at) else np.zeros(0, np.int64)
-        # a window of its own length for short items; short texts never meet it by chance
-        ok = literals >= np.minimum(literal, own)
-        self.doc, self.position, self.at, self.hashes = self.doc[ok], self.position[ok], at[ok], total[ok]
+        # a window of its own length for short items
+        return Windows(doc, position, at, own, total, literals >= np.minimum(literal, own))
+
+    def slots(self, kind: int, at: int, own: int) -> str:
+        """Values of the placeholders of a window, joined."""
+        told = self.kinds[kind]
+        return "\x1f".join(v for i in self.ids[at : at + own] if (v := told[i][1]))
+
+
+class Windows(NamedTuple):
+    doc: np.ndarray
+    position: np.ndarray
+    at: np.ndarray
+    own: np.ndarray
+    hashes: np.ndarray
+    rich: np.ndarray
+
+
+def _rows(rows: pa.RecordBatch, key: str, found: Templates, kind: int, w: Windows, pick: np.ndarray) -> pa.RecordBatch:
+    ids = rows.column(key).cast(pa.int64()).take(pa.array(w.doc[pick]))
+    told = [found.slots(kind, a, n) for a, n in zip(w.at[pick].tolist(), w.own[pick].tolist(), strict=True)]
+    return pa.record_batch(
+        [ids, pa.array(w.position[pick], pa.int64()), pa.array(w.hashes[pick].view(np.int64)), pa.array(told, pa.string()), pa.array(np.full(len(pick), kind), pa.int32()), pa.array(w.own[pick], pa.int32())],
+        ["id", "position", "hash", "slots", "kind", "size"],
+    )
+
+
+def _item_windows(size: int, literal: int):
+    """Keys of the items: template and case-blind windows at the positions with enough words."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, text in slices(batches):
+            found = Templates(text)
+            sizes = np.minimum(found.lengths, size)
+            pick = np.flatnonzero(found.windows(TEMPLATE, sizes, literal).rich)
+            for kind in (TEMPLATE, BLIND):
+                yield _rows(rows, "id", found, kind, found.windows(kind, sizes, literal), pick)
+
+    return cut
 
-    def slots(self, k: int) -> str:
-        """Values of the placeholders of window k, joined."""
-        a = self.at[k]
-        return "\x1f".join(v for i in self.ids[a : a + self.sizes[self.doc[k]]] if (v := self.values[i]))
 
+def _document_windows(keys: list[tuple[int, int]], literal: int, bitmap: np.ndarray):
+    """Windows of the (kind, size) that the benchmark holds, thinned by its bitmap."""
 
-def _windows(key: str, size: int, literal: int, short: bool, bitmap: np.ndarray | None):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, text in slices(batches):
-            found = Templates(text, size, literal, short)
-            pick = np.arange(len(found.hashes))
-            if bitmap is not None:
-                low = (found.hashes >> np.uint64(64 - BITS)).astype(np.int64)
-                pick = np.flatnonzero((bitmap[low >> 3] >> (low & 7)) & 1)
-            ids = rows.column(key).cast(pa.int64()).take(pa.array(found.doc[pick]))
-            yield pa.record_batch(
-                [ids, pa.array(found.position[pick], pa.int64()), pa.array(found.hashes[pick].view(np.int64)), pa.array([found.slots(k) for k in pick], pa.string())],
-                ["id", "position", "hash", "slots"],
-            )
+            found = Templates(text)
+            for kind, size in keys:
+                w = found.windows(kind, np.full(len(found.lengths), size), literal)
+                low = (w.hashes >> np.uint64(64 - BITS)).astype(np.int64)
+                yield _rows(rows, "doc_id", found, kind, w, np.flatnonzero((bitmap[low >> 3] >> (low & 7)) & w.rich))
 
     return cut
 
 
-_WINDOW_SCHEMA = "id long, position long, hash long, slots string"
+_WINDOW_SCHEMA = "id long, position long, hash long, slots string, kind int, size int"
 
 
 def _bitmap(windows: DataFrame) -> np.ndarray:
@@ -133,10 +171,11 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, literal: int = LITERAL) -> DataFrame:
     """(doc_id, item_id, share, consistent) of every document and item that share a template window."""
     items = benchmark.select(F.col("item_id").alias("id"), "text").where("id IS NOT NULL")
-    item_windows = items.mapInArrow(_windows("id", size, literal, True, None), _WINDOW_SCHEMA)
+    item_windows = items.mapInArrow(_item_windows(size, literal), _WINDOW_SCHEMA)
     bits = _bitmap(item_windows)
+    keys = [(TEMPLATE, size), (BLIND, size)]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    found = texts.mapInArrow(_windows("doc_id", size, literal, False, bits), _WINDOW_SCHEMA)
+    found = texts.mapInArrow(_document_windows(keys, literal, bits), _WINDOW_SCHEMA)
     sizes = item_windows.groupBy("id").agg(F.countDistinct("position").alias("of"))
     pairs = found.alias("d").join(item_windows.alias("b"), "hash").select(
         F.col("d.id").alias("doc_id"), F.col("b.id").alias("item_id"), (F.col("d.position") - F.col("b.position")).alias("shift"),

@@ -393,6 +393,13 @@ def test_repeated_passages_count_once(spark):
     assert got == {(0, 0): 1 / 8, (1, 0): 1 / 8, (2, 0): 1.0, (3, 0): 2 / 8}
 
 
+def test_copies_in_other_case(spark):
+    item = "The Heatou of Marlin meets 12 people. Alice asks the old keeper whether 5 km are enough. Bob says that nobody knows"
+    texts = [f"x y {t} z" for t in (item, item.upper(), item.lower(), item.title(), item.swapcase())]
+    other = "THE HEATOU OF NOWHERE MEETS NO PEOPLE AT ALL AND ALICE ASKS THE YOUNG KEEPER WHETHER ANYTHING IS ENOUGH"
+    assert shares(spark, [*texts, other], [item]) == {(i, 0): 1.0 for i in range(5)}
+
+
 # -- private data ------------------------------------------------------------------------------
 
 
