@@ -14,8 +14,12 @@ item's windows.
 Documents' windows are filtered in the scan by a bitmap of the benchmark's window hashes, a fixed
 ``2 ** BITS`` bits whatever the benchmark's size, so that only what may match is shuffled.
 
-Defined cases: null or empty text and texts shorter than a window match nothing (a benchmark item
-shorter than a window is one window of its own length); repeated items are one item each; an empty
+An item shorter than a window is one window of its own length; documents are cut by every length that
+the benchmark holds. An item none of whose windows has ``LITERAL`` words (rich in names and numbers)
+is matched by the exact words and values of its windows, in any case.
+
+Defined cases: null or empty text matches nothing, nor does a text shorter than every window of the
+benchmark; repeated items are one item each; an empty
 documents table gives an empty result, an empty benchmark contaminates nothing; other columns are
 kept by ``drop_contaminated`` and ignored otherwise. Rows without doc_id match nothing.
 """
@@ -40,8 +44,8 @@ LITERAL = 4
 COVERED = 0.5
 BITS = 22
 
-#: Kinds of keys: template tokens; tokens of the lower-cased words, without names.
-TEMPLATE, BLIND = 0, 1
+#: Kinds of keys: template tokens; tokens of the lower-cased words, without names; these words and values.
+TEMPLATE, BLIND, EXACT = 0, 1, 2
 
 #: Unit words and number words. Fixed values.
 UNITS = frozenset("mm cm m km inch inches foot feet ft yard yards mile miles g kg mg gram grams kilogram kilograms lb lbs pound pounds ounce ounces l ml liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent mph kmh degree degrees".split())
@@ -82,7 +86,7 @@ class Templates:
         self.starts = np.concatenate(([0], np.cumsum(keep)))[words.starts]
         self.lengths = np.diff(self.starts)
         self.ids = words.ids[keep]
-        self.kinds = {TEMPLATE: told, BLIND: blind}
+        self.kinds = {TEMPLATE: told, BLIND: blind, EXACT: [(v or t, "") for t, v in blind]}
 
     def windows(self, kind: int, sizes: np.ndarray, literal: int) -> Windows:
         """Windows of ``sizes[d]`` tokens of every text d, and whether they hold enough words."""
@@ -128,15 +132,20 @@ def _rows(rows: pa.RecordBatch, key: str, found: Templates, kind: int, w: Window
 
 
 def _item_windows(size: int, literal: int):
-    """Keys of the items: template and case-blind windows at the positions with enough words."""
+    """Keys of the items: template and case-blind windows at the positions with enough words.
+
+    An item without such a position has exact keys at all positions.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, text in slices(batches):
             found = Templates(text)
             sizes = np.minimum(found.lengths, size)
-            pick = np.flatnonzero(found.windows(TEMPLATE, sizes, literal).rich)
-            for kind in (TEMPLATE, BLIND):
-                yield _rows(rows, "id", found, kind, found.windows(kind, sizes, literal), pick)
+            plain = found.windows(TEMPLATE, sizes, literal)
+            pick = np.flatnonzero(plain.rich)
+            poor = np.flatnonzero(~np.isin(plain.doc, plain.doc[pick]))
+            for kind, chosen in ((TEMPLATE, pick), (BLIND, pick), (EXACT, poor)):
+                yield _rows(rows, "id", found, kind, found.windows(kind, sizes, literal), chosen)
 
     return cut
 
@@ -173,7 +182,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, literal:
     items = benchmark.select(F.col("item_id").alias("id"), "text").where("id IS NOT NULL")
     item_windows = items.mapInArrow(_item_windows(size, literal), _WINDOW_SCHEMA)
     bits = _bitmap(item_windows)
-    keys = [(TEMPLATE, size), (BLIND, size)]
+    keys = sorted((r["kind"], r["size"]) for r in item_windows.select("kind", "size").distinct().collect())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     found = texts.mapInArrow(_document_windows(keys, literal, bits), _WINDOW_SCHEMA)
     sizes = item_windows.groupBy("id").agg(F.countDistinct("position").alias("of"))

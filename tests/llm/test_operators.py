@@ -400,6 +400,16 @@ def test_copies_in_other_case(spark):
     assert shares(spark, [*texts, other], [item]) == {(i, 0): 1.0 for i in range(5)}
 
 
+def test_short_items_and_items_without_words(spark):
+    names = "Alice Bob Carol Dave Erin Frank 12 km 13 km Grace Heidi"
+    items = ["What is the capital of France?", "tiny item", names, "Ivan 77"]
+    texts = ["so: what is the capital of france? yes", "a tiny item here", "What is the capital", f"list {names.upper()} end", "Alice Bob Carol Dave Erin Frank 12 km 99 km Grace Heidi",
+             "ask IVAN 77 now", "ask Ivan 78 now", "Judy Bob Carol Dave Erin Frank 5 km 6 km Grace Judy", "tiny", None]
+    assert shares(spark, texts, items) == {(0, 0): 1.0, (1, 1): 1.0, (3, 2): 1.0, (4, 2): 1 / 5, (5, 3): 1.0}
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {r.doc_id for r in decontamination.contaminated(docs(spark, texts), table).collect()} == {0, 1, 3, 5}
+
+
 # -- private data ------------------------------------------------------------------------------
 
 
