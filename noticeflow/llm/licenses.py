@@ -3,7 +3,9 @@
 The automaton holds every run of words of every template. A text is streamed through it: after
 each word it gives the longest run of template words that ends there (matching statistics). Runs
 that cannot grow are chained per label, in the order of text and template, into covered spans; the
-covered share of the template is the score. The base phrases are states of the same automaton: a
+covered share of the template is the score. Siblings (``FAMILIES``) share most words: a span counts if
+it holds exactly those telling words that its template has, and where siblings overlap the best covered
+one stays. Base phrases are labels as they are ("general public license" in an LGPL text, too). The base phrases are states of the same automaton: a
 phrase stands at a word if its state is an ancestor of the current one. Words that cannot start or
 continue a long run (their pair with the next word is in no template) are skipped by a table
 lookup, so only a small part of a text is streamed in Python.
@@ -38,11 +40,34 @@ TEMPLATES = (
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("cc-by", "Licensed under CC BY 4.0."),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nd", "Licensed under CC BY-ND 4.0."),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0."),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("cc-by-nc-nd", "Licensed under CC BY-NC-ND 4.0."),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("cc0", "Licensed under CC0 1.0 Universal."),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("lgpl", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("agpl", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 LEAST = 5  # words of a run that counts
 GAP = 16  # words that may stand between two runs of a chain
 COVERED = 0.6  # share of a template that names its label
 
+#: Licences that share most of their words, and the words that tell them apart. Fixed values.
+FAMILIES = (
+    ({"cc-by", "cc-by-sa", "cc-by-nd", "cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd"}, ("noncommercial", "nc", "sharealike", "sa", "noderivatives", "nd")),
+    ({"gpl", "lgpl", "agpl"}, ("lesser", "affero")),
+)
+
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label: string, start: long, stop: long, share: double>>"
 
 _TO_WORDS = np.array([c if chr(c).isdigit() or c >= 0x80 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)], np.uint8)
@@ -89,6 +114,10 @@ class Automaton:
             for t, i in self.ends[v].items():
                 self.ends[self.link[v]].setdefault(t, i)
         size = len(self.number) + 1
+        telling = [next((words for labels, words in FAMILIES if label in labels), ()) for label in self.labels]
+        self.family = [next((k for k, (labels, _) in enumerate(FAMILIES) if label in labels), -1) for label in self.labels]
+        self.told = [{self.number[w] for w in words if w in self.number} for words in telling]
+        self.needs = [told & set(self._numbers(text)) for told, (_, text) in zip(self.told, templates, strict=True)]
         self.pair = np.zeros((size, size), bool)
         for a, b in pairs:
             self.pair[a, b] = True
@@ -158,14 +187,14 @@ class Automaton:
         return said, runs
 
 
-def chains(automaton: Automaton, runs: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-    """(label, start, stop, share of the template) of chained runs, in the order of the text."""
+def chains(automaton: Automaton, runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
+    """(template, start, stop, share of the template) of chained runs."""
     open_: dict[int, list[int]] = {}
     found = []
 
     def close(t: int) -> None:
         start, stop, _, words = open_.pop(t)
-        found.append((automaton.labels[t], start, stop, min(1.0, words / automaton.sizes[t])))
+        found.append((t, start, stop, min(1.0, words / automaton.sizes[t])))
 
     for start, stop, state in runs:
         for t, end in automaton.ends[state].items():
@@ -181,7 +210,18 @@ def chains(automaton: Automaton, runs: list[tuple[int, int, int]]) -> list[tuple
                 open_[t] = [start, stop, end, stop - start]
     for t in list(open_):
         close(t)
-    return sorted(found, key=lambda c: (c[1], c[2], c[0]))
+    return found
+
+
+def named(automaton: Automaton, runs: list[tuple[int, int, int]], ids: np.ndarray, covered: float) -> list[tuple[str, int, int, float]]:
+    """(label, start, stop, share) of the spans that name a label, in the order of the text."""
+    kept: list[tuple[int, int, int, float]] = []
+    found = [c for c in chains(automaton, runs) if c[3] >= covered and automaton.told[c[0]].intersection(ids[c[1] : c[2]].tolist()) == automaton.needs[c[0]]]
+    for t, start, stop, share in sorted(found, key=lambda c: (-c[3], c[1] - c[2], c[1], c[0])):
+        siblings = (k for k in kept if automaton.family[k[0]] == automaton.family[t] >= 0 and automaton.labels[k[0]] != automaton.labels[t])
+        if not any(start < k[2] and k[1] < stop for k in siblings):
+            kept.append((t, start, stop, share))
+    return sorted(((automaton.labels[t], *rest) for t, *rest in kept), key=lambda c: (c[1], c[2], c[0]))
 
 
 def _scan(templates, phrases, covered):
@@ -208,7 +248,7 @@ def _scan(templates, phrases, covered):
                     runs[d] += [(x + lead, y + lead, v) for x, y, v in r]
             columns: list[list] = [[] for _ in range(7)]
             for d in range(n):
-                chained = [c for c in chains(automaton, runs[d]) if c[3] >= covered] if runs[d] else []
+                chained = named(automaton, runs[d], ids[words.starts[d] : words.starts[d + 1]], covered) if runs[d] else []
                 base = {automaton.phrases[k][0] for _, k in said[d]}
                 places = [i for i, _ in said[d]]
                 phrase = max((len(automaton.phrases[k][1]) / min(s for s, t in zip(automaton.sizes, automaton.labels, strict=True) if t == automaton.phrases[k][0]) for _, k in said[d]), default=0.0)

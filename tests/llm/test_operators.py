@@ -353,6 +353,21 @@ def test_licence_templates_are_covered(spark):
     assert rows[-1].labels == "" and rows[-1].score == 0.0
 
 
+def test_sibling_licences_are_told_apart(spark):
+    cc = "This work is licensed under a Creative Commons {} International License"
+    told = {
+        cc.format("Attribution 4.0"): "cc-by", cc.format("Attribution 3.0"): "cc-by", cc.format("Attribution-ShareAlike 4.0"): "cc-by-sa", cc.format("Attribution-NonCommercial 4.0"): "cc-by-nc",
+        cc.format("Attribution-NonCommercial 3.0"): "cc-by-nc", cc.format("Attribution-NonCommercial-ShareAlike 4.0"): "cc-by-nc-sa", cc.format("Attribution-NoDerivatives 4.0"): "cc-by-nd",
+        "Licensed under CC BY 4.0": "cc-by", "Licensed under CC BY-SA 4.0": "cc-by-sa", "Licensed under CC BY-NC 4.0": "cc-by-nc", "Licensed under CC0 1.0 Universal": "cc0",
+        "This work is licensed under the GNU Lesser General Public License, version 3": "lgpl", "This work is licensed under the GNU Affero General Public License, version 3": "agpl",
+        "This work is licensed under the GNU General Public License, version 3": "gpl", **{t: label for label, t in licenses.TEMPLATES},
+    }
+    rows = licenses.license_scan(docs(spark, [f"a b {t} c d" for t in told])).orderBy("doc_id").collect()
+    for r, (t, label) in zip(rows, told.items(), strict=True):
+        assert {s.label for s in r.spans} == {label}, t
+        assert set(r.labels.split(",")) == {label} | set(filter(None, r.base_labels.split(",")))
+
+
 # -- decontamination ---------------------------------------------------------------------------
 
 QUESTION = "Alice has 12 apples and gives 5 apples to Bob before she walks 3 km home to count how many apples Alice still has"
