@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import decontamination, licenses, pieces, private_data, quality, secrets, toxicity, url_filters
+from noticeflow.llm import decontamination, licenses, pieces, private_data, quality, resampling, secrets, toxicity, url_filters
 from noticeflow.llm import near_duplicates as near
 
 PIECES = os.environ.get("PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -65,11 +65,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_ngram_jaccard_join, op3_toxicity, op4_token_counts, op5_sentencepiece,
         op6_secret_scans, op7_pii, op8_license_scans, op9_quality_rules, op10_decontamination,
+        op11_importance_resampling,
     )
 }
 
