@@ -2,11 +2,11 @@
 
 from pyspark import cloudpickle
 
-from noticeflow.functions import text, urls
+from noticeflow.functions import folding, text, urls
 from noticeflow.operators import audit, html
 from noticeflow.sources import readers
 
 # Helpers that run inside Python tasks travel with the task, so executors need no
 # installed copy of this package.
-for _module in (text, urls, html, audit, readers):
+for _module in (folding, text, urls, html, audit, readers):
     cloudpickle.register_pickle_by_value(_module)

@@ -1,13 +1,13 @@
-"""Text functions as native column expressions (no Python on the data path)."""
+"""Text functions as column expressions; folding sends rows beyond ASCII through a table pass."""
 
 from __future__ import annotations
 
 import html.entities
-import unicodedata
 from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
 
+from noticeflow.functions import folding
 from noticeflow.lexicon import PORTUGUESE, Lexicon, TYPE_ALIASES
 
 # Unicode white space plus the four ASCII separators.
@@ -25,121 +25,34 @@ def squash(col: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(col, F.lit("")), WHITESPACE, " "))
 
 
-def _ranges(codes) -> str:
-    """Regular expression class of code points beyond ASCII."""
-    parts, codes = [], sorted(codes)
-    start = last = codes[0]
-    for code in [*codes[1:], None]:
-        if code is not None and code == last + 1:
-            last = code
-            continue
-        parts.append(chr(start) if start == last else f"{chr(start)}-{chr(last)}")
-        start = last = code
-    return "[" + "".join(parts) + "]"
-
-
-# Hangul syllables are composed by rule: first code, vowels and finals per syllable, code bases.
-_HANGUL, _VOWELS, _FINALS = 0xAC00, 21, 28
-_LEADS_AT, _VOWELS_AT, _FINALS_AT = 0x1100, 0x1161, 0x11A7
-_LAST_HANGUL = 0xD7A3
-
-
-def _jamo(piece: Column) -> Column:
-    """A Hangul syllable taken apart."""
-    number = F.ascii(piece) - _HANGUL
-    spell = lambda code: F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    final = number % _FINALS
-    return F.concat(
-        spell(F.floor(number / (_VOWELS * _FINALS)) + _LEADS_AT),
-        spell(F.floor(number % (_VOWELS * _FINALS) / _FINALS) + _VOWELS_AT),
-        F.when(final > 0, spell(final + _FINALS_AT)).otherwise(""),
-    )
-
-
-def _map_characters(col: Column, table: dict[str, str], hangul: bool = False) -> Column:
-    """Replace characters by one or several others.
-
-    Single letters go through one ``translate``. A character with a longer text is cut out and put
-    together from one ``translate`` per place, so every lookup is a hash lookup.
-    """
-    single = {c: r for c, r in table.items() if len(r) == 1}
-    several = {c: r for c, r in table.items() if len(r) > 1}
-    codes = [*map(ord, several), *(range(_HANGUL, _LAST_HANGUL + 1) if hangul else ())]
-    wide = _ranges(codes)
-
-    def place(piece: Column, k: int) -> Column:
-        longer = [c for c in several if len(several[c]) > k]
-        return F.nullif(F.translate(piece, "".join(longer), "".join(several[c][k] for c in longer)), piece)
-
-    def expand(piece: Column) -> Column:
-        made = F.coalesce(F.nullif(F.concat_ws("", *(place(piece, k) for k in range(max(map(len, several.values()))))), F.lit("")), piece)
-        if hangul:
-            made = F.when(F.ascii(piece).between(_HANGUL, _LAST_HANGUL), _jamo(piece)).otherwise(made)
-        return F.when(F.length(piece) == 1, made).otherwise(piece)
-
-    def cut(text: Column) -> Column:
-        pieces = F.split(text, f"(?={wide})|(?<={wide})")
-        return F.when(text.rlike(wide), F.array_join(F.transform(pieces, expand), "")).otherwise(text)
-
-    return let(F.translate(col, "".join(single), "".join(single.values())), cut)
-
-
-def _all_characters():
-    return (chr(code) for code in range(0x80, 0x110000) if not 0xD800 <= code <= 0xDFFF)
-
-
-@lru_cache(maxsize=1)
-def _folds() -> dict[str, str]:
-    """Every character whose full case fold differs from it."""
-    capitals = map(chr, range(ord("A"), ord("Z") + 1))
-    return {c: c.casefold() for c in (*capitals, *_all_characters()) if c.casefold() != c}
-
-
 def casefold(col: Column) -> Column:
-    """Full Unicode case folding; ASCII rows are only lower-cased."""
-    return let(col, lambda c: F.when(c.rlike(NON_ASCII), _map_characters(c, _folds())).otherwise(F.lower(c)))
+    """Full Unicode case folding."""
+    return folding.by_table(col, "case", F.lower(col))
 
 
 def squash_fold(col: Column) -> Column:
-    return casefold(squash(col))
+    text = F.coalesce(col, F.lit(""))
+    return folding.by_table(text, "squash_case", F.lower(squash(col)), squash=True)
 
 
 def normalize_title(col: Column) -> Column:
     return F.lower(squash(col))
 
 
-@lru_cache(maxsize=1)
-def _decompositions() -> tuple[dict[str, str], str]:
-    """(base letters of every character under NFKD, class of the marks to drop).
-
-    From the Unicode database, all planes, Hangul by rule; a mark is a character with a combining class, or one
-    made of such characters only.
-    """
-    bases, marks = {}, []
-    for char in _all_characters():
-        if _HANGUL <= ord(char) <= _LAST_HANGUL:
-            continue
-        if unicodedata.combining(char):
-            marks.append(ord(char))
-            continue
-        base = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
-        if not base:
-            marks.append(ord(char))
-        elif base != char:
-            bases[char] = base
-    return bases, _ranges(marks)
-
-
 def strip_marks(col: Column) -> Column:
-    """Compatibility-decompose and drop combining marks; ASCII rows skip the work."""
-    bases, marks = _decompositions()
-    plain = lambda c: F.regexp_replace(_map_characters(c, bases, hangul=True), marks, "")
-    return let(col, lambda c: F.when(c.rlike(NON_ASCII), plain(c)).otherwise(c))
+    """Compatibility-decompose and drop combining marks."""
+    return folding.by_table(col, "marks", col)
 
 
 def fold_text(col: Column) -> Column:
     """Accent-free lower-case text with white space collapsed; null becomes ''."""
-    return squash(F.lower(strip_marks(F.coalesce(col, F.lit("")))))
+    text = F.coalesce(col, F.lit(""))
+    return folding.by_table(text, "fold", squash(F.lower(text)), squash=True)
+
+
+def fold_texts(col: Column) -> Column:
+    """``fold_text`` of every element of an array of texts, none of them null."""
+    return folding.lists_by_table(col, "fold", squash=True)
 
 
 @lru_cache(maxsize=1)
@@ -263,7 +176,7 @@ def has_keyword_folded(folded: Column, lexicon: Lexicon = PORTUGUESE) -> Column:
 
 
 def has_keyword(col: Column, lexicon: Lexicon = PORTUGUESE) -> Column:
-    return let(fold_text(col), lambda folded: has_keyword_folded(folded, lexicon))
+    return has_keyword_folded(fold_text(col), lexicon)
 
 
 def infer_notice_type_folded(folded: Column, lexicon: Lexicon = PORTUGUESE) -> Column:
@@ -276,7 +189,7 @@ def infer_notice_type_folded(folded: Column, lexicon: Lexicon = PORTUGUESE) -> C
 
 
 def infer_notice_type(col: Column, lexicon: Lexicon = PORTUGUESE) -> Column:
-    return let(fold_text(col), lambda folded: infer_notice_type_folded(folded, lexicon))
+    return infer_notice_type_folded(fold_text(col), lexicon)
 
 
 def normalize_notice_type(col: Column) -> Column:
@@ -288,12 +201,14 @@ def normalize_notice_type(col: Column) -> Column:
 
 def identity_token(col: Column) -> Column:
     """Letters and digits only, accent- and case-free."""
-    return casefold(F.regexp_replace(strip_marks(F.coalesce(col, F.lit(""))), r"[^\p{L}\p{N}]", ""))
+    text = F.coalesce(col, F.lit(""))
+    return folding.by_table(text, "token", F.regexp_replace(F.lower(text), "[^a-z0-9]", ""))
 
 
 def slug(col: Column, limit: int = 48, default: str = "source") -> Column:
-    ascii_text = F.lower(F.regexp_replace(strip_marks(F.coalesce(col, F.lit(""))), NON_ASCII, ""))
-    text = F.regexp_replace(F.regexp_replace(ascii_text, "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    text = F.coalesce(col, F.lit(""))
+    words = folding.by_table(text, "slug", F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), squash=True)
+    text = F.translate(words, " ", "-")
     return F.coalesce(F.nullif(F.substring(text, 1, limit), F.lit("")), F.lit(default))
 
 

@@ -8,6 +8,7 @@ from noticeflow.functions import text, urls
 from noticeflow.functions.staging import stage
 from noticeflow.lexicon import AUDIT_KEYWORDS, AUDIT_LISTING_TITLES, LINK_DOCUMENT_SUFFIXES, NOTICE_TYPES
 from noticeflow.operators.html import extract_signals
+from noticeflow.session import materialize
 
 
 def probe_pages(pages: DataFrame, keywords=AUDIT_KEYWORDS) -> DataFrame:
@@ -106,7 +107,8 @@ def audit_sources(
     new_items, error_message; ``items``: source_id, pos, title, url, notice_type,
     description; ``link_checks``: url, opens.
     """
-    valid = valid_items(items, **lexicon)
+    # counts and heads both read the valid items, whose texts are folded: written once
+    valid = materialize(valid_items(items, **lexicon).select("source_id", "pos", "title", "url", "notice_type"), "valid-items")
     counts = valid.groupBy("source_id").agg(F.count("*").alias("valid_items"))
     heads = first_n(valid, ["source_id"], ["pos"], max(sample_size, 0))
     checks = link_checks.groupBy("url").agg(F.bool_or("opens").alias("_opens"))

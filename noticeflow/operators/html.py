@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from noticeflow.functions import text
+from noticeflow.functions.staging import stage
 from noticeflow.session import spread
 
 _VOID = frozenset(
@@ -310,9 +311,10 @@ def _per_page(pages: DataFrame, facts, schema: str) -> DataFrame:
 def extract_links(pages: DataFrame) -> DataFrame:
     """Every anchor of every page, in document order, with its context."""
     raw = _per_page(pages, page_links, LINK_SCHEMA)
-    context = text.clean_text(F.col("context"))
+    cleaned = stage(raw, text=text.clean_text(F.col("text")), context=text.clean_text(F.col("context")))
+    context = F.col("context")
     cut = F.when(F.col("from_heading"), text.truncate(context, 240)).otherwise(text.truncate(context, 600))
-    return raw.withColumns({"text": text.clean_text(F.col("text")), "context": F.coalesce(cut, F.lit(""))}).drop("from_heading")
+    return stage(cleaned, context=F.coalesce(cut, F.lit(""))).select(*[c for c in raw.columns if c != "from_heading"])
 
 
 def extract_rows(pages: DataFrame) -> DataFrame:
@@ -320,9 +322,10 @@ def extract_rows(pages: DataFrame) -> DataFrame:
     raw = _per_page(pages, lambda page, url: (tuple(r.values()) for r in page_rows(page, url)), ROW_SCHEMA)
     cleaned = lambda c: F.when(c.isNotNull(), text.clean_text(c))
     each = lambda c: F.transform(c, lambda e: e.withField("text", text.clean_text(e["text"])))
-    return raw.withColumns(
-        {c: cleaned(F.col(c)) for c in ("row_text", "link_text", "link_title")} | {c: each(F.col(c)) for c in ("cells", "links")}
+    staged = stage(
+        raw, **{c: cleaned(F.col(c)) for c in ("row_text", "link_text", "link_title")}, **{c: each(F.col(c)) for c in ("cells", "links")}
     )
+    return staged.select(*raw.columns)
 
 
 def extract_containers(pages: DataFrame, cls: str) -> DataFrame:

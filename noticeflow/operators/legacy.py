@@ -9,7 +9,7 @@ from noticeflow.functions.urls import catalog_url
 
 
 def _tokens(*cols: Column) -> Column:
-    return F.array_distinct(F.filter(F.array(*[identity_token(c) for c in cols]), lambda t: t != ""))
+    return F.array_distinct(F.array_remove(F.array(*[identity_token(c) for c in cols]), ""))
 
 
 def match_legacy(legacy: DataFrame, census: DataFrame) -> DataFrame:

@@ -75,9 +75,10 @@ def listing_items(details: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFram
     )
     key = F.replace(text.fold_text(facts), F.lit(" "), F.lit("-"))
     # a longer key keeps its beginning; the digest of the whole tells processes apart
-    fallback = text.let(key, lambda k: F.when(F.length(k) <= 160, k).otherwise(F.concat(F.substring(k, 1, 160), F.lit("-"), F.substring(F.sha2(k, 256), 1, 16))))
+    digest = F.substring(F.sha2("_key", 256), 1, 16)
+    fallback = F.when(F.length("_key") <= 160, F.col("_key")).otherwise(F.concat(F.substring("_key", 1, 160), F.lit("-"), digest))
     staged = stage(
-        details,
+        stage(details, _key=key),
         dedupe_url=urls.dedupe_url(F.col("url"), F.coalesce(process, fallback)),
         _f=text.fold_text(F.concat_ws(" ", "title", "description")),
     )
@@ -98,13 +99,13 @@ def table_items(rows: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
     named = stage(rows, _f=text.fold_text(F.col("row_text"))).filter(
         text.has_keyword_folded(F.col("_f"), lexicon)
     )
-    keyed = F.transform(
-        F.filter("links", lambda a: (a["href"] != "") & (a["href"] != "#")),
-        lambda a: a.withField("key", text.fold_text(a["text"])),
-    )
+    usable = F.filter("links", lambda a: (a["href"] != "") & (a["href"] != "#"))
+    texts = text.fold_texts(F.transform("_usable", lambda a: F.coalesce(a["text"], F.lit(""))))
+    keyed = F.zip_with("_usable", "_keys", lambda a, key: a.withField("key", key))
     silent = F.filter("_links", lambda a: (a["key"] == "") | is_generic_link(a["key"], lexicon))
     best = F.coalesce(F.get(silent, F.lit(0)), F.get("_links", F.lit(0)))
-    linked = stage(stage(named, _links=keyed), _best=best).filter("_best is not null")
+    folded = stage(stage(named, _usable=usable), _keys=texts)
+    linked = stage(stage(folded, _links=keyed).drop("_usable", "_keys"), _best=best).filter("_best is not null")
 
     href, abs_url, key = F.col("_best.href"), F.col("_best.abs_url"), F.col("_best.key")
     scheme = F.lower(F.regexp_extract(href, r"^\s*([A-Za-z][A-Za-z0-9+.\-]*):", 1))

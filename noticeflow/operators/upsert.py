@@ -228,13 +228,13 @@ def resolve_sources(
     if rules is not None:
         more = rules.select("catalog_source_id", F.col("value").alias("_value"))
         values = values.unionByName(rest.select("catalog_source_id", "institution_id").join(more, "catalog_source_id"))
-    rule_keys = stage(values, _as_url=as_url).select(
+    rule_keys = stage(values, _as_url=as_url, _token=identity_token(value)).select(
         "catalog_source_id",
         "institution_id",
         F.inline(F.array_compact(F.array(
             F.struct(F.lit("id").alias("_kind"), squash(value).alias("_key")),
             F.when(F.col("_as_url").isNotNull(), F.struct(F.lit("url").alias("_kind"), F.col("_as_url").alias("_key"))),
-            F.when(F.col("_as_url").isNull(), F.struct(F.lit("token").alias("_kind"), identity_token(value).alias("_key"))),
+            F.when(F.col("_as_url").isNull(), F.struct(F.lit("token").alias("_kind"), F.col("_token").alias("_key"))),
         ))),
     )
     url_keys = rest.select("catalog_source_id", "institution_id", F.lit("same").alias("_kind"), F.col("url").alias("_key"))
