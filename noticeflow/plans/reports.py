@@ -34,5 +34,6 @@ def coverage_report(
 
 def match_run(alert_rows: DataFrame, notices: DataFrame, outbox: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new outbox rows, one-row counters) of a match run."""
-    created = materialize(alerts.new_notifications(alerts.matched_pairs(alert_rows, notices), outbox), "outbox")
-    return created, alerts.match_stats(alert_rows, notices, created)
+    hits = materialize(alerts.alert_hits(alert_rows, notices), "hits")
+    created = materialize(alerts.new_notifications(alerts.matched_pairs(alert_rows, hits), outbox), "outbox")
+    return created, alerts.match_stats(alert_rows, hits, created)

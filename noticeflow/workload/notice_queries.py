@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from noticeflow.functions import text
 from noticeflow.operators import alerts, crawl_ops, queries
-from noticeflow.session import scratch_path
+from noticeflow.session import materialize, scratch_path
 from noticeflow.sources import sinks
 from noticeflow.streaming import jobs
 from noticeflow.workload.registry import query
@@ -126,8 +126,8 @@ def _(t):
 
 @query("m02_match_alerts_large_vocabulary", _MATCH)
 def _(t):
-    # Same result through the plan for keyword sets too large for literals.
-    return alerts.match_alerts(t.alr, t.ntc, max_literals=0)
+    # the same result when the vocabulary is cut into many automata
+    return alerts.match_alerts(t.alr, t.ntc, shard_keywords=5)
 
 
 _NEW = f"""SELECT DISTINCT user_id, notice_id FROM ({_MATCH}) m
@@ -136,7 +136,8 @@ _NEW = f"""SELECT DISTINCT user_id, notice_id FROM ({_MATCH}) m
 
 @query("m03_new_notifications", f"SELECT user_id, notice_id, 'pending' AS status FROM ({_NEW})")
 def _(t):
-    return alerts.new_notifications(alerts.matched_pairs(t.alr, t.ntc), t.ntf).select("user_id", "notice_id", "status")
+    pairs = alerts.matched_pairs(t.alr, alerts.alert_hits(t.alr, t.ntc))
+    return alerts.new_notifications(pairs, t.ntf).select("user_id", "notice_id", "status")
 
 
 @query("m04_match_stats", f"""
@@ -144,8 +145,9 @@ SELECT (SELECT count(*) FROM alr WHERE is_active) AS alerts_checked, (SELECT cou
   (SELECT count(*) FROM ({_NEW})) AS notifications_created,
   (SELECT count(*) FROM ({_MATCH})) - (SELECT count(*) FROM ({_NEW})) AS duplicates_skipped""")
 def _(t):
-    created = alerts.new_notifications(alerts.matched_pairs(t.alr, t.ntc), t.ntf)
-    return alerts.match_stats(t.alr, t.ntc, created)
+    hits = materialize(alerts.alert_hits(t.alr, t.ntc), "hits")
+    created = alerts.new_notifications(alerts.matched_pairs(t.alr, hits), t.ntf)
+    return alerts.match_stats(t.alr, hits, created)
 
 
 _MESSAGE = sql_message("coalesce(title, '')", "ntc.notice_type", "coalesce(nullif(description, ''), 'Sem descrição')", "ntc.url")

@@ -31,7 +31,7 @@ def like(pattern, text):
     return re.search(out.lower(), text.lower(), re.S) is not None
 
 
-@pytest.mark.parametrize("limit", [0, 256])
+@pytest.mark.parametrize("limit", [7, 100_000])
 def test_keyword_hits_match_brute_force(spark, limit):
     rng = random.Random(11)
     letters = "abÇç .%_"
@@ -85,11 +85,29 @@ def test_keywords_with_a_common_beginning(spark):
         "id long, institution_id long, notice_type string, title string, description string")
     keywords = spark.createDataFrame([(w,) for w in words], "keyword string")
     want = {(i, w) for i in range(0, 400, 7) for w in words if w in f"chamada docente campus {i} aberta"}
-    for limit in (0, 1000):
+    for limit in (50, 1000):
         got = alerts.keyword_hits(notices, keywords, limit)
         assert {(r["id"], r["keyword"]) for r in got.collect()} == want
 
 
+def test_a_hundred_thousand_keywords(spark):
+    rng = random.Random(8)
+    vocabulary = [f"k{i:06d}x" for i in range(100_000)] + ["", "%", "_", "k00_001x", "%zz%"]
+    rows = [(i, 1, "edital", f"EDITAL K{rng.randrange(200_000):06d}X e mais", f"k{i:06d}x " * 3 if i % 2 else None) for i in range(300)]
+    notices = spark.createDataFrame(rows, "id long, institution_id long, notice_type string, title string, description string")
+    keywords = spark.createDataFrame([(k,) for k in [*vocabulary, None]], "keyword string")
+    want = set()
+    for n, _, _, title, more in rows:
+        text = (title + " " + (more or "")).lower()
+        want |= {(n, k) for k in re.findall(r"k\d{6}x", text) if int(k[1:7]) < 100_000} | {(n, k) for k in ("", "%", "_")}
+        want |= {(n, "k00_001x")} if re.search("k00.001x", text) else set()
+    for size in (100_005, 30_000):
+        hits = alerts.keyword_hits(notices, keywords, size)
+        assert "Exchange" not in hits._jdf.queryExecution().executedPlan().toString()
+        assert {(r["id"], r["keyword"]) for r in hits.collect()} == want
+    assert alerts.keyword_hits(notices, keywords.limit(0)).count() == 0
+
+
 def test_crawl_job_runs_twice(spark):
     page = "<article><h2>Edital 1 de bolsas</h2><a href='e1.pdf'>Acesse aqui</a></article><a href='/edital-2?utm_a=1'>Edital 2</a>"
     sources = spark.createDataFrame(
