@@ -406,7 +406,7 @@ def _(t):
         "CAST(NULL AS STRING) AS description")
     for _ in range(2):  # the second run finds nothing new
         jobs.start_ingest(t.spark, pages, t.src, extract, table, scratch_path(t.spark, "state"), _now()).awaitTermination()
-    stored = t.spark.read.parquet(table)
+    stored = jobs.stored_notices(t.spark, table)
     return stored.groupBy("institution_id", "normalized_url").agg(F.count("*").alias("copies"))
 
 

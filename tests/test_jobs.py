@@ -167,7 +167,7 @@ def test_stream_equals_batch(spark):
         [(i, f"https://h{i}.org/", f"<a href='https://s.org/{i % 4}'>edital {i}</a>") for i in range(6)], readers.PAGE_SCHEMA)
     pages.repartition(3).write.parquet(f"{root}/pages")
     jobs.start_ingest(spark, f"{root}/pages", sources, links.extract_generic, f"{root}/out", f"{root}/ck", now()).awaitTermination()
-    stored = spark.read.parquet(f"{root}/out")
+    stored = jobs.stored_notices(spark, f"{root}/out")
     normalized = ingest.normalize_items(links.extract_generic(pages).withColumnRenamed("page_id", "source_id"), sources)
     none = spark.createDataFrame([], "institution_id long, normalized_url string, fingerprint string")
     keys = lambda df: sorted((r["institution_id"], r["normalized_url"]) for r in df.collect())
