@@ -148,6 +148,25 @@ def diff_rows(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> D
     return joined.select(key, action.alias("action"))
 
 
+def new_ids(keys: DataFrame, key: str, existing: DataFrame) -> DataFrame:
+    """(key, id): ids of new rows, dense and in the order of keys, above every existing id.
+
+    Keys are sorted over the cluster and written; counts per partition, one row per task, give
+    each partition its first id. No id depends on a hash, so none can meet another row's.
+    """
+    ordered = keys.select(key).distinct().orderBy(key).withColumn("_at", F.monotonically_increasing_id())
+    table = materialize(ordered, "new-keys")
+    sizes = table.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect()
+    last = existing.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).first()[0]
+    starts = []
+    for row in sizes:
+        starts.append((row["_part"], last))
+        last += row["n"]
+    before = table.sparkSession.createDataFrame(starts, "_part long, _last long")
+    placed = table.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(before), "_part")
+    return placed.select(key, (F.col("_last") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).alias("_new_id"))
+
+
 def upsert_institutions(eligible: DataFrame, registry: DataFrame, matches: DataFrame) -> DataFrame:
     """The whole registry after the merge, plus ``action`` (null for untouched rows).
 
@@ -156,8 +175,10 @@ def upsert_institutions(eligible: DataFrame, registry: DataFrame, matches: DataF
     """
     situation = F.col("current_situation") if "current_situation" in eligible.columns else F.lit(None)
     fields = {c: F.col(s) for c, s in INSTITUTION_FIELDS.items() if s in eligible.columns}
-    incoming = eligible.join(matches.select("official_code", "id"), "official_code", "left").select(
-        F.coalesce("id", F.xxhash64(F.lit("institution"), "official_code")).alias("id"),
+    found = eligible.join(matches.select("official_code", "id"), "official_code", "left")
+    ids = new_ids(eligible.join(matches.select("official_code"), "official_code", "left_anti"), "official_code", registry)
+    incoming = found.join(ids, "official_code", "left").select(
+        F.coalesce("id", "_new_id").alias("id"),
         F.struct(
             *[c.alias(n) for n, c in fields.items()],
             F.col("official_name").alias("_name"),
@@ -288,8 +309,10 @@ def upsert_sources(catalog_sources: DataFrame, sources: DataFrame, matches: Data
     New sources start inactive; existing ones keep activity, cadence, crawl times, errors.
     """
     fields = {c: F.col(s) for c, s in SOURCE_FIELDS.items() if s in catalog_sources.columns}
-    incoming = catalog_sources.join(matches, "catalog_source_id", "left").select(
-        F.coalesce("id", F.xxhash64(F.lit("source"), "catalog_source_id")).alias("id"),
+    found = catalog_sources.join(matches, "catalog_source_id", "left")
+    ids = new_ids(catalog_sources.join(matches.select("catalog_source_id"), "catalog_source_id", "left_anti"), "catalog_source_id", sources)
+    incoming = found.join(ids, "catalog_source_id", "left").select(
+        F.coalesce("id", "_new_id").alias("id"),
         F.coalesce("replaced", F.lit(False)).alias("replaced"),
         F.struct(F.col("institution_id").alias("institution_id"), *[c.alias(n) for n, c in fields.items()]).alias("c"),
     )
@@ -337,16 +360,15 @@ def upsert_stats(institutions: DataFrame, sources: DataFrame, ignored: DataFrame
 
 
 def publish_upsert(
-    institutions: DataFrame, sources: DataFrame, conflicts: list[DataFrame], institutions_dir: str, sources_dir: str
-) -> None:
+    institutions: DataFrame, sources: DataFrame, conflicts: list[DataFrame], root: str
+) -> dict[str, str]:
     """All or nothing: any conflict raises before a table changes.
 
-    Each snapshot is written whole and switched in by one rename.
+    Both tables are written whole and switched in together by one manifest.
     """
     for frame in conflicts:
         require_empty(frame, "catalog conflicts")
-    sinks.publish(institutions.drop("action"), institutions_dir)
-    sinks.publish(sources.drop("action", "replaced"), sources_dir)
+    return sinks.publish_set({"institutions": institutions.drop("action"), "sources": sources.drop("action", "replaced")}, root)
 
 
 def backfill_legacy(institutions: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:

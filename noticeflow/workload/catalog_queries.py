@@ -539,27 +539,39 @@ def _(t):
     )
 
 
-@query("e11_publish_upsert", """
-SELECT 'institutions' AS kind, (SELECT count(*) FROM ups2) AS n, true AS refused
-UNION ALL SELECT 'sources', (SELECT count(*) FROM rsr) + (SELECT count(*) FROM sac WHERE action = 'created'), true""",
-       **_TIERS, ups2=_UPSERTED, sac=_SOURCE_ACTIONS)
+_PUBLISHED = """
+SELECT 'refused' AS state, 'institution' AS kind, name AS label, official_code AS code, is_active FROM reg
+UNION ALL SELECT 'refused', 'source', url, catalog_source_id, is_active FROM rsr
+UNION ALL SELECT 'merged', 'institution', name, official_code, is_active FROM ups2
+UNION ALL SELECT 'merged', 'source', CASE WHEN c.catalog_source_id IS NULL THEN r.url ELSE c.url END,
+  coalesce(c.catalog_source_id, r.catalog_source_id), coalesce(r.is_active, false)
+  FROM (SELECT * FROM csr WHERE p_type <> 'LARGE') c FULL JOIN rsr r ON r.id = c.p_partkey + 500000"""
+
+
+@query("e11_publish_upsert", _PUBLISHED, **_TIERS, ups2=_UPSERTED)
 def _(t):
     root = scratch_path(t.spark, "registry")
-    dirs = f"{root}/institutions", f"{root}/sources"
+    sinks.publish_set({"institutions": t.reg, "sources": t.rsr}, root)
     eligible, matches, _c = resolved(t)
     institutions = upsert.upsert_institutions(eligible, t.reg, matches)
-    mine, source_matches, conflicts = resolved_sources(t, clean=True)
-    sources = upsert.upsert_sources(mine, t.rsr, source_matches)
-    upsert.publish_upsert(institutions, sources, [conflicts], *dirs)
-    # A merge with conflicts is refused as a whole and leaves both tables alone.
-    refused = False
+
+    def contents(state):
+        now = sinks.read_set(t.spark, root)
+        return now["institutions"].select(
+            F.lit(state).alias("state"), F.lit("institution").alias("kind"), F.col("name").alias("label"), F.col("official_code").alias("code"), "is_active"
+        ).unionAll(now["sources"].select(F.lit(state), F.lit("source"), "url", "catalog_source_id", "is_active"))
+
+    # all sources hold conflicts: the merge is refused as a whole and both tables stay
+    every, all_matches, conflicts = resolved_sources(t)
+    state = "accepted"
     try:
-        upsert.publish_upsert(institutions.limit(0), sources, [resolved_sources(t)[2]], *dirs)
+        upsert.publish_upsert(institutions, upsert.upsert_sources(every, t.rsr, all_matches), [conflicts], root)
     except checks.RuleViolation:
-        refused = True
-    rows = [sinks.read_current(t.spark, d).agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n", F.lit(refused).alias("refused"))
-            for k, d in zip(("institutions", "sources"), dirs)]
-    return rows[0].unionAll(rows[1])
+        state = "refused"
+    before = contents(state)
+    mine, source_matches, settled = resolved_sources(t, clean=True)
+    upsert.publish_upsert(institutions, upsert.upsert_sources(mine, t.rsr, source_matches), [settled], root)
+    return before.unionAll(contents("merged"))
 
 
 @query("e12_upsert_region", """

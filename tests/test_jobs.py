@@ -214,11 +214,51 @@ def test_publish_keeps_the_old_snapshot_on_conflict(spark):
     one = spark.createDataFrame([(1, None)], "id long, action string")
     bad = spark.createDataFrame([("x",)], "rule string")
     src = one.withColumn("replaced", F.lit(False))
-    upsert.publish_upsert(one, src, [bad.limit(0)], f"{root}/i", f"{root}/s")
+    first = upsert.publish_upsert(one, src, [bad.limit(0)], root)
     with pytest.raises(checks.RuleViolation):
-        upsert.publish_upsert(one.limit(0), src, [bad], f"{root}/i", f"{root}/s")
-    assert sinks.read_current(spark, f"{root}/i").count() == 1
-    assert sinks.read_current(spark, f"{root}/none") is None
+        upsert.publish_upsert(one.limit(0), src, [bad], root)
+    ids = lambda: {k: [r["id"] for r in d.collect()] for k, d in sinks.read_set(spark, root).items()}
+    assert ids() == {"institutions": [1], "sources": [1]} and sinks.manifest(spark, root) == first
+    assert sinks.read_current(spark, f"{root}/none") is None and sinks.read_set(spark, f"{root}/none") == {}
+
+
+def test_a_crash_between_two_tables_leaves_both_old(spark, monkeypatch):
+    root = scratch_path(spark, "publish-crash")
+    frame = lambda i: spark.createDataFrame([(i,)], "id long")
+    first = sinks.publish_set({"a": frame(1), "b": frame(1)}, root)
+    write = sinks.append
+    with monkeypatch.context() as broken, pytest.raises(RuntimeError):
+        def second_fails(df, path, *more):
+            if "/b/" in path:
+                raise RuntimeError("lost")
+            write(df, path, *more)
+
+        broken.setattr(sinks, "append", second_fails)
+        sinks.publish_set({"a": frame(2), "b": frame(2)}, root)
+    with monkeypatch.context() as broken, pytest.raises(RuntimeError):
+        broken.setattr(sinks, "_switch", lambda *_: (_ for _ in ()).throw(RuntimeError("lost before the rename")))
+        sinks.publish_set({"a": frame(3), "b": frame(3)}, root)
+    ids = lambda: {k: [r["id"] for r in d.collect()] for k, d in sinks.read_set(spark, root).items()}
+    assert ids() == {"a": [1], "b": [1]}
+    assert len(sinks.drop_unreferenced(spark, root)) == 3 and ids() == {"a": [1], "b": [1]}
+    second = sinks.publish_set({"b": frame(4)}, root)
+    assert ids() == {"a": [1], "b": [4]} and second["a"] == first["a"]
+    assert sinks.drop_unreferenced(spark, root, keep=(first,)) == []
+    assert sinks.drop_unreferenced(spark, root) == [f"b/v={first['b']}"] and ids() == {"a": [1], "b": [4]}
+
+
+def test_new_rows_never_meet_existing_ids(spark):
+    hashed = spark.sql("SELECT xxhash64('institution', '2') AS i").first()[0]
+    cat = catalog_rows(spark, [(str(c), f"Escola {c}", f"E{c}", "RJ", "verified", None, "https://b.br", "included", "Sul", c) for c in range(2, 40)])
+    reg = spark.createDataFrame(
+        [(hashed, "Outra", "OU", "SP", None, "old", None, None, None, True), (7, "Mais", "MA", "SP", None, "old", None, None, None, True)],
+        "id long, name string, initials string, state string, official_code string, source_discovery_status string, source_discovery_notes string, official_site_url string, eligibility_status string, is_active boolean",
+    ).withColumn("region", F.lit(None).cast("string"))
+    matches, _ = upsert.resolve_institutions(cat, reg)
+    rows = upsert.upsert_institutions(cat, reg, matches).collect()
+    top = max(hashed, 7)
+    assert len(rows) == 40 and sorted(r["id"] for r in rows if r["action"] == "created") == list(range(top + 1, top + 39))
+    assert {r["name"] for r in rows if r["id"] in (hashed, 7)} == {"Outra", "Mais"}
 
 
 SAMPLE_SCHEMA = "official_code string, region string, catalog_source_id string, status_rank int, spider string, priority_rank int, status string, url string"
