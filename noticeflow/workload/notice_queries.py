@@ -196,7 +196,7 @@ def _(t):
     root = scratch_path(t.spark, "stream")
     # Two deliveries, the second repeating the first: a pair is stored once.
     for part in ("a", "b"):
-        sinks.append(t.ntc.withColumn("part", F.lit(part)), f"{root}/notices")
+        sinks.append(t.ntc.withColumn("part", F.lit(part)).coalesce(2), f"{root}/notices")
     notices = t.spark.readStream.schema(t.ntc.withColumn("part", F.lit("")).schema).option("maxFilesPerTrigger", 1)
     stream = notices.parquet(f"{root}/notices").drop("part")
     jobs.start_matching(t.spark, stream, t.alr, f"{root}/outbox", f"{root}/state").awaitTermination()
