@@ -44,6 +44,8 @@ SMOOTH = 2
 TOP_TERMS = 10
 SALTS = 32
 HELD_TERMS = 200_000
+SLICE = 2 << 20
+WALKED = 1_000
 
 _GAP = 0x20
 _LETTERS = np.full(256, _GAP, np.uint8)
@@ -75,7 +77,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         added = pa.concat_tables(held).group_by(columns[:3], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
         return added.rename_columns(columns)
 
-    for rows, text in slices(batches):
+    for rows, text in slices(batches, most=SLICE):
         lang, source = (text_of(rows.column(c)).dictionary_encode() for c in ("lang", "source"))
         pair = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
         kinds, group = np.unique(pair, return_inverse=True)
@@ -139,51 +141,80 @@ def _floor(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // (p + q)
 
 
-def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Walk the sorted paths of a task depth first; one row per language and two sources.
+class _Branch:
+    """The path that a task stands on and the sums of its language.
 
-    ``name``, ``p``, ``zero`` and ``many`` describe the nodes of the current path.
+    ``ids``, ``p``, ``zero`` and ``many`` describe the nodes of the path; ``sums[b][a]`` adds up the
+    corrections of sources a and b, sources numbered as they are met.
     """
-    lang, name, many, found = None, [], [], {}
-    p, zero = np.zeros(64, np.int64), np.zeros(64, np.int64)
-
-    def leave(depth: int) -> None:
-        while len(name) > depth:
-            own, k = name.pop(), len(name)
-            times = many.pop()
-            if k:
-                many[-1] += times
-                before, other, mine, none = p[:k], zero[:k], p[k], zero[k]
-                more = _floor(before, mine) - _floor(before, none) - _floor(other, mine) + _floor(other, none)
-                for i in range(k):
-                    pair = (name[i], own)
-                    found[pair] = found.get(pair, 0) + times * int(more[i])
-
-    def out() -> pa.RecordBatch:
-        pairs = [*found]
-        return pa.record_batch([pa.array([lang] * len(pairs), pa.string()), pa.array([a for a, _ in pairs], pa.string()), pa.array([b for _, b in pairs], pa.string()), pa.array([*found.values()], pa.int64())], ["lang", "a", "b", "more"])
 
+    def __init__(self, lang: str | None) -> None:
+        self.lang, self.number, self.sums, self.many, self.depth = lang, {}, [], [], 0
+        self.ids, self.p, self.zero = (np.zeros(64, np.int64) for _ in range(3))
+
+    def enter(self, source: str, p: int, zero: int) -> None:
+        if self.depth == len(self.ids):
+            self.ids, self.p, self.zero = (np.concatenate((x, np.zeros(len(x), np.int64))) for x in (self.ids, self.p, self.zero))
+        if source not in self.number:
+            self.number[source] = len(self.number)
+            self.sums.append(np.zeros(64, np.int64))
+        self.ids[self.depth], self.p[self.depth], self.zero[self.depth] = self.number[source], p, zero
+        self.many.append(0)
+        self.depth += 1
+
+    def leave(self, depth: int) -> None:
+        """Go up to ``depth``; a node that is left is set off against all its ancestors at once."""
+        while self.depth > depth:
+            self.depth -= 1
+            times, k = self.many.pop(), self.depth
+            if not k:
+                continue
+            self.many[-1] += times
+            before, other, mine, none = self.p[:k], self.zero[:k], self.p[k], self.zero[k]
+            more = _floor(before, mine) - _floor(before, none) - _floor(other, mine) + _floor(other, none)
+            own = self.ids[k]
+            if len(self.sums[own]) < len(self.number):
+                self.sums[own] = np.concatenate((self.sums[own], np.zeros(len(self.number), np.int64)))
+            self.sums[own][self.ids[:k]] += times * more
+
+    def rows(self) -> pa.RecordBatch:
+        self.leave(0)
+        names = [*self.number]
+        a, b, more = [], [], []
+        for own, sums in enumerate(self.sums):
+            for other in np.flatnonzero(sums).tolist():
+                a.append(names[other])
+                b.append(names[own])
+                more.append(int(sums[other]))
+        return pa.record_batch([pa.array([self.lang] * len(a), pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(more, pa.int64())], ["lang", "a", "b", "more"])
+
+
+def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Walk the sorted paths of a task depth first; one row per language and two sources."""
+    at = _Branch(None)
     for batch in batches:
-        for row_lang, path, times in zip(*(batch.column(c).to_pylist() for c in ("lang", "path", "times")), strict=True):
-            if row_lang != lang:
-                leave(0)
-                if found:
-                    yield out()
-                lang, found = row_lang, {}
-            same = 0
-            while same < min(len(name), len(path)) and name[same] == path[same]["source"] and p[same] == path[same]["p"]:
-                same += 1
-            leave(same)
-            if len(path) > len(p):
-                p, zero = (np.concatenate((x, np.zeros(len(path), np.int64))) for x in (p, zero))
-            for item in path[same:]:
-                p[len(name)], zero[len(name)] = item["p"], item["zero"]
-                name.append(item["source"])
-                many.append(0)
-            many[-1] += times
-    leave(0)
-    if found:
-        yield out()
+        for start in range(0, batch.num_rows, WALKED):
+            part = batch.slice(start, WALKED)
+            paths = part.column("path")
+            ends = paths.offsets.to_numpy() - paths.offsets[0].as_py()
+            items = paths.flatten()
+            source, p, zero = (items.field(c) for c in ("source", "p", "zero"))
+            source, p, zero = source.to_pylist(), p.to_numpy(), zero.to_numpy()
+            for row, (lang, times) in enumerate(zip(part.column("lang").to_pylist(), part.column("times").to_pylist(), strict=True)):
+                if lang != at.lang:
+                    if at.number:
+                        yield at.rows()
+                    at = _Branch(lang)
+                first, last = ends[row], ends[row + 1]
+                same, most = 0, min(at.depth, last - first)
+                while same < most and at.p[same] == p[first + same] and at.ids[same] == at.number.get(source[first + same]):
+                    same += 1
+                at.leave(same)
+                for i in range(first + same, last):
+                    at.enter(source[i], p[i], zero[i])
+                at.many[-1] += times
+    if at.number:
+        yield at.rows()
 
 
 def branch(lang: Column, path: Column) -> Column:

@@ -72,7 +72,8 @@ def test_equals_plain_version(spark, docs):
 
 
 def test_flushed_tasks_and_cut_trees_add_up(spark, docs, monkeypatch):
-    monkeypatch.setattr(divergence, "HELD_TERMS", 50)
+    for name, small in (("HELD_TERMS", 50), ("WALKED", 7), ("SLICE", 500)):
+        monkeypatch.setattr(divergence, name, small)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         got = divergence.divergence(frame(spark, docs).repartition(9), top=3)
