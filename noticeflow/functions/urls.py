@@ -9,8 +9,9 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from noticeflow.functions.staging import stage
 from noticeflow.functions.text import NON_ASCII, let
 from noticeflow.lexicon import (
     AUDIT_DOCUMENT_SUFFIXES,
@@ -24,6 +25,10 @@ _SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
 _RELATIVE_SCHEMES = ("http", "https", "ftp", "file")
 
 
+def _strip(col: Column) -> Column:
+    return F.regexp_replace(col, f"^{_SPACE}+|{_SPACE}+$", "")
+
+
 class UrlParts(NamedTuple):
     scheme: Column
     netloc: Column
@@ -175,7 +180,7 @@ def canonical_url(url: Column, base: Column | None = None) -> Column:
     Resolved, lower-case authority without default port, no trailing slash, no
     fragment, tracking parameters dropped and the others sorted.
     """
-    text = F.regexp_replace(F.coalesce(url, F.lit("")), f"^{_SPACE}+|{_SPACE}+$", "")
+    text = _strip(F.coalesce(url, F.lit("")))
 
     def tracked(key: Column) -> Column:
         low = F.lower(key)
@@ -208,19 +213,43 @@ def canonical_url(url: Column, base: Column | None = None) -> Column:
     return let(text, canonical)
 
 
+def _idna(host: str | None) -> str | None:
+    if host is None:
+        return None
+    try:
+        return host.encode("idna").decode("ascii").lower()
+    except UnicodeError:
+        return None
+
+
 @F.pandas_udf(T.StringType())
 def idna_host(hosts: pd.Series) -> pd.Series:
     """ASCII form of an international host name; null when it has none."""
+    return hosts.map(_idna)
+
 
-    def encode(host):
-        if host is None:
-            return None
-        try:
-            return host.encode("idna").decode("ascii").lower()
-        except UnicodeError:
-            return None
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _idna_hosts(rows: pd.Series) -> pd.Series:
+    """ASCII forms of lists of host names; each distinct name of a batch is converted once."""
+    forms = {h: _idna(h) for h in {h for row in rows if row is not None for h in row}}
+    return rows.map(lambda row: None if row is None else [forms[h] for h in row])
 
-    return hosts.map(encode)
+
+def with_host_forms(df: DataFrame, links: Column, name: str = "_hosts") -> DataFrame:
+    """Add a dictionary of the international hosts in ``links``, an array of URLs.
+
+    A map from host to ASCII form, null in rows without such a host and for a host that has
+    none. One Arrow column serves all URLs of a row, also those inside lists; rows without
+    international hosts send a null. Read it with ``host_form``.
+    """
+    foreign = F.array_distinct(F.filter(F.transform(links, lambda u: host_of(_strip(u))), lambda h: h.rlike(NON_ASCII)))
+    found = stage(df, **{name: F.when(F.size(foreign) > 0, foreign)})
+    return stage(found, **{name: F.map_from_arrays(name, _idna_hosts(name))})
+
+
+def host_form(name: str = "_hosts"):
+    """The ``idna`` argument of ``catalog_url`` for rows that hold a host dictionary."""
+    return lambda host: F.try_element_at(F.col(name), host)
 
 
 class Authority(NamedTuple):
@@ -259,11 +288,10 @@ def bad_port(port: Column) -> Column:
 def catalog_url(url: Column, idna=idna_host) -> Column:
     """struct<url, error>: strict registry form, or the reason there is none.
 
-    ``idna=None`` keeps the plan free of Python; such hosts are then rejected.
+    ``idna`` gives the ASCII form of an international host, by default in an Arrow column.
+    Inside lambdas, where no such column can stand, pass ``host_form()`` of a dictionary.
     """
-    raw = F.regexp_replace(
-        F.coalesce(url, F.lit("")), f"^{_SPACE}+|{_SPACE}+$", ""
-    )
+    raw = _strip(F.coalesce(url, F.lit("")))
 
     def checked(t: Column, parts: UrlParts, host: Column, auth: Authority) -> Column:
         port = auth.port.try_cast("int")
@@ -286,10 +314,9 @@ def catalog_url(url: Column, idna=idna_host) -> Column:
         return let(error, lambda e: F.struct(F.when(e.isNull(), clean).alias("url"), e.alias("error")))
 
     host = host_of(raw)
-    ascii_host = F.when(~host.rlike(NON_ASCII), host)
-    if idna is not None:
-        # Only foreign hosts reach Python; the others cross as nulls.
-        ascii_host = F.coalesce(ascii_host, idna(F.when(host.rlike(NON_ASCII), host)))
+    foreign = host.rlike(NON_ASCII)
+    # Only foreign hosts reach Python; the others cross as nulls.
+    ascii_host = F.coalesce(F.when(~foreign, host), idna(F.when(foreign, host)))
     bound = F.struct(raw.alias("t"), ascii_host.alias("host"))
     return let(bound, lambda b: with_parts(b["t"], lambda p: with_authority(
         p.netloc, lambda auth: checked(b["t"], p, b["host"], auth))))

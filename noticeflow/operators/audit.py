@@ -17,6 +17,7 @@ from noticeflow.lexicon import (
 from noticeflow.operators.catalog import is_included
 from noticeflow.operators.html import extract_signals
 from noticeflow.operators.links import first_per_key
+from noticeflow.session import discard, materialize
 
 MAX_URL = 2048
 MAX_REDIRECTS = 5
@@ -73,46 +74,62 @@ def collapse_attempts(log: DataFrame, max_retries: int = 2) -> DataFrame:
     )
 
 
-def resolve_redirects(requests: DataFrame, hops: DataFrame, max_redirects: int = MAX_REDIRECTS) -> DataFrame:
-    """Follow a hop log (url, status_code, location) from each request (id, url).
+def _hop(url: Column, code: Column, fetched: Column, redirect: Column, onward: Column) -> Column:
+    return F.struct(
+        url.alias("url"), code.cast("int").alias("status_code"),
+        fetched.alias("fetched"), redirect.alias("redirect"), onward.alias("onward"),
+    )
+
 
-    id, status_code, final_url, redirect_chain, error_code.  A bounded number of equi joins
-    in one plan; a finished row joins on a private key, so ended chains spread evenly
-    instead of meeting on a shared null.
+def _unknown_hop(url: Column) -> Column:
+    no = F.lit(False)
+    return F.array(_hop(url, F.lit(None), no, no, no))
+
+
+def hop_paths(hops: DataFrame, steps: int) -> DataFrame:
+    """Path of each distinct address of a hop log: url, path (its first ``steps`` hops or more).
+
+    Pointer jumping: an open path is joined with the path of the address at its end, so each
+    round doubles the distance. Only addresses move, and the side that is looked up holds each
+    address once: a page that a third of all chains end at makes no row larger.
     """
-    one = hops.groupBy(F.col("url").alias("_key")).agg(F.min(F.struct("status_code", "location")).alias("h"))
+    one = hops.filter("url is not null").groupBy("url").agg(F.min(F.struct("status_code", "location")).alias("h"))
     target = F.trim(F.coalesce("h.location", F.lit("")))
+    redirect = F.coalesce(F.col("h.status_code").isin(*REDIRECT_HTTP), F.lit(False))
     # The next address belongs to the hop, so it is resolved once per hop, not per visit.
-    log = stage(one, next=F.when(target != "", urls.resolve_url(F.col("_key"), target))).select(
-        "_key", F.struct(F.col("h.status_code").alias("status_code"), "next").alias("h")
-    )
-    state = requests.select(
-        "id", F.col("url"), F.array().cast("array<string>").alias("chain"),
-        F.lit(None).cast("int").alias("status_code"), F.lit(None).cast("string").alias("error"), F.lit(True).alias("open"),
+    log = stage(one, end=F.when(redirect & (target != ""), urls.resolve_url(F.col("url"), target)))
+    first = _hop(F.col("url"), F.col("h.status_code"), F.lit(True), redirect, F.col("end").isNotNull())
+    paths = materialize(log.select("url", F.array(first).alias("path"), "end"), "hop-paths")
+    length = 1
+    while length < steps:
+        there = paths.select(F.col("url").alias("end"), F.col("path").alias("_path"), F.col("end").alias("_end"))
+        longer = paths.filter("end is not null").join(there, "end", "left").select(
+            "url", F.concat("path", F.coalesce("_path", _unknown_hop(F.col("end")))).alias("path"), F.col("_end").alias("end"))
+        doubled = materialize(paths.filter("end is null").unionByName(longer), "hop-paths")
+        discard(paths)
+        paths, length = doubled, 2 * length
+    return paths.drop("end")
+
+
+def resolve_redirects(requests: DataFrame, hops: DataFrame, max_redirects: int = MAX_REDIRECTS) -> DataFrame:
+    """Follow a hop log (url, status_code, location) from each request (id, url).
+
+    id, status_code, final_url, redirect_chain, error_code. The paths of addresses are found
+    first; requests meet them in one join. A request without url joins on a private key.
+    """
+    paths = hop_paths(hops, max_redirects + 1).select(F.col("url").alias("_key"), "path")
+    keyed = requests.select("id", "url", F.coalesce("url", F.concat(F.lit("\x00"), F.col("id").cast("string"))).alias("_key"))
+    walked = keyed.join(paths, "_key", "left").select(
+        "id", F.slice(F.coalesce("path", _unknown_hop(F.col("url"))), 1, max_redirects + 1).alias("path"))
+    ended = stage(walked, last=F.element_at("path", -1))
+    error = (
+        F.when(~F.col("last.fetched"), "not_fetched")
+        .when(F.col("last.redirect") & ~F.col("last.onward"), "redirect_without_location")
+        .when(F.col("last.redirect"), "too_many_redirects")
     )
-    for round_no in range(max_redirects + 1):
-        private = F.concat(F.lit("\x00"), F.col("id").cast("string"))
-        met = state.withColumn("_key", F.when(F.col("open"), F.col("url")).otherwise(private)).join(log, "_key", "left")
-        code, target = F.col("h.status_code"), F.col("h.next")
-        redirect = F.coalesce(code.isin(*REDIRECT_HTTP), F.lit(False))
-        error = (
-            F.when(F.col("h").isNull(), "not_fetched")
-            .when(redirect & target.isNull(), "redirect_without_location")
-            .when(redirect & F.lit(round_no == max_redirects), "too_many_redirects")
-        )
-        judged = stage(met, _error=F.when(F.col("open"), error).otherwise(F.col("error")),
-                       _go=F.col("open") & redirect & target.isNotNull() & F.lit(round_no < max_redirects))
-        state = judged.select(
-            "id",
-            F.when(F.col("_go"), target).otherwise(F.col("url")).alias("url"),
-            F.when(F.col("_go"), F.array_append("chain", target)).otherwise(F.col("chain")).alias("chain"),
-            F.when(F.col("open"), code).otherwise(F.col("status_code")).cast("int").alias("status_code"),
-            F.col("_error").alias("error"),
-            F.col("_go").alias("open"),
-        )
-    return state.select(
-        "id", "status_code", F.when(F.col("error").isNull(), F.col("url")).alias("final_url"),
-        F.col("chain").alias("redirect_chain"), F.col("error").alias("error_code"),
+    return ended.select(
+        "id", F.col("last.status_code").alias("status_code"), F.when(error.isNull(), F.col("last.url")).alias("final_url"),
+        F.transform(F.slice("path", 2, max_redirects + 1), lambda p: p["url"]).alias("redirect_chain"), error.alias("error_code"),
     )
 
 

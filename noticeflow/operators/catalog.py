@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from noticeflow.functions.text import squash
-from noticeflow.functions.urls import catalog_url
+from noticeflow.functions.urls import catalog_url, host_form, idna_host, with_host_forms
 from noticeflow.functions.values import code_order
 from noticeflow.lexicon import COVERAGE_STATUSES, EXTRACTORS, REGIONS
 from noticeflow.operators.checks import check_unique, side_by_side, union_all, violations
@@ -62,12 +62,23 @@ def _strip(col: Column) -> Column:
     return F.regexp_replace(col, r"^[\p{IsWhite_Space}\x1c-\x1f]+|[\p{IsWhite_Space}\x1c-\x1f]+$", "")
 
 
-def _url_error(url: Column) -> Column:
-    return catalog_url(url, idna=None)["error"].isNotNull()
+def _url_error(url: Column, idna=idna_host) -> Column:
+    return catalog_url(url, idna=idna)["error"].isNotNull()
 
 
-def _normal(url: Column) -> Column:
-    return catalog_url(url, idna=None)["url"]
+def _normal(url: Column, idna=idna_host) -> Column:
+    return catalog_url(url, idna=idna)["url"]
+
+
+def _with_hosts(sources: DataFrame, f: Fields) -> DataFrame:
+    """Sources with the dictionary of the international hosts in any of their URLs."""
+    single = F.array(f.text("url"), f.text("final_url"))
+    return with_host_forms(sources, F.concat(single, f.strings("redirect_chain"), f.strings("replaces")))
+
+
+def _replaced(values: Column) -> Column:
+    """Replaced ids and names as they are, replaced URLs normal; needs the dictionary."""
+    return F.transform(values, lambda v: F.when(v.contains("://"), _normal(v, host_form())).otherwise(v))
 
 
 def check_sources(sources: DataFrame) -> DataFrame:
@@ -78,7 +89,8 @@ def check_sources(sources: DataFrame) -> DataFrame:
     f = Fields("source")
     number = f.get("http_status", "long")
     lists = {name: f.strings(name) for name in ("redirect_chain", "categories", "replaces")}
-    staged = sources.select("official_code", "source_pos", "source", *[c.alias(f"_{n}") for n, c in lists.items()])
+    staged = _with_hosts(sources, f).select(
+        "official_code", "source_pos", "source", "_hosts", *[c.alias(f"_{n}") for n, c in lists.items()])
 
     def list_rules(name: str):
         col = F.col(f"_{name}")
@@ -89,20 +101,21 @@ def check_sources(sources: DataFrame) -> DataFrame:
             (name, "duplicate", F.size(F.array_distinct(col)) != F.size(col)),
         ]
 
-    replaced = F.transform("_replaces", lambda v: F.when(v.contains("://"), _normal(v)).otherwise(v))
+    replaced = _replaced(F.col("_replaces"))
+    bad_url = lambda v: _url_error(v, host_form())
     rules = [
         *[(n, "required", ~f.has_text(n)) for n in ("catalog_source_id", "name", "source_type", "content_type")],
         ("url", "required", ~f.has_text("url")),
-        ("url", "invalid", f.has_text("url") & _url_error(f.text("url"))),
+        ("url", "invalid", f.has_text("url") & bad_url(f.text("url"))),
         ("recommended_spider", "unsupported", ~F.coalesce(f.text("recommended_spider").isin(*EXTRACTORS), F.lit(False))),
         ("status", "unsupported", ~F.coalesce(f.text("status").isin(*COVERAGE_STATUSES), F.lit(False))),
         ("is_active", "not_boolean", f.kind("is_active") != "BOOLEAN"),
         ("http_status", "invalid", ~f.absent("http_status")
          & ~F.coalesce((f.kind("http_status") == "BIGINT") & number.between(100, 599), F.lit(False))),
         *[(n, "not_text", ~f.absent(n) & (f.kind(n) != "STRING")) for n in _OPTIONAL_TEXT],
-        ("final_url", "invalid", ~f.absent("final_url") & (~f.has_text("final_url") | _url_error(f.text("final_url")))),
+        ("final_url", "invalid", ~f.absent("final_url") & (~f.has_text("final_url") | bad_url(f.text("final_url")))),
         *list_rules("redirect_chain"),
-        ("redirect_chain", "invalid_url", F.exists("_redirect_chain", _url_error)),
+        ("redirect_chain", "invalid_url", F.exists("_redirect_chain", bad_url)),
         ("priority", "invalid", ~F.coalesce(
             (f.kind("priority") == "BIGINT") & f.get("priority", "long").between(1, 3), F.lit(False))),
         *list_rules("categories"),
@@ -113,23 +126,23 @@ def check_sources(sources: DataFrame) -> DataFrame:
 
 
 def typed_sources(sources: DataFrame) -> DataFrame:
-    """Valid sources as plain columns, URLs normal, blanks null."""
+    """Sources as plain columns, URLs normal, blanks null; a value of a wrong kind is null."""
     f = Fields("source")
     blank_null = lambda n: F.nullif(f.text(n), F.lit("")).alias(n)
-    urls_of = lambda n: F.transform(f.strings(n), _normal).alias(n)
-    replaced = F.transform(f.strings("replaces"), lambda v: F.when(v.contains("://"), _normal(v)).otherwise(v))
-    return sources.select(
+    normal = lambda v: _normal(v, host_form())
+    whole = lambda n: F.when(f.kind(n) == "BIGINT", f.get(n, "int")).alias(n)
+    return _with_hosts(sources, f).select(
         "official_code",
         "source_pos",
         *[f.text(n).alias(n) for n in ("catalog_source_id", "name", "source_type", "content_type", "recommended_spider", "status")],
-        _normal(f.text("url")).alias("url"),
+        normal(f.text("url")).alias("url"),
         F.coalesce(f.get("is_active", "boolean"), F.lit(False)).alias("is_active"),
-        f.get("http_status", "int").alias("http_status"),
-        _normal(f.text("final_url")).alias("final_url"),
-        urls_of("redirect_chain"),
-        f.get("priority", "int").alias("priority"),
+        whole("http_status"),
+        normal(f.text("final_url")).alias("final_url"),
+        F.transform(f.strings("redirect_chain"), normal).alias("redirect_chain"),
+        whole("priority"),
         f.strings("categories").alias("categories"),
-        replaced.alias("replaces"),
+        _replaced(f.strings("replaces")).alias("replaces"),
         *[blank_null(n) for n in _OPTIONAL_TEXT],
     )
 

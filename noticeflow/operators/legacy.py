@@ -4,33 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from noticeflow.functions.staging import stage
 from noticeflow.functions.text import identity_token, squash, stable_source_id
-from noticeflow.functions.urls import catalog_url
+from noticeflow.functions.urls import catalog_url, host_form, with_host_forms
 
 
 def _tokens(*cols: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.array(*[identity_token(c) for c in cols]), ""))
+    return F.array_sort(F.array_distinct(F.array_remove(F.array(*[identity_token(c) for c in cols]), "")))
+
+
+def _token_keys(tokens: str) -> Column:
+    """Every token, and every pair of tokens of one row in order: array<struct<a, b>>, b null for one."""
+    nothing = F.lit(None).cast("string")
+    single = F.transform(tokens, lambda a: F.struct(a.alias("a"), nothing.alias("b")))
+    pairs = F.flatten(F.transform(tokens, lambda a: F.transform(
+        F.filter(tokens, lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return F.concat(single, pairs)
 
 
 def match_legacy(legacy: DataFrame, census: DataFrame) -> DataFrame:
     """legacy_id, candidates, official_code (null unless exactly one), conflict.
 
-    Index and probe are both exploded to (token, state) keys and meet in an equi join.
-    ``legacy``: legacy_id, name, initials, state; ``census``: official_code, names, state.
+    ``legacy``: legacy_id, name, initials, state; ``census``: official_code, names, state, one row
+    each.  The index holds one certificate (count and least code) per token and per pair of
+    tokens of a state; a legacy row has at most two tokens and counts both less their pair, so a
+    token that many rows share never multiplies.
     """
-    index = census.select(
-        "official_code",
-        F.upper("state").alias("_state"),
-        F.explode(_tokens(F.col("official_initials"), F.col("initials"), F.col("official_name"))).alias("_token"),
-    ).distinct()
-    probe = legacy.select(
-        "legacy_id",
-        F.upper(squash(F.col("state"))).alias("_state"),
-        F.explode(_tokens(F.col("initials"), F.col("name"))).alias("_token"),
-    ).distinct()
-    hits = probe.join(index, ["_token", "_state"]).select("legacy_id", "official_code").distinct()
-    per_row = hits.groupBy("legacy_id").agg(
-        F.count("*").alias("candidates"), F.min("official_code").alias("_code")
+    index = stage(census, _state=F.upper("state"), _tokens=_tokens(F.col("official_initials"), F.col("initials"), F.col("official_name")))
+    held = index.select("official_code", "_state", F.inline(_token_keys("_tokens"))).groupBy(
+        "_state", "a", F.coalesce("b", F.lit("")).alias("b")).agg(F.count("*").alias("_n"), F.min("official_code").alias("_code"))
+    probe = stage(legacy, _state=F.upper(squash(F.col("state"))), _tokens=_tokens(F.col("initials"), F.col("name")))
+    asked = probe.select("legacy_id", "_state", F.inline(_token_keys("_tokens"))).withColumn("b", F.coalesce("b", F.lit("")))
+    one = F.col("b") == ""
+    per_row = asked.join(held, ["_state", "a", "b"]).groupBy("legacy_id").agg(
+        F.sum(F.when(one, F.col("_n")).otherwise(-F.col("_n"))).alias("candidates"), F.min(F.when(one, F.col("_code"))).alias("_code")
     )
     resolved = legacy.select("legacy_id").join(per_row, "legacy_id", "left").select(
         "legacy_id",
@@ -59,12 +66,15 @@ def derive_legacy_sources(sources: DataFrame) -> DataFrame:
         F.nullif(squash(F.col("name")), F.lit("")),
         F.concat(F.lit("Fonte legada "), (F.col("index") + 1).cast("string")),
     )
-    url = catalog_url(F.col("url"), idna=None)["url"]
+    normal_url = lambda u: catalog_url(u, idna=host_form())["url"]
+    old = F.coalesce("replaces", F.array().cast("array<string>"))
+    sources = with_host_forms(sources, F.concat(F.array("url"), old))
     kind = F.coalesce(F.nullif(squash(F.col("source_type")), F.lit("")), F.lit("editais"))
-    staged = sources.select("official_code", name.alias("name"), url.alias("url"), kind.alias("source_type"), "replaces")
+    staged = sources.select("official_code", name.alias("name"), normal_url(F.col("url")).alias("url"),
+                            kind.alias("source_type"), "replaces", "_hosts")
     normal = F.transform(
-        F.filter(F.transform(F.coalesce("replaces", F.array().cast("array<string>")), squash), lambda v: v != ""),
-        lambda v: F.when(v.rlike("(?i)^https?://"), catalog_url(v, idna=None)["url"]).otherwise(v),
+        F.filter(F.transform(old, squash), lambda v: v != ""),
+        lambda v: F.when(v.rlike("(?i)^https?://"), normal_url(v)).otherwise(v),
     )
     return staged.select(
         "official_code",
@@ -121,7 +131,7 @@ def assemble_manifest(census: DataFrame, matched: DataFrame, sources: DataFrame)
     has = F.col("source_count").isNotNull()
     return joined.select(
         "official_code",
-        catalog_url(F.col("official_site_url"), idna=None)["url"].alias("official_site_url"),
+        catalog_url(F.col("official_site_url"))["url"].alias("official_site_url"),
         F.when(has, "partial").otherwise("source_not_found").alias("coverage_status"),
         F.when(has, _MIGRATED).when(F.col("_legacy"), _UNUSABLE).otherwise(_NOT_FOUND).alias("coverage_notes"),
         F.coalesce("source_count", F.lit(0)).cast("long").alias("source_count"),

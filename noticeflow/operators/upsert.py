@@ -210,7 +210,7 @@ def upsert_institutions(eligible: DataFrame, registry: DataFrame, matches: DataF
 
 
 def _url_key(sources: DataFrame) -> Column:
-    return catalog_url(F.coalesce(F.nullif("normalized_url", F.lit("")), F.col("url")), idna=None)["url"]
+    return catalog_url(F.coalesce(F.nullif("normalized_url", F.lit("")), F.col("url")))["url"]
 
 
 def resolve_sources(
@@ -244,7 +244,7 @@ def resolve_sources(
     rest = wanted.join(direct.select("catalog_source_id"), "catalog_source_id", "left_anti")
     free = existing.join(direct.select("id"), "id", "left_anti")
     value = F.col("_value")
-    as_url = catalog_url(value, idna=None)["url"]
+    as_url = catalog_url(value)["url"]
     values = rest.select("catalog_source_id", "institution_id", F.explode("replaces").alias("_value"))
     if rules is not None:
         more = rules.select("catalog_source_id", F.col("value").alias("_value"))
@@ -268,22 +268,24 @@ def resolve_sources(
             F.struct(F.lit("same").alias("_kind"), F.col("_url").alias("_key")),
         ))),
     ).filter("_key is not null")
-    hits = rule_keys.unionByName(url_keys).join(row_keys, ["institution_id", "_kind", "_key"])
-    # Rule hits and URL hits per catalog source, each as count and least row.
-    rows = hits.select(
-        "catalog_source_id", "id", "_cid", (F.col("_kind") == "same").alias("_exact")
-    ).distinct()
-    pick = lambda flag: F.when(F.col("_exact") if flag else ~F.col("_exact"), F.col("id"))
-    per = rows.groupBy("catalog_source_id").agg(
-        F.count(pick(False)).alias("_rules"), F.min(pick(False)).alias("_rule_id"),
-        F.count(pick(True)).alias("_urls"), F.min(pick(True)).alias("_url_id"),
-        F.max(F.when(F.col("_exact"), F.col("_cid"))).alias("_url_cid"),
+    # One certificate per key (least and greatest row, greatest catalog id) meets each wish, so a
+    # key that many rows share on both sides never multiplies. A wish with several keys has one
+    # row exactly when the least of all is the greatest of all.
+    held = row_keys.groupBy("institution_id", "_kind", "_key").agg(
+        F.min("id").alias("_low"), F.max("id").alias("_high"), F.max("_cid").alias("_cid"))
+    hits = rule_keys.unionByName(url_keys).join(held, ["institution_id", "_kind", "_key"])
+    exact = F.col("_kind") == "same"
+    per = hits.groupBy("catalog_source_id").agg(
+        F.min(F.when(~exact, F.col("_low"))).alias("_rule_id"), F.max(F.when(~exact, F.col("_high"))).alias("_rule_high"),
+        F.min(F.when(exact, F.col("_low"))).alias("_url_id"), F.max(F.when(exact, F.col("_high"))).alias("_url_high"),
+        F.max(F.when(exact, F.col("_cid"))).alias("_url_cid"),
     )
+    by_rule, by_url = F.col("_rule_id").isNotNull(), F.col("_url_id").isNotNull()
     problem = (
-        F.when(F.col("_rules") > 1, "replaces_matches_several")
-        .when(F.col("_urls") > 1, "url_matches_several")
-        .when((F.col("_rules") == 1) & (F.col("_urls") == 1) & (F.col("_rule_id") != F.col("_url_id")), "url_and_replaces_disagree")
-        .when((F.col("_rules") == 0) & (F.col("_url_cid") != ""), "url_owned_by_other_id")
+        F.when(F.col("_rule_id") != F.col("_rule_high"), "replaces_matches_several")
+        .when(F.col("_url_id") != F.col("_url_high"), "url_matches_several")
+        .when(by_rule & by_url & (F.col("_rule_id") != F.col("_url_id")), "url_and_replaces_disagree")
+        .when(~by_rule & (F.col("_url_cid") != ""), "url_owned_by_other_id")
     )
     judged = stage(per, rule=problem)
     later = judged.filter("rule is null").select(

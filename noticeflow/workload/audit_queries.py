@@ -60,21 +60,26 @@ def _(t):
     return audit.collapse_attempts(t.sql(_LOG.format(rows="tries"), tries=tries))
 
 
+# A hop per order; a third of the addresses lead to one login page, some to a page that nobody fetched.
 _HOPS = """SELECT 'https://hop.example/' || CAST(o_orderkey AS STRING) AS url, o_orderkey AS k,
   CASE WHEN o_orderkey % 7 = 0 THEN 200 WHEN o_orderkey % 2 = 0 THEN 301 ELSE 302 END AS status_code,
-  CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN NULL ELSE '/' || CAST(CAST(floor(o_orderkey / 2) AS BIGINT) AS STRING) END AS location FROM orders"""
+  CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN '/gone' WHEN o_orderkey % 3 = 1 THEN '/login'
+    ELSE '/' || CAST(CAST(floor(o_orderkey / 2) AS BIGINT) AS STRING) END AS location FROM orders
+UNION ALL SELECT 'https://hop.example/login', NULL, 200, NULL"""
+_AT = "'https://hop.example/' || CASE {k} WHEN -1 THEN 'login' WHEN -2 THEN 'gone' ELSE CAST({k} AS VARCHAR) END"
+_NEXT = "CASE WHEN k % 13 = 0 THEN -2 WHEN k % 3 = 1 THEN -1 ELSE k // 2 END"
 
 
-@query("a04_resolve_redirects", """
-SELECT id, CASE WHEN k % 7 = 0 THEN 200 WHEN k % 2 = 0 THEN 301 ELSE 302 END AS status_code,
-  CASE WHEN k % 7 = 0 THEN 'https://hop.example/' || CAST(k AS VARCHAR) END AS final_url, chain,
-  CASE WHEN k % 7 = 0 THEN NULL WHEN k % 11 = 0 THEN 'redirect_without_location' ELSE 'too_many_redirects' END AS error_code
+@query("a04_resolve_redirects", f"""
+SELECT id, CASE WHEN k = -2 THEN NULL WHEN k = -1 OR k % 7 = 0 THEN 200 WHEN k % 2 = 0 THEN 301 ELSE 302 END AS status_code,
+  CASE WHEN k = -1 OR k % 7 = 0 THEN {_AT.format(k="k")} END AS final_url, chain,
+  CASE WHEN k = -2 THEN 'not_fetched' WHEN k = -1 OR k % 7 = 0 THEN NULL WHEN k % 11 = 0 THEN 'redirect_without_location' ELSE 'too_many_redirects' END AS error_code
 FROM (WITH RECURSIVE w(id, k, step, chain) AS (SELECT o_orderkey, o_orderkey, 0, '' FROM orders
-    UNION ALL SELECT id, k // 2, step + 1, chain || 'https://hop.example/' || CAST(k // 2 AS VARCHAR) || ' ' FROM w WHERE k % 7 <> 0 AND k % 11 <> 0 AND step < 5)
+    UNION ALL SELECT id, {_NEXT}, step + 1, chain || {_AT.format(k=f"({_NEXT})")} || ' ' FROM w WHERE k >= 0 AND k % 7 <> 0 AND k % 11 <> 0 AND step < 5)
   SELECT *, max(step) OVER (PARTITION BY id) AS last FROM w) WHERE step = last""")
 def _(t):
     hops = t.sql(_HOPS)
-    found = audit.resolve_redirects(hops.select(F.col("k").alias("id"), "url"), hops)
+    found = audit.resolve_redirects(hops.filter("k is not null").select(F.col("k").alias("id"), "url"), hops)
     chain = F.array_join(F.transform("redirect_chain", lambda u: F.concat(u, F.lit(" "))), "")
     return found.select("id", "status_code", "final_url", chain.alias("chain"), "error_code")
 

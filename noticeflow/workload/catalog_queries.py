@@ -75,7 +75,7 @@ def _(t):
 # Source documents with the wrong JSON types on purpose, one defect set per part type.
 _SOURCE_JSON = r"""
 '{"catalog_source_id":"src-' || CAST(p_partkey AS STRING) || '",' || CASE WHEN p_type = 'LARGE' THEN '' ELSE '"name":"' || p_name || '",' END
-|| '"url":"' || CASE WHEN p_type = 'MEDIUM' THEN 'ftp://x.org/' ELSE 'https://H.org:443/' || CAST(p_partkey AS STRING) || '/' END
+|| '"url":"' || CASE WHEN p_type = 'MEDIUM' THEN 'ftp://x.org/' WHEN p_size % 2 = 0 THEN 'https://Seleção.org:443/' || CAST(p_partkey AS STRING) || '/' ELSE 'https://H.org:443/' || CAST(p_partkey AS STRING) || '/' END
 || '","source_type":"a","content_type":' || CASE WHEN p_type = 'LARGE' THEN '7' ELSE '" t "' END
 || ',"recommended_spider":"' || CASE WHEN p_type = 'ECONOMY' THEN 'bad' ELSE 'sigaa' END
 || '","status":"' || CASE WHEN p_type = 'PROMO' THEN 'weird' ELSE 'partial' END
@@ -83,9 +83,9 @@ _SOURCE_JSON = r"""
 || ',"http_status":' || CASE WHEN p_type = 'MEDIUM' THEN '700' WHEN p_type = 'STANDARD' THEN 'null' ELSE '200' END
 || ',"priority":' || CASE p_type WHEN 'STANDARD' THEN CAST(p_size AS STRING) WHEN 'MEDIUM' THEN '"2"' WHEN 'ECONOMY' THEN 'true'
      WHEN 'PROMO' THEN 'null' WHEN 'SMALL' THEN '2.5' ELSE '2' END
-|| ',"redirect_chain":' || CASE p_type WHEN 'PROMO' THEN '["https://a.b/","https://a.b/"]' WHEN 'LARGE' THEN '["nope"]' ELSE '[]' END
+|| ',"redirect_chain":' || CASE p_type WHEN 'PROMO' THEN '["https://a.b/","https://a.b/"]' WHEN 'LARGE' THEN '["nope"]' WHEN 'STANDARD' THEN '["https://Ünï.example/x/","https://b.example"]' ELSE '[]' END
 || ',"categories":' || CASE p_type WHEN 'SMALL' THEN '"text"' WHEN 'LARGE' THEN '["a",1," "]' WHEN 'MEDIUM' THEN '5' ELSE '["a","b"]' END
-|| ',"replaces":' || CASE p_type WHEN 'SMALL' THEN '["http://a.b/","HTTP://A.B"]' ELSE 'null' END
+|| ',"replaces":' || CASE p_type WHEN 'SMALL' THEN '["http://Ã.b/","HTTP://XN--3CA.B"]' WHEN 'ECONOMY' THEN '["old","https://Câmara.example/"]' ELSE 'null' END
 || CASE WHEN p_type = 'LARGE' THEN ',"final_url":""' ELSE '' END
 || ',"page_title":' || CASE WHEN p_type = 'SMALL' THEN '5' ELSE 'null' END || '}'
 """
@@ -117,18 +117,24 @@ def _(t):
 
 
 @query("c07_typed_sources", """
-SELECT p_partkey AS source_pos, 'src-' || CAST(p_partkey AS VARCHAR) AS catalog_source_id, 'https://h.org/' || CAST(p_partkey AS VARCHAR) AS url,
-  't' AS content_type, true AS is_active, CAST(NULL AS INTEGER) AS http_status, CAST(p_size AS INTEGER) AS priority, 'a,b' AS categories
-FROM part WHERE p_type = 'STANDARD'""")
+SELECT p_partkey AS source_pos, 'src-' || CAST(p_partkey AS VARCHAR) AS catalog_source_id,
+  CASE WHEN p_type <> 'MEDIUM' THEN CASE WHEN p_size % 2 = 0 THEN 'https://xn--seleo-dra1a.org/' ELSE 'https://h.org/' END || CAST(p_partkey AS VARCHAR) END AS url,
+  CASE WHEN p_type <> 'LARGE' THEN 't' END AS content_type, p_type <> 'ECONOMY' AS is_active,
+  CASE p_type WHEN 'STANDARD' THEN NULL WHEN 'MEDIUM' THEN 700 ELSE 200 END AS http_status,
+  CASE p_type WHEN 'STANDARD' THEN CAST(p_size AS INTEGER) WHEN 'LARGE' THEN 2 END AS priority,
+  CASE p_type WHEN 'SMALL' THEN 'text' WHEN 'LARGE' THEN 'a,' WHEN 'MEDIUM' THEN '' ELSE 'a,b' END AS categories,
+  CASE p_type WHEN 'STANDARD' THEN 'https://xn--n-nga1b.example/x,https://b.example' WHEN 'PROMO' THEN 'https://a.b,https://a.b' ELSE '' END AS redirect_chain,
+  CASE p_type WHEN 'SMALL' THEN 'http://xn--3ca.b,http://xn--3ca.b' WHEN 'ECONOMY' THEN 'old,https://xn--cmara-3qa.example' ELSE '' END AS replaces
+FROM part""")
 def _(t):
-    typed = catalog.typed_sources(source_docs(t).join(t.part.filter("p_type = 'STANDARD'").select(F.col("p_partkey").alias("source_pos")), "source_pos"))
-    return typed.select("source_pos", "catalog_source_id", "url", "content_type", "is_active", "http_status", "priority",
-                        F.array_join("categories", ",").alias("categories"))
+    lists = [F.array_join(c, ",").alias(c) for c in ("categories", "redirect_chain", "replaces")]
+    return catalog.typed_sources(source_docs(t)).select(
+        "source_pos", "catalog_source_id", "url", "content_type", "is_active", "http_status", "priority", *lists)
 
 
 _ENTRY_JSON = r"""
 '{"official_code":' || CASE WHEN state = 'NATION_1' THEN CAST(id AS STRING) WHEN state = 'NATION_5' THEN '"9999999"' ELSE '"' || official_code || '"' END
-|| ',"official_site_url":' || CASE WHEN state = 'NATION_6' THEN '"nope"' ELSE '"HTTPS://Site.org/"' END
+|| ',"official_site_url":' || CASE WHEN state = 'NATION_6' THEN '"nope"' WHEN state = 'NATION_9' THEN '"HTTPS://Sítio.org/"' ELSE '"HTTPS://Site.org/"' END
 || ',"coverage_status":' || CASE WHEN state = 'NATION_7' THEN 'null' ELSE '"' || source_discovery_status || '"' END
 || ',"coverage_notes":' || CASE WHEN balance > 5000 THEN '" n "' WHEN state = 'NATION_8' THEN '1' ELSE 'null' END
 || CASE WHEN region = 'ASIA' THEN ',"eligibility_status":"excluded_x","eligibility_reason":" r "' WHEN state = 'NATION_10' THEN ',"eligibility_status":"maybe"' ELSE '' END
@@ -182,7 +188,7 @@ def _(t):
 @query("c11_merge_catalog", """
 SELECT official_code, CASE WHEN region = 'ASIA' THEN 'excluded_x' WHEN state = 'NATION_10' THEN 'maybe' ELSE eligibility_status END AS eligibility_status,
   CASE WHEN region = 'ASIA' THEN 'r' END AS eligibility_reason,
-  CASE WHEN state = 'NATION_6' THEN NULL ELSE 'https://site.org' END AS official_site_url,
+  CASE WHEN state = 'NATION_6' THEN NULL WHEN state = 'NATION_9' THEN 'https://xn--stio-vpa.org' ELSE 'https://site.org' END AS official_site_url,
   CASE WHEN state = 'NATION_7' THEN NULL ELSE source_discovery_status END AS coverage_status,
   CASE WHEN balance > 5000 THEN 'n' END AS coverage_notes
 FROM inst WHERE state NOT IN ('NATION_1', 'NATION_5')""")
@@ -194,7 +200,7 @@ def _(t):
 
 _OVERLAY_JSON = r"""
 '{"official_code":"' || CASE WHEN state = 'NATION_1' THEN '' ELSE 'LAW-' END || initials || '","official_code_origin":"'
-|| CASE WHEN balance < 2000 THEN 'census' ELSE 'post_census_law' END || '","inventory_source_url":"' || official_site_url
+|| CASE WHEN balance < 2000 THEN 'census' ELSE 'post_census_law' END || '","inventory_source_url":"' || CASE WHEN state = 'NATION_3' THEN 'https://Câmara.example/lei' ELSE official_site_url END
 || '","official_site_url":null,"coverage_status":"' || source_discovery_status || '","eligibility_status":"' || eligibility_status
 || '","sources":' || CASE WHEN balance > 9000 THEN '[1]' ELSE '[]' END || '}'
 """
@@ -291,17 +297,18 @@ _LEGACY_SOURCES = f"""
 SELECT official_code, 'inep-' || official_code || '-' || {_SLUG.format(x='nm')} || '-' || substr(sha256(u), 1, 10) AS catalog_source_id,
   nm AS name, u AS url, source_type, replace(source_type, '_', ' ') AS content_type,
   CASE WHEN contains(lower(u), 'sigaa') THEN 'sigaa' ELSE 'generic' END AS recommended_spider, 2 AS priority,
-  'https://old.example/' || CAST(id AS VARCHAR) || '|old ' || CAST(id AS VARCHAR) AS replaces
+  'https://xn--antigo-7ta.example/' || CAST(id AS VARCHAR) || '|old ' || CAST(id AS VARCHAR) AS replaces
 FROM (SELECT id, CAST(institution_id AS VARCHAR) AS official_code, CASE WHEN priority_size < 10 THEN 'Fonte legada ' || CAST(id + 1 AS VARCHAR) ELSE name END AS nm,
-  url AS u, source_type FROM src)"""
+  CASE WHEN priority_size % 3 = 0 THEN replace(url, 'https://', 'https://xn--so-sia.') ELSE url END AS u, source_type FROM src)"""
 
 
 def legacy_sources(t):
-    old = F.concat(F.lit("https://OLD.example/"), F.col("id").cast("string"), F.lit("/"))
+    old = F.concat(F.lit("https://ANTIGÃO.example/"), F.col("id").cast("string"), F.lit("/"))
     raw = t.src.select(
         F.col("institution_id").cast("string").alias("official_code"), F.col("id").alias("index"),
         F.when(F.col("priority_size") < 10, F.lit(" ")).otherwise(F.col("name")).alias("name"),
-        F.concat("url", F.lit("/#top")).alias("url"), "source_type",
+        F.concat(F.when(F.col("priority_size") % 3 == 0, F.replace("url", F.lit("https://"), F.lit("https://São."))).otherwise(F.col("url")),
+                 F.lit("/#top")).alias("url"), "source_type",
         F.array(old, F.lit(" "), F.concat(F.lit("old  "), F.col("id").cast("string")), old).alias("replaces"),
     )
     return legacy.derive_legacy_sources(raw)
@@ -350,24 +357,29 @@ def _(t):
     return legacy.replacement_rules(corrected_sources(t)[0], corrections(t))
 
 
+# The census and a branch of every late institution; branches have neither legacy rows nor sources.
+_ALL_CODES = """SELECT official_code, state, balance, official_site_url FROM inst
+UNION ALL SELECT 'LAW-' || official_code, state, CAST(NULL AS DOUBLE), CAST(NULL AS STRING) FROM inst WHERE official_code_origin = 'post_census_law'"""
+
+
 @query("c19_assemble_manifest", """
-SELECT inst.official_code, CASE WHEN balance >= 1000 THEN inst.official_site_url END AS official_site_url,
+SELECT a.official_code, CASE WHEN balance >= 1000 THEN CASE WHEN state = 'NATION_4' THEN 'https://xn--cmara-3qa.example' ELSE a.official_site_url END END AS official_site_url,
   CASE WHEN s.n IS NULL THEN 'source_not_found' ELSE 'partial' END AS coverage_status, coalesce(s.n, 0) AS source_count
-FROM inst LEFT JOIN (SELECT official_code, count(*) AS n FROM crt WHERE official_code <> '7' GROUP BY official_code) s ON s.official_code = inst.official_code""",
-       lsr=_LEGACY_SOURCES, cor=_CORRECTED, crt=_CORRECTED_ROWS)
+FROM aci a LEFT JOIN (SELECT official_code, count(*) AS n FROM crt GROUP BY official_code) s ON s.official_code = a.official_code""",
+       lsr=_LEGACY_SOURCES, cor=_CORRECTED, crt=_CORRECTED_ROWS, aci=_ALL_CODES)
 def _(t):
-    matched = legacy_rows(t).select(F.col("true_code").alias("official_code"), F.concat("official_site_url", F.lit("/")).alias("official_site_url"))
-    manifest = legacy.assemble_manifest(t.inst, matched, corrected_sources(t)[1].filter("official_code <> '7'"))
-    return manifest.drop("coverage_notes")
+    site = F.when(F.ltrim("state") == "nation_4 ", "https://CÂMARA.example:443").otherwise(F.col("official_site_url"))
+    matched = legacy_rows(t).select(F.col("true_code").alias("official_code"), F.concat(site, F.lit("/")).alias("official_site_url"))
+    return legacy.assemble_manifest(t.sql(_ALL_CODES), matched, corrected_sources(t)[1]).drop("coverage_notes")
 
 
 @query("c19_manifest_counts", """
-SELECT (SELECT count(*) FROM inst) AS institutions, count(DISTINCT official_code) AS partial,
-  (SELECT count(*) FROM inst) - count(DISTINCT official_code) AS source_not_found, count(*) AS sources FROM crt WHERE official_code <> '7'""",
-       lsr=_LEGACY_SOURCES, cor=_CORRECTED, crt=_CORRECTED_ROWS)
+SELECT (SELECT count(*) FROM aci) AS institutions, count(DISTINCT official_code) AS partial,
+  (SELECT count(*) FROM aci) - count(DISTINCT official_code) AS source_not_found, count(*) AS sources FROM crt""",
+       lsr=_LEGACY_SOURCES, cor=_CORRECTED, crt=_CORRECTED_ROWS, aci=_ALL_CODES)
 def _(t):
     matched = legacy_rows(t).select(F.col("true_code").alias("official_code"), "official_site_url")
-    return legacy.manifest_counts(legacy.assemble_manifest(t.inst, matched, corrected_sources(t)[1].filter("official_code <> '7'")))
+    return legacy.manifest_counts(legacy.assemble_manifest(t.sql(_ALL_CODES), matched, corrected_sources(t)[1]))
 
 
 # ---------------------------------------------------------------- merge into the registry
@@ -479,11 +491,15 @@ def _(t):
     return upsert.diff_rows(old, new, "official_code", ["notes", "status"])
 
 
-def resolved_sources(t, clean=False):
-    """Catalog sources of institutions that exist in the registry under their offset id."""
-    owned = t.csr.filter("p_type <> 'LARGE'") if clean else t.csr
-    mine = owned.withColumn("institution_id", F.col("official_code").cast("long") + 100000).withColumn(
-        "replaces", F.when(F.col("replaced").isNotNull(), F.array("replaced")).otherwise(F.array().cast("array<string>"))).drop("replaced")
+def resolved_sources(t, settled=False):
+    """Catalog sources of institutions that exist in the registry under their offset id.
+
+    LARGE sources meet rows that another catalog id owns; ``settled`` lets them name that id.
+    """
+    owner = F.concat(F.lit("other-"), F.col("p_partkey").cast("string"))
+    given = F.when(F.col("p_type") == "LARGE", owner).otherwise(F.col("replaced")) if settled else F.col("replaced")
+    mine = t.csr.withColumn("institution_id", F.col("official_code").cast("long") + 100000).withColumn(
+        "replaces", F.when(given.isNotNull(), F.array(given)).otherwise(F.array().cast("array<string>"))).drop("replaced")
     return mine, *upsert.resolve_sources(mine, t.rsr)
 
 
@@ -504,18 +520,20 @@ def _(t):
     return upsert.resolve_sources(moved, t.rsr)[1]
 
 
+# The whole source table after the merge; LARGE rows are not matched, so both sides stay.
 _SOURCE_ACTIONS = """
-SELECT c.catalog_source_id, coalesce(r.is_active, false) AS is_active, r.last_error_message, c.url AS normalized_url,
-  CASE WHEN r.id IS NULL THEN 'created' WHEN c.p_type <> 'STANDARD' OR r.coverage_status IS DISTINCT FROM c.status THEN 'updated' ELSE 'ignored' END AS action,
-  r.id IS NOT NULL AND c.p_type IN ('MEDIUM', 'PROMO', 'SMALL') AS replaced
-FROM csr c LEFT JOIN rsr r ON r.id = c.p_partkey + 500000 WHERE c.p_type <> 'LARGE'"""
+SELECT CASE WHEN c.p_partkey IS NULL THEN r.catalog_source_id ELSE c.catalog_source_id END AS catalog_source_id, coalesce(r.is_active, false) AS is_active,
+  r.last_error_message, CASE WHEN c.p_partkey IS NULL THEN r.normalized_url ELSE c.url END AS normalized_url,
+  CASE WHEN c.p_partkey IS NULL THEN NULL WHEN r.id IS NULL THEN 'created'
+    WHEN c.p_type <> 'STANDARD' OR r.coverage_status IS DISTINCT FROM c.status THEN 'updated' ELSE 'ignored' END AS action,
+  r.id IS NOT NULL AND coalesce(c.p_type IN ('MEDIUM', 'PROMO', 'SMALL'), false) AS replaced
+FROM (SELECT *, CASE WHEN p_type <> 'LARGE' THEN p_partkey + 500000 END AS rid FROM csr) c FULL JOIN rsr r ON r.id = c.rid"""
 
 
 @query("e09_upsert_sources", _SOURCE_ACTIONS)
 def _(t):
-    mine, matches, _c = resolved_sources(t, clean=True)
-    merged = upsert.upsert_sources(mine, t.rsr, matches).filter("action is not null")
-    return merged.select("catalog_source_id", "is_active", "last_error_message", "normalized_url", "action", "replaced")
+    mine, matches, _c = resolved_sources(t)
+    return upsert.upsert_sources(mine, t.rsr, matches).select("catalog_source_id", "is_active", "last_error_message", "normalized_url", "action", "replaced")
 
 
 @query("e10_upsert_stats", """
@@ -531,7 +549,7 @@ FROM (SELECT count(*) FILTER (WHERE action = 'created') AS created, count(*) FIL
    FROM (SELECT *, starts_with(eligibility_status, 'included') AS ok FROM cat)) x""", **_TIERS, ups=_UPSERTED, sac=_SOURCE_ACTIONS)
 def _(t):
     eligible, matches, _c = resolved(t)
-    mine, source_matches, _d = resolved_sources(t, clean=True)
+    mine, source_matches, _d = resolved_sources(t)
     return upsert.upsert_stats(
         upsert.upsert_institutions(eligible, t.reg, matches),
         upsert.upsert_sources(mine, t.rsr, source_matches),
@@ -545,7 +563,7 @@ UNION ALL SELECT 'refused', 'source', url, catalog_source_id, is_active FROM rsr
 UNION ALL SELECT 'merged', 'institution', name, official_code, is_active FROM ups2
 UNION ALL SELECT 'merged', 'source', CASE WHEN c.catalog_source_id IS NULL THEN r.url ELSE c.url END,
   coalesce(c.catalog_source_id, r.catalog_source_id), coalesce(r.is_active, false)
-  FROM (SELECT * FROM csr WHERE p_type <> 'LARGE') c FULL JOIN rsr r ON r.id = c.p_partkey + 500000"""
+  FROM csr c FULL JOIN rsr r ON r.id = c.p_partkey + 500000"""
 
 
 @query("e11_publish_upsert", _PUBLISHED, **_TIERS, ups2=_UPSERTED)
@@ -569,23 +587,21 @@ def _(t):
     except checks.RuleViolation:
         state = "refused"
     before = contents(state)
-    mine, source_matches, settled = resolved_sources(t, clean=True)
+    # with the owned ids named as replaced, the same catalog goes through
+    mine, source_matches, settled = resolved_sources(t, settled=True)
     upsert.publish_upsert(institutions, upsert.upsert_sources(mine, t.rsr, source_matches), [settled], root)
     return before.unionAll(contents("merged"))
 
 
 @query("e12_upsert_region", """
-SELECT e.official_code, CASE WHEN r.id IS NULL THEN 'created' WHEN r.source_discovery_status IS DISTINCT FROM e.coverage_status
-  OR r.eligibility_status IS DISTINCT FROM e.eligibility_status OR r.official_site_url IS NULL THEN 'updated' ELSE 'ignored' END AS action
-FROM elg e LEFT JOIN reg r ON r.official_code = e.official_code WHERE e.region = 'ASIA'""", elg=_ELIGIBLE)
+SELECT name, official_code, source_discovery_status, action FROM ups""", **_TIERS | {"elg": _ELIGIBLE + " AND region = 'ASIA'"}, ups=_UPSERTED)
 def _(t):
     first, late = halves(t)
     late = late.withColumn("official_code", F.regexp_replace("official_code", "^LAW-", ""))
     eligible = upsert.split_eligible(catalog.select_catalog(first, late, "ASIA", known=_REGIONS))[0]
-    coded = t.reg.filter("official_code is not null")
-    matches, _c = upsert.resolve_institutions(eligible, coded)
-    merged = upsert.upsert_institutions(eligible, coded, matches)
-    return merged.filter("action is not null").select("official_code", "action")
+    matches, _c = upsert.resolve_institutions(eligible, t.reg)
+    merged = upsert.upsert_institutions(eligible, t.reg, matches)
+    return merged.select("name", "official_code", "source_discovery_status", "action")
 
 
 @query("e13_backfill_legacy", """

@@ -160,19 +160,21 @@ def _(t):
     return coverage.last_audit(sources(t), {"audited_at": "2026-07-14T08:00:00Z", "note": "2027-01-01", "verified": "soon"})
 
 
-_SHEET = """rec WHERE mapped AND source_active AND institution_active IS NOT DISTINCT FROM true
-  AND NOT (coverage_status = 'manual_review' OR contains(eligibility_status, 'manual_review'))"""
+_SHEET = """rec WHERE mapped AND source_active AND institution_active IS NOT DISTINCT FROM true"""
+# A reviewed source counts its institution as reviewed.
+_REVIEW = "(coverage_status = 'manual_review' OR contains(eligibility_status, 'manual_review') OR list_contains(string_split(coalesce(statuses, ''), ','), 'manual_review'))"
 
 
-@query("v13_coverage_institutions", f"""
-SELECT official_code, coalesce(array_to_string(list_filter(string_split(statuses, ','), lambda x: x <> 'manual_review'), ','), '') AS source_statuses, mapped_sources AS source_count
-FROM (SELECT * FROM {_SHEET} ORDER BY region, state, lower(official_name), official_code LIMIT 10 OFFSET 2)
-UNION ALL SELECT 'total', '', count(*) FROM {_SHEET}""", **REC)
+@query("v13_coverage_institutions", " UNION ALL ".join(f"""
+SELECT {flag} AS reviewed, official_code, coalesce(statuses, '') AS source_statuses, mapped_sources AS source_count
+FROM (SELECT * FROM {_SHEET} AND {_REVIEW} = {flag} ORDER BY region, state, lower(official_name), official_code LIMIT 10 OFFSET 2)
+UNION ALL SELECT {flag}, 'total', '', count(*) FROM {_SHEET} AND {_REVIEW} = {flag}""" for flag in ("true", "false")), **REC)
 def _(t):
-    # Institutions with a reviewed source count as reviewed; leave such sources out first.
-    others = F.filter("source_statuses", lambda s: s != "manual_review")
-    total, sheet = coverage.coverage_institutions(
-        records(t).withColumn("source_statuses", others),
-        has_source=True, source_active=True, institution_active=True, manual_review=False, skip=2, limit=10)
-    rows = sheet.select("official_code", F.array_join("source_statuses", ",").alias("source_statuses"), "source_count")
-    return rows.unionByName(total.select(F.lit("total").alias("official_code"), F.lit("").alias("source_statuses"), F.col("total").alias("source_count")))
+    def pages(reviewed):
+        total, sheet = coverage.coverage_institutions(
+            records(t), has_source=True, source_active=True, institution_active=True, manual_review=reviewed, skip=2, limit=10)
+        rows = sheet.select("official_code", F.array_join("source_statuses", ",").alias("source_statuses"), "source_count")
+        both = rows.unionByName(total.select(F.lit("total").alias("official_code"), F.lit("").alias("source_statuses"), F.col("total").alias("source_count")))
+        return both.select(F.lit(reviewed).alias("reviewed"), "*")
+
+    return pages(True).unionByName(pages(False))

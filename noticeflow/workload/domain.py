@@ -217,11 +217,12 @@ def domain_sql(d) -> dict[str, str]:
             FROM inst""",
         "csr": """
             SELECT p_partkey, CAST(s.institution_id AS STRING) AS official_code, s.catalog_source_id, s.name, s.source_type,
-              s.recommended_spider, s.coverage_status AS status, s.priority, s.url, p_type,
+              s.recommended_spider, s.coverage_status AS status, s.priority,
+              CASE WHEN p_type = 'ECONOMY' THEN replace(s.url, 'https://', 'https://xn--so-sia.') ELSE s.url END AS url, p_type,
               CASE WHEN p_type = 'LARGE' AND s.priority = 1 THEN '2026-01-01' ELSE NULL END AS capture_at,
               '2026-07-' || lpad(CAST(1 + p_size % 28 AS STRING), 2, '0') || 'T00:00:00Z' AS verified_at,
               CASE p_type WHEN 'MEDIUM' THEN 'old-' || CAST(p_partkey AS STRING)
-                WHEN 'PROMO' THEN 'https://old.example/' || CAST(p_partkey AS STRING) || '/'
+                WHEN 'PROMO' THEN 'https://ANTIGÃO.example/' || CAST(p_partkey AS STRING) || '/'
                 WHEN 'SMALL' THEN 'Légacy  NAME ' || CAST(p_partkey AS STRING) ELSE NULL END AS replaced
             FROM src s JOIN part ON p_partkey = s.id""",
         "rsr": """
@@ -230,8 +231,8 @@ def domain_sql(d) -> dict[str, str]:
                 WHEN 'LARGE' THEN 'other-' || CAST(p_partkey AS STRING) ELSE NULL END AS catalog_source_id,
               CASE WHEN p_type = 'SMALL' THEN 'legacy name ' || CAST(p_partkey AS STRING) ELSE s.name END AS name,
               CASE WHEN p_type IN ('ECONOMY', 'LARGE', 'STANDARD') THEN s.url
-                ELSE 'https://old.example/' || CAST(p_partkey AS STRING) END AS url,
-              CASE WHEN p_type IN ('ECONOMY', 'LARGE') THEN s.url WHEN p_type = 'STANDARD' THEN s.url ELSE NULL END AS normalized_url,
+                ELSE 'https://xn--antigo-7ta.example/' || CAST(p_partkey AS STRING) END AS url,
+              CASE WHEN p_type = 'ECONOMY' THEN replace(s.url, 'https://', 'https://São.') WHEN p_type = 'LARGE' THEN s.url WHEN p_type = 'STANDARD' THEN s.url ELSE NULL END AS normalized_url,
               s.source_type, s.recommended_spider,
               CASE WHEN p_size < 25 THEN s.coverage_status ELSE NULL END AS coverage_status, s.priority, s.is_active,
               s.check_frequency_minutes, s.last_checked_at, s.last_success_at, s.last_error_message,

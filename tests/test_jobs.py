@@ -332,3 +332,57 @@ def test_legacy_match_needs_exactly_one(spark):
                                  "legacy_id long, name string, initials string, state string")
     got = {r["legacy_id"]: (r["candidates"], r["official_code"], r["conflict"]) for r in legacy.match_legacy(rows, census).collect()}
     assert got == {1: (1, "1", None), 2: (2, None, "not_exactly_one"), 3: (1, "3", "shared_code"), 4: (1, "3", "shared_code"), 5: (0, None, "not_exactly_one")}
+
+
+def test_redirect_paths(spark):
+    """Chains of every length around the limit, a loop, a lost page, a hot login page."""
+    hops = [(f"http://h/{i}", 301, f"/{i - 1}") for i in range(1, 9)] + [("http://h/0", 200, None)]
+    hops += [("http://h/a", 302, "/b"), ("http://h/b", 302, "/a"), ("http://h/lost", 301, "/none"), ("http://h/blank", 308, " "),
+             ("http://h/login", 200, "/ignored")]
+    hops += [(f"http://h/u{i}", 302, "/login") for i in range(500)]
+    log = spark.createDataFrame(hops, "url string, status_code int, location string")
+    asked = ["http://h/%d" % i for i in range(9)] + ["http://h/a", "http://h/lost", "http://h/blank", None, "http://h/x"] + [f"http://h/u{i}" for i in range(500)] * 2
+    requests = spark.createDataFrame(list(enumerate(asked)), "id long, url string")
+    table = {u: (c, loc) for u, c, loc in hops}
+
+    def follow(url):
+        chain = []
+        while True:
+            if url not in table:
+                return None, None, chain, "not_fetched"
+            code, target = table[url]
+            if code == 200:
+                return code, url, chain, None
+            if not target.strip():
+                return code, None, chain, "redirect_without_location"
+            if len(chain) == 5:
+                return code, None, chain, "too_many_redirects"
+            url = "http://h" + target
+            chain.append(url)
+
+    got = {r["id"]: tuple(r)[1:] for r in audit.resolve_redirects(requests, log).collect()}
+    assert got == {i: follow(u) for i, u in enumerate(asked)}
+    assert audit.resolve_redirects(requests, log.limit(0)).filter("error_code <> 'not_fetched'").count() == 0
+
+
+def test_sources_that_share_a_key_stay_linear(spark):
+    """Two hundred registry rows and two hundred wishes on one URL: one certificate, no pairs."""
+    rows = [(i, 1, None, f"n{i}", "https://São.example/", None) for i in range(200)] + [(900, 1, None, "Only Ône", "https://b.example", None)]
+    registry = spark.createDataFrame(rows, "id long, institution_id long, catalog_source_id string, name string, url string, normalized_url string")
+    wishes = [(1, f"w{i}", "https://xn--so-sia.example", []) for i in range(200)] + [
+        (1, "by-name", "https://new.example", ["only  one"]), (1, "both", "https://b.example", ["N7"]), (2, "other", "https://b.example", [])]
+    wanted = spark.createDataFrame(wishes, "institution_id long, catalog_source_id string, url string, replaces array<string>")
+    matches, conflicts = upsert.resolve_sources(wanted, registry)
+    assert {tuple(r) for r in matches.collect()} == {("by-name", 900, True)}
+    assert sorted(tuple(r) for r in conflicts.collect()) == sorted(
+        [(f"w{i}", "url_matches_several") for i in range(200)] + [("both", "url_and_replaces_disagree")])
+
+
+def test_legacy_tokens_count_a_row_once(spark):
+    """A census row that holds both tokens of a legacy row is one candidate, hot tokens add up."""
+    census = spark.createDataFrame([(str(i), None, "Hot", "Universidade Ú" if i % 2 else f"u {i}", "SP") for i in range(100)],
+                                   "official_code string, official_initials string, initials string, official_name string, state string")
+    rows = spark.createDataFrame([(1, "universidade u", "HOT", "SP"), (2, "u 4", "hot", "sp"), (3, "u 4", "zz", "sp"), (4, "Hot", "hot", "SP")],
+                                 "legacy_id long, name string, initials string, state string")
+    got = {r["legacy_id"]: (r["candidates"], r["official_code"]) for r in legacy.match_legacy(rows, census).collect()}
+    assert got == {1: (100, None), 2: (100, None), 3: (1, "4"), 4: (100, None)}
