@@ -3,23 +3,36 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, where: Column | None = None) -> DataFrame:
-    """(text, y) of at most ``limit`` labelled documents.
+    """(doc_id, text, y) of at most ``limit`` labelled documents, one row each.
 
     The choice goes by a hash of doc_id, so it needs no pass over the texts and does not depend
     on the order of rows. The list of chosen ids is the only thing broadcast: ``limit`` rows.
-    Repeated labels of a document count once, the smallest wins; null labels are no labels.
+    Repeated labels of a document count once, the smallest wins; null labels are no labels. Of
+    repeated rows of a document the smallest text counts, so copies do not add up on the driver.
     """
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna()
     if where is not None:
         chosen = chosen.where(where)
     chosen = chosen.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(F.broadcast(chosen), "doc_id")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+
+
+def in_order(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """Collected rows sorted by doc_id, and which of them calibrate: a quarter, by a hash of doc_id.
+
+    Neither depends on how the documents lie in files.
+    """
+    rows = rows.take(pc.sort_indices(rows, [("doc_id", "ascending")]))
+    mixed = rows.column("doc_id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return rows, mixed >> np.uint64(62) == 3
 
 
 def per_document(values: np.ndarray, starts: np.ndarray) -> np.ndarray:

@@ -13,7 +13,10 @@ Only readings with a valid Luhn sum are cut out; a usual grouping is preferred t
 
 Kinds: card (13-19 digits, Luhn; the check digit is made anew), phone (10 digits, country code
 kept), ip, ssn, date (year-month-day, day/month/year or month/day/year; permuted within its
-century block 1870-1969 or 1970-2069), email.
+century block 1870-1969 or 1970-2069, earlier and later ones within cycles of 400 years), email.
+
+A run of letters, however long, is tried from its first character only; the time per text grows
+with its length (and with its number of different cards).
 
 Defined cases: null text stays null, empty text stays empty; texts without digit or @ are passed
 on as they are; invalid numbers stay; repeated rows are treated each; an empty table gives an
@@ -29,7 +32,7 @@ ROUNDS = 8
 
 #: What looks like personal data, longest formats first. Fixed values.
 PATTERNS = (
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    ("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
     ("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"),
     ("date", r"(?<![0-9A-Za-z-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?=T[0-9]{2}|(?![0-9A-Za-z-]))"),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
@@ -38,14 +41,14 @@ PATTERNS = (
 )
 OTHERS = "|".join(p for kind, p in PATTERNS if kind != "card")
 
-#: Ends of a card; a number in the local part of an e-mail address belongs to the address.
-_LEFT, _RIGHT = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z]|[A-Za-z0-9._%+-]*@)"
+#: Ends of a card; a number in the last 64 characters of a local part belongs to the address.
+_LEFT, _RIGHT = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z]|[A-Za-z0-9._%+-]{0,64}+@)"
 #: At least 13 digits that stand together.
 DENSE = r"[0-9](?:[ -]?[0-9]){12}"
 #: 4-4-4-4, 4-6-5, 4-6-4 and undivided.
 GROUPED = rf"{_LEFT}(?=((?:[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{4,5}}|[0-9]{{13,19}}){_RIGHT}))"
 #: A run that no other digits touch.
-WHOLE = rf"{_LEFT}(?<![0-9][ -])([0-9](?:[ -]?[0-9]){{12,18}})(?![ -]?[0-9]|[A-Za-z]|[A-Za-z0-9._%+-]*@)"
+WHOLE = rf"{_LEFT}(?<![0-9][ -])([0-9](?:[ -]?[0-9]){{12,18}})(?![ -]?[0-9]|[A-Za-z]|[A-Za-z0-9._%+-]{0,64}+@)"
 #: Every reading of one length that begins and ends with a group.
 READING = (rf"{_LEFT}(?=([0-9](?:[ -]?[0-9]){{", rf"}}{_RIGHT}))")
 
@@ -120,20 +123,31 @@ def _ssn(m: str, key: str) -> str:
     return f"if({valid}, {new}, {m})"
 
 
-#: Blocks of a hundred years: first day, and two factors whose product is the number of days.
-CENTURIES = (("1970-01-01", 75, 487), ("1870-01-01", 92, 397))
+#: First year of a block, its last year, and two factors whose product is its number of days.
+#: Outside the two blocks of a hundred years, whole cycles of 400 years and what is left of one.
+CENTURIES = ((1970, 2069, 75, 487), (1870, 1969, 92, 397))
+CYCLE, CYCLE_DAYS = 400, (189, 773)
+ENDS = ((1, 269, 250, 393), (9670, 9999, 43, 2803))
+
+
+def _block(year: str) -> str:
+    """SQL struct (first, low, high) of the block that holds a year; null outside 1-9999."""
+    row = "named_struct('first', make_date({}, 1, 1), 'low', {}, 'high', {})".format
+    cases = [f"WHEN {year} BETWEEN {one} AND {last} THEN {row(one, low, high)}" for one, last, low, high in CENTURIES + ENDS]
+    early, late = ENDS[0][1] + 1, CENTURIES[0][1] + 1
+    cases += [f"WHEN {year} BETWEEN {since} AND {until} THEN {row(f'cast({since} + ({year} - {since}) div {CYCLE} * {CYCLE} AS int)', *CYCLE_DAYS)}"
+              for since, until in ((early, CENTURIES[1][0] - 1), (late, ENDS[1][0] - 1))]
+    return f"CASE {' '.join(cases)} END"
 
 
 def _date(m: str, key: str) -> str:
     day = f"coalesce(try_to_date({m}, 'yyyy-MM-dd'), try_to_date(translate({m}, '.', '/'), 'dd/MM/yyyy'), try_to_date(translate({m}, '.', '/'), 'MM/dd/yyyy'))"
     layout = f"if({m} rlike '^[0-9]{{4}}-', 'yyyy-MM-dd', if(try_to_date(translate({m}, '.', '/'), 'dd/MM/yyyy') IS NOT NULL, 'dd/MM/yyyy', 'MM/dd/yyyy'))"
-    result = m
-    for first, low, high in CENTURIES:
-        number = f"datediff(y, DATE'{first}')"
-        pair = feistel(f"{number} div {high}", f"{number} % {high}", str(low), str(high), key, _text(f"date{first}"))
-        moved = _with("p", pair, f"date_format(date_add(DATE'{first}', cast(p.a * {high} + p.b AS int)), {layout})")
-        result = f"if(y >= DATE'{first}' AND {number} < {low * high}, if({m} rlike '[.]', translate({moved}, '/', '.'), {moved}), {result})"
-    return _with("y", day, f"if(y IS NULL, {m}, {result})")
+    number = "datediff(y, k.first)"
+    pair = feistel(f"{number} div k.high", f"{number} % k.high", "k.low", "k.high", key, "concat('date', cast(k.first AS string))")
+    moved = _with("p", pair, f"date_format(date_add(k.first, cast(p.a * k.high + p.b AS int)), {layout})")
+    shown = f"if({m} rlike '[.]', translate({moved}, '/', '.'), {moved})"
+    return _with("y", day, _with("k", _block("year(y)"), f"if(k IS NULL, {m}, {shown})"))
 
 
 def _email(m: str, key: str) -> str:

@@ -2,7 +2,7 @@
 
 The model pools hashed words and hashed byte 4-grams of a text (mean weight of each kind), is
 fitted on a bounded sample of labelled rows (``SAMPLE`` documents, chosen by a hash of doc_id)
-and calibrated on a quarter of that sample which the fit does not see. Texts are scored in
+and calibrated on a quarter of that sample, chosen by another hash, which the fit does not see. Texts are scored in
 Arrow batches in one pass; a document goes if a base rule fails or if P(good) < ``REJECT``.
 
 Defined cases: null, empty or blank text has no words, all counts 0, and fails the base rules;
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.llm.batches import Words, bytes_of, mix, slices, split, travels, windows, word_hashes
-from noticeflow.llm.learning import Adam, labelled_sample, per_document, platt, sigmoid
+from noticeflow.llm.learning import Adam, in_order, labelled_sample, per_document, platt, sigmoid
 
 SAMPLE = 4000
 BUCKETS = 1 << 16
@@ -107,16 +107,16 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 where.append(own)
                 share.append(n / max(1, n.sum()))
             yield pa.record_batch(
-                [rows.column("y").slice(i, 1), pa.array([np.concatenate(where)], pa.list_(pa.int32())), pa.array([np.concatenate(share)], pa.list_(pa.float32()))],
-                ["y", "where", "share"],
+                [rows.column("doc_id").slice(i, 1), rows.column("y").slice(i, 1), pa.array([np.concatenate(where)], pa.list_(pa.int32())), pa.array([np.concatenate(share)], pa.list_(pa.float32()))],
+                ["doc_id", "y", "where", "share"],
             )
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = 200) -> dict | None:
     """Weights and calibration; None without labelled rows of both kinds."""
-    rows = labelled_sample(docs, labels, "quality", sample).select("text", "y").mapInArrow(_count_features, "y int, where array<int>, share array<float>").toArrow()
+    rows = labelled_sample(docs, labels, "quality", sample).mapInArrow(_count_features, "doc_id long, y int, where array<int>, share array<float>").toArrow()
+    rows, held = in_order(rows)
     y = np.array(rows.column("y").to_pylist(), np.float64)
-    held = np.arange(len(y)) % 4 == 3
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         return None
     lists = rows.column("where").combine_chunks()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.llm.batches import slices, split, travels
-from noticeflow.llm.learning import Adam, labelled_sample, sigmoid
+from noticeflow.llm.learning import Adam, in_order, labelled_sample, sigmoid
 
 SAMPLE = 4000
 BUCKETS = 1 << 18
@@ -94,12 +94,13 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs = [(i, s) for w, s in zip(found.ids[a:b].tolist(), found.sentence[a:b].tolist(), strict=True) for i in features[w]]
             words.append([i for i, _ in pairs])
             sentences.append([s for _, s in pairs])
-        yield pa.record_batch([rows.column("y"), pa.array(words, pa.list_(pa.int32())), pa.array(sentences, pa.list_(pa.int32()))], ["y", "words", "sentences"])
+        yield pa.record_batch([rows.column("doc_id"), rows.column("y"), pa.array(words, pa.list_(pa.int32())), pa.array(sentences, pa.list_(pa.int32()))], ["doc_id", "y", "words", "sentences"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, where=None, rounds: int = 400) -> dict | None:
     """Word weights and bias; None without labelled rows of both kinds."""
-    rows = labelled_sample(docs, labels, "toxic", sample, where).select("text", "y").mapInArrow(_collect, "y int, words array<int>, sentences array<int>").toArrow()
+    rows = labelled_sample(docs, labels, "toxic", sample, where).mapInArrow(_collect, "doc_id long, y int, words array<int>, sentences array<int>").toArrow()
+    rows, _ = in_order(rows)
     y = np.array(rows.column("y").to_pylist(), np.float64)
     if len(set(y)) < 2:
         return None

@@ -1,12 +1,12 @@
 """URL rules by Bloom filter cascades: exact membership without a join.
 
 Keys are the texts of rules: host and path prefix. The universe of a cascade are all keys that the
-corpus can ask for, every parent domain of every host with every prefix of the path that is as long
-as some rule's. Level 1 is a Bloom filter of the listed keys, level 2 one of the keys of the
+corpus can ask for, every parent domain of every host with at most as many labels as some rule's,
+with every prefix of the path that is as long as some rule's. Level 1 is a Bloom filter of the listed keys, level 2 one of the keys of the
 universe that pass level 1 without being listed, level 3 one of the listed keys that pass level 2,
 and so on until nothing passes wrongly. The first level that rejects a key decides: an odd one says
 not listed, an even one listed. Level 1 lets about as many unlisted keys pass as there are listed
-ones, so the corpus is read once and all later levels are small; the filters grow with the list
+ones, so later levels are small; the corpus is read for each level of each list; the filters grow with the list
 and the logarithm of the corpus.
 
 One cascade holds the rules that block, one those that allow. Filters are literals of the plan, at
@@ -47,16 +47,20 @@ def with_parts(pages: DataFrame) -> DataFrame:
     return pages.withColumns({"host": host, "path": path})
 
 
-def keys(lengths: list[int]) -> Column:
-    """All rule texts that would fit, longest first: longer hosts, then longer paths."""
+def keys(lengths: list[int], labels: int) -> Column:
+    """All rule texts that would fit, longest first: longer hosts, then longer paths.
+
+    ``lengths`` of path prefixes and the most ``labels`` of a host come from the rules, so a host
+    with thousands of labels asks for no more keys than another one.
+    """
     if not lengths:
         return F.expr("cast(array() AS array<string>)")
     sizes = ", ".join(str(n) for n in sorted(lengths, reverse=True))
-    labels = "split(host, '[.]')"
+    most = f"least({labels}, length(host) - length(replace(host, '.', '')) + 1)"
     return F.expr(
-        f"CASE WHEN host = '' THEN cast(array() AS array<string>) ELSE flatten(transform(sequence(1, size({labels})), i -> "
+        f"CASE WHEN host = '' THEN cast(array() AS array<string>) ELSE flatten(transform(sequence({most}, 1, -1), i -> "
         f"transform(filter(array({sizes}), n -> n <= length(path)), n -> "
-        f"concat(array_join(slice({labels}, i, size({labels})), '.'), substr(path, 1, n))))) END"
+        f"concat(substring_index(host, '.', -i), substr(path, 1, n))))) END"
     )
 
 
@@ -119,12 +123,13 @@ def url_filter(pages: DataFrame, rules: DataFrame) -> DataFrame:
     parts = with_parts(pages)
     rules = rules.where("rule IS NOT NULL AND action IN ('allow', 'block')").groupBy("rule").agg(F.max("action").alias("action"))
     lengths = [r.n for r in rules.select(F.expr("length(rule) - instr(rule, '/') + 1").alias("n")).where("n > 0").distinct().orderBy("n").collect()]
-    asked = parts.select(keys(lengths).alias("keys"))
+    labels = rules.select(F.max(F.size(F.split(F.substring_index("rule", "/", 1), "[.]")))).first()[0] or 1
+    asked = parts.select(keys(lengths, labels).alias("keys"))
     size = asked.agg(F.sum(F.size("keys"))).first()[0] or 0
     cascades = {a: build(asked, size, rules.where(F.col("action") == a).select(F.col("rule").alias("key")), 2 * k * 1000 + 1) for k, a in enumerate(("block", "allow"))}
     kind = f"CASE WHEN {listed(cascades['block'], 'k') if cascades['block'] else 'false'} THEN 'block' WHEN {listed(cascades['allow'], 'k') if cascades['allow'] else 'false'} THEN 'allow' END"
     # longest rule first; the first that is listed decides
     hits = F.expr(f"filter(transform(__keys, k -> named_struct('rule', k, 'action', {kind})), h -> h.action IS NOT NULL)")
-    best = parts.withColumn("__keys", keys(lengths)).withColumn("__hits", hits).drop("__keys")
+    best = parts.withColumn("__keys", keys(lengths, labels)).withColumn("__hits", hits).drop("__keys")
     longest = F.expr("aggregate(__hits, cast(NULL AS struct<rule: string, action: string>), (b, h) -> if(b IS NULL OR length(h.rule) > length(b.rule), h, b))")
     return best.withColumn("__best", longest).withColumns({"rule": F.col("__best.rule"), "verdict": F.coalesce("__best.action", F.lit("allow"))}).drop("__hits", "__best")

@@ -4,8 +4,10 @@ import hashlib
 import random
 import re
 import string
+import time
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -131,6 +133,15 @@ def test_url_rules(spark):
     assert url_filters.url_filter(pages.limit(0), spark.createDataFrame(rules, "rule string, action string")).count() == 0
 
 
+def test_hosts_with_thousands_of_labels(spark):
+    deep = "a." * 20_000
+    urls = [f"x://{deep}net/", f"x://{deep}example.com/de/" + "p/" * 9_000, f"x://{deep}org/", f"x://{deep}example.net/en/", "x://net./", "x://.net/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [*url_filters.RULES, ("a.a.a.org/", "block")]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filters.url_filter(pages, spark.createDataFrame(rules, "rule string, action string")).collect()}
+    assert got == {i: judge(u, rules)[2:] for i, u in enumerate(urls)}
+
+
 # -- toxicity and quality ----------------------------------------------------------------------
 
 
@@ -200,6 +211,20 @@ def test_quality_model_on_unseen_rows(spark):
     assert kept.columns == table.columns and kept.count() == sum(r.kept for r in rows)
 
 
+def test_learned_verdicts_do_not_depend_on_the_layout(spark):
+    table, labels, _ = labelled(spark)
+    again = table.union(table.where("doc_id % 3 = 0")).repartition(5, "text")
+    for fit in (quality.fit, toxicity.fit):
+        one, two = fit(table.coalesce(1), labels), fit(again, labels)
+        assert one.keys() == two.keys() and all(np.array_equal(one[k], two[k]) if isinstance(one[k], np.ndarray) else one[k] == two[k] for k in one)
+
+
+def test_a_labelled_row_in_many_copies_counts_once(spark):
+    copies = spark.range(20_000).selectExpr("7L AS doc_id", "concat('text ', id % 3) AS text")
+    labels = spark.createDataFrame([(7, 1, 1), (7, 0, 0), (8, 1, 1)], "doc_id long, quality int, toxic int")
+    assert [tuple(r) for r in learning.labelled_sample(copies, labels, "quality", 100).select("doc_id", "text", "y").collect()] == [(7, "text 0", 0)]
+
+
 def test_grams_stay_inside_texts():
     texts = ["abcd", "", "ab", "abcde", "é", "wxyz"]
     starts, buckets = quality.grams(batches.text_of(pa.array(texts)))
@@ -461,6 +486,28 @@ def test_permutations_are_one_to_one(spark):
     assert len(set(made(spark, phones))) == len(phones)
 
 
+def test_dates_of_the_whole_calendar(spark):
+    odd = ["0001-01-01", "0269-12-31", "0270-01-01", "1850-05-05", "1869-12-31", "2070-01-01", "2100-12-31", "9670-01-01", "9999-12-31", "31.12.2099", "0000-01-01"]
+    got = made(spark, odd)
+    assert got[-1] == odd[-1] and sum(a != b for a, b in zip(got, odd, strict=True)) >= len(odd) - 2
+    assert all(re.fullmatch(r"\d{4}-\d\d-\d\d|\d\d\.\d\d\.\d{4}", d) for d in got)
+    for first, last in (("1868-01-01", "1871-12-31"), ("2068-01-01", "2072-12-31"), ("9660-01-01", "9680-12-31")):
+        days = [r.d for r in spark.sql(f"SELECT cast(d AS string) d FROM (SELECT explode(sequence(DATE'{first}', DATE'{last}')) d)").collect()]
+        shown = made(spark, days)
+        assert len(set(shown)) == len(days) and spark.createDataFrame([(d,) for d in shown], "d string").where("try_to_date(d, 'yyyy-MM-dd') IS NULL").count() == 0
+
+
+def test_pseudonyms_in_very_long_runs(spark):
+    """A megabyte without a space, with a number, an address or many labels at its end, in seconds."""
+    runs = ["a" * 1_000_000 + " 1", "a" * 1_000_000 + "@b.example 1", "x@" + "b" * 1_000_000, "x@" + "b." * 200_000 + "c", "1-" * 300_000 + "x", "a1@" * 200_000, "%._" * 300_000 + " 4111 1111 1111 1111"]
+    start = time.time()
+    got = made(spark, runs)
+    assert time.time() - start < 60
+    assert got[0] == runs[0] and re.fullmatch("u[0-9a-f]{12}@b.example 1", got[1]) and got[2] == runs[2] and got[3].endswith("b.c") and got[3] != runs[3] and got[4] == runs[4]
+    assert "4111 1111" not in got[6]
+    assert re.fullmatch("u[0-9a-f]{12}@a.com%?u[0-9a-f]{12}@b.com", made(spark, ["x@a.com_foo@b.com"])[0])
+
+
 def test_cards_beside_other_numbers(spark):
     card, amex = "4111 1111 1111 1111", "3782 822463 10005"
     around = [f"card {card} 12/27", f"card {card} 123 end", f"order 12 {card}", f"id 123456 {card}", f"{card} 4111-1111-1111-1111", f"amex {amex} 1234", f"x 12 {amex}", "n 4111111111111111 12/27",
