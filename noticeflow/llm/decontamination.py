@@ -7,9 +7,11 @@ the windows of the benchmark; a re-parameterised question keeps its templates. L
 what a name is, so each of these windows has a second key of lower-cased words (numbers, quantities
 and units typed, no names), which a copy in other case keeps; a position of the item counts once,
 whichever key meets it. Then the slots are
-checked: one value of the item must always meet the same value in the document, at one alignment
-of the two. A document is contaminated by an item if consistent windows cover ``COVERED`` of the
-item's windows.
+checked at each alignment of the two texts: a value of the item that meets two values of the
+document, and a value of the document that stands for two of the item, make every window that holds
+them inconsistent. A window whose slots all hold the item's own values is a literal copy and always
+counts. A document is contaminated by an item if consistent windows cover ``COVERED`` of the item's
+windows.
 
 Documents' windows are filtered in the scan by a bitmap of the benchmark's window hashes, a fixed
 ``2 ** BITS`` bits whatever the benchmark's size, so that only what may match is shuffled.
@@ -19,7 +21,7 @@ the benchmark holds. An item none of whose windows has ``LITERAL`` words (rich i
 is matched by the exact words and values of its windows, in any case.
 
 Defined cases: null or empty text matches nothing, nor does a text shorter than every window of the
-benchmark; repeated items are one item each; an empty
+benchmark; repeated rows of one item_id count as one item; an empty
 documents table gives an empty result, an empty benchmark contaminates nothing; other columns are
 kept by ``drop_contaminated`` and ignored otherwise. Rows without doc_id match nothing.
 """
@@ -34,7 +36,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeflow.llm.batches import mix, slices, split, travels
@@ -178,31 +180,34 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, literal: int = LITERAL) -> DataFrame:
-    """(doc_id, item_id, share, consistent) of every document and item that share a template window."""
-    items = benchmark.select(F.col("item_id").alias("id"), "text").where("id IS NOT NULL")
+    """(doc_id, item_id, share, consistent) of every document and item that share a window.
+
+    ``share``: part of the item's positions that consistent windows cover; ``consistent``: no position
+    that met was left out by the slot check.
+    """
+    items = benchmark.select(F.col("item_id").alias("id"), "text").where("id IS NOT NULL").distinct()
     item_windows = items.mapInArrow(_item_windows(size, literal), _WINDOW_SCHEMA)
     bits = _bitmap(item_windows)
     keys = sorted((r["kind"], r["size"]) for r in item_windows.select("kind", "size").distinct().collect())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     found = texts.mapInArrow(_document_windows(keys, literal, bits), _WINDOW_SCHEMA)
     sizes = item_windows.groupBy("id").agg(F.countDistinct("position").alias("of"))
-    pairs = found.alias("d").join(item_windows.alias("b"), "hash").select(
+    slots = found.alias("d").join(item_windows.alias("b"), "hash").select(
         F.col("d.id").alias("doc_id"), F.col("b.id").alias("item_id"), (F.col("d.position") - F.col("b.position")).alias("shift"),
-        F.col("b.position").alias("position"), F.split("b.slots", "\x1f").alias("theirs"), F.split("d.slots", "\x1f").alias("ours"),
-    )
-    # slots of one alignment: a value of the item that meets two values is inconsistent
-    slots = pairs.select("doc_id", "item_id", "shift", "position", F.explode(F.arrays_zip("theirs", "ours")).alias("s")).select("doc_id", "item_id", "shift", "position", "s.*")
-    runs = (
-        slots.groupBy("doc_id", "item_id", "shift", "theirs").agg(F.min("ours").alias("low"), F.max("ours").alias("high"), F.collect_set("position").alias("at"))
-        .groupBy("doc_id", "item_id", "shift").agg(F.avg((F.col("low") != F.col("high")).cast("double")).alias("clash"), F.flatten(F.collect_list("at")).alias("at"))
-        .select("doc_id", "item_id", (F.col("clash") <= 0.2).alias("consistent"), F.array_distinct("at").alias("at"))
-    )
-    # an insertion or deletion changes the alignment: a position of the item counts once, whichever consistent alignments cover it
+        F.col("b.position").alias("position"), F.col("b.kind").alias("kind"),
+        F.explode(F.arrays_zip(F.split("b.slots", "\x1f").alias("theirs"), F.split("d.slots", "\x1f").alias("ours"))).alias("s"),
+    ).select("doc_id", "item_id", "shift", "position", "kind", "s.theirs", "s.ours")
+    # an alignment holds no more rows than the item has slots; one exchange serves the windows below
+    aligned = ["doc_id", "item_id", "shift"]
+    several = lambda value, of: F.min(value).over(Window.partitionBy(*aligned, of)) != F.max(value).over(Window.partitionBy(*aligned, of))
+    judged = slots.repartition(*aligned).withColumn("clash", several("ours", "theirs") | several("theirs", "ours"))
+    runs = judged.groupBy(*aligned, "position", "kind").agg((F.bool_and(F.col("theirs") == F.col("ours")) | ~F.bool_or("clash")).alias("counts"))
+    # an insertion or deletion changes the alignment: a position of the item counts once, whichever alignment and kind cover it
     return (
-        runs.select("doc_id", "item_id", "consistent", F.explode("at").alias("position"))
-        .groupBy("doc_id", "item_id").agg(F.countDistinct(F.when(F.col("consistent"), F.col("position"))).alias("n"), F.max("consistent").alias("consistent"))
+        runs.groupBy("doc_id", "item_id", "position").agg(F.max("counts").alias("counts"))
+        .groupBy("doc_id", "item_id").agg(F.count_if("counts").alias("n"), F.min("counts").alias("consistent"))
         .join(sizes.withColumnRenamed("id", "item_id"), "item_id").select("doc_id", "item_id", (F.col("n") / F.col("of")).alias("share"), "consistent")
-    )
+    )
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> DataFrame:
@@ -223,7 +228,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, covered: float = COVERE
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> DataFrame:
     """Documents without a benchmark item, with all their columns."""
-    return docs.join(contaminated(docs, benchmark, covered).select(F.col("doc_id").alias("_doc")), docs.doc_id.cast("long") == F.col("_doc"), "left_anti")
+    found = contaminated(docs, benchmark, covered).select(F.col("doc_id").alias("_doc"))
+    return docs.join(found, docs.doc_id.cast("long") == found["_doc"], "left_anti")
 
 
 travels(__name__)

@@ -25,8 +25,9 @@ end. Pairs are (document, pivot), or lie in a leaf: linear in a region's size. H
 split by adaptive skew joins; nothing is gathered per group, on the driver or in a broadcast.
 
 Defined cases: null, empty or blank text has no shingle, ``n_shingles`` 0 and is its own component;
-fewer than five words count as one shingle of all of them; repeated rows of one doc_id count once;
-rows without doc_id are left out;
+fewer than five words count as one shingle of all of them; repeated rows of one doc_id count once,
+and of different texts of one doc_id the one with the least xxhash64 counts, whatever the order of
+rows (``one_text``); rows without doc_id are left out;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -185,10 +186,24 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return step.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+def one_text(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that hold the text of their doc_id, table to discard afterwards).
+
+    The text of a doc_id is the one with the least hash. Texts are not shuffled to find it; only
+    doc_ids with different texts are joined back, as a rule none.
+    """
+    h = F.xxhash64("text")
+    several = materialize(
+        docs.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min(h).alias("least"), F.max(h).alias("most")).where("id IS NOT NULL AND least <> most").select("id", "least"),
+        "several",
+    )
+    return docs.join(several, (docs.doc_id.cast("long") == several.id) & (F.xxhash64(docs.text) != several.least), "left_anti"), several
+
+
 def near_duplicates(docs: DataFrame, size: int = SIZE, threshold: Fraction = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest document with the same set), component_id."""
     t = threshold
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("doc_id IS NOT NULL")
+    docs, several = one_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("doc_id IS NOT NULL"))
     sketches = materialize(
         docs.mapInArrow(_sketch(size, t), "doc_id long, n long, d1 long, d2 long, need long, first array<long>"), "sketches"
     )
@@ -223,7 +238,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, threshold: Fraction = THR
                 F.expr("aggregate(s, 0D, (a, e) -> a - ln(e.df)) / n").alias("cen")),
         "points",
     )
-    discard(some, sets)
+    discard(some, sets, several)
     room = F.expr(f"cast(n - ceil(n * {num} / {den}) + 1 - (n - size(sigs)) AS int)")
     regions = points.select(F.lit(0).cast("long").alias("p"), F.lit(0).alias("role"), F.explode(F.slice("sigs", 1, room)).alias("e"), F.col("doc_id").alias("x"), "cen", F.lit(True).alias("outer"))
     links, spent = [], []

@@ -74,6 +74,16 @@ def linked(texts):
     return [(len(s), find(i)) for i, s in enumerate(sets)]
 
 
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (1, 0, 2, 3), (3, 2, 1, 0)])
+def test_several_texts_of_one_document(spark, order):
+    x, y = ("one two three four five six seven eight", "a b c d e f g h i j k l")
+    rows = [(1, x), (1, y), (2, y), (3, x)]
+    table = spark.createDataFrame([rows[i] for i in order], "doc_id int, text string").repartition(3)
+    least = spark.createDataFrame([(x,), (y,)], "t string").orderBy(F.xxhash64("t")).first().t
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(table).collect()}
+    assert got == ({1: 1, 2: 2, 3: 1} if least == x else {1: 1, 2: 1, 3: 3})
+
+
 def test_near_duplicates_equal_brute_force(spark, corpus):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(docs(spark, corpus, n=1, sig="x")).collect()}
     assert got == dict(enumerate(linked(corpus)))
@@ -406,15 +416,84 @@ def test_reparameterised_questions(spark):
     table = docs(spark, texts, item_id=3, share=1)
     items = spark.createDataFrame([(1, QUESTION), (2, None), (3, ""), (4, "tiny item")], "item_id long, text string")
     got = {r.doc_id: r.contaminated for r in decontamination.decontaminate(table, items).collect()}
-    assert got == {0: False, 1: False, 2: True, 3: True, 4: False, 5: False, 6: False} | {5: got[5]}
-    clash = {r.doc_id: r.consistent for r in decontamination.matches(table, items).collect()}
-    assert clash[2] and clash[3]
+    assert got == {0: False, 1: False, 2: True, 3: True, 4: False, 5: True, 6: False}
+    met = {r.doc_id: (r.consistent, round(r.share * 17)) for r in decontamination.matches(table, items).collect()}
+    # a second value for Alice takes the four windows that hold the name
+    assert met[2] == met[3] == (True, 17) and met[5] == (False, 13)
     kept = decontamination.drop_contaminated(table, items)
     assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {i for i, c in got.items() if not c}
     assert decontamination.decontaminate(table, items.limit(0)).where("contaminated").count() == 0
     assert decontamination.decontaminate(table.limit(0), items).count() == 0
 
 
+def test_slots_with_several_values_do_not_count(spark):
+    again = QUESTION.replace("Alice", "Zed", 1).replace("Alice", "Dora")
+    one_way = re.sub(r"\b(12|5|3)\b", "90", QUESTION)
+    both_ways = re.sub(r"\b(12|5|3)\b", "90", again)
+    one_changed = QUESTION.replace("12", "5")
+    texts = [QUESTION, again, one_way, both_ways, one_changed]
+    items = spark.createDataFrame([(1, QUESTION), (1, QUESTION)], "item_id long, text string")
+    table = docs(spark, texts + texts[:2])
+    got = {r.doc_id: (r.consistent, round(r.share * 17)) for r in decontamination.matches(table, items).collect()}
+    # windows with 12, 5 or 3 start at 0 to 13, with Alice at 0 and 14 to 16; literal windows stay
+    assert got == {0: (True, 17), 1: (False, 13), 2: (False, 3), 3: (False, 0), 4: (False, 14), 5: (True, 17), 6: (False, 13)}
+    assert {r.doc_id for r in decontamination.contaminated(table, items).collect()} == {0, 1, 4, 5, 6}
+
+
+def plain_matches(texts, items, size=8, literal=4):
+    """{(doc, item): (share, consistent)} from the definition, window by window."""
+    found = {}
+    for i, item in items:
+        theirs = [w for w in words(item) if decontamination.canonical(w)[0]]
+        own = min(size, len(theirs))
+        keys = {k: [decontamination.canonical(w if k == 0 else w.lower()) for w in theirs] for k in (0, 1)}
+        rich = {k: [p for p in range(len(theirs) - own + 1) if own and sum(not v for _, v in keys[k][p : p + own]) >= min(literal, own)] for k in (0, 1)}
+        if not rich[0]:
+            continue
+        for d, text in enumerate(texts):
+            ours = [w for w in words(text) if decontamination.canonical(w)[0]]
+            told = {k: [decontamination.canonical(w if k == 0 else w.lower()) for w in ours] for k in (0, 1)}
+            met = {}
+            for k in (0, 1):
+                for p in rich[0]:
+                    for q in range(len(ours) - own + 1):
+                        a, b = keys[k][p : p + own], told[k][q : q + own]
+                        if [t for t, _ in a] == [t for t, _ in b] and sum(not v for _, v in b) >= min(literal, own):
+                            met.setdefault(q - p, []).append((p, [(x, y) for (_, x), (_, y) in zip(a, b, strict=True) if x]))
+            if not met:
+                continue
+            good, seen = set(), set()
+            for wins in met.values():
+                pairs = {s for _, w in wins for s in w}
+                mixed = {s for s in pairs for o in pairs if (s[0] == o[0]) != (s[1] == o[1])}
+                seen |= {p for p, _ in wins}
+                good |= {p for p, w in wins if all(x == y for x, y in w) or not mixed & set(w)}
+            found[d, i] = (len(good) / len(rich[0]), good == seen)
+    return found
+
+
+def test_decontamination_equals_brute_force(spark):
+    rnd = random.Random(17)
+    pool = ["Alice", "Bob", "Carol", "12", "5", "3", "km", "miles", *(f"w{c}" for c in "abcdefghij")]
+    line = lambda n: [rnd.choice(pool) for _ in range(n)]
+    items = [line(rnd.randint(1, 26)) for _ in range(25)]
+    swap = {"Alice": ["Dora", "Erin", "Alice"], "Bob": ["Dora", "Bob"], "12": ["7", "12"], "5": ["7", "5"], "3": ["3", "44"], "km": ["miles", "km"]}
+    texts = [None, "", " ".join(line(60) * 2)]
+    for _ in range(120):
+        fixed = {k: rnd.choice(v) for k, v in swap.items()}
+        body = [(rnd.choice(swap[w]) if rnd.random() < 0.1 else fixed[w]) if w in swap else w for w in rnd.choice(items)]
+        if rnd.random() < 0.3:
+            body.insert(rnd.randrange(len(body) + 1), "new")
+        text = " ".join(line(rnd.randint(0, 6)) + body + line(rnd.randint(0, 6)))
+        texts.append(text.upper() if rnd.random() < 0.2 else text)
+    told = [(i, " ".join(t)) for i, t in enumerate(items)]
+    plain = plain_matches([t or "" for t in texts], told)
+    poor = {i for i, _ in told} - {i for _, i in plain}
+    rows = decontamination.matches(docs(spark, texts), spark.createDataFrame([*told, told[0]], "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): (r.share, r.consistent) for r in rows if r.item_id not in poor}
+    assert got == plain and any(0 < s < 1 for s, _ in plain.values()) and any(not c for _, c in plain.values())
+
+
 def test_windows_equal_plain_ones():
     text = "In 2020 Alice saw 12 km, of road-side -- trees! and 5kg plums One two"
     told = [decontamination.canonical(w) for w in words(text)]

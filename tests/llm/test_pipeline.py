@@ -4,6 +4,7 @@ import random
 import string
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from noticeflow.llm import queries
@@ -55,3 +56,20 @@ def test_empty_corpus(spark, corpus):
     docs = queries.table(spark, root, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, root).count() == 0
+
+
+def test_one_row_of_a_document_whatever_the_order(spark, corpus):
+    root, _ = corpus
+    x, y = "one two three four five six seven eight", "a b c d e f g h i j k l"
+    rows = [(1, x, "s", {"k": 1}, 5), (1, x, "r", {"k": 2}, 5), (1, y, "s", None, 5), (2, y, "s", None, 6), (None, x, "s", None, 7), (None, x, "s", None, 7)]
+    kept = set()
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        table = spark.createDataFrame(order, "doc_id int, text string, source string, place map<string,int>, __gone int")
+        out = corpus_pipeline.drop_near_duplicates(spark, table, root)
+        assert out.columns == table.columns
+        got = out.collect()
+        assert sum(r.doc_id is None for r in got) == 2 and sum(r.doc_id == 1 for r in got) == 1
+        kept.add(tuple(sorted(str(r) for r in got)))
+    assert len(kept) == 1
+    table = table.select("doc_id", "text", F.lit(1).alias("_doc"))
+    assert corpus_pipeline.drop_contaminated(spark, table, root).count() == len(rows)
