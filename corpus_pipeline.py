@@ -5,7 +5,8 @@ last one returns their pieces.
 
 1. quality: documents that the rules reject go (op 9).
 2. near_duplicates: of every group linked by J >= 0.8 over five-word shingles, the document with
-   the smallest doc_id stays; of repeated rows of one doc_id, one. Rows without doc_id stay (op 2).
+   the smallest doc_id stays. Of several rows of one doc_id one stays: the least by the hash of the
+   text, then of the whole row, so a retry keeps the same. Rows without doc_id stay (op 2).
 3. decontamination: documents that contain a benchmark item go (op 10).
 4. secrets: every secret in a text is replaced by its kind; n_chars follows (op 6).
 5. pieces: doc_id, n_tokens, ids and whether the ids decode to the text (op 5).
@@ -15,8 +16,9 @@ Nulls, empty texts and empty tables have the results that the operators define.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from noticeflow.llm import decontamination, near_duplicates, pieces, quality, secrets
 from noticeflow.llm.queries import PIECES, table
@@ -30,8 +32,19 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates.near_duplicates(docs)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    named = docs.where("doc_id IS NOT NULL").join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    named = docs.where("doc_id IS NOT NULL").join(gone.hint("merge"), docs.doc_id.cast("long") == gone["__gone"], "left_anti")
+    plain = [F.to_json(F.struct(f.name)) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(f.name) for f in docs.schema]
+    first = Window.partitionBy(docs.doc_id).orderBy(F.xxhash64(docs.text), F.xxhash64(*plain))
+    place = _free("place", docs.columns)
+    one = named.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
+    return one.unionByName(docs.where("doc_id IS NULL"))
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """A column name that the table does not have."""
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
