@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeflow.llm.batches import mix, slices, split, travels
+from noticeflow.session import materialize
 
 WINDOW = 8
 LITERAL = 4
@@ -186,7 +187,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, literal:
     that met was left out by the slot check.
     """
     items = benchmark.select(F.col("item_id").alias("id"), "text").where("id IS NOT NULL").distinct()
-    item_windows = items.mapInArrow(_item_windows(size, literal), _WINDOW_SCHEMA)
+    # written once: four plans read it, and its size is known before documents are scanned
+    item_windows = materialize(items.mapInArrow(_item_windows(size, literal), _WINDOW_SCHEMA), "item-windows")
     bits = _bitmap(item_windows)
     keys = sorted((r["kind"], r["size"]) for r in item_windows.select("kind", "size").distinct().collect())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
