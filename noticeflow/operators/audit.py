@@ -182,7 +182,9 @@ def address_gate(addresses: DataFrame) -> DataFrame:
     return worst.select("host", "n", code.alias("dns_code"), status.alias("dns_status"))
 
 
-def page_signals(pages: DataFrame, selectors: dict = EXPECTED_SELECTORS, terms=AUDIT_NOTICE_TERMS) -> DataFrame:
+def page_signals(
+    pages: DataFrame, selectors: dict = EXPECTED_SELECTORS, terms=AUDIT_NOTICE_TERMS, bare_references: bool = True
+) -> DataFrame:
     """Signals per page (page_id, url, html, recommended_spider).
 
     Adds page_title (300 letters at most), html_valid, expected_elements_found,
@@ -193,7 +195,7 @@ def page_signals(pages: DataFrame, selectors: dict = EXPECTED_SELECTORS, terms=A
     ])
     known = sorted({s for items in selectors.values() for s in items})
     spider = F.lower(F.coalesce("recommended_spider", F.lit("generic")))
-    seen = extract_signals(pages.withColumn("_spider", spider), known, carry="_spider")
+    seen = extract_signals(pages.withColumn("_spider", spider), known, carry="_spider", bare_references=bare_references)
     lowered = stage(seen, lower_text=F.lower(text.squash(F.col("body_text"))))
     expected = F.coalesce(F.try_element_at(wanted, F.col("_spider")), F.try_element_at(wanted, F.lit("generic")))
     return lowered.select(

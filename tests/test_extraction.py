@@ -1,8 +1,11 @@
 """Page literals: the generic page, a grouped listing, posts and the page frontier."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from noticeflow.operators import html, links, listings, posts
+from noticeflow.workload import all_queries
+from tests.oracle_compare import differences
 
 GENERIC = """<body><nav><a href="/agenda">Agenda cultural</a><a href="tel:190">Fone</a></nav>
 <section><h3>Concurso 7/2031: monitores de museu</h3><p>Leia o documento.</p>
@@ -31,6 +34,23 @@ def test_broken_markup_keeps_document_order():
     assert page.text(0) == "a b c & d&zz"
 
 
+def test_reference_without_semicolon():
+    source = "<title>a &amp; b &amp</title><p>x&ampy &#65; &lt;&ltz &copy"
+    assert html.Page(source).text(0) == "a & b &"
+    page = html.Page(source, bare_references=False)
+    assert page.all_text() == "a & b &amp x&ampy A <&ltz &copy"
+
+
+def test_signals_of_a_cut_title_match_their_sql(spark, tmp_path):
+    rows = [(1, "https://a.example/", "<html><head><title>ver &amp</title></head><body><p>que &amp; der&amp</p></body></html>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    queries, sql = all_queries()
+    oracle = sql["a07_page_signals"].rpartition("\nSELECT ")[2]
+    assert differences(queries["a07_page_signals"](spark, str(tmp_path)), con, f"SELECT {oracle}") is None
+
+
 def test_generic_page_yields_one_item(spark):
     (item,) = links.extract_generic(pages(spark, museu=GENERIC)).collect()
     assert item["title"] == "Concurso 7/2031: monitores de museu"
