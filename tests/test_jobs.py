@@ -13,6 +13,7 @@ from noticeflow.plans.reports import coverage_report, match_run
 from noticeflow.session import scratch_path
 from noticeflow.sources import readers, sinks
 from noticeflow.streaming import jobs
+from noticeflow.workload.domain import Tables
 
 def now():
     return F.lit("2024-01-20 00:00:00").cast("timestamp")
@@ -386,3 +387,10 @@ def test_legacy_tokens_count_a_row_once(spark):
                                  "legacy_id long, name string, initials string, state string")
     got = {r["legacy_id"]: (r["candidates"], r["official_code"]) for r in legacy.match_legacy(rows, census).collect()}
     assert got == {1: (100, None), 2: (100, None), 3: (1, "4"), 4: (100, None)}
+
+
+def test_parts_are_spread_over_the_cores(spark):
+    # One small file is one scan partition; addresses and names built from it keep a core busy.
+    parts = Tables(spark, "/root/testdata/sf0.01")
+    assert parts.part.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert parts.part.count() == spark.read.parquet("/root/testdata/sf0.01/part.parquet").count()
