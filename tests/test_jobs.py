@@ -394,3 +394,26 @@ def test_parts_are_spread_over_the_cores(spark):
     parts = Tables(spark, "/root/testdata/sf0.01")
     assert parts.part.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert parts.part.count() == spark.read.parquet("/root/testdata/sf0.01/part.parquet").count()
+
+
+def test_shared_rules_meet_notices_in_lists(spark, monkeypatch):
+    # Shared and rare rules, users with one and with several rules, a copied notice, known and foreign outbox rows.
+    monkeypatch.setattr(alerts, "PACK", 3)
+    rng = random.Random(5)
+    rules = [(i, rng.randrange(60) if i < 40 else 100 + i, rng.choice(("ab", "c")), rng.choice((None, None, None, 1, 2)),
+              rng.choice((None, None, "x")), i % 9 != 0) for i in range(120)]
+    notices = [(n % 30, n % 3, rng.choice("xy"), rng.choice(("ab", "abc", "q", "C")), None, True) for n in range(31)]
+    told = [(rng.choice(rules)[1], rng.randrange(40)) for _ in range(400)]
+    rule_rows = spark.createDataFrame(rules, "id long, user_id long, keyword string, institution_id long, notice_type string, is_active boolean")
+    notice_rows = spark.createDataFrame(notices, "id long, institution_id long, notice_type string, title string, description string, is_active boolean")
+    outbox = spark.createDataFrame(told, "user_id long, notice_id long")
+    found = [(a, u, n) for a, u, k, i, t, on in rules if on for n, ni, nt, title, *_ in notices
+             if k in title.lower() and i in (None, ni) and t in (None, nt)]
+    assert sorted(tuple(r) for r in alerts.match_alerts(rule_rows, notice_rows).collect()) == sorted(found)
+    pairs = {(u, n) for _, u, n in found}
+    hits = alerts.alert_hits(rule_rows, notice_rows)
+    assert sorted(tuple(r) for r in alerts.matched_pairs(rule_rows, hits).collect()) == sorted(pairs)
+    fresh = alerts.unsent_pairs(rule_rows, hits, outbox)
+    assert sorted((r["user_id"], r["notice_id"]) for r in fresh.collect()) == sorted(pairs - set(told))
+    (stats,) = alerts.match_stats(rule_rows, hits, alerts.count_unsent(rule_rows, hits, outbox)).collect()
+    assert (stats["notices_checked"], stats["notifications_created"]) == (len(found), len(pairs - set(told)))
