@@ -1,5 +1,7 @@
 """Page literals: the generic page, a grouped listing, posts and the page frontier."""
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -51,6 +53,21 @@ def test_signals_of_a_cut_title_match_their_sql(spark, tmp_path):
     assert differences(queries["a07_page_signals"](spark, str(tmp_path)), con, f"SELECT {oracle}") is None
 
 
+def test_plain_markup_reads_as_the_parser_does(monkeypatch):
+    rng = random.Random(11)
+    pieces = ["<p>", "</p>", "<DIV class=\"A b\" id=\"x'>y\">", "</Div>", "<br>", "<td\n title=\"\" >", "</td>", " a ", "b > c\n", "é\xa0",
+              "<a href=\"/q?x=1\" href=\"/r\">", "</a>", "<table>", "<tr>", "</tr>", "</table>", "<template>", "</template>", "<li>"]
+    odd = ["&amp;", "<script>if (a<b) x</script>", "<title>t</title>", "<br/>", "<!-- c -->", "<a href=x>", "</p >", "< ", "<p a=\"1\"b=\"2\">", "<x-y>", "\0"]
+    sources = ["".join(rng.choice(pieces) for _ in range(rng.randrange(30))) for _ in range(300)]
+    sources += [s + rng.choice(odd) + t for s, t in zip(sources, sources[1:])]
+    sources += ["", "<p", "x<", "</p", LISTING, FALLBACK, GENERIC]
+    facts = lambda p: (p.tags, p.attrs, p.parents, p.ends, p.text_from, p.text_to, p.texts)
+    quick = [facts(html.Page(s)) for s in sources]
+    assert sum(html._plain_tokens(s) is not None for s in sources) >= 300
+    monkeypatch.setattr(html, "_plain_tokens", lambda source: None)
+    assert quick == [facts(html.Page(s)) for s in sources]
+
+
 def test_generic_page_yields_one_item(spark):
     (item,) = links.extract_generic(pages(spark, museu=GENERIC)).collect()
     assert item["title"] == "Concurso 7/2031: monitores de museu"
