@@ -1,6 +1,7 @@
 """Jobs on small fixtures: brute-force twins, idempotence, publishing, streams."""
 
 import datetime
+import itertools
 import random
 import re
 
@@ -417,3 +418,22 @@ def test_shared_rules_meet_notices_in_lists(spark, monkeypatch):
     assert sorted((r["user_id"], r["notice_id"]) for r in fresh.collect()) == sorted(pairs - set(told))
     (stats,) = alerts.match_stats(rule_rows, hits, alerts.count_unsent(rule_rows, hits, outbox)).collect()
     assert (stats["notices_checked"], stats["notifications_created"]) == (len(found), len(pairs - set(told)))
+
+
+def test_lists_of_users_are_not_shuffled_with_notices(spark, monkeypatch):
+    # Nothing is small enough to be sent: what is shuffled by notice are keys, lists are joined after that.
+    monkeypatch.setattr(alerts, "SENT_BYTES", 0)
+    rules = spark.createDataFrame([(i, i, "ab", None, None, True) for i in range(40)] + [(99, 5, "b", 1, None, True)],
+                                  "id long, user_id long, keyword string, institution_id long, notice_type string, is_active boolean")
+    notices = spark.createDataFrame([(n, n % 2, "x", "ab", None, True) for n in range(6)],
+                                    "id long, institution_id long, notice_type string, title string, description string, is_active boolean")
+    outbox = spark.createDataFrame([(u, u % 7) for u in range(50)] + [(None, 3)], "user_id long, notice_id long")
+    fresh = alerts.unsent_pairs(rules, alerts.alert_hits(rules, notices), outbox)
+    lines = fresh._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for i, line in enumerate(lines):
+        if "Exchange" in line and "notice_id" in line:
+            below = list(itertools.takewhile(lambda other: depth(other) > depth(line), lines[i + 1 :]))
+            assert not any("members" in other for other in below)
+    got = sorted((r["user_id"], r["notice_id"]) for r in fresh.collect())
+    assert got == sorted((u, n) for u in range(40) for n in range(6) if n != u % 7)
