@@ -5,13 +5,14 @@ import itertools
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from noticeflow.operators import alerts, audit, checks, coverage, crawl_ops, field_audit, html, ingest, legacy, links, upsert
 from noticeflow.plans.crawl import run_crawl
 from noticeflow.plans.reports import coverage_report, match_run
-from noticeflow.session import scratch_path
+from noticeflow.session import ARROW_BYTES, scratch_path
 from noticeflow.sources import readers, sinks
 from noticeflow.streaming import jobs
 from noticeflow.workload.domain import Tables
@@ -437,3 +438,16 @@ def test_lists_of_users_are_not_shuffled_with_notices(spark, monkeypatch):
             assert not any("members" in other for other in below)
     got = sorted((r["user_id"], r["notice_id"]) for r in fresh.collect())
     assert got == sorted((u, n) for u in range(40) for n in range(6) if n != u % 7)
+
+
+def test_batches_of_long_texts_are_bounded_by_bytes(spark):
+    # 600 rows of 40,000 characters: by the number of rows alone two batches.
+    Tables(spark, "/root/testdata/sf0.001")
+    long = spark.range(0, 600, 1, 1).select(F.repeat(F.lit("é"), 40_000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes], pa.int64())], ["n"])
+
+    found = [r["n"] for r in long.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) >= 600 * 80_000 and max(found) <= 3 * ARROW_BYTES
