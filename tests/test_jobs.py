@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from noticeflow.operators import alerts, audit, checks, coverage, crawl_ops, field_audit, html, ingest, legacy, links, upsert
+from noticeflow.operators import alerts, audit, checks, coverage, crawl_ops, field_audit, html, ingest, legacy, links, posts, upsert
 from noticeflow.plans.crawl import run_crawl
 from noticeflow.plans.reports import coverage_report, match_run
 from noticeflow.session import ARROW_BYTES, scratch_path
@@ -451,3 +451,14 @@ def test_batches_of_long_texts_are_bounded_by_bytes(spark):
 
     found = [r["n"] for r in long.mapInArrow(sizes, "n long").collect()]
     assert sum(found) >= 600 * 80_000 and max(found) <= 3 * ARROW_BYTES
+
+
+def test_both_channel_results_read_posts_extracted_once(spark):
+    api = spark.createDataFrame([(1, "t", "u", "edital", None, 0, 0)], "source_id long, title string, url string, notice_type string, description string, term_order int, pos int")
+    api = api.mapInArrow(lambda batches: batches, api.schema)  # stands for the costly extraction
+    page = spark.createDataFrame([(1, "p", "u", "edital", None, 0), (2, "q", "v", "edital", None, 1)], "source_id long, title string, url string, notice_type string, description string, pos int")
+    items, failed = posts.merge_channels(api, page, spark.createDataFrame([(1,), (3,)], "source_id long"))
+    for df in (items, failed):
+        assert "MapInArrow" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["source_id"], r["title"]) for r in items.collect()) == [(1, "t"), (2, "q")]
+    assert [r["source_id"] for r in failed.collect()] == [3]
