@@ -16,19 +16,37 @@ Nulls, empty texts and empty tables have the results that the operators define.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticeflow.llm import decontamination, near_duplicates, pieces, quality, secrets
 from noticeflow.llm.queries import PIECES, table
-from noticeflow.session import materialize
+from noticeflow.session import bounded_batches, materialize
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def bounded(stage: Stage) -> Stage:
+    """A stage whose Arrow batches hold bounded bytes, also where it runs alone."""
+
+    @wraps(stage)
+    def run_bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_bounded
 
 
+@bounded
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@bounded
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates.near_duplicates(docs)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
@@ -47,14 +65,17 @@ def _free(name: str, taken: list[str]) -> str:
     return name
 
 
+@bounded
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@bounded
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.redact(docs)
 
 
+@bounded
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, pieces.load(PIECES))
 

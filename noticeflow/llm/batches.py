@@ -18,6 +18,8 @@ import xxhash
 from pyspark import cloudpickle
 
 SLICE_BYTES = 6 << 20
+#: For operators that hold many 64-bit numbers for each word or byte.
+SMALL_SLICE = 2 << 20
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 

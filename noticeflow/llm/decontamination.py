@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeflow.llm.batches import mix, slices, split, travels
+from noticeflow.llm.batches import SMALL_SLICE, mix, slices, split, travels
 from noticeflow.session import materialize
 
 WINDOW = 8
@@ -141,7 +141,7 @@ def _item_windows(size: int, literal: int):
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, text in slices(batches):
+        for rows, text in slices(batches, most=SMALL_SLICE):
             found = Templates(text)
             sizes = np.minimum(found.lengths, size)
             plain = found.windows(TEMPLATE, sizes, literal)
@@ -157,7 +157,7 @@ def _document_windows(keys: list[tuple[int, int]], literal: int, bitmap: np.ndar
     """Windows of the (kind, size) that the benchmark holds, thinned by its bitmap."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, text in slices(batches):
+        for rows, text in slices(batches, most=SMALL_SLICE):
             found = Templates(text)
             for kind, size in keys:
                 w = found.windows(kind, np.full(len(found.lengths), size), literal)
@@ -229,8 +229,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, covered: float = COVERE
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> DataFrame:
-    """Documents without a benchmark item, with all their columns."""
-    found = contaminated(docs, benchmark, covered).select(F.col("doc_id").alias("_doc"))
+    """Documents without a benchmark item, with all their columns.
+
+    The contaminated ids are written first: where they are few, whole documents are not shuffled to lose them.
+    """
+    found = materialize(contaminated(docs, benchmark, covered).select(F.col("doc_id").alias("_doc")), "contaminated")
     return docs.join(found, docs.doc_id.cast("long") == found["_doc"], "left_anti")
 
 

@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.batches import mix, slices, split, travels, windows, word_hashes
+from noticeflow.llm.batches import SMALL_SLICE, mix, slices, split, travels, windows, word_hashes
 from noticeflow.session import discard, materialize
 
 SIZE = 5
@@ -80,7 +80,7 @@ def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
 
 def _sketch(size: int, t: Fraction):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, text in slices(batches):
+        for rows, text in slices(batches, most=SMALL_SLICE):
             offsets, values = shingle_sets(text, size)
             n = np.diff(offsets)
             more = [-(-int(k) * MARGIN.numerator // MARGIN.denominator) for k in n]
@@ -103,7 +103,7 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _whole(size: int):
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, text in slices(batches):
+        for rows, text in slices(batches, most=SMALL_SLICE):
             offsets, values = shingle_sets(text, size)
             yield pa.record_batch([rows.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), _lists(offsets, values)], ["doc_id", "n", "sigs"])
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from noticeflow.llm.batches import bytes_of, slices, text_from, travels
+from noticeflow.llm.batches import SMALL_SLICE, bytes_of, slices, text_from, travels
 
 MARK = "▁"
 REMEMBERED = 400_000
@@ -245,7 +245,7 @@ class Speller:
 def _encode(model: Model, check: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forward, speller = Forward(model), Speller(model)
-        for rows, text in slices(batches):
+        for rows, text in slices(batches, most=SMALL_SLICE):
             _, starts, ids = encode_slice(forward, text)
             same = pc.equal(speller.text(starts, ids), pc.replace_substring(text, MARK, " ")) if check else pa.nulls(len(text), pa.bool_())
             yield pa.record_batch(

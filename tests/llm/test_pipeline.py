@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from noticeflow.llm import queries
+from noticeflow.session import ARROW_BYTES
 from tests.llm.test_operators import DOCS, base_counts, base_spans, linked
 
 PASSAGE = "Marta counted 42 seeds in 7 baskets while Jonas carried 15 kg of grain across the yard before noon on monday"
@@ -51,6 +52,24 @@ def test_stages_take_effect(spark, corpus):
     assert {r.doc_id for r in corpus_pipeline.run(spark, root).where("round_trip").collect()} == expected
 
 
+def test_stages_bound_arrow_batches_by_bytes(spark, corpus):
+    root, _ = corpus
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = queries.table(spark, root, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(key)
+        stage(spark, docs, root)
+        assert spark.conf.get(key) == str(ARROW_BYTES), name
+
+
+def test_few_contaminated_documents_move_no_texts(spark, corpus):
+    root, _ = corpus
+    out = corpus_pipeline.drop_contaminated(spark, queries.table(spark, root, "documents"), root)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan.split("== Initial Plan ==")[0], plan
+
+
 def test_empty_corpus(spark, corpus):
     root, _ = corpus
     docs = queries.table(spark, root, "documents").limit(0)
