@@ -118,7 +118,8 @@ def resolve_institutions(eligible: DataFrame, registry: DataFrame) -> tuple[Data
     third, conflicts3 = _tier(keyed, left3, codeless.join(second, "id", "left_anti"), ["_i", "_s"])
 
     tiers = [df.withColumn("tier", F.lit(n)) for n, df in enumerate((first, second, third), 1)]
-    matches = union_all([t.select("official_code", "id", "tier") for t in tiers])
+    # Every caller joins the matches several times.
+    matches = materialize(union_all([t.select("official_code", "id", "tier") for t in tiers]), "matches")
     twice = check_unique(matches, "id").select(
         F.lit(None).cast("string").alias("official_code"), F.col("id").cast("string").alias("value"),
         F.lit("row_matched_twice").alias("rule"),
@@ -236,9 +237,11 @@ def resolve_sources(
     by_id = existing.filter("_cid <> ''").groupBy("_cid").agg(
         F.count("*").alias("_n"), F.min("id").alias("id"), F.min("_owner").alias("_owner")
     )
+    # Rows of ids that several steps and callers read: computed once, written.
     direct = wanted.join(by_id, F.col("catalog_source_id") == F.col("_cid")).select(
         "catalog_source_id", "id", "institution_id", "_owner", "_n"
     )
+    direct = materialize(direct, "direct")
     matched = direct.select("catalog_source_id", "id", F.lit(False).alias("replaced"))
 
     rest = wanted.join(direct.select("catalog_source_id"), "catalog_source_id", "left_anti")
@@ -287,7 +290,7 @@ def resolve_sources(
         .when(by_rule & by_url & (F.col("_rule_id") != F.col("_url_id")), "url_and_replaces_disagree")
         .when(~by_rule & (F.col("_url_cid") != ""), "url_owned_by_other_id")
     )
-    judged = stage(per, rule=problem)
+    judged = materialize(stage(per, rule=problem).select("catalog_source_id", "rule", "_rule_id", "_url_id"), "judged")
     later = judged.filter("rule is null").select(
         "catalog_source_id",
         F.coalesce("_rule_id", "_url_id").alias("id"),

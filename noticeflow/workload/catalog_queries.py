@@ -491,15 +491,20 @@ def _(t):
     return upsert.diff_rows(old, new, "official_code", ["notes", "status"])
 
 
-def resolved_sources(t, settled=False):
+def owned_sources(t, settled=False):
     """Catalog sources of institutions that exist in the registry under their offset id.
 
     LARGE sources meet rows that another catalog id owns; ``settled`` lets them name that id.
     """
     owner = F.concat(F.lit("other-"), F.col("p_partkey").cast("string"))
     given = F.when(F.col("p_type") == "LARGE", owner).otherwise(F.col("replaced")) if settled else F.col("replaced")
-    mine = t.csr.withColumn("institution_id", F.col("official_code").cast("long") + 100000).withColumn(
+    return t.csr.withColumn("institution_id", F.col("official_code").cast("long") + 100000).withColumn(
         "replaces", F.when(given.isNotNull(), F.array(given)).otherwise(F.array().cast("array<string>"))).drop("replaced")
+
+
+def resolved_sources(t, settled=False):
+    """``owned_sources`` with their matches and conflicts."""
+    mine = owned_sources(t, settled)
     return mine, *upsert.resolve_sources(mine, t.rsr)
 
 
@@ -514,7 +519,7 @@ def _(t):
 SELECT csr.catalog_source_id, 'url_owned_by_other_id' AS rule FROM csr JOIN rsr ON rsr.id = csr.p_partkey + 500000 WHERE csr.p_type = 'LARGE'
 UNION ALL SELECT csr.catalog_source_id, 'id_of_other_institution' FROM csr JOIN rsr ON rsr.id = csr.p_partkey + 500000 WHERE csr.p_type = 'STANDARD' AND csr.priority = 3""")
 def _(t):
-    mine, _m, _c = resolved_sources(t)
+    mine = owned_sources(t)
     moved = mine.withColumn("institution_id", F.when(
         (F.col("p_type") == "STANDARD") & (F.col("priority") == 3), -1).otherwise(F.col("institution_id")))
     return upsert.resolve_sources(moved, t.rsr)[1]

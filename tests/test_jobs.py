@@ -15,6 +15,7 @@ from noticeflow.plans.reports import coverage_report, match_run
 from noticeflow.session import ARROW_BYTES, scratch_path
 from noticeflow.sources import readers, sinks
 from noticeflow.streaming import jobs
+from noticeflow.workload import all_queries
 from noticeflow.workload.domain import Tables
 
 def now():
@@ -368,6 +369,26 @@ def test_redirect_paths(spark):
     assert audit.resolve_redirects(requests, log.limit(0)).filter("error_code <> 'not_fetched'").count() == 0
 
 
+def test_sources_are_resolved_once(spark, monkeypatch):
+    wanted = spark.createDataFrame(
+        [(7, "a", "https://a.example", []), (7, "b", "https://b.example", ["old b"]), (8, "c", "https://c.example", [])],
+        "institution_id long, catalog_source_id string, url string, replaces array<string>",
+    )
+    rows = [(1, 7, "a", "x", "https://z.example"), (2, 7, None, "Old B", "https://y.example"), (3, 8, "other", "w", "https://c.example")]
+    existing = spark.createDataFrame(rows, "id long, institution_id long, catalog_source_id string, name string, url string")
+    matches, conflicts = upsert.resolve_sources(wanted, existing.withColumn("normalized_url", F.col("url")))
+    assert sorted(tuple(r) for r in matches.collect()) == [("a", 1, False), ("b", 2, True)]
+    assert [tuple(r) for r in conflicts.collect()] == [("c", "url_owned_by_other_id")]
+    # what callers join several times is read, not derived again
+    plan = matches._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    calls = []
+    resolve = upsert.resolve_sources
+    monkeypatch.setattr(upsert, "resolve_sources", lambda *a: calls.append(a) or resolve(*a))
+    all_queries()[0]["e08_source_conflicts"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
+
+
 def test_sources_that_share_a_key_stay_linear(spark):
     """Two hundred registry rows and two hundred wishes on one URL: one certificate, no pairs."""
     rows = [(i, 1, None, f"n{i}", "https://São.example/", None) for i in range(200)] + [(900, 1, None, "Only Ône", "https://b.example", None)]
