@@ -483,3 +483,17 @@ def test_both_channel_results_read_posts_extracted_once(spark):
         assert "MapInArrow" not in df._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["source_id"], r["title"]) for r in items.collect()) == [(1, "t"), (2, "q")]
     assert [r["source_id"] for r in failed.collect()] == [3]
+
+
+def test_hits_are_dealt_out_before_rules_are_opened(spark):
+    # Hits are few bytes and many pairs: tasks are not cut by the size of their file, and pairs are not shuffled.
+    rules = spark.createDataFrame([(i, i, ("ab", "c", "q")[i % 3], None, None, True) for i in range(60)],
+                                  "id long, user_id long, keyword string, institution_id long, notice_type string, is_active boolean")
+    notices = spark.createDataFrame([(n, 1, "x", ("ab", "abc", "z")[n % 3], None, True) for n in range(9)],
+                                    "id long, institution_id long, notice_type string, title string, description string, is_active boolean")
+    found = alerts.match_alerts(rules, notices, shard_keywords=1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert f"RoundRobinPartitioning({2 * spark.sparkContext.defaultParallelism})" in plan
+    assert "Exchange" not in plan[: plan.index("Join")]
+    assert sorted((r["user_id"], r["notice_id"]) for r in found.collect()) == sorted(
+        (i, n) for i in range(60) for n in range(9) if ("ab", "c", "q")[i % 3] in ("ab", "abc", "z")[n % 3])
