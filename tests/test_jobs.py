@@ -497,3 +497,10 @@ def test_hits_are_dealt_out_before_rules_are_opened(spark):
     assert "Exchange" not in plan[: plan.index("Join")]
     assert sorted((r["user_id"], r["notice_id"]) for r in found.collect()) == sorted(
         (i, n) for i in range(60) for n in range(9) if ("ab", "c", "q")[i % 3] in ("ab", "abc", "z")[n % 3])
+
+
+def test_page_frontier_parses_pages_once(spark):
+    # Frontier and items read links that are written: no parser and no page below the folding steps.
+    items = all_queries()[0]["p17_page_frontier"](spark, "/root/testdata/sf0.001")
+    plan = items._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "ArrowEvalPython" in plan
