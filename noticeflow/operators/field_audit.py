@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from noticeflow.functions import text, urls
 from noticeflow.functions.staging import stage
 from noticeflow.lexicon import AUDIT_KEYWORDS, AUDIT_LISTING_TITLES, LINK_DOCUMENT_SUFFIXES, NOTICE_TYPES
-from noticeflow.operators.html import extract_signals
+from noticeflow.operators.html import count_links
 from noticeflow.session import materialize
 
 
@@ -16,7 +16,7 @@ def probe_pages(pages: DataFrame, keywords=AUDIT_KEYWORDS) -> DataFrame:
 
     opens, html_length, link_count, distinct keywords in the folded source, html_useful.
     """
-    counts = extract_signals(pages, ()).select("page_id", "link_count")
+    counts = count_links(pages)
     staged = stage(pages, _f=text.fold_text(F.col("html")))
     hits = sum((F.col("_f").contains(k).cast("int") for k in keywords), F.lit(0))
     is_html = F.lower(F.coalesce("content_type", F.lit(""))).contains("html") | F.col("html").rlike("(?i)<html")

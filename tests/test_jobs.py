@@ -504,3 +504,10 @@ def test_page_frontier_parses_pages_once(spark):
     items = all_queries()[0]["p17_page_frontier"](spark, "/root/testdata/sf0.001")
     plan = items._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" not in plan and "ArrowEvalPython" in plan
+
+
+@pytest.mark.parametrize("name", ["a15_probe_pages"])
+def test_probes_bring_no_page_text_out_of_the_parser(spark, name):
+    plan = all_queries()[0][name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    (parsed,) = [line for line in plan.splitlines() if "MapInPandas" in line]
+    assert "link_count" in parsed and "body_text" not in parsed
