@@ -506,7 +506,7 @@ def test_page_frontier_parses_pages_once(spark):
     assert "MapInPandas" not in plan and "ArrowEvalPython" in plan
 
 
-@pytest.mark.parametrize("name", ["a15_probe_pages"])
+@pytest.mark.parametrize("name", ["a15_probe_pages", "a18_audit_sources"])
 def test_probes_bring_no_page_text_out_of_the_parser(spark, name):
     plan = all_queries()[0][name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     (parsed,) = [line for line in plan.splitlines() if "MapInPandas" in line]
