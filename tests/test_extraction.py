@@ -68,6 +68,38 @@ def test_plain_markup_reads_as_the_parser_does(monkeypatch):
     assert quick == [facts(html.Page(s)) for s in sources]
 
 
+def test_rows_leave_the_parser_clean_unless_untidy(spark):
+    cells = ["a  b\n c", "x\xa0", "SeleÃ§Ã£o  1", "&lt;b&gt;um&lt;/b&gt;  dois", "", " 1 &lt; 2 "]
+    source = "".join(f'<tr><td class="c">{c}</td><td class="agrupador"><a href="/a/b.pdf" title=" t  {i} ">{c}</a></td></tr>' for i, c in enumerate(cells))
+    flags = [fact[-1] for fact in html.page_rows(html.Page(source), "https://h.example/x?y=1")]
+    assert flags == [False, False, True, True, False, False]
+    rows = html.extract_rows(pages(spark, x="<table>" + source, none=None, empty="")).orderBy("pos").collect()
+    want = ["a b c", "x", "Seleção 1", "um dois", "", "1 < 2"]
+    assert [r["cells"][0]["text"] for r in rows] == [r["link_text"] for r in rows] == [r["links"][0]["text"] for r in rows] == want
+    assert [r["link_title"] for r in rows] == [f"t {i}" for i in range(6)]
+    assert [r["row_text"] for r in rows] == [f"{w} {w}".strip() for w in want]
+    assert {r["links"][0]["abs_url"] for r in rows} == {"https://example.edu.br/a/b.pdf"} and rows[0]["cells"][1]["cls"] == "agrupador"
+
+
+def test_addresses_below_a_host_join_as_urljoin_does():
+    bases = ["https://h.example/x/y?z=1#f", "http://h.example:80", "https://u@h/", "ftp://h/", "", None, "https://[::1]/a", "HTTPS://H.example/q"]
+    hrefs = ["/a", "/a/b.pdf", "/", "//x/y", "/a//b", "/./a", "/a/../b", "/a.b/c/", "/a?", "/a#", "/a b", "/é", "/a;p", "a", "#", "", "/.a"]
+    assert [[html._absolute(b, h) for h in hrefs] for b in bases] == [[html.urljoin(b or "", h) for h in hrefs] for b in bases]
+
+
+def test_classes_need_texts_and_titles_only(spark):
+    hidden = "<p>a <rt>no</rt> b</p><template>no</template>"
+    src = pages(spark, sel=LISTING, tab=FALLBACK, login="Acesso ao Sistema formUsuario <table><tr><td>edital<a href='/z'>z</a>",
+                vazio="Nenhum processo  seletivo\nencontra-se aberto", mixed=hidden, plain=" x <b>y</b>\n<i> </i>z", cut="<p>x &amp", none=None)
+    texts = {r["page_id"]: r["body_text"] for r in html.extract_texts(src).collect()}
+    signals = html.extract_signals(src, ())
+    assert texts == {r["page_id"]: r["body_text"] for r in signals.collect()}
+    groups = listings.listing_groups(html.extract_rows(src))
+    found = listings.classify_pages(html.extract_texts(src), listings.listed_pages(groups))
+    whole = listings.classify_pages(signals, listings.listing_items(listings.listing_details(groups)))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect()))
+
+
 def test_generic_page_yields_one_item(spark):
     (item,) = links.extract_generic(pages(spark, museu=GENERIC)).collect()
     assert item["title"] == "Concurso 7/2031: monitores de museu"
