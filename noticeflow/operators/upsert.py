@@ -10,7 +10,7 @@ from noticeflow.functions.urls import catalog_url
 from noticeflow.functions.values import is_blank
 from noticeflow.operators.catalog import is_included
 from noticeflow.operators.checks import check_unique, require_empty, side_by_side, union_all
-from noticeflow.session import materialize
+from noticeflow.session import joins_by_rows, materialize
 from noticeflow.sources import sinks
 
 # Registry column -> catalog column of the fields the catalog owns.
@@ -94,6 +94,7 @@ def _tier(universe: DataFrame, left: DataFrame, right: DataFrame, keys: list[str
     )
 
 
+@joins_by_rows
 def resolve_institutions(eligible: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(official_code, id, tier) per matched row, and conflicts (official_code, value, rule).
 
@@ -149,6 +150,7 @@ def diff_rows(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> D
     return joined.select(key, action.alias("action"))
 
 
+@joins_by_rows
 def new_ids(keys: DataFrame, key: str, existing: DataFrame) -> DataFrame:
     """(key, id): ids of new rows, dense and in the order of keys, above every existing id.
 
@@ -214,6 +216,7 @@ def _url_key(sources: DataFrame) -> Column:
     return catalog_url(F.coalesce(F.nullif("normalized_url", F.lit("")), F.col("url")))["url"]
 
 
+@joins_by_rows
 def resolve_sources(
     catalog_sources: DataFrame, sources: DataFrame, rules: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -364,6 +367,7 @@ def upsert_stats(institutions: DataFrame, sources: DataFrame, ignored: DataFrame
     )
 
 
+@joins_by_rows
 def publish_upsert(
     institutions: DataFrame, sources: DataFrame, conflicts: list[DataFrame], root: str
 ) -> dict[str, str]:

@@ -511,3 +511,26 @@ def test_probes_bring_no_page_text_out_of_the_parser(spark, name):
     plan = all_queries()[0][name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     (parsed,) = [line for line in plan.splitlines() if "MapInPandas" in line]
     assert "link_count" in parsed and "body_text" not in parsed
+
+
+def test_written_keys_are_not_sent_by_the_size_of_their_files(spark, monkeypatch):
+    from noticeflow import session
+    from noticeflow.operators import upsert
+
+    keys = session.materialize(spark.range(400_000).select((F.col("id") * 0 + F.col("id")).alias("id")), "keys")
+    plan = lambda: spark.range(10**9).join(keys, "id")._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan() and "BroadcastHashJoin" not in session.joins_by_rows(plan)()
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+    seen = []
+
+    def watched(df, name):
+        seen.append((name, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")))
+        return session.materialize(df, name)
+
+    monkeypatch.setattr(upsert, "materialize", watched)
+    wanted = spark.createDataFrame([(1, "a", "https://h.example/a", [])], "institution_id long, catalog_source_id string, url string, replaces array<string>")
+    rows = spark.createDataFrame([(7, 1, "a", "n", "https://h.example/a", None)], "id long, institution_id long, catalog_source_id string, name string, url string, normalized_url string")
+    matches, conflicts = upsert.resolve_sources(wanted, rows)
+    assert [tuple(r) for r in matches.collect()] == [("a", 7, False)] and conflicts.count() == 0
+    assert len(seen) == 4 and {size for _, size in seen} == {"-1"}
