@@ -53,6 +53,21 @@ def test_signals_of_a_cut_title_match_their_sql(spark, tmp_path):
     assert differences(queries["a07_page_signals"](spark, str(tmp_path)), con, f"SELECT {oracle}") is None
 
 
+def test_contexts_of_texts_that_show_markup_match_their_sql(spark, tmp_path):
+    texts = ["a <b>der</b> c\nx", "Ã© que", "< & > &eacute; the", "x<!-- c -->y", "plain & simple", "x " * 400]
+    docs = [(i, t, "en", f"src{i}", len(t)) for i, t in enumerate(texts)]
+    tables = {"documents": spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"),
+              "pages": spark.createDataFrame([(1, "https://a.example/", "<p></p>")], "page_id long, url string, html string")}
+    con = duckdb.connect()
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    queries, sql = all_queries()
+    parts = sql["p03_link_context"]
+    begin = parts.index("raw_links AS (")
+    assert differences(queries["p03_link_context"](spark, str(tmp_path)), con, "WITH " + parts[begin:]) is None
+
+
 def test_plain_markup_reads_as_the_parser_does(monkeypatch):
     rng = random.Random(11)
     pieces = ["<p>", "</p>", "<DIV class=\"A b\" id=\"x'>y\">", "</Div>", "<br>", "<td\n title=\"\" >", "</td>", " a ", "b > c\n", "é\xa0",
